@@ -130,10 +130,11 @@ def truncated(docs: DataFrame, key: str = "doc_id", ends: float = 0.3, ends_at_l
     heading = (F.col("kind") == "P") & (begun >= 3) & (z("n_closed") < 0.1 * begun)  # lines that begin so never are
     of_word = F.when(alone >= 3, z("u_end") / alone).when(F.col("kind") == "S", 0.0).otherwise(0.5)
     mixed = (z("n_end") + 2 * of_word) / (pair + 2)
-    own_word = F.col("is_prefix").isNull()
+    own_word = F.col("is_prefix").isNull() | ~F.regexp_like("w1", F.lit(r"\p{L}"))
     chance = (
         F.when(F.col("split_point") | F.col("bracket"), 0.0)
         .when((pair == 0) & own_word & ((z("n_last") >= 5) | (z("inside") == 0) & (z("u_last") >= 5)), 1.0)
+        .when((F.col("kind") == "T") & (z("n_on") == 0) & own_word, 1.0)  # the last cell of a row
         .when(headless, 0.0)
         .when((pair == 0) & (F.col("w2") == "^") & (F.col("kind") == "P") & own_word & (z("inside") >= 2), 1.0)  # a known word on a line of its own, as signers' names are
         .when((z("inside") >= 2) & (heading | (F.col("kind") == "T")), F.least(F.lit(1.0), 4 * mixed))
