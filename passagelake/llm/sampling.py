@@ -13,6 +13,6 @@ def bounded_sample(df: DataFrame, n: int) -> list[Row]:
         return []
     h = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30))
     share = min(1.0, 1.3 * n / rows)
-    got = df.withColumn("_h", h).where(F.col("_h") < int(share * (1 << 30)) + 1).limit(2 * n).collect()
-    got.sort(key=lambda r: (r["_h"], str(r[0])))
+    got = df.withColumn("__sample_hash", h).where(F.col("__sample_hash") < int(share * (1 << 30)) + 1).limit(2 * n).collect()
+    got.sort(key=lambda r: (r["__sample_hash"], str(r[0])))
     return got[:n]
