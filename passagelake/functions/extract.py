@@ -61,7 +61,7 @@ def program_facts(c: str | Column) -> Column:
     low = F.lower(col(c))
     has = lambda *t: F.exists(F.array(*map(F.lit, t)), lambda x: F.contains(low, x))
     return F.struct(
-        F.when(has("taught in english", "english-taught", "english language", "b2 english", "c1 english") & ~F.lit(False), "English").when(has("taught in german", "german-taught", "b2 german", "c1 german"), "German").alias("language"),
+        F.when(has("taught in english", "english-taught", "english language", "b2 english", "c1 english"), "English").when(has("taught in german", "german-taught", "b2 german", "c1 german"), "German").alias("language"),
         F.when(has("winter semester") & has("summer semester"), "winter+summer").when(has("winter semester", "starts in winter"), "winter").when(has("summer semester", "starts in summer"), "summer").alias("intake"),
         F.nullif(F.regexp_extract(col(c), rf"([0-9]{{2,3}}){WS}*ECTS", 1), F.lit("")).alias("ects"),
         F.nullif(F.regexp_replace(F.regexp_extract(low, rf"([0-9]){WS}*semester", 1), "^([0-9])$", "$1 semesters"), F.lit("")).alias("duration"),
