@@ -188,7 +188,7 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
             continue
         if _PREFIX.match(lines[i]):
             e = quoted(i, False)
-            lone = s.startswith(">") and _MORE_THAN.match(s) and (not introduced and e == i + 1 or i and not lines[i - 1].strip())
+            lone = s.startswith(">") and _MORE_THAN.match(s) and (e == i + 1 and not any(x.kind == "intro" for x in out) or i and not lines[i - 1].strip())
             if lone:
                 add("authored", i, i + 1)
                 i += 1

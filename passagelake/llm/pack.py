@@ -144,11 +144,11 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     """
     spark = items.sparkSession
     caps = spark.createDataFrame([(p, int(c)) for p, c in capacities.items()], "profile string, capacity long")
-    it = items.select(F.col(key), F.col(size).cast("long").alias("n")).where("n > 0")
+    it = items.select(F.col(key).alias("__key"), F.col(size).cast("long").alias("n")).where("n > 0")
     all_ = it.crossJoin(F.broadcast(caps))  # a handful of capacities, fixed by the caller
     full, rest = F.floor(F.col("n") / F.col("capacity")), F.col("n") % F.col("capacity")
-    bucket = F.pmod(F.xxhash64(key, "n"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket")
-    whole = all_.where(rest > 0).select("profile", key, rest.alias("size"), full.cast("int").alias("part_no"), (full * F.col("capacity")).alias("part_start"), bucket)
+    bucket = F.pmod(F.xxhash64("__key", "n"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket")
+    whole = all_.where(rest > 0).select("profile", "__key", rest.alias("size"), full.cast("int").alias("part_no"), (full * F.col("capacity")).alias("part_start"), bucket)
     counts = whole.groupBy("profile", "size", "bucket").agg(F.count(F.lit(1)).alias("items"))
     counts = cut(counts)  # at most sum(capacity) * RANK_BUCKETS rows, used twice
     hists: dict[str, dict[int, int]] = {}
@@ -157,10 +157,10 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     slots = {p: _slots(plan(h, int(capacities[p]))) for p, h in hists.items()}
     before = counts.withColumn("before", F.sum("items").over(Window.partitionBy("profile", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("profile", "size", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("profile", "size", "bucket").orderBy(key)))
-    ranked = ranked.join(before, ["profile", "size", "bucket"]).select("profile", "size", (F.col("rank") - 1 + F.col("before")).alias("rank"), key, "part_no", "part_start")
+    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("profile", "size", "bucket").orderBy("__key")))
+    ranked = ranked.join(before, ["profile", "size", "bucket"]).select("profile", "size", (F.col("rank") - 1 + F.col("before")).alias("rank"), "__key", "part_no", "part_start")
     key_type = items.schema[key].dataType
-    schema = T.StructType([T.StructField("profile", T.StringType()), T.StructField("container_no", T.LongType()), T.StructField(key, key_type), T.StructField("part_no", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("part_size", T.LongType())])
+    schema = T.StructType([T.StructField("profile", T.StringType()), T.StructField("container_no", T.LongType()), T.StructField("__key", key_type), T.StructField("part_no", T.IntegerType()), T.StructField("part_start", T.LongType()), T.StructField("part_size", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,11 +180,11 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
 
     placed = ranked.mapInArrow(place, schema)
     # full parts: containers of their own, numbered below zero by an exact distributed ranking of the large items
-    big = all_.where(full > 0).select("profile", "capacity", key, full.cast("long").alias("full"), bucket)
+    big = all_.where(full > 0).select("profile", "capacity", "__key", full.cast("long").alias("full"), bucket)
     per = big.groupBy("profile", "bucket").agg(F.sum("full").alias("f"))
     base = per.withColumn("base", F.coalesce(F.sum("f").over(Window.partitionBy("profile").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("profile", "bucket", "base")
-    run = F.coalesce(F.sum("full").over(Window.partitionBy("profile", "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.coalesce(F.sum("full").over(Window.partitionBy("profile", "bucket").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cutup = big.withColumn("run", run).join(F.broadcast(base), ["profile", "bucket"]).select(
-        "profile", F.col("capacity"), key, (F.col("run") + F.col("base")).alias("run"), F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("part_no"))
-    fulls_out = cutup.select("profile", (-(F.col("run") + F.col("part_no")) - 1).alias("container_no"), key, "part_no", (F.col("part_no") * F.col("capacity")).alias("part_start"), F.col("capacity").alias("part_size"))
-    return placed.unionByName(fulls_out)
+        "profile", F.col("capacity"), "__key", (F.col("run") + F.col("base")).alias("run"), F.explode(F.sequence(F.lit(0), F.col("full").cast("int") - 1)).alias("part_no"))
+    fulls_out = cutup.select("profile", (-(F.col("run") + F.col("part_no")) - 1).alias("container_no"), "__key", "part_no", (F.col("part_no") * F.col("capacity")).alias("part_start"), F.col("capacity").alias("part_size"))
+    return placed.unionByName(fulls_out).withColumnRenamed("__key", key)

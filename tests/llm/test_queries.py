@@ -1,0 +1,33 @@
+"""The queries of the subpackage on the small tables: against SQL where there is one, else their columns and invariants."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+llm = pytest.importorskip("passagelake.llm")
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from oracle import same  # noqa: E402
+
+FOUND = {
+    "p2_found": ["src_table", "id_a", "id_b"], "p3_found": ["src_table", "row_key", "field_name", "pii_type", "start_pos"], "p4_found": ["src_table", "row_key"], "p5_found": ["snapshot_id", "line_no"],
+    "p6_found": ["src_table", "row_key", "line_no"], "p7_found": ["src_table", "row_key", "line_no"], "p10_found": ["doc_id"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(llm.SQL))
+def test_against_sql(spark, data, name):
+    same(spark, data, llm.QUERIES[name], llm.SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(FOUND))
+def test_found(spark, data, name):
+    df = llm.QUERIES[name](spark, data)
+    assert df.columns == FOUND[name]
+    rows = df.collect()
+    assert len(rows) == len(set(rows)) > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(llm.QUERIES) - set(FOUND)))
+def test_runs(spark, data, name):
+    assert llm.QUERIES[name](spark, data).count() >= 0

@@ -1,0 +1,337 @@
+"""Edge cases of the operators on small inputs: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("passagelake.llm")
+
+from passagelake.llm import forest, mailtree, mix, pack, pagebody, pii, sitelines, split, tokens, truncation  # noqa: E402
+
+
+# --- p4 --------------------------------------------------------------------------------------------------------------
+def _joined(parts, overlap):
+    return "".join(p["piece_text"][p["overlap_chars"] :] for p in parts), all(a["piece_text"][-overlap:] == b["piece_text"][:overlap] for a, b in zip(parts, parts[1:]))
+
+
+def test_split_round_trip(spark):
+    r = random.Random(3)
+    texts = ["", "  \n", "short", "x" * 1000, "x" * 1001, "word " * 900, "Ein Satz. " * 400, "a\n\nb" * 700, "😀ä" * 1500, "z" * 9000] + ["".join(r.choice(["word ", "Satz. ", "\n\n", "\n", "😀", "x" * 300]) for _ in range(400)) for _ in range(10)]
+    df = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)] + [(99, None, None), (None, "y " * 900, None)], "id int, text string, piece_no string")
+    got = split.split_texts(df, "id", "text").orderBy("id", "piece_no").collect()
+    by = {}
+    for p in got:
+        by.setdefault(p["id"], []).append(p)
+    assert 0 not in by and 1 not in by and 99 not in by and None in by
+    for i, t in enumerate(texts[2:], 2):
+        whole, shared = _joined(by[i], 150)
+        assert whole == t.strip(" \t\r\n") and shared
+        assert all(len(p["piece_text"]) <= 1000 and p["n_pieces"] == len(by[i]) for p in by[i])
+        assert (len(by[i]) > 1) == (len(t.strip(" \t\r\n")) > 1000)
+
+
+def test_split_prefers_strong_boundaries(spark):
+    t = "Sentence one is here. " * 30 + "\n\n" + "Sentence two is here. " * 40
+    first = split.split_texts(spark.createDataFrame([(1, t)], "id int, text string"), "id", "text").where("piece_no = 0").first()["piece_text"]
+    assert first.endswith("\n\n")
+
+
+def test_split_repeats_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "w " * 800)] * 2, "id int, text string")
+    assert split.split_texts(df, "id", "text").count() == 4
+    assert split.split_texts(df.limit(0), "id", "text").count() == 0
+
+
+# --- p6 --------------------------------------------------------------------------------------------------------------
+def test_sitelines_counts_rows_not_copies(spark):
+    rows = [("g", str(i), "h", f"Footer {i}\r\nown {'x' * i} line\n12") for i in range(1, 40)] + [("g", "c1", "h", "Copied\nFooter 1"), ("g", "c2", "h", "Copied\nFooter 1"), ("g", "c3", "h", "Copied\nFooter 1"), ("g", "n", None, "Footer 1"), ("g", "e", "h", None), ("g", "b", "h", " ")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "group string, row_key string, site string, text string, h string")
+    got = {(r["row_key"], r["line_no"]) for r in sitelines.marked_lines(df).collect()}
+    assert {(str(i), 1) for i in range(1, 40)} | {("c1", 1), ("c1", 2), ("c2", 1), ("c2", 2), ("c3", 1), ("c3", 2)} == got
+    real = {(r["row_key"], r["line_no"]) for r in sitelines.marked_lines(df, min_texts=3).collect()}
+    assert ("c1", 1) not in real and ("c1", 2) in real  # republished is not boilerplate
+    clean = {r["row_key"]: r["clean_text"] for r in sitelines.clean_texts(df).collect()}
+    assert clean["1"] == "own x line\n12" and clean["n"] == "Footer 1" and clean["e"] is None
+    assert sitelines.marked_lines(df.limit(0)).count() == 0
+
+
+# --- p7 --------------------------------------------------------------------------------------------------------------
+MAIL = """Hello,
+I have a question.
+> 56 credits are needed, are they not?
+From: Althausen
+To: Silberdorf, by the night train
+Best regards
+Ann Example
+
+-- 
+Student assistant
+Tel. 030 1234567
+
+On 13 June 2023 at 17:25, Bo Sample wrote:
+> Dear Ann,
+> > deeper
+> Regards
+> Bo
+
+Thanks, got it."""
+
+
+def test_mail_tree():
+    new = mailtree.new_lines(MAIL)
+    lines = mailtree.lines_of(MAIL)
+    assert [lines[i] for i in sorted(new)] == ["Hello,", "I have a question.", "> 56 credits are needed, are they not?", "From: Althausen", "To: Silberdorf, by the night train", "Best regards", "Ann Example", "Thanks, got it."]
+    kinds = [n.kind for n in mailtree.parse(lines)]
+    assert kinds.count("quote") == 1 and "signature" in kinds
+    quote = next(n for n in mailtree.parse(lines) if n.kind == "quote")
+    assert any(x.kind == "quote" for x in quote.inside)
+
+
+@pytest.mark.parametrize("text", ["", "\n\n", ">", "x" * 200_000, "> " * 500 + "deep", "\r\n".join(["Hi", "", "Sent from my phone"]), "-----Original Message-----\nFrom: A B <a@b.c>\nSubject: x\n\nold"])
+def test_mail_tree_odd(text):
+    old = mailtree.old_lines(text)
+    assert set(old).isdisjoint(mailtree.new_lines(text)) and all(0 <= i < len(mailtree.lines_of(text)) for i in old)
+
+
+def test_reduce_mails(spark):
+    df = spark.createDataFrame([(1, MAIL, "c"), (1, MAIL, "c"), (None, None, None), (3, "", "c")], "id int, text string, old_lines string")
+    got = mailtree.reduce_mails(df, ["id"], "text").collect()
+    assert len(got) == 4 and got[0] == got[1] and got[2]["new_text"] is None and got[3]["new_text"] == ""
+    assert "deeper" not in got[0]["new_text"] and mailtree.reduce_mails(df.limit(0), ["id"], "text").count() == 0
+
+
+# --- p3 --------------------------------------------------------------------------------------------------------------
+def _mails(n=150):
+    r = random.Random(1)
+    names = [("Ines", "Kornfeldt"), ("Tarek", "Suranwa"), ("Clara", "Velidze"), ("Oskar", "Birkmoor")]
+    out = []
+    for i in range(n):
+        g, f = names[i % 4]
+        out.append(f"Hallo {g},\n\nI spoke to {g} {f} on Monday. Call me: +49 30 2312{r.randrange(1000, 9999)}. Write to {g.lower()}{i}@mail.example or ask for module B{i}.2 in room A {100 + i}.\nMy new address is Ahornweg {i + 1}, 90{100 + i} Altau. Order 0030-{300 + i} is lost. For your files: passport XK65{10000 + i}.\n\nBest regards\n{g} {f}")
+    return out
+
+
+def test_pii_finds_and_keeps():
+    texts = _mails()
+    model = pii.fit(texts)
+    t = texts[7]
+    spans = pii.find(t, model)
+    found = {(s.kind, s.value) for s in spans}
+    assert ("email", "oskar7@mail.example") in found and ("person_name", "Oskar Birkmoor") in found and ("street_address", "Ahornweg 8") in found and ("id_number", "XK6510007") in found
+    assert any(s.kind == "phone" and s.value.startswith("+49 30 2312") for s in spans)
+    assert not any("0030" in s.value or "B7" in s.value for s in spans)
+    clean = pii.replace(t, spans)
+    assert "[NAME]" in clean and "oskar7" not in clean and "Order 0030-307 is lost" in clean
+    assert pii.find("", model) == [] and pii.find("x" * 100_000, model) == []
+
+
+def test_estimate_trusts_the_reliable():
+    r = np.random.default_rng(0)
+    y = r.random(800) < 0.5
+    good, bad = np.where(r.random(800) < 0.95, y, ~y) * 2 - 1, np.where(r.random(800) < 0.6, y, ~y) * 2 - 1
+    third = np.where(r.random(800) < 0.9, y, ~y) * 2 - 1
+    q, acc = pii.estimate(np.stack([good, bad, third], 1).astype(float))
+    assert acc[0] > acc[1] and acc[2] > acc[1] and ((q > 0.5) == y).mean() > 0.9
+
+
+def test_pii_frames(spark):
+    texts = _mails(60)
+    df = spark.createDataFrame([("a", i, t, "c") for i, t in enumerate(texts)] + [("a", None, None, None), ("a", 99, "", None)], "g string, id int, text string, pii_type string")
+    model = pii.fit_on(df, "g", "text", 50)
+    got = pii.detect(df, ["id"], "text", model)
+    assert got.where("id = 3 AND pii_type = 'email'").first()["start_pos"] == texts[3].index("oskar3@") + 1
+    clean = {r["id"]: r["clean_text"] for r in pii.detect(df, ["id"], "text", model, clean=True).collect()}
+    assert clean[None] is None and clean[99] == "" and "@" not in clean[5]
+    assert pii.detect(df.limit(0), ["id"], "text", model).count() == 0
+
+
+# --- p5 --------------------------------------------------------------------------------------------------------------
+def _page(i):
+    body = [f"Topic {i} of the day", f"This page explains topic {i} at length and says what has to be done before the end of the term.", "• First item, with a detail", "• Second item, with a detail"]
+    return "\n".join(["Skip to content", "Home | News | Jobs | Login | Search", *body, "Related pages", f"> Topic {i + 1} of the day", "Imprint | Privacy", "© 2024 Example"]), f"Topic {i} of the day"
+
+
+def test_page_body(spark):
+    pages = [_page(i) for i in range(120)]
+    rows = [(i, t, h, [1, 2, 7, 9, 10]) for i, (t, h) in enumerate(pages)] + [(500, None, "x", None), (501, "", None, None), (None, "Only one line", None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, heading string, repeated array<int>")
+    got = {r["id"]: r for r in pagebody.label_pages(df, "id", "text", "heading", "repeated", sample=100).collect()}
+    right = sum(set(got[i]["other_lines"]) == {1, 2, 7, 8, 9, 10} for i in range(120))
+    assert right >= 114, right  # held-out pages included
+    assert got[500]["main_text"] is None and got[501]["main_text"] == "" and len(got) == 123
+
+
+def test_lstm_gradient():
+    r = np.random.default_rng(0)
+    model = pagebody.Labeller()
+    page = (r.standard_normal((5, pagebody.DENSE)).astype(np.float32), [[1, 2], [3], [4, 5, 6], [1], [2]], np.arange(5))
+    before = model.predict(*page)
+    model.train([page] * 8, [[1, 0, 1, 0, 1]] * 8, epochs=60, batch=8)
+    after = model.predict(*page)
+    assert np.abs(after - [1, 0, 1, 0, 1]).max() < 0.2 < np.abs(before - [1, 0, 1, 0, 1]).max()
+
+
+# --- p8 --------------------------------------------------------------------------------------------------------------
+def _brute(sizes, cap):
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= cap and bins[k] not in bins[:k]:
+                go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_is_near_the_optimum():
+    r = random.Random(5)
+    over = 0
+    for _ in range(60):
+        cap = r.choice([10, 20, 37])
+        sizes = sorted((r.randrange(1, cap) for _ in range(r.randrange(1, 10))), reverse=True)
+        h = {s: sizes.count(s) for s in sizes}
+        p = pack.plan(h, cap)
+        used = {}
+        for items, times in p:
+            assert sum(s * n for s, n in items) <= cap
+            for s, n in items:
+                used[s] = used.get(s, 0) + n * times
+        assert used == h
+        over += sum(t for _, t in p) - _brute(sizes, cap)
+    assert 0 <= over <= 3
+
+
+def test_pack(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([1, 7, 7, 7, 13, 50, 100, 101, 250, 333])) for i in range(3000)] + [(9001, None), (9002, 0), (None, 7), (5, 7), (5, 7)]
+    df = spark.createDataFrame([(k, n, "c") for k, n in rows], "profile int, n long, size string")
+    got = pack.pack(df.withColumnRenamed("profile", "doc"), "doc", "n", {"a": 100, "b": 64}).collect()
+    for prof, cap in (("a", 100), ("b", 64)):
+        own = [x for x in got if x["profile"] == prof]
+        load, count = {}, {}
+        for x in own:
+            load[x["container_no"]] = load.get(x["container_no"], 0) + x["part_size"]
+            count[x["doc"]] = count.get(x["doc"], 0) + x["part_size"]
+        want = {}
+        for k, n in rows:
+            if n:
+                want[k] = want.get(k, 0) + n
+        assert max(load.values()) <= cap and count == want
+        whole = sum(load.values())
+        assert len(load) <= -(-whole // cap) * 1.04 + 1
+        assert all(x["part_size"] == n for x in own if x["doc"] != 5 for n in [dict(rows)[x["doc"]]] if n <= cap)  # never split within the capacity
+    assert pack.pack(df.withColumnRenamed("profile", "doc").limit(0), "doc", "n", {"a": 10}).count() == 0
+
+
+# --- p9 --------------------------------------------------------------------------------------------------------------
+def test_copies_invert_poisson():
+    for mean in (0.1, 0.7, 2.5):
+        u = (np.arange(20000) + 0.5) / 20000
+        assert abs(np.mean([mix.copies_at(x, mean, 50) for x in u]) - mean) < 0.01
+    assert mix.copies_at(0.2, float("inf"), 3) == 3
+
+
+def test_mix_meets_shares_and_caps(spark):
+    r = random.Random(7)
+    docs = spark.createDataFrame([(i, s, r.randrange(50, 400)) for i, s in enumerate(["a"] * 6000 + ["b"] * 1500 + ["c"] * 300 + ["unknown"] * 50)] + [(9999, None, 10), (9998, "a", 0)], "id int, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 4), ("none", None, 2), ("zero", 0.0, 2)], "source string, target_share double, max_repeats int")
+    means = mix.mean_copies(docs, targets, "id")
+    m = mix.mix(docs, means, "id")
+    s = {x["source"]: x for x in mix.shares(m, means, targets).collect()}
+    for k, cap in (("a", 2), ("b", 3), ("c", 4)):
+        assert abs(s[k]["actual_share"] - s[k]["target_share"]) < 0.01 and s[k]["most_copies"] <= cap
+    assert s["none"]["copies"] == 0 and s["zero"]["copies"] == 0 and len(s) == 5
+    assert m.collect() == mix.mix(docs.repartition(7), means, "id").collect()
+    empty = mix.mean_copies(docs.limit(0), targets, "id")
+    assert mix.mix(docs.limit(0), empty, "id").count() == 0
+
+
+# --- p10 -------------------------------------------------------------------------------------------------------------
+def _corpus():
+    r = random.Random(4)
+    words = "students lectures campus library deadline certificate semester workshop office application counter building schedule portfolio transcript".split()
+    sent = lambda: "The " + " ".join(r.choice(words) for _ in range(r.randrange(6, 12))) + " ends today."
+    docs = [(i, f"s{i % 3}", " ".join(sent() for _ in range(r.randrange(3, 9)))) for i in range(400)]
+    cut = {}
+    for i in range(0, 400, 10):
+        t = docs[i][2]
+        k = r.randrange(40, len(t) - 12)
+        while t[:k].rstrip()[-1] in ".":
+            k += 3
+        cut[i] = t[:k].rstrip()
+        docs[i] = (i, docs[i][1], cut[i] + r.choice(["", " [more]", "...", "<br"]))
+    return docs, cut
+
+
+def test_truncation(spark):
+    docs, cut = _corpus()
+    df = spark.createDataFrame([(*d, "c") for d in docs] + [(1000, "s0", None, None), (1001, None, "", None), (1002, None, "Complete.\nhttps://www.example.test/1/", None)], "doc_id int, source string, text string, at_limit string")
+    got = {r["doc_id"] for r in truncation.truncated(df).collect()}
+    assert len(got & set(cut)) >= 0.95 * len(cut) and len(got - set(cut)) <= 4 and not got & {1000, 1001, 1002}
+    assert truncation.truncated(df.limit(0)).count() == 0
+    by = {r["source"]: r for r in truncation.truncation_by_source(df, truncation.truncated(df)).collect()}
+    assert set(by) == {"s0", "s1", "s2", None} and sum(r["docs"] for r in by.values()) == 403
+
+
+def test_hidden_limit(spark):
+    docs, _ = _corpus()
+    rows = [(i, "cms", ("ä" + t * 9)[:500]) for i, (_, _, t) in enumerate(docs[1:200:3])] + [(1000 + i, "cms", t) for i, (_, _, t) in enumerate(docs[2:300:3])]
+    found = truncation.hidden_limits(spark.createDataFrame(rows, "doc_id int, source string, text string")).collect()
+    assert ("chars", 500) in {(r["measure"], r["limit_len"]) for r in found}
+
+
+# --- p2 --------------------------------------------------------------------------------------------------------------
+def test_forest_recall(spark):
+    r = np.random.default_rng(0)
+    centres = r.standard_normal((300, 64))
+    x = np.repeat(centres, 10, 0) + 0.4 * r.standard_normal((3000, 64))
+    x[:40] = x[0]  # exact copies
+    rows = [(f"{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)] + [("null", None), ("zero", [0.0] * 64), ("short", [1.0] * 3), ("nan", [float("nan")] * 64), (None, [1.0] * 64)]
+    df = spark.createDataFrame(rows, "id string, v array<float>").withColumn("other", F.lit("clash"))
+    got = forest.nearest(df, "id", "v", dim=64, trees=4, bucket=128, partition_rows=700, sample=2000).collect()
+    near = {}
+    for g in got:
+        near.setdefault(g["id"], set()).add(g["other"])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    hit = total = 0
+    for i in range(40, 3000, 7):
+        for j in np.argsort(-s[i])[:5]:
+            total += 1
+            hit += f"{j:05d}" in near[f"{i:05d}"]
+    assert hit / total >= 0.9, hit / total
+    assert set(near) == {f"{i:05d}" for i in range(3000)} and all(len(v) == 5 for v in near.values())
+    assert all(o < "00040" for o in near["00003"])
+    p = forest.pairs(forest.nearest(df.limit(300), "id", "v", dim=64), "id")
+    assert p.count() == p.distinct().count() and p.where("id_a >= id_b").count() == 0
+    assert forest.nearest(df.limit(0), "id", "v", dim=64).count() == 0
+
+
+@pytest.mark.parametrize("s", ["3f2504e0-4f89-11d3-9a0c-0305e82c3301", "plain", "", "3F2504E0-4F89-11D3-9A0C-0305E82C3301", "ü" * 40])
+def test_packed_ids(spark, s):
+    df = spark.createDataFrame([(bytearray(forest.pack_id(s)),)], "b binary")
+    assert df.select(forest.unpack_id(F.col("b"))).first()[0] == s
+
+
+def test_prefix_groups_cover():
+    r = np.random.default_rng(1)
+    for keys in (np.sort(r.integers(0, 1 << 52, 5000)), np.zeros(5000, np.int64), np.sort(r.integers(0, 40, 3000)) << 48, np.zeros(0, np.int64)):
+        g = sorted(forest.prefix_groups(keys, 256, 16))
+        assert [x for a, b in g for x in range(a, b)] == list(range(len(keys)))
+
+
+# --- tokens ----------------------------------------------------------------------------------------------------------
+def test_token_counts(spark):
+    df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x " * 60_000), (None, "<|endoftext|>")], "id int, text string")
+    got = {r["id"]: r["n_tokens"] for r in tokens.with_token_counts(df, ["id"], "text").collect()}
+    assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 60_000 and got[None] > 1
