@@ -54,7 +54,7 @@ def read_sheet(spark: SparkSession, path: str, **columns: str | int) -> DataFram
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: file, text."""
-    return spark.read.option("wholetext", True).text(path).select(_name().alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(_name().alias("file"), F.col("value").alias("text"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
