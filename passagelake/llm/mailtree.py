@@ -81,7 +81,10 @@ def _intro(lines: list[str], i: int) -> int:
             return n
         if i + n >= len(lines) or not lines[i + n].strip() or one.endswith((".", "?", "!", ":")) or len(joined) > 200:
             return 0
-        joined += " " + lines[i + n].strip()
+        more = lines[i + n].strip()
+        if more.endswith(":") and any(p.match(more) for p in _INTROS):  # introduces by itself; what stands before it is no part of it
+            return 0
+        joined += " " + more
     return 0
 
 
