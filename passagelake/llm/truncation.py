@@ -23,21 +23,30 @@ OPEN_POINT = r"(?:(?:\b(?:am|vom|zum|ab|bis|dem|den|der|um|von|zwischen|und|betw
 CLOSED_LINE = r"(?:^\s*(?:https?://|www\.)\S+$)|(?:[.!?][\"'”“»)]*\s+\([^()\n]{1,60}\)$)"
 
 
+#: What counts as white space at an end.
+_BLANK = " \t\n\r\x0b\x0c\x85\xa0\u2007\u2009\u202f\u3000\ufeff"
+#: Nothing that programs put behind a cut is longer.
+_REACH = 160
+
+
 def _measures(text: Column) -> dict[str, Column]:
     """Lengths of the text as different storages would count it."""
-    count = lambda rx: F.regexp_count(text, F.lit(rx))
     chars, byte = F.char_length(text), F.octet_length(text)
-    astral, breaks, wide = count(r"[\x{10000}-\x{10FFFF}]"), count(r"(?<!\r)\n"), count(r"[^\x00-\x7F]")
-    html = chars + 4 * count("&") + 3 * count("[<>]") + 5 * count('"')
+    of = lambda letters: chars - F.char_length(F.translate(text, letters, ""))
+    utf16 = (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
+    breaks = of("\n") - ((chars - F.char_length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2).cast("int")
+    wide = chars - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
+    html = chars + 4 * of("&") + 3 * of("<>") + 5 * of('"')
+    escapes = of('"\\\n\r\t')
     return {
         "chars": chars,
         "bytes": byte,
-        "utf16": chars + astral,
+        "utf16": utf16,
         "html": html,
         "html_bytes": byte + html - chars,
-        "html_named": html + 5 * count("[äöüÄÖÜ]") + 6 * count("ß"),
-        "json": chars + count(r'["\\\n\r\t]') + 5 * wide,
-        "json_utf8": byte + count(r'["\\\n\r\t]'),
+        "html_named": html + 5 * of("äöüÄÖÜ") + 6 * of("ß"),
+        "json": chars + escapes + 5 * wide,
+        "json_utf8": byte + escapes,
         "crlf": chars + breaks,
         "crlf_bytes": byte + breaks,
     }
@@ -45,15 +54,17 @@ def _measures(text: Column) -> dict[str, Column]:
 
 def _tail(docs: DataFrame) -> DataFrame:
     """docs with body (text without what follows a cut), open_end, and kind, w2 and w1 of its last line."""
-    body = F.regexp_replace(F.col("text"), r"(?U)\s+$", "")
-    stripped = F.regexp_replace(F.regexp_replace(body, F.lit("(?i)" + MARKER), F.lit("")), r"(?U)\s+$", "")
+    body = F.rtrim("text", F.lit(_BLANK))
+    head, tail = F.substring(body, F.lit(1), F.char_length(body) - _REACH), F.right(body, F.lit(_REACH))
+    head = F.when(F.char_length(body) > _REACH, head).otherwise("")
+    stripped = F.rtrim(F.concat(head, F.regexp_replace(tail, F.lit("(?i)" + MARKER), F.lit(""))), F.lit(_BLANK))
     out = docs.withColumn("body", stripped).withColumn("last", F.element_at(F.split("body", "\n"), -1))
     fine = F.regexp_like("last", F.lit(TERMINAL)) & ~F.regexp_like("last", F.lit(OPEN_POINT))
     return out.withColumn("open_end", (F.col("body") != "") & ~fine & ~F.regexp_like("last", F.lit(CLOSED_LINE)))
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.regexp_replace(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), "[0-9]+", "0"), r"(?U)\s+")
+    return F.split(F.regexp_replace(F.trim(line, F.lit(_BLANK)), "[0-9]+", "0"), "[ \t\xa0]+")
 
 
 def _kind(line: Column) -> Column:
@@ -71,7 +82,7 @@ def line_heads(docs: DataFrame) -> DataFrame:
     texts = docs.groupBy(F.md5("text").alias("h")).agg(F.any_value("body").alias("body"))
     ls = F.filter(F.split("body", "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
     one = texts.select(F.explode(F.slice(ls, 1, F.greatest(F.size(ls) - 1, F.lit(0)))).alias("line")).where(_kind(F.col("line")) == "P")
-    closed = F.regexp_like(F.regexp_replace("line", r"(?U)\s+$", ""), F.lit(TERMINAL))
+    closed = F.regexp_like(F.rtrim("line", F.lit(_BLANK)), F.lit(TERMINAL))
     return one.select(_head(_words(F.col("line"))).alias("head"), closed.alias("closed")).groupBy("head").agg(F.count_if("closed").alias("n_closed"), F.count_if(~F.col("closed")).alias("n_open"))
 
 
