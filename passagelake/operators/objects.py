@@ -54,6 +54,18 @@ register_builder("curriculum_page", lambda t, o, r, x: F.struct(F.struct(_with("
 register_builder("application_route_rule", lambda t, o, r, x: F.struct(F.struct(F.coalesce(F.nullif(F.regexp_extract(o, "^[^-]*-(.*)$", 1), F.lit("")), F.lit("general")).alias("rule_type"), F.when(F.contains(F.lower(t), F.lit("visa")), "External requirement").otherwise("Internal requirement").alias("scope")).alias("rule_info")))
 register_builder("language_proof_rule", lambda t, o, r, x: F.struct(F.struct(F.when(F.contains(F.lower(t), F.lit("german")), "German").when(F.contains(F.lower(t), F.lit("english")), "English").alias("language"), t.alias("test_name")).alias("language_info")))
 register_builder("fees_funding_rule", lambda t, o, r, x: F.struct(F.struct(F.regexp_extract_all(x, F.lit(r"(?:€|EUR)\s*([0-9]+(?:[.,][0-9]{2})?)"), F.lit(1)).alias("amounts_mentioned")).alias("financial_info")))
+def _steps(x: Column) -> Column:
+    """Numbered lines of a text as steps."""
+    lines = F.filter(F.split(x, "\n"), lambda s: F.regexp_like(s, F.lit(r"^\s*[0-9]+[.)]\s")))
+    return F.transform(lines, lambda s, i: F.struct((i + 1).alias("step_number"), F.trim(F.regexp_replace(s, r"^\s*[0-9]+[.)]\s+", "")).alias("title")))
+
+
+register_builder("application_process", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("process_info"), _steps(x).alias("steps"), F.struct(F.when(F.contains(F.lower(x), F.lit("july 15")), "July 15").alias("winter_semester"), F.when(F.contains(F.lower(x), F.lit("january 15")), "January 15").alias("summer_semester")).alias("deadlines"), F.struct(F.nullif(F.regexp_extract(x, r"[\w.-]+@[\w.-]+\.\w+", 0), F.lit("")).alias("email")).alias("contact")))
+register_builder("special_category", lambda t, o, r, x: F.struct(F.struct(t.alias("name"), F.regexp_like(F.lower(x), F.lit("deadline|until|bis zum")).alias("time_bound")).alias("category_info")))
+register_builder("faq_support", lambda t, o, r, x: F.struct(F.transform(F.filter(F.split(x, "\n"), lambda s: F.endswith(F.trim(s), F.lit("?"))), lambda s: F.struct(F.trim(s).alias("question"))).alias("questions")))
+register_builder("accessibility_support", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("support_info")))
+register_builder("family_support", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("support_info")))
+register_builder("university_profile", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("profile_info")))
 register_builder("overview_navigation", lambda t, o, r, x: F.struct(r.alias("child_pages")))
 
 
