@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from passagelake.operators import answers, embed
 
 
-class Counting(embed.HashingEmbedder):
-    def encode(self, texts):
-        assert len(texts) <= 4 and all(t is not None for t in texts)
-        return super().encode(texts)
-
-
 def test_embed(spark):
+    class Counting(embed.HashingEmbedder):  # here, so that it travels with the task
+        def encode(self, texts):
+            assert len(texts) <= 4 and all(t is not None for t in texts)
+            return embed.HashingEmbedder.encode(self, texts)
+
     df = spark.createDataFrame([(1, "hello world", "c"), (2, None, "c"), (3, "", "c"), (None, "hello world", "c")] + [(i, f"text {i}", "c") for i in range(10, 30)], "id int, text string, embedding string")
     got = {r["id"]: r for r in embed.embed(df, ["id"], "text", lambda: Counting(32), "counting-32", batch=4).collect()}
     assert len(got) == 24 and got[2]["embedding"] is None and got[1]["embedding"] == got[None]["embedding"] and set(got[3]["embedding"]) == {0.0}
