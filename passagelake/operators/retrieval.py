@@ -148,13 +148,13 @@ def retrieval_confidence(found: DataFrame, response: Column, query_key: str = "q
 
 
 def resolve_conflicts(df: DataFrame, category: str, updated: str, order: list[Column], key: str, days: int = 180) -> DataFrame:
-    """Rows kept when a category's rows are of different age: if its dates span more than `days`, the first by `order`, else all.
+    """Rows kept when a category's rows are of different age: if its dates span more than `days`, the least by `order`, else all.
 
-    A null category is 'uncategorized'. Result: the input's columns, n_alternatives (rows dropped in its favour).
+    order: columns of which the least value is best; key: unique. A null category is 'uncategorized'. Result: the input's columns, n_alternatives (rows dropped in its favour).
     """
-    cat = F.coalesce(category, F.lit("uncategorized"))
-    w = Window.partitionBy(cat)
-    span = F.datediff(F.max(updated).over(w), F.min(updated).over(w))
-    out = df.withColumn("_gap", span).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order, key)))
-    apart = (F.col("_n") > 1) & (F.col("_gap") > days)
-    return out.where(~F.coalesce(apart, F.lit(False)) | (F.col("_r") == 1)).withColumn("n_alternatives", F.when(apart, F.col("_n") - 1).otherwise(0)).drop("_gap", "_n", "_r")
+    own = df.withColumn("_cat", F.coalesce(category, F.lit("uncategorized")))
+    # one aggregate a category, combined before the shuffle; no category's rows are sorted in one task
+    stats = own.groupBy("_cat").agg(F.datediff(F.max(updated), F.min(updated)).alias("_gap"), F.count(F.lit(1)).alias("_n"), F.min_by(key, F.struct(*order, F.col(key))).alias("_best"))
+    apart = F.coalesce((F.col("_n") > 1) & (F.col("_gap") > days), F.lit(False))
+    out = own.join(stats, "_cat").where(~apart | F.col(key).eqNullSafe(F.col("_best")))
+    return out.withColumn("n_alternatives", F.when(apart, F.col("_n") - 1).otherwise(0)).drop("_cat", "_gap", "_n", "_best")

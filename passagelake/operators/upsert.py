@@ -49,6 +49,36 @@ def running_count(df: DataFrame, key: str, time: str, tie: str, out: str) -> Dat
     return j.select("w.*", (F.col("w._i") + F.col("b._before")).cast("long").alias(out)).drop("_day", "_i")
 
 
+def numbered(df: DataFrame, key: str, order: str, out: str, width: int = 1 << 20) -> DataFrame:
+    """`df` with the number (from 1) of each row among its key's by the whole-number column `order`; ties in no fixed order.
+
+    Counted within ranges of `width` and carried over the ranges' totals, so a hot key is split by range.
+    """
+    own = df.withColumn("_range", F.floor(F.col(order) / width))
+    ranges = own.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = own.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
+    j = within.alias("w").join(before.alias("b"), F.col(f"w.{key}").eqNullSafe(F.col(f"b.{key}")) & F.col("w._range").eqNullSafe(F.col("b._range")))
+    return j.select("w.*", (F.col("w._i") + F.col("b._before")).cast("long").alias(out)).drop("_range", "_i")
+
+
+def sessions(df: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
+    """Per key its number of rows and of sessions, a session ending after more than `gap_seconds` without a row.
+
+    Gaps are counted within days; those between days come from the days' first and last times. Rows without time count as
+    rows only.
+    """
+    day = F.to_date(time)
+    w = Window.partitionBy(key, "_day").orderBy(time)
+    apart = lambda a, b: F.floor((F.unix_micros(b) - F.unix_micros(a)) / 1_000_000) > gap_seconds
+    own = df.select(key, F.col(time).cast("timestamp").alias(time), day.alias("_day"))
+    inside = own.withColumn("_new", F.coalesce(apart(F.lag(time).over(w), F.col(time)), F.lit(False)).cast("int"))
+    days = inside.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"), F.sum("_new").alias("_new"), F.min(time).alias("_first"), F.max(time).alias("_last"))
+    d = Window.partitionBy(key).orderBy("_day")
+    begin = F.when(F.col("_day").isNull(), 0).otherwise(F.coalesce(apart(F.lag("_last").over(d), F.col("_first")), F.lit(True)).cast("int"))
+    return days.withColumn("_begin", begin).groupBy(key).agg(F.sum(F.col("_new") + F.col("_begin")).alias("sessions"), F.sum("_n").alias("events"))
+
+
 def carry_forward(df: DataFrame, key: str, time: str, tie: str, value: str, out: str) -> DataFrame:
     """`df` with the latest non-null `value` of its key up to each row; split by day like running_count."""
     own = df.withColumn("_day", F.to_date(time))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import answers as A
 from ..operators.embed import embed
+from ..operators.upsert import numbered
 from ..session import table
 from .registry import query
 
@@ -53,8 +53,7 @@ def programme_doc_filter(spark: SparkSession, d: str) -> DataFrame:
     SELECT object_type, coalesce(s[2], k, 1)::INTEGER AS citation FROM b""")
 def best_citation(spark: SparkSession, d: str) -> DataFrame:
     """The document of each type to cite."""
-    n = F.row_number().over(Window.partitionBy("object_type").orderBy("id"))
-    return A.best_citation(_scored(spark, d).withColumn("position", n), "object_type", "score", "position", F.contains(F.lower("title"), F.lit("fee")))
+    return A.best_citation(numbered(_scored(spark, d), "object_type", "id", "position"), "object_type", "score", "position", F.contains(F.lower("title"), F.lit("fee")))
 
 
 @query("concat_official", """

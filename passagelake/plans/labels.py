@@ -224,7 +224,9 @@ def official_docs(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, min(n) FILTER (WHERE regexp_matches(lower(text), 'fee of eur|kostet das angebot')) AS first_doc FROM r GROUP BY 1""")
 def first_citation(spark: SparkSession, d: str) -> DataFrame:
     """Of each source's numbered documents the first that speaks of a fee."""
-    r = table(spark, d, "documents").select("source", F.regexp_like(F.lower("text"), F.lit("fee of eur|kostet das angebot")).alias("hit"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("n"))
+    from ..operators.upsert import numbered
+
+    r = numbered(table(spark, d, "documents").select("source", "doc_id", F.regexp_like(F.lower("text"), F.lit("fee of eur|kostet das angebot")).alias("hit")), "source", "doc_id", "n")
     return r.groupBy("source").agg(F.min(F.when(F.col("hit"), F.col("n"))).cast("long").alias("first_doc"))
 
 

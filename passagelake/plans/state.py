@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import retrieval as R
 from ..operators import upsert as U
@@ -80,7 +79,7 @@ def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Versions of an object more than half a year apart are reduced to the best; others all stay."""
     best = F.when(F.col("classification_confidence") == "high", 0).when(F.col("classification_confidence") == "medium", 1).otherwise(2)
     o = table(spark, d, "site_objects").select("id", "object_id", "classification_confidence", "last_scraped")
-    return R.resolve_conflicts(o, "object_id", "last_scraped", [best, F.desc_nulls_last("last_scraped")], "id").select("id", "object_id", "n_alternatives")
+    return R.resolve_conflicts(o, "object_id", "last_scraped", [best, F.coalesce(-F.unix_date("last_scraped"), F.lit(1 << 30))], "id").select("id", "object_id", "n_alternatives")
 
 
 # --- threads -----------------------------------------------------------------------------------------------------
@@ -118,14 +117,11 @@ def redelivered_mails(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("user_sessions", """
-    WITH g AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) > 1800 THEN 1 WHEN lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WITH g AS (SELECT *, CASE WHEN floor(epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER w) / 1e6) > 1800 THEN 1 WHEN lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id, sum(fresh)::BIGINT AS sessions, count(*) AS events FROM g GROUP BY 1""")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of users, ended by half an hour's silence."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    prev = F.lag("ts").over(w)
-    fresh = F.when(prev.isNull() | (F.unix_timestamp("ts") - F.unix_timestamp(prev) > 1800), 1).otherwise(0)
-    return table(spark, d, "events").select("user_id", fresh.alias("fresh")).groupBy("user_id").agg(F.sum("fresh").alias("sessions"), F.count(F.lit(1)).alias("events"))
+    return U.sessions(table(spark, d, "events").select("user_id", "ts"), "user_id", "ts", 1800)
 
 
 # --- graph -------------------------------------------------------------------------------------------------------

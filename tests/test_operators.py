@@ -207,9 +207,25 @@ def test_running_state_is_split_but_whole(spark):
     assert c == {k: v[1] for k, v in want.items()}
 
 
+def test_numbers_and_sessions(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "x", None]), i, f"2024-01-{1 + i // 60:02d} {r.randrange(24):02d}:{r.randrange(60):02d}:00") for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i long, t string").withColumn("t", F.col("t").cast("timestamp"))
+    seen, want = {}, {}
+    for k, i, _ in rows:
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    assert {x["i"]: x["n"] for x in upsert.numbered(df, "k", "i", "n", width=16).collect()} == want
+    per = {}
+    for k, _, t in rows:
+        per.setdefault(k, []).append(np.datetime64(t.replace(" ", "T")))
+    expect = {k: (1 + int((np.diff(np.sort(v)).astype("timedelta64[s]").astype(int) > 1800).sum()), len(v)) for k, v in per.items()}
+    assert {x["k"]: (x["sessions"], x["events"]) for x in upsert.sessions(df, "k", "t", 1800).collect()} == expect
+
+
 def test_conflicts(spark):
     df = spark.createDataFrame([(1, "a", "2024-01-01", 1), (2, "a", "2024-12-01", 2), (3, "b", "2024-01-01", 1), (4, "b", "2024-02-01", 1), (5, None, None, 1)], "id int, c string, d string, p int").withColumn("d", F.to_date("d"))
-    got = {r["id"]: r["n_alternatives"] for r in retrieval.resolve_conflicts(df, "c", "d", [F.desc("p")], "id").collect()}
+    got = {r["id"]: r["n_alternatives"] for r in retrieval.resolve_conflicts(df, "c", "d", [-F.col("p")], "id").collect()}
     assert got == {2: 1, 3: 0, 4: 0, 5: 0}
 
 
