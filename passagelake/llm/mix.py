@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bins of the uniform number; a mean is solved to about a 1/BINS part of a source.
 BINS = 4096
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, means: DataFrame, key: str, seed: int = 0) -> DataFrame
 def shares(mixture: DataFrame, means: DataFrame, targets: DataFrame) -> DataFrame:
     """Per row of `targets`: target and actual share, documents, copies, most copies of one document, tokens."""
     got = mixture.groupBy("source").agg(F.count(F.lit(1)).alias("copies"), F.max("copy_no").alias("most_copies"), F.sum("n_tokens").alias("mix_tokens"))
-    all_ = got.agg(F.sum("mix_tokens").alias("all_tokens"))
-    out = targets.join(means.select("source", "docs", "tokens", "mean_copies"), "source", "left").join(got, "source", "left").crossJoin(F.broadcast(all_))  # one row
+    out = targets.join(means.select("source", "docs", "tokens", "mean_copies"), "source", "left").join(got, "source", "left")
+    out = out.withColumn("all_tokens", F.sum("mix_tokens").over(Window.partitionBy()))  # a row a source
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("source", "target_share", "max_repeats", zero("docs"), zero("tokens"), "mean_copies", zero("copies"), zero("most_copies"), zero("mix_tokens"), F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))

@@ -142,10 +142,9 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     Only the histogram of each profile, at most `capacity` rows, comes to the driver; the plan that goes back has about as
     many rows. Items of one size are ranked in RANK_BUCKETS buckets, so a size may hold any share of the items.
     """
-    spark = items.sparkSession
-    caps = spark.createDataFrame([(p, int(c)) for p, c in capacities.items()], "profile string, capacity long")
+    caps = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(int(c)).cast("long").alias("capacity")) for p, c in sorted(capacities.items())))
     it = items.select(F.col(key).alias("__key"), F.col(size).cast("long").alias("n")).where("n > 0")
-    all_ = it.crossJoin(F.broadcast(caps))  # a handful of capacities, fixed by the caller
+    all_ = it.select("*", F.inline(caps))
     full, rest = F.floor(F.col("n") / F.col("capacity")), F.col("n") % F.col("capacity")
     bucket = F.pmod(F.xxhash64("__key", "n"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket")
     whole = all_.where(rest > 0).select("profile", "__key", rest.alias("size"), full.cast("int").alias("part_no"), (full * F.col("capacity")).alias("part_start"), bucket)
