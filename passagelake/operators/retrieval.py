@@ -136,7 +136,7 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, query_key: str, item_key:
 
 
 def retrieval_confidence(found: DataFrame, response: Column, query_key: str = "query_id") -> DataFrame:
-    """Per query a confidence from its results' similarities and its response: score and level; weights are fixed values."""
+    """Per query a confidence from its results' similarities and its response: score and level. Weights and levels are fixed values."""
     sim = F.lit(1.0) - F.col("score")
     r = found.groupBy(query_key).agg(F.avg(sim).alias("avg"), F.max(sim).alias("top"), F.min(sim).alias("low"), F.avg((sim > 0.6).cast("int")).alias("good"), F.first(response).alias("text"))
     text = F.trim("text")

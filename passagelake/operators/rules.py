@@ -36,6 +36,7 @@ def _any(c: Column, *parts: str) -> Column:
     return out
 
 
+# Fixed values below: path parts by which pages are told apart, in the order in which they are tried.
 def classify_page(url: Column, scope: str = "/en/") -> Column:
     """struct<page_class, confidence>: ordered rules over a page's path; pages outside `scope` are left out."""
     p = F.lower(url_path(url))
