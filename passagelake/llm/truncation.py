@@ -7,8 +7,15 @@ final mark is held against how often, over all texts, a line of its kind ends or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import cut
@@ -23,92 +30,132 @@ OPEN_POINT = r"(?:(?:\b(?:am|vom|zum|ab|bis|dem|den|der|um|von|zwischen|und|betw
 CLOSED_LINE = r"(?:^\s*(?:https?://|www\.)\S+$)|(?:[.!?][\"'”“»)]*\s+\([^()\n]{1,60}\)$)"
 
 
-#: What counts as white space at an end.
-_BLANK = " \t\n\r\x0b\x0c\x85\xa0\u2007\u2009\u202f\u3000\ufeff"
 #: Nothing that programs put behind a cut is longer.
 _REACH = 160
-
-
-def _measures(text: Column) -> dict[str, Column]:
-    """Lengths of the text as different storages would count it."""
-    chars, byte = F.char_length(text), F.octet_length(text)
-    of = lambda letters: chars - F.char_length(F.translate(text, letters, ""))
-    utf16 = (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
-    breaks = of("\n") - ((chars - F.char_length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2).cast("int")
-    wide = chars - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
-    html = chars + 4 * of("&") + 3 * of("<>") + 5 * of('"')
-    escapes = of('"\\\n\r\t')
-    return {
-        "chars": chars,
-        "bytes": byte,
-        "utf16": utf16,
-        "html": html,
-        "html_bytes": byte + html - chars,
-        "html_named": html + 5 * of("äöüÄÖÜ") + 6 * of("ß"),
-        "json": chars + escapes + 5 * wide,
-        "json_utf8": byte + escapes,
-        "crlf": chars + breaks,
-        "crlf_bytes": byte + breaks,
-    }
-
-
-def _tail(docs: DataFrame) -> DataFrame:
-    """docs with body (text without what follows a cut), open_end, and kind, w2 and w1 of its last line."""
-    body = F.rtrim("text", F.lit(_BLANK))
-    head, tail = F.substring(body, F.lit(1), F.char_length(body) - _REACH), F.right(body, F.lit(_REACH))
-    head = F.when(F.char_length(body) > _REACH, head).otherwise("")
-    stripped = F.rtrim(F.concat(head, F.regexp_replace(tail, F.lit("(?i)" + MARKER), F.lit(""))), F.lit(_BLANK))
-    out = docs.withColumn("body", stripped).withColumn("last", F.element_at(F.split("body", "\n"), -1))
-    fine = F.regexp_like("last", F.lit(TERMINAL)) & ~F.regexp_like("last", F.lit(OPEN_POINT))
-    return out.withColumn("open_end", (F.col("body") != "") & ~fine & ~F.regexp_like("last", F.lit(CLOSED_LINE)))
-
-
-def _words(line: Column) -> Column:
-    return F.split(F.regexp_replace(F.trim(line, F.lit(_BLANK)), "[0-9]+", "0"), "[ \t\xa0]+")
-
-
-def _kind(line: Column) -> Column:
+#: Counts are handed on from a task when it holds so many.
+_HELD = 400_000
+_MARKER, _TERMINAL, _OPEN_POINT, _CLOSED = re.compile(MARKER, re.I), re.compile(TERMINAL), re.compile(OPEN_POINT), re.compile(CLOSED_LINE)
+_DIGITS = re.compile("[0-9]+")
+_ITEM = re.compile(r"\s*(?:[-*•»>–]|\d+[.)])\s")
+_SENTENCES = re.compile(r"[.!?][\"”)]?\s+\S")
+MEASURES = ("chars", "bytes", "utf16", "html", "html_bytes", "html_named", "json", "json_utf8", "crlf", "crlf_bytes")
+
+
+def lengths(t: str) -> list[int]:
+    """Lengths of a text as different storages would count it, in the order of MEASURES."""
+    chars, byte = len(t), len(t.encode("utf-8", "surrogatepass"))
+    utf16 = len(t.encode("utf-16-le", "surrogatepass")) // 2
+    amp, angle, quote = t.count("&"), t.count("<") + t.count(">"), t.count('"')
+    html = chars + 4 * amp + 3 * angle + 5 * quote
+    breaks = t.count("\n") - t.count("\r\n")
+    escapes = quote + t.count("\\") + t.count("\n") + t.count("\r") + t.count("\t")
+    wide = chars - len(t.encode("ascii", "ignore"))
+    named = 5 * sum(map(t.count, "äöüÄÖÜ")) + 6 * t.count("ß")
+    return [chars, byte, utf16, html, byte + html - chars, html + named, chars + escapes + 5 * wide, byte + escapes, chars + breaks, byte + breaks]
+
+
+def without_marker(t: str) -> str:
+    """The text without white space at its end and what programs put behind a cut."""
+    t = t.rstrip()
+    return t[: max(0, len(t) - _REACH)] + _MARKER.sub("", t[-_REACH:]) if len(t) > _REACH else _MARKER.sub("", t)
+
+
+def kind_of(line: str) -> str:
     """T: a table's row; L: a list item; S: a line with a finished sentence; P: any other."""
-    return F.when(F.contains(line, F.lit(" | ")), "T").when(F.regexp_like(line, F.lit(r"^\s*(?:[-*•»>–]|\d+[.)])\s")), "L").when(F.regexp_like(line, F.lit(r"[.!?][\"”)]?\s+\S")), "S").otherwise("P")
+    return "T" if " | " in line else "L" if _ITEM.match(line) else "S" if _SENTENCES.search(line) else "P"
 
 
-def _head(words: Column) -> Column:
-    """The first two words of a line."""
-    return F.array_join(F.slice(words, 1, 2), " ")
+def _body(t: str) -> str:
+    return without_marker(t).rstrip()
 
 
-def line_heads(docs: DataFrame) -> DataFrame:
-    """Over all distinct texts, per first two words of a line of kind P inside a text: lines with (n_closed) and without (n_open) a final mark."""
-    texts = docs.groupBy(F.md5("text").alias("h")).agg(F.any_value("body").alias("body"))
-    ls = F.filter(F.split("body", "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
-    one = texts.select(F.explode(F.slice(ls, 1, F.greatest(F.size(ls) - 1, F.lit(0)))).alias("line")).where(_kind(F.col("line")) == "P")
-    closed = F.regexp_like(F.rtrim("line", F.lit(_BLANK)), F.lit(TERMINAL))
-    return one.select(_head(_words(F.col("line"))).alias("head"), closed.alias("closed")).groupBy("head").agg(F.count_if("closed").alias("n_closed"), F.count_if(~F.col("closed")).alias("n_open"))
-
-
-def word_ends(docs: DataFrame) -> DataFrame:
-    """Over all distinct texts, per kind of line and pair of neighbouring words: how often the second goes on (n_on), ends a line inside a text (n_end) or ends the text (n_last)."""
-    texts = docs.groupBy(F.md5("text").alias("h")).agg(F.any_value("body").alias("body"))
-    ls = F.filter(F.split("body", "\n"), lambda x: F.regexp_like(x, F.lit(r"\S")))
-    one = texts.select(ls.alias("ls")).select(F.size("ls").alias("n"), F.posexplode("ls").alias("i", "line"))
-    w = one.select((F.col("i") == F.col("n") - 1).alias("final"), _kind(F.col("line")).alias("kind"), _words(F.col("line")).alias("w"))
-    pairs = F.transform("w", lambda x, k: F.struct(F.when(k == 0, "^").otherwise(F.get("w", k - 1)).alias("w2"), x.alias("w1"), (k == F.size("w") - 1).alias("end")))
-    rows = w.select("final", "kind", F.explode(pairs).alias("p")).select("kind", "p.w2", "p.w1", F.when(~F.col("p.end"), 0).when(F.col("final"), 2).otherwise(1).alias("what"))
-    return rows.groupBy("kind", "w2", "w1").agg(F.count_if(F.col("what") == 0).alias("n_on"), F.count_if(F.col("what") == 1).alias("n_end"), F.count_if(F.col("what") == 2).alias("n_last"))
+def endings(docs: DataFrame, key: str) -> DataFrame:
+    """One row a text: `key`, source, h (hash of the text), open_end, what its last line is and ends with, lens (by MEASURES).
 
+    open_end: without what follows a cut, the text does not end with a final mark or a line that is complete as it stands.
+    """
+    text = T.StringType()
+    schema = T.StructType([docs.schema[key], T.StructField("source", text), T.StructField("h", T.BinaryType()), T.StructField("open_end", T.BooleanType()), T.StructField("kind", text), T.StructField("w2", text), T.StructField("w1", text), T.StructField("head", text), T.StructField("split_point", T.BooleanType()), T.StructField("bracket", T.BooleanType()), T.StructField("lens", T.ArrayType(T.IntegerType()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows: list[tuple] = []
+            for t in b.column(2).to_pylist():
+                body = _body(t)
+                last = body.rpartition("\n")[2]
+                point = bool(_OPEN_POINT.search(last))
+                open_ = bool(body) and not (_TERMINAL.search(last) and not point) and not _CLOSED.search(last)
+                h, lens = xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")), lengths(t)
+                if open_:
+                    w = _DIGITS.sub("0", last).split()
+                    rows.append((h, True, kind_of(last), w[-2] if len(w) > 1 else "^", w[-1] if w else "", " ".join(w[:2]), point, last.count("(") > last.count(")"), lens))
+                else:
+                    rows.append((h, False, None, None, None, None, False, False, lens))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+            kinds = [pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=schema.fieldNames())
+
+    return docs.where("text IS NOT NULL").select(key, "source", "text").mapInArrow(run, schema)
+
+
+def word_ends(texts: DataFrame) -> DataFrame:
+    """kind, w2, w1, n_on, n_end, n_last over `texts` (one column, text): per kind of line and pair of neighbouring words how often the second goes on, ends a line inside a text, or ends the text.
+
+    Rows of kind H hold in w2 the first two words of lines of kind P inside a text: n_end lines without, n_last with a final mark.
+    """
 
-def hidden_limits(docs: DataFrame, key: str = "doc_id", least: int = 5, share: float = 0.01) -> DataFrame:
-    """source, measure, limit_len, n_docs, open_docs: lengths that at least `least` distinct texts and `share` of a source's share exactly, most of them without an end."""
-    tails = _tail(docs.where("text IS NOT NULL").select(key, "source", "text"))
-    m = F.array(*(F.struct(F.lit(n).alias("measure"), c.cast("long").alias("len")) for n, c in _measures(F.col("text")).items()))
-    one = tails.groupBy("source", F.md5("text").alias("h")).agg(F.any_value(m).alias("m"), F.max("open_end").alias("open_end"))
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: dict[str, Counter] = defaultdict(Counter)
+        ends: dict[str, Counter] = defaultdict(Counter)
+        lasts: dict[str, Counter] = defaultdict(Counter)
+        opened: Counter = Counter()
+        closed: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(k, a, b, n - ends[k][a, b] - lasts[k][a, b], ends[k][a, b], lasts[k][a, b]) for k, c in pairs.items() for (a, b), n in c.items()]
+            rows += [("H", h, "", 0, opened[h], closed[h]) for h in opened.keys() | closed.keys()]
+            for c in (pairs, ends, lasts, opened, closed):
+                c.clear()
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            for at in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], k) for c, k in zip(cols, [pa.string()] * 3 + [pa.int64()] * 3, strict=True)], names=["kind", "w2", "w1", "n_on", "n_end", "n_last"])
+
+        for b in it:
+            for t in b.column(0).to_pylist():
+                lines = [x for x in _DIGITS.sub("0", _body(t)).split("\n") if x.strip()]
+                for i, line in enumerate(lines):
+                    k, w = kind_of(line), line.split()
+                    pairs[k].update(zip(["^", *w[:-1]], w, strict=True))
+                    pair = (w[-2] if len(w) > 1 else "^", w[-1])
+                    if i == len(lines) - 1:
+                        lasts[k][pair] += 1
+                    else:
+                        ends[k][pair] += 1
+                        if k == "P":
+                            (closed if _TERMINAL.search(line.rstrip()) else opened)[" ".join(w[:2])] += 1
+            if sum(map(len, pairs.values())) > _HELD:
+                yield from flush()
+        yield from flush()
+
+    counts = texts.select("text").mapInArrow(run, "kind string, w2 string, w1 string, n_on long, n_end long, n_last long")
+    return counts.groupBy("kind", "w2", "w1").agg(*(F.sum(c).alias(c) for c in ("n_on", "n_end", "n_last")))
+
+
+def _limits(ends: DataFrame, least: int, share: float) -> DataFrame:
+    m = F.arrays_zip(F.array(*map(F.lit, MEASURES)).alias("measure"), F.col("lens").alias("len"))
+    one = ends.groupBy("source", "h").agg(F.any_value("lens").alias("lens"), F.max("open_end").alias("open_end"))
     sizes = one.groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
-    per = one.select("source", "open_end", F.inline("m")).groupBy("source", "measure", "len").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("open_end").alias("open_docs"))
+    per = one.select("source", "open_end", F.inline(m)).toDF("source", "open_end", "measure", "len").groupBy("source", "measure", "len").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("open_end").alias("open_docs"))
     around = F.sum("n_docs").over(Window.partitionBy("source", "measure").orderBy("len").rangeBetween(-10, 10))  # as many rows as a source has lengths
     near = per.withColumn("around", around).where((F.col("n_docs") >= least) & (F.col("open_docs") * 2 > F.col("n_docs")) & (F.col("n_docs") * 2 > F.col("around")))
     return near.join(sizes, near["source"].eqNullSafe(sizes["source"])).where(F.col("n_docs") >= share * F.col("texts")).select(near["source"], "measure", F.col("len").alias("limit_len"), "n_docs", "open_docs")
 
 
+def hidden_limits(docs: DataFrame, key: str = "doc_id", least: int = 5, share: float = 0.01) -> DataFrame:
+    """source, measure, limit_len, n_docs, open_docs: lengths that at least `least` distinct texts and `share` of a source's have exactly, most of them without an end and more than have the 20 lengths around it."""
+    return _limits(endings(docs, key), least, share)
+
+
 def truncated(docs: DataFrame, key: str = "doc_id", ends: float = 0.3, ends_at_limit: float = 0.7) -> DataFrame:
     """`key`, source and at_limit of the documents whose text was cut.
 
@@ -118,22 +165,21 @@ def truncated(docs: DataFrame, key: str = "doc_id", ends: float = 0.3, ends_at_l
     sources may be null; copies are counted once in the statistics and each reported; extra columns are ignored.
     """
     d = docs.select(key, "source", "text").where("text IS NOT NULL")
-    tails = _tail(d)
-    stats = cut(word_ends(tails.select("text", "body")))
-    last = _words(F.col("last"))
-    # only open ends go on; their texts' lengths are needed, the texts are not
-    m = F.array(*(F.struct(F.lit(n).alias("measure"), c.cast("long").alias("len")) for n, c in _measures(F.col("text")).items()))
-    open_ = tails.where("open_end").select(key, "source", _kind(F.col("last")).alias("kind"), F.when(F.size(last) > 1, F.get(last, F.size(last) - 2)).otherwise(F.lit("^")).alias("w2"), F.element_at(last, -1).alias("w1"), _head(last).alias("head"), F.regexp_like("last", F.lit(OPEN_POINT)).alias("split_point"),
-        (F.regexp_count("last", F.lit(r"\(")) > F.regexp_count("last", F.lit(r"\)"))).alias("bracket"), m.alias("m"))
-    open_ = cut(open_)
-    limits = hidden_limits(d, key).where("source IS NOT NULL").select("source", "measure", F.col("limit_len").alias("len"))
-    at = open_.select(key, "source", F.inline("m")).join(limits, ["source", "measure", "len"], "left_semi").select(key).distinct().withColumn("at_limit", F.lit(True))
+    own = cut(endings(d, key))  # small rows; the texts are read once more, for the counts
+    copies = own.groupBy("h").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = own.select(key, "h").join(copies.select("h", "first"), "h").where(F.col(key) != F.col("first")).select(key)
+    stats = cut(word_ends(d.join(again, key, "left_anti")))
+    open_ = own.where("open_end")
+    limits = _limits(own, 5, 0.01).where("source IS NOT NULL").select("source", "measure", F.col("limit_len").alias("len"))
+    m = F.arrays_zip(F.array(*map(F.lit, MEASURES)).alias("measure"), F.col("lens").alias("len"))
+    at = open_.select(key, "source", F.inline(m)).toDF(key, "source", "measure", "len").join(limits, ["source", "measure", "len"], "left_semi").select(key).distinct().withColumn("at_limit", F.lit(True))
+    heads = stats.where("kind = 'H'").select(F.col("w2").alias("head"), F.col("n_end").alias("n_open"), F.col("n_last").alias("n_closed"))
+    stats = stats.where("kind <> 'H'")
     single = stats.groupBy("kind", "w1").agg(F.sum("n_on").alias("u_on"), F.sum("n_end").alias("u_end"), F.sum("n_last").alias("u_last"))
-    heads = line_heads(tails.select("text", "body"))
     known = single.groupBy("w1").agg((F.sum("u_on") + F.sum("u_end")).alias("inside"))
     longer = known.where("inside >= 2").select(F.regexp_replace("w1", r"[\p{P}\p{S}]+$", "").alias("w1")).where(F.char_length("w1") > 1)
     prefixes = longer.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("w1") - 1), lambda n: F.substring("w1", F.lit(1), n))).alias("w1")).distinct().withColumn("is_prefix", F.lit(True))
-    j = open_.drop("m").join(stats, ["kind", "w2", "w1"], "left").join(single, ["kind", "w1"], "left").join(known, "w1", "left").join(prefixes, "w1", "left").join(heads, "head", "left").join(at, key, "left")
+    j = open_.drop("lens", "h", "open_end").join(stats, ["kind", "w2", "w1"], "left").join(single, ["kind", "w1"], "left").join(known, "w1", "left").join(prefixes, "w1", "left").join(heads, "head", "left").join(at, key, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     pair, alone = z("n_on") + z("n_end"), z("u_on") + z("u_end")
     begun = z("n_open") + z("n_closed")
