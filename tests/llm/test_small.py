@@ -335,3 +335,9 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x " * 60_000), (None, "<|endoftext|>")], "id int, text string")
     got = {r["id"]: r["n_tokens"] for r in tokens.with_token_counts(df, ["id"], "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] >= 60_000 and got[None] > 1
+    again = {r["id"]: r["n_tokens"] for r in tokens.with_token_counts(df, ["id"], "text", "/opt/tokenizers/byte_bpe_50k.json").collect()}
+    assert again == got
+
+
+def test_one_long_word():
+    assert tokens.token_counter()(["x" * 50_000, "ab" * 20_000 + "\n" * 5000])[0] > 100
