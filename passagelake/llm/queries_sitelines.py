@@ -40,7 +40,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_lines(_rows(spark, sf_dir)).select(F.col("group").alias("src_table"), "row_key", "line_no")
 
 
-@query("p6_clean")
+_CLEAN = (
+    _SQL[: _SQL.index("SELECT src_table, row_key, CAST(line_no")].replace("JOIN docs d ON", "LEFT JOIN docs d ON")
+    + """, gone AS (SELECT src_table, row_key, line_no FROM fs SEMI JOIN hits USING (src_table, site, f)),
+    every AS (SELECT src_table, row_key, unnest(string_split(text, E'\\n')) AS line, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS line_no FROM rows_),
+    kept AS (SELECT e.src_table, e.row_key, string_agg(e.line, E'\\n' ORDER BY e.line_no) FILTER (WHERE g.line_no IS NULL) AS t, count(g.line_no) AS n FROM every e LEFT JOIN gone g USING (src_table, row_key, line_no) GROUP BY 1, 2)
+    SELECT r.src_table, r.row_key, coalesce(k.n, 0)::INTEGER AS n_removed, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.t, '') END AS clean_text FROM rows_ r LEFT JOIN kept k USING (src_table, row_key)"""
+)
+
+
+@query("p6_clean", _CLEAN)
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines found."""
     return clean_texts(_rows(spark, sf_dir)).withColumnRenamed("group", "src_table")
