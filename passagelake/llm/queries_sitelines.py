@@ -55,7 +55,15 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_texts(_rows(spark, sf_dir)).withColumnRenamed("group", "src_table")
 
 
-@query("p6_lines")
+_LINES = (
+    _SQL[: _SQL.index("hits AS")]
+    + """d AS (SELECT 'overview_pages' AS src_table, CAST(snapshot_id AS VARCHAR) AS row_key, CAST(fetched_at AS DATE) AS day FROM overview_pages UNION ALL SELECT 'web_chunks', id, CAST(created_at AS DATE) FROM web_chunks)
+    SELECT f.src_table, f.site, f.f AS line_form, count(DISTINCT f.row_key) AS n_rows, count(DISTINCT md5(u.text)) AS n_texts, s.n AS site_rows, count(DISTINCT d.day) AS n_days
+    FROM fs f JOIN sizes s USING (src_table, site) JOIN usable u USING (src_table, row_key) JOIN d USING (src_table, row_key) GROUP BY f.src_table, f.site, f.f, s.n HAVING count(DISTINCT f.row_key) >= 3 AND count(DISTINCT f.row_key) >= 0.05 * s.n"""
+)
+
+
+@query("p6_lines", _LINES)
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines found, with rows, distinct texts and days: few texts or days mean republication, not boilerplate."""
     return line_report(_rows(spark, sf_dir)).withColumnRenamed("group", "src_table")
