@@ -302,3 +302,15 @@ def test_streams(spark, tmp_path):
         q = threads.ingest_new(spark.readStream.schema("id long, h string").parquet(str(src)), out, "h").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(r["h"] for r in spark.read.parquet(out).collect()) == ["k0", "k1", "k2", "k3"]
+
+
+def test_facts(spark):
+    from passagelake.functions import facts
+
+    t = "1. Pay EUR 5,50 before 03.04.2024\n2) Pay € 10 in the winter semester 24/25\nWith 6 ECTS or 12 credits, B2 or C1"
+    assert one(spark, facts.amounts("t"), t=t) == [5.5, 10.0] and tuple(one(spark, facts.amount_summary("t"), t=t)) == (2, 5.5, 10.0, 15.5)
+    assert tuple(one(spark, facts.credit_range("t"), t=t)) == (6, 12) and one(spark, facts.language_levels("t"), t=t) == ["B2", "C1"]
+    assert tuple(one(spark, facts.deadline("t"), t=t)) == ("03.04.2024", "winter semester 24/25")
+    assert [tuple(s) for s in one(spark, facts.steps("t"), t=t)] == [(1, "Pay EUR 5,50 before 03.04.2024", "03.04.2024"), (2, "Pay € 10 in the winter semester 24/25", None)]
+    assert one(spark, facts.amounts("t"), t="") == [] and tuple(one(spark, facts.amount_summary("t"), t="")) == (0, None, None, None)
+    assert one(spark, facts.amounts("t"), t=None) == []
