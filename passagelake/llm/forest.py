@@ -97,7 +97,7 @@ class Forest:
 
 
 def prefix_groups(keys: np.ndarray, bucket: int, least: int) -> list[tuple[int, int]]:
-    """Ranges of the sorted `keys`, each the longest common prefix with at most `bucket` members; a prefix is not left for longer ones if one of these has fewer than `least`."""
+    """Ranges of the sorted `keys`, each the longest common prefix with at most `bucket` members; a prefix is not left for longer ones if one of these has fewer than `least`: at any size such a cell joins the neighbour with which it shares more bits."""
     out: list[tuple[int, int]] = []
     edges = np.r_[0, np.flatnonzero(np.diff(keys >> (BITS + SALT))) + 1, len(keys)]
     small = 0
@@ -119,13 +119,46 @@ def prefix_groups(keys: np.ndarray, bucket: int, least: int) -> list[tuple[int,
         if m < 0:  # several centres in one range: split in the middle
             m = (a + b) // 2
             stack += [(a, m, bit), (m, b, bit)]
-        elif m - a and b - m and min(m - a, b - m) < least and b - a <= 2 * bucket:
-            out.append((a, b))
         elif m - a and b - m:
             stack += [(a, m, bit - 1), (m, b, bit - 1)]
         else:
             stack.append((a, b, bit - 1))
-    return [(a, b) for a, b in out if b > a]
+    whole: list[tuple[int, int]] = []
+    for a, b in sorted(x for x in out if x[1] > x[0]):
+        back = bool(whole) and (b == len(keys) or keys[a - 1] ^ keys[a] <= keys[b - 1] ^ keys[b])  # shares more bits with the cell before than with the next
+        if whole and (whole[-1][1] - whole[-1][0] < least or b - a < least and back):
+            whole[-1] = (whole[-1][0], b)
+        else:
+            whole.append((a, b))
+    return whole
+
+
+def further_bits(keys: np.ndarray, q: np.ndarray, bucket: int, seed: int) -> np.ndarray:
+    """The sorted `keys` with the random bits of more than `bucket` equal hashes replaced by the sides of planes between two means of these vectors themselves, halving them until no more than `bucket` agree."""
+    keys, r = keys.copy(), np.random.default_rng(seed)
+    edges = np.r_[0, np.flatnonzero(np.diff(keys >> SALT)) + 1, len(keys)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a <= bucket:
+            continue
+        path = np.zeros(b - a, np.int64)
+        stack = [(np.arange(b - a), SALT - 1)]
+        while stack:
+            at, bit = stack.pop()
+            if len(at) <= bucket or bit < 0:
+                continue
+            some = q[a + r.choice(at, min(len(at), 512), replace=False)].astype(np.float32)
+            one, two = some[0], some[((some - some[0]) ** 2).sum(1).argmax()]
+            for _ in range(4):
+                side = some @ (one - two) > (one @ one - two @ two) / 2
+                if side.all() or not side.any():
+                    break
+                one, two = some[side].mean(0), some[~side].mean(0)
+            order = at[np.argsort(q[a + at].astype(np.float32) @ (one - two), kind="stable")]
+            low, high = np.sort(order[: len(at) // 2]), np.sort(order[len(at) // 2 :])
+            path[high] |= 1 << bit
+            stack += [(low, bit - 1), (high, bit - 1)]
+        keys[a:b] = (keys[a:b] >> SALT << SALT) | path
+    return keys
 
 
 def nearest_in(q: np.ndarray, groups: list[tuple[int, int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,9 +206,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
                 q = np.rint(x * (127 / np.abs(x).max(1))[:, None]).astype(np.int8)
                 off = np.arange(len(pos) + 1, dtype=np.int32) * dim
                 q_col = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(q.tobytes())])
-                salts = np.array([hash_bytes(i) for i in ids], np.int64)
                 for t in range(forest.trees):
-                    keys = forest.keys(x, t, salts)
+                    keys = forest.keys(x, t, np.array([hash_bytes(i, t) for i in ids], np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(forest.part(keys, t).astype(np.int32)), pa.array(keys), pa.array(ids, pa.binary()), q_col], names=["part", "h", "id", "q"])
 
     def searched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +226,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
             flat = t["q"].combine_chunks()
             o = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
             q = np.frombuffer(flat.buffers()[2], np.int8)[o[0] : o[-1]].reshape(-1, dim)[order]
+            keys = further_bits(keys, q, bucket, seed + int(p))
+            if (np.diff(keys) < 0).any():
+                again = np.argsort(keys, kind="stable")
+                keys, q, ids = keys[again], q[again], ids.take(pa.array(again))
             for row, top, cos in nearest_in(q, prefix_groups(keys, bucket, least), k):
                 n, m = top.shape
                 off = pa.array(np.arange(n + 1, dtype=np.int32) * m)
@@ -209,11 +245,11 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
     return ranked.select(unpack_id(F.col("_id")).alias(key), (F.col("_rank") + 1).alias("rank"), unpack_id(F.col("_x.other")).alias("other"), F.col("_x.cosine").alias("cosine"))
 
 
-def hash_bytes(b: bytes) -> int:
+def hash_bytes(b: bytes, seed: int = 0) -> int:
     """A stable hash of SALT bits."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(b) & ((1 << SALT) - 1)
+    return xxhash.xxh64_intdigest(b, seed) & ((1 << SALT) - 1)
 
 
 def pairs(found: DataFrame, key: str) -> DataFrame:

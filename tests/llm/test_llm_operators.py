@@ -330,6 +330,33 @@ def test_prefix_groups_cover():
         assert [x for a, b in g for x in range(a, b)] == list(range(len(keys)))
 
 
+def test_small_cells_join_neighbours():
+    r = np.random.default_rng(2)
+    huge = (5 << 48) | (0b1010 << 44) | r.integers(0, 1 << 24, 5000)
+    beside = (5 << 48) | (0b1010 << 44) | (np.array([1, 2, 4, 9, 70, 800]) << 24 << 4)
+    g = forest.prefix_groups(np.sort(np.r_[huge, beside, 6 << 48]), 256, 16)
+    assert min(b - a for a, b in g) >= 16
+
+
+def test_near_copies_are_told_apart(spark):
+    r = np.random.default_rng(3)
+    ends = np.repeat(r.standard_normal((2, 64)), 1600, 0)  # both far from the only centre
+    fine = np.repeat(r.standard_normal((400, 64)), 8, 0) + 0.3 * r.standard_normal((3200, 64))
+    x = ends + 0.03 * fine
+    rows = [(f"{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)]
+    got = forest.nearest(spark.createDataFrame(rows, "id string, v array<float>"), "id", "v", dim=64, trees=4, bucket=128, centres=1, partition_rows=4000).collect()
+    near = {}
+    for g in got:
+        near.setdefault(g["id"], set()).add(g["other"])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    u = np.rint(u * (127 / np.abs(u).max(1))[:, None])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    hit = [f"{j:05d}" in near[f"{i:05d}"] for i in range(0, 3200, 7) for j in np.argsort(-s[i])[:5]]
+    assert np.mean(hit) >= 0.8, np.mean(hit)
+
+
 # --- tokens ----------------------------------------------------------------------------------------------------------
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x " * 60_000), (None, "<|endoftext|>")], "id int, text string")
