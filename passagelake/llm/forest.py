@@ -6,7 +6,8 @@ stand together. A vector descends to its longest prefix that no more than `bucke
 are left it ascends again, in all trees by the same rule. Within a prefix all vectors are compared by one matrix product.
 
 The sorted array of a tree is range-partitioned; the random end of the strings lets any run of equal hashes be divided, so
-neither copies nor a dense cluster can fill a task, and the work per vector is bounded by trees * bucket comparisons.
+neither copies nor a dense cluster can fill a task, and the work per vector is bounded by trees * bucket comparisons. As
+near vectors part more often the finer a table is cut, trees, bucket and centres grow with the rows by one rule.
 """
 
 from __future__ import annotations
@@ -51,6 +52,12 @@ def _matrix(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[ok], x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def grown(rows: int, trees: int, bucket: int, centres: int) -> tuple[int, int, int]:
+    """Trees, bucket and centres for a table of so many rows: beyond 30 buckets the cells and the centres grow with the root of the rows, beyond 75 each doubling adds a tree."""
+    f = max(1.0, rows / (30 * bucket)) ** 0.5
+    return trees + int(np.log2(max(1.0, rows / (75 * bucket)))), int(bucket * f), int(centres * f)
+
+
 class Forest:
     """Centres, hyperplanes and range boundaries of all trees; its size depends on the sample, not on the data."""
 
@@ -169,12 +176,14 @@ def nearest_in(q: np.ndarray, groups: list[tuple[int, int]], k: int) -> Iterator
             continue
         x = q[a:b].astype(np.float32)
         norm = np.sqrt((x * x).sum(1, dtype=np.float64))
-        dots = x @ x.T
-        s = dots / norm.astype(np.float32)[None, :]
-        np.fill_diagonal(s, -np.inf)
         m = min(k, n - 1)
-        top = np.argpartition(s, n - m, axis=1)[:, n - m :] if m < n - 1 else np.argsort(s, axis=1)[:, 1:]
-        yield np.arange(a, b), top + a, np.take_along_axis(dots, top, 1).astype(np.float64) / (norm[:, None] * norm[top])
+        for at in range(0, n, 1024):  # so many rows at a time, whatever the cell's size
+            own = np.arange(at, min(at + 1024, n))
+            dots = x[own] @ x.T
+            s = dots / norm.astype(np.float32)[None, :]
+            s[own - at, own] = -np.inf
+            top = np.argpartition(s, n - m, axis=1)[:, n - m :] if m < n - 1 else np.argsort(s, axis=1)[:, 1:]
+            yield own + a, top + a, np.take_along_axis(dots, top, 1).astype(np.float64) / (norm[own][:, None] * norm[top])
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, trees: int = 4, bucket: int = 1024, least: int = 24, centres: int = 96, partition_rows: int = 16384, sample: int = SAMPLE, seed: int = 11) -> DataFrame:
@@ -184,9 +193,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
     length, all zero or not finite take no part. An empty table gives an empty one; a vector with fewer than k others
     gets those there are. Other columns are ignored. Cosines are those of the vectors rounded to 8 bits a number.
     Every row is indexed; only centres and boundaries are fitted on at most `sample` rows. One shuffle carries each vector
-    once a tree in `dim` bytes, a second its k best a tree.
+    once a tree in `dim` bytes, a second its k best a tree. trees, bucket and centres are those of small tables; `grown`
+    has the rule by which they grow.
     """
     rows = df.count()
+    trees, bucket, centres = grown(rows, trees, bucket, centres)
+    partition_rows = max(partition_rows, 4 * bucket) if rows > partition_rows else partition_rows
     use = df.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     share = min(1.0, 1.3 * sample / max(rows, 1))

@@ -330,6 +330,22 @@ def test_prefix_groups_cover():
         assert [x for a, b in g for x in range(a, b)] == list(range(len(keys)))
 
 
+def test_forest_recall_beyond_the_bucket(spark):
+    r = np.random.default_rng(4)
+    topics, family = r.standard_normal((6, 128)), np.repeat(r.standard_normal((800, 128)), 10, 0)
+    x = 0.75 * topics[np.repeat(r.integers(0, 6, 800), 10)] + 0.85 * family + 0.52 * r.standard_normal((8000, 128))
+    rows = [(f"{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    near = {}
+    for g in forest.nearest(df, "id", "v", dim=128, bucket=16, least=6, centres=6, partition_rows=2000).collect():
+        near.setdefault(g["id"], set()).add(g["other"])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[::9] @ u.T
+    s[np.arange(len(s)), np.arange(0, 8000, 9)] = -9
+    hit = [f"{j:05d}" in near[f"{9 * i:05d}"] for i in range(len(s)) for j in np.argsort(-s[i])[:5]]
+    assert np.mean(hit) >= 0.8, np.mean(hit)
+
+
 def test_small_cells_join_neighbours():
     r = np.random.default_rng(2)
     huge = (5 << 48) | (0b1010 << 44) | r.integers(0, 1 << 24, 5000)
