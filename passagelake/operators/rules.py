@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,47 +96,98 @@ def longest_matches(texts: DataFrame, names: DataFrame, key: str, text: str, lea
     return best.select(key, "b.name", "b.score")
 
 
-def fuzzy_matches(texts: DataFrame, names: DataFrame, key: str, text: str, least: float = 0.78) -> DataFrame:
+_LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789äöüß"
+_CODE = np.zeros(256, np.int64)
+_CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
+
+
+def _coded(t: str) -> np.ndarray:
+    return _CODE[np.frombuffer(t.encode("utf-32-le"), np.uint32)]
+
+
+class Catalogue:
+    """Letter pairs, letter counts and lengths of aliases, for bounds on their likeness to runs of words."""
+
+    def __init__(self, aliases: list[str]):
+        n = len(_LETTERS)
+        codes = [_coded(a) for a in aliases]
+        self.lengths = np.array([len(c) for c in codes], np.int64)
+        self.counts = np.array([np.bincount(c, minlength=n) for c in codes], np.int32).reshape(-1, n)
+        self.pairs = np.zeros((len(codes), n * n), np.int8)
+        for i, c in enumerate(codes):
+            self.pairs[i, c[:-1] * n + c[1:]] = 1
+
+    def near(self, t: str, least: float, step: int = 1000, some: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Aliases, begins, ends and bounds of the runs of 3 to 9 words of `t` whose likeness may reach `least`; none that does is left out.
+
+        Of two texts of together s letters of which m match, the blocks of matching letters are s - 2m + 1 at most, so
+        3m - s - 1 letter pairs at least are shared; and no more letters match than both have.
+        """
+        c = _coded(t)
+        gaps = np.flatnonzero(c == 0)
+        begins, ends = np.r_[0, gaps + 1], np.r_[gaps, len(c)]
+        n = len(begins)
+        pair = c[:-1] * len(_LETTERS) + c[1:]
+        for first in range(0, n, step):
+            runs = [(begins[i], ends[i + k - 1]) for k in range(3, min(9, n) + 1) if len(i := np.arange(first, min(first + step, n - k + 1)))]
+            if not runs:
+                continue
+            b, e = (np.concatenate(x) for x in zip(*runs))
+            low, high = b[0], int(e.max())
+            letters = np.zeros((high - low + 1, len(_LETTERS)), np.int32)
+            letters[np.arange(1, high - low + 1), c[low:high]] = 1
+            letters = letters.cumsum(0, dtype=np.int32)
+            for at in range(0, len(self.lengths), some):
+                own = slice(at, at + some)
+                seen = np.zeros((len(self.lengths[own]), high - low), np.int32)
+                np.cumsum(self.pairs[own][:, pair[low : high - 1]], axis=1, dtype=np.int32, out=seen[:, 1:])
+                total = self.lengths[own][:, None] + (e - b)[None, :]
+                m = np.ceil(least * total / 2 - 1e-9)
+                i, r = np.nonzero((seen[:, e - 1 - low] - seen[:, b - low] >= 3 * m - total - 1) & (np.minimum(self.lengths[own][:, None], (e - b)[None, :]) >= m))
+                for part in range(0, len(i), 1 << 16):
+                    x, y = i[part : part + (1 << 16)], r[part : part + (1 << 16)]
+                    bound = 2 * np.minimum(self.counts[own][x], letters[e[y] - low] - letters[b[y] - low]).sum(1) / total[x, y]
+                    ok = bound >= least - 1e-9
+                    yield x[ok] + at, b[y[ok]], e[y[ok]], bound[ok]
+
+
+def fuzzy_matches(texts: DataFrame, names: DataFrame, key: str, text: str | Column, least: float = 0.78) -> DataFrame:
     """key, name, score: the alias of two or more words most like a run of 3 to 9 words of each text.
 
-    names: name, alias, ord: a catalogue, sent to the tasks if it has at most 50,000 rows and refused beyond. Only runs that
-    share a word with the alias are compared, which no two runs of that likeness lack in practice; ratios are those of
-    matching blocks.
+    names: name, alias, ord: a catalogue, sent to the tasks if it has at most 50,000 rows and refused beyond. Every run is
+    held against every alias by bounds that leave out none of the likeness asked for; ratios are those of matching blocks.
     """
     rows = names.select("name", "alias", "ord", match_form("alias", True).alias("a")).where("a LIKE '% %'").limit(50_001).collect()
     if len(rows) > 50_000:
         raise ValueError("a catalogue of more than 50,000 aliases; match its parts one by one")
     aliases = sorted((r["ord"], r["name"], r["a"]) for r in rows)
-    by_word: dict[str, list[int]] = {}
-    for i, (_, _, a) in enumerate(aliases):
-        for w in set(a.split()):
-            by_word.setdefault(w, []).append(i)
     schema = T.StructType([texts.schema[key], T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        catalogue = Catalogue([a for _, _, a in aliases])
+        for batch in it:
             at, got, scores = [], [], []
-            for row, t in enumerate(b.column(1)):
-                words = (t.as_py() or "").split()
+            for row, t in enumerate(batch.column(1)):
+                t = t.as_py() or ""
                 best: tuple[float, int] | None = None
-                near = sorted({i for w in set(words) for i in by_word.get(w, ())})
                 matcher = SequenceMatcher(None, "", "", autojunk=True)
-                for i in near:
-                    a = aliases[i][2]
-                    own = set(a.split())
-                    for size in range(3, min(9, len(words)) + 1):
-                        for k in range(len(words) - size + 1):
-                            run_ = words[k : k + size]
-                            if own.isdisjoint(run_):
-                                continue
-                            matcher.set_seqs(a, " ".join(run_))
-                            if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least and (best is None or r > best[0]):
-                                best = (r, i)
+                for near, begins, ends, bounds in catalogue.near(t, least):
+                    tried = set()
+                    for j in np.lexsort((near, -bounds)).tolist():  # the best bound first
+                        if best and bounds[j] < best[0] - 1e-9:
+                            break
+                        i, own = int(near[j]), t[begins[j] : ends[j]]
+                        if (i, own) in tried:
+                            continue
+                        tried.add((i, own))
+                        matcher.set_seqs(aliases[i][2], own)
+                        if (r := matcher.ratio()) >= least and (best is None or r > best[0] or r == best[0] and i < best[1]):
+                            best = (r, i)
                 if best:
                     at.append(row)
                     got.append(aliases[best[1]][1])
                     scores.append(round(best[0], 6))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(got, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(got, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
     return texts.select(key, match_form(text, True).alias("_t")).mapInArrow(run, schema)
 

@@ -182,8 +182,8 @@ def programme_longest_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("programme_fuzzy_match")
 def programme_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """The programme most like a run of words of each mail's subject."""
-    return L.fuzzy_matches(table(spark, d, "email_requests"), _catalogue(spark, d), "request_id", "subject")
+    """The programme most like a run of words of each mail, its subject and its whole text."""
+    return L.fuzzy_matches(table(spark, d, "email_requests"), _catalogue(spark, d), "request_id", F.concat_ws("\n", "subject", "email_text"))
 
 
 @query("programme_page_match", """

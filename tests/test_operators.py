@@ -243,6 +243,29 @@ def test_matches(spark):
     assert rules.fuzzy_matches(spark.createDataFrame([(1, "about data scienze today please")], "id int, t string"), names, "id", "t", 0.6).first()["name"] == "Data Science"
 
 
+def test_fuzzy_without_a_shared_word(spark):
+    from difflib import SequenceMatcher
+
+    names = spark.createDataFrame([("Angewandte Bauphysik", "Angewandte Bauphysik", 1), ("Soziale Sensorik", "Soziale Sensorik", 2)], "name string, alias string, ord int")
+    texts = ["zu angewante bauphisik bitte", "fragen zur sozialle sensorick bitte " * 400, "nichts davon steht hier", "kurz", None]
+    got = {r["id"]: (r["name"], r["score"]) for r in rules.fuzzy_matches(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), names, "id", "t").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()[:40]
+        r = max(((SequenceMatcher(None, a.lower(), " ".join(w[k : k + n])).ratio(), a) for a in ("Angewandte Bauphysik", "Soziale Sensorik") for n in range(3, min(9, len(w)) + 1) for k in range(len(w) - n + 1)), default=(0, ""))
+        if r[0] >= 0.78:
+            want[i] = (r[1], round(r[0], 6))
+    assert got == want and set(got) == {0, 1}
+
+
+def test_fuzzy_reads_the_whole_mail(spark, tmp_path):
+    from passagelake.plans import labels
+
+    spark.createDataFrame([(1, "degree_program", "Angewandte Bauphysik")], "id long, object_type string, title string").write.parquet(str(tmp_path / "site_objects.parquet"))
+    spark.createDataFrame([(1, "Frage", "ich will angewandte bauphysick studieren"), (2, "zu angewandte bauphysick heute", None)], "request_id long, subject string, email_text string").write.parquet(str(tmp_path / "email_requests.parquet"))
+    assert {r["request_id"] for r in labels.programme_fuzzy_match(spark, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_objects(spark):
     o = spark.createDataFrame([("a", "x", "A", None, None, ["b", "gone"], "short"), ("b", "x", "B", "u", "note", [], "Long text here. " * 60), ("c", "y", None, None, None, None, None)], "object_id string, object_type string, title string, url string, classification_notes string, related_pages array<string>, full_text string")
     got = {r["object_id"]: r for r in objects.embedding_texts(o).collect()}
