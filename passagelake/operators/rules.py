@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import all_matches, match_form, url_path
+from ..functions.text import all_matches, match_form, url_host, url_path
 
 
 def labels_by_rules(text: Column, rules: dict[str, tuple[str, ...]], default: str | None = None) -> Column:
@@ -96,6 +96,33 @@ def longest_matches(texts: DataFrame, names: DataFrame, key: str, text: str, lea
     return best.select(key, "b.name", "b.score")
 
 
+def contained(inner: DataFrame, outer: DataFrame, length: int = 6) -> DataFrame:
+    """Distinct (inner, outer) of which the one is part of the other, at any place. An equi-join on the first letters, which every place of the outer text offers."""
+    a = inner.where("inner <> ''").distinct().withColumn("_k", F.substring("inner", 1, length))
+    at = F.sequence(F.lit(1), F.char_length("outer"))
+    cuts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(length)), lambda n: F.substring(F.col("outer"), i, n))))
+    b = outer.where("outer <> ''").distinct().select("outer", F.explode(F.array_distinct(cuts)).alias("_k"))
+    return a.join(b, "_k").where(F.contains("outer", F.col("inner"))).select("inner", "outer").distinct()
+
+
+def page_matches(pages: DataFrame, programmes: DataFrame) -> DataFrame:
+    """id, programme of the pages of each programme: of its name, with a name that contains it or is part of it, with an alias that is part of its name, or on its host.
+
+    pages: id, title, url, aliases (array<string>); programmes: programme, url. A union of equi-joins.
+    """
+    p = programmes.select("programme", match_form("programme").alias("_p"), F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("_h")).distinct()
+    s = pages.select("id", match_form(F.coalesce("title", F.lit(""))).alias("_t"), F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("_h"), "aliases")
+    names, titles = p.select(F.col("_p").alias("inner")), s.select(F.col("_t").alias("outer"))
+    around = contained(names, titles).select(F.col("inner").alias("_p"), F.col("outer").alias("_t"))
+    within = contained(titles.toDF("inner"), names.toDF("outer")).select(F.col("outer").alias("_p"), F.col("inner").alias("_t"))
+    named = s.select("id", "_t").join(around.unionAll(within).distinct(), "_t").select("id", "_p")
+    alias = s.select("id", F.explode("aliases").alias("_a")).select("id", match_form("_a").alias("_a"))
+    called = alias.join(contained(alias.select(F.col("_a").alias("inner")), names.toDF("outer")).toDF("_a", "_p"), "_a").select("id", "_p")
+    by_name = named.unionAll(called).distinct().join(p.select("_p", "programme").distinct(), "_p").select("id", "programme")
+    by_host = s.where("_h IS NOT NULL").select("id", "_h").join(p.where("_h IS NOT NULL").select("_h", "programme").distinct(), "_h").select("id", "programme")
+    return by_name.unionAll(by_host).distinct()
+
+
 _LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789äöüß"
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))

@@ -198,6 +198,14 @@ def programme_page_match(spark: SparkSession, d: str) -> DataFrame:
     return one.unionAll(two).join(p, "programme").select("id", "programme").distinct()
 
 
+@query("programme_page_evidence")
+def programme_page_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of each programme by equality, containment either way, or host; these pages have no aliases."""
+    o = table(spark, d, "site_objects")
+    p = o.where("object_type = 'degree_program' AND title IS NOT NULL").select(F.lower("title").alias("programme"), "url")
+    return L.page_matches(o.select("id", "title", "url", F.array().cast("array<string>").alias("aliases")), p)
+
+
 _TERMS = {"exams": ("exam", "thesis"), "fees": ("fee", "eur "), "visa": ("visa", "residence")}
 
 

@@ -266,6 +266,13 @@ def test_fuzzy_reads_the_whole_mail(spark, tmp_path):
     assert {r["request_id"] for r in labels.programme_fuzzy_match(spark, str(tmp_path)).collect()} == {1, 2}
 
 
+def test_page_matches(spark):
+    pages = spark.createDataFrame([(1, "Dates for Circular Materials in Lindenhafen", "https://a.org/1", None), (2, "Materials", "https://a.org/2", []), (3, "News", "https://Law.org/x", None), (4, "Other", None, ["Circular"]), (5, None, "broken url", None), (6, "rcular mat", None, None)], "id int, title string, url string, aliases array<string>")
+    programmes = spark.createDataFrame([("circular materials", None), ("law", "https://law.org/y")], "programme string, url string")
+    got = {tuple(r) for r in rules.page_matches(pages, programmes).collect()}
+    assert got == {(1, "circular materials"), (2, "circular materials"), (3, "law"), (4, "circular materials"), (6, "circular materials")}
+
+
 def test_objects(spark):
     o = spark.createDataFrame([("a", "x", "A", None, None, ["b", "gone"], "short"), ("b", "x", "B", "u", "note", [], "Long text here. " * 60), ("c", "y", None, None, None, None, None)], "object_id string, object_type string, title string, url string, classification_notes string, related_pages array<string>, full_text string")
     got = {r["object_id"]: r for r in objects.embedding_texts(o).collect()}
