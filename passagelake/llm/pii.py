@@ -330,30 +330,58 @@ def estimate(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarra
     return q, acc
 
 
-def _learned(texts: list[str], given: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """Gazetteers learned from the sample: given names seen in mailboxes and greetings, and words that stand after prepositions of place."""
-    first: Counter[str] = Counter()
-    place: Counter[str] = Counter()
-    total: Counter[str] = Counter()
-    greeting = re.compile(_LINE + _ANCHORS["greeting"].pattern)
-    for t in texts:
-        for w in re.findall(rf"(?<![\w@.-]){_CAP}(?![\w@])", t):
-            total[w] += 1
-        for m in re.finditer(rf"({_CAP})(?:[ \t]+{_CAP})[ \t]+<[^>]+@", t):
-            first[m[1].split("-")[0]] += 1
-        for m in greeting.finditer(t):
-            if " " not in m[1].strip():
-                first[m[1].split("-")[0]] += 1
-        for m in re.finditer(rf"\b(?:in|aus|nach|at|from|Standort|Haus)[ ]({_CAP})", t):
-            place[m[1]] += 1
+_GREETING = re.compile(_LINE + _ANCHORS["greeting"].pattern)
+_WORD, _MAILBOX, _PLACE = re.compile(rf"(?<![\w@.-]){_CAP}(?![\w@])"), re.compile(rf"({_CAP})(?:[ \t]+{_CAP})[ \t]+<[^>]+@"), re.compile(rf"\b(?:in|aus|nach|at|from|Standort|Haus)[ ]({_CAP})")
+
+
+def _count(t: str, first: Counter[str], place: Counter[str], total: Counter[str]) -> None:
+    """Adds the words of a text as given names in mailboxes and greetings, as words behind prepositions of place, and at all."""
+    total.update(_WORD.findall(t))
+    first.update(m[1].split("-")[0] for m in _MAILBOX.finditer(t))
+    first.update(m[1].split("-")[0] for m in _GREETING.finditer(t) if " " not in m[1].strip())
+    place.update(m[1] for m in _PLACE.finditer(t))
+
+
+def _gazetteers(first: Counter[str], place: Counter[str], total: Counter[str], given: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
     names = {w for w, c in first.items() if c >= 3 and w not in COMMON and c >= 0.05 * total[w] and len(w) > 1 and not w.isupper()}
     places = {w for w, c in place.items() if c >= 3 and c >= 0.25 * total[w]} - names - given
     return frozenset(given | names), frozenset(places)
 
 
-def fit(texts: list[str], rounds: int = 80, given: frozenset[str] = GIVEN) -> Model:
-    """Gazetteers, reliabilities and the final classifier from a sample of texts, without labels."""
-    names, places = _learned(texts, given)
+def _learned(texts: list[str], given: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Gazetteers learned from texts: given names seen in mailboxes and greetings, and words that stand after prepositions of place."""
+    first, place, total = Counter(), Counter(), Counter()
+    for t in texts:
+        _count(t, first, place, total)
+    return _gazetteers(first, place, total, given)
+
+
+def learned_on(df: DataFrame, text: str, given: frozenset[str] = GIVEN) -> tuple[frozenset[str], frozenset[str]]:
+    """The gazetteers of all texts of a column, counted by the tasks; only words that may be in one come to the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter(), Counter(), Counter()
+        for b in it:
+            for t in b.column(0):
+                if s := t.as_py():
+                    _count(s, *counts)
+            if sum(map(len, counts)) > 300_000:
+                yield packed(*counts)
+                counts = Counter(), Counter(), Counter()
+        yield packed(*counts)
+
+    def packed(first: Counter[str], place: Counter[str], total: Counter[str]) -> pa.RecordBatch:
+        words = sorted({*first, *place, *total})
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (first, place, total))], names=["w", "first", "place", "total"])
+
+    sums = df.select(text).mapInArrow(run, "w string, first long, place long, total long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("first", "place", "total")))
+    rows = sums.where("(first >= 3 AND first >= 0.05 * total) OR (place >= 3 AND place >= 0.25 * total)").collect()
+    return _gazetteers(*(Counter({r["w"]: r[c] for r in rows}) for c in ("first", "place", "total")), given)
+
+
+def fit(texts: list[str], rounds: int = 80, given: frozenset[str] = GIVEN, learned: tuple[frozenset[str], frozenset[str]] | None = None) -> Model:
+    """Reliabilities and the final classifier from a sample of texts, without labels; gazetteers from it as well where they aren't given as `learned`."""
+    names, places = learned or _learned(texts, given)
     spans = [(t, s) for t in texts for s in candidates(t, names, places)]
     weights, bias, rel = np.zeros(DIM), {}, {}
     for kind in TYPES:
@@ -404,12 +432,12 @@ def replace(text: str, spans: list[Span]) -> str:
 
 
 def fit_on(df: DataFrame, group: str, text: str, sample: int = SAMPLE) -> Model:
-    """A model fitted on at most `sample` texts of each group, chosen by their hash."""
+    """A model with gazetteers of all texts, fitted on at most `sample` distinct texts of each group, chosen by their hash."""
     groups = [r[0] for r in df.select(group).distinct().limit(100).collect()]
     texts: list[str] = []
     for g in sorted(groups):
-        texts += [r[0] for r in bounded_sample(df.where(F.col(group).eqNullSafe(g) & F.col(text).isNotNull()).select(text), sample)]
-    return fit(texts)
+        texts += [r[0] for r in bounded_sample(df.where(F.col(group).eqNullSafe(g) & F.col(text).isNotNull()).select(text), sample, distinct=True)]
+    return fit(texts, learned=learned_on(df, text))
 
 
 def detect(df: DataFrame, keys: list[str], text: str, model: Model, clean: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("passagelake.llm")
 
-from passagelake.llm import forest, mailtree, mix, pack, pagebody, pii, sitelines, split, tokens, truncation  # noqa: E402
+from passagelake.llm import forest, mailtree, mix, pack, pagebody, pii, sampling, sitelines, split, tokens, truncation  # noqa: E402
 
 
 # --- p4 --------------------------------------------------------------------------------------------------------------
@@ -289,6 +289,20 @@ def test_hidden_limit(spark):
     assert ("chars", 500) in {(r["measure"], r["limit_len"]) for r in found}
 
 
+# --- p3, p2: samples and what is counted on all ---------------------------------------------------------------------
+def test_names_are_counted_on_all_texts(spark):
+    names = [a + b for a in ("Zor", "Quil", "Vex", "Brum", "Tald") for b in ("ina", "ober", "wick", "elda", "umar", "isch", "anto", "ulf")]
+    rows = [("g", f"Dear {n},\nnumber {i} of the {k} forms is enclosed.") for i, n in enumerate(names) for k in range(3)]
+    model = pii.fit_on(spark.createDataFrame(rows, "g string, text string"), "g", "text", 10)
+    assert set(names) <= model.names
+
+
+def test_copies_do_not_fill_a_sample(spark):
+    df = spark.createDataFrame([("copy",)] * 2000 + [(f"text {i}",) for i in range(500)], "t string")
+    got = [r[0] for r in sampling.bounded_sample(df, 300, distinct=True)]
+    assert len(got) == len(set(got)) == 300
+
+
 # --- p2 --------------------------------------------------------------------------------------------------------------
 def test_forest_recall(spark):
     r = np.random.default_rng(0)
