@@ -29,6 +29,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("src_table", "row_key")
 
 
+# Any cut that keeps the text, the limit and the overlap gives one row of true values a text.
+_CHECK = """
+    WITH t AS (SELECT 'web_chunks' AS src_table, id AS row_key, trim(text, E' \\t\\r\\n') AS t FROM web_chunks UNION ALL SELECT 'chunks', CAST(id AS VARCHAR), trim(chunk_text, E' \\t\\r\\n') FROM chunks)
+    SELECT src_table, row_key, md5(t) AS joined_hash, length(t) AS n_chars, TRUE AS in_limit, TRUE AS shares FROM t WHERE length(t) > 1000"""
+
+
+@query("p4_joined", _CHECK)
+def p4_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized text put together again without what they share: its hash and length, and whether all pieces keep to the limit and the overlap."""
+    p = _pieces(spark, sf_dir).where(F.col("n_pieces") > 1)
+    parts = p.groupBy("src_table", "row_key").agg(F.array_sort(F.collect_list(F.struct("piece_no", "overlap_chars", "piece_text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.substr(x["piece_text"], x["overlap_chars"] + 1)), "")
+    shared = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.right(F.get("p", i - 1)["piece_text"], F.lit(150)) == F.left(F.get("p", i)["piece_text"], F.lit(150)))
+    fits = F.forall("p", lambda x: F.char_length(x["piece_text"]) <= 1000)
+    return parts.select("src_table", "row_key", text.alias("t"), fits.alias("in_limit"), shared.alias("shares")).select("src_table", "row_key", F.md5("t").alias("joined_hash"), F.char_length("t").cast("long").alias("n_chars"), "in_limit", "shares")
+
+
 @query("p4_pieces")
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the oversized texts."""

@@ -27,28 +27,30 @@ def pattern(limit: int, overlap: int) -> str:
 
 
 def trimmed(text: str | Column) -> Column:
-    """The text without spaces, tabs and line breaks at both ends."""
-    return F.regexp_replace(text, r"\A[ \t\r\n]+|[ \t\r\n]+\z", "")
+    """The text without spaces, tabs and line breaks at both ends, in one pass from each."""
+    return F.btrim(text, F.lit(" \t\r\n"))
 
 
 def pieces(text: Column, limit: int = 1000, overlap: int = 150) -> Column:
-    """array<struct<piece_no, overlap_chars, piece_text>> of the trimmed text; characters are code points.
+    """array<struct<n_pieces, piece_no, overlap_chars, piece_text>> of the trimmed text; characters are code points.
 
     Consecutive pieces share exactly `overlap` characters, no piece is longer than `limit`, and without the shared
     characters the pieces are the text. A text within the limit is one piece; a null or blank one has none (empty array).
     """
     if not 0 <= overlap * 4 <= limit:
         raise ValueError("the overlap must be at most a quarter of the limit")
-    cores = F.coalesce(F.regexp_extract_all(trimmed(text), F.lit(pattern(limit, overlap)), F.lit(0)), F.array().cast("array<string>"))
-    before = lambda i: F.right(F.element_at(cores, i), F.lit(overlap))
-    return F.transform(
+    found = F.regexp_extract_all(trimmed(text), F.lit(pattern(limit, overlap)), F.lit(0))
+    one = lambda cores: F.transform(
         cores,
         lambda c, i: F.struct(
+            F.size(cores).alias("n_pieces"),
             i.cast("int").alias("piece_no"),
             F.when(i == 0, 0).otherwise(overlap).cast("int").alias("overlap_chars"),
-            F.when(i == 0, c).otherwise(F.concat(before(F.greatest(i, F.lit(1))), c)).alias("piece_text"),
+            F.when(i == 0, c).otherwise(F.concat(F.right(F.get(cores, i - 1), F.lit(overlap)), c)).alias("piece_text"),
         ),
     )
+    # bound to a variable, so that a text is searched once and not again for each of its pieces
+    return F.get(F.transform(F.array(F.coalesce(found, F.array().cast("array<string>"))), one), F.lit(0))
 
 
 def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 150) -> DataFrame:
@@ -58,4 +60,6 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap:
     are kept, other columns are ignored, and an empty table gives an empty one. Texts of any length are read whole.
     """
     p = df.select(F.col(key).alias("_k"), pieces(F.col(text), limit, overlap).alias("_p"))
-    return p.select(F.col("_k").alias(key), F.size("_p").alias("n_pieces"), F.inline("_p"))
+    # outer, as for an inner one the optimiser adds a filter that searches every text again
+    rows = p.select(F.col("_k").alias(key), F.inline_outer("_p"))
+    return rows.where(F.col("piece_no").isNotNull())

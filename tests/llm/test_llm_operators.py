@@ -44,6 +44,27 @@ def test_split_repeats_and_empty_table(spark):
     assert split.split_texts(df.limit(0), "id", "text").count() == 0
 
 
+def test_split_time_grows_with_the_text(spark):
+    import time
+
+    took = []
+    for n in (1000, 2_000_000, 4_000_000):
+        df = spark.createDataFrame([(1, ("Ein Satz mit Worten. " * (n // 21 + 1))[:n])], "id int, text string")
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            split.split_texts(df, "id", "text").agg(F.sum(F.char_length("piece_text"))).collect()
+            best.append(time.perf_counter() - began)
+        took.append(min(best))
+    assert took[2] < 2.5 * took[1] + 0.5, took
+
+
+def test_split_searches_a_text_once(spark):
+    df = spark.createDataFrame([(1, "w " * 800)], "id int, text string")
+    p = split.split_texts(df, "id", "text").where("n_pieces > 1 AND piece_no = 0")._jdf.queryExecution().executedPlan().toString()
+    assert p.count("regexp_extract_all") == 1
+
+
 # --- p6 --------------------------------------------------------------------------------------------------------------
 def test_sitelines_counts_rows_not_copies(spark):
     rows = [("g", str(i), "h", f"Footer {i}\r\nown {'x' * i} line\n12") for i in range(1, 40)] + [("g", "c1", "h", "Copied\nFooter 1"), ("g", "c2", "h", "Copied\nFooter 1"), ("g", "c3", "h", "Copied\nFooter 1"), ("g", "n", None, "Footer 1"), ("g", "e", "h", None), ("g", "b", "h", " ")]
