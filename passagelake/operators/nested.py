@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import shared_folder
 
 #: Up to so many distinct list paths are kept on the driver and sent with the tasks; more are read from a written table.
 MAX_SHIPPED_PATHS = 20_000
@@ -373,8 +373,8 @@ def flatten_lists(df: DataFrame, key: str, text: str, roots: tuple[str, ...], va
     head = [r[0] for r in found.limit(MAX_SHIPPED_PATHS + 1).collect()]
     where, known = None, frozenset(head)
     if len(head) > MAX_SHIPPED_PATHS:  # as many as records can make: the tasks look up their own
-        where = f"{checkpoint_dir(spark)}/list-paths-{id(found):x}"
-        found.write.mode("overwrite").parquet(where)
+        where = shared_folder(spark, "list-paths")
+        found.write.parquet(where)
     key_type = df.schema[key].dataType
     fields = [T.StructField(key, key_type), T.StructField("child_path", T.StringType()), T.StructField("child_pos", T.StringType())]
     if values:
@@ -397,13 +397,23 @@ def flatten_lists(df: DataFrame, key: str, text: str, roots: tuple[str, ...], va
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+class _Asked(set):
+    """Stands for the set of list paths and notes what is looked up in it."""
+
+    def __contains__(self, path: object) -> bool:
+        self.add(path)
+        return False
+
+
 def _own_paths(where: str, texts: pa.Array, ids: pa.Array, roots: tuple[str, ...]) -> set[str]:
-    """Of the written list paths those that keys of this batch can form, read part by part."""
+    """Of the written list paths those that the walk meets in this batch, read part by part."""
     import pyarrow.dataset as ds
-    from urllib.parse import urlparse
-
-    keys = set(pc.unique(pc.list_flatten(pc.split_pattern(texts, '"'))).to_pylist())
-    own: set[str] = set()
-    for b in ds.dataset(urlparse(where).path if where.startswith("file:") else where, format="parquet").to_batches():
-        own.update(p for p in b.column(0).to_pylist() if all(k in keys for k in p.split(".")))
+    from pyarrow.fs import FileSystem
+
+    asked = _Asked()
+    _walk(texts, ids, roots, _blank(0), _blank(len(texts)), None, asked, False, set(), [])
+    fs, path = FileSystem.from_uri(where if "://" in where or where.startswith("file:") else f"file://{where}")
+    met, own = set(asked), set()
+    for b in ds.dataset(path, filesystem=fs, format="parquet").to_batches():
+        own |= met.intersection(b.column(0).to_pylist())
     return own

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, table
+from ..session import shared_folder, table
 from ..streaming.threads import thread_states, windowed_counts
 from .registry import query
 
@@ -24,7 +22,7 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
     SELECT thread, count(*) AS turn_count, strftime(max(received_at), '%Y-%m-%d %H:%M:%S') AS last_updated, arg_max(lang, (received_at, request_id)) FILTER (WHERE lang IS NOT NULL) AS lang FROM t GROUP BY 1""")
 def thread_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The mails as a stream through keyed state, to the end; the last state of every thread."""
-    at = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     source = f"{d}/email_requests.parquet"
     schema = spark.read.parquet(source).schema
     src = spark.readStream.schema(schema).parquet(source if _is_folder(spark, source) else _folder_of(source))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,17 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only where it is unset (tests, notebooks) a local folder is created and set.
+    Where it is unset, a session that runs in one process (tests, notebooks) gets a folder of its own; on a cluster, whose
+    executors could not see such a folder, this raises.
     """
-    said = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    said = said or tempfile.mkdtemp(prefix="passagelake-checkpoint-")
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if not said:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        said = tempfile.mkdtemp(prefix="passagelake-checkpoint-")
     spark.sparkContext.setCheckpointDir(said)
     return said
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, deleted when the session ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and written to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)

@@ -123,6 +123,7 @@ def test_long_deep_and_empty(spark):
 def test_many_paths_are_written_not_sent(spark, monkeypatch):
     monkeypatch.setattr(nested, "MAX_SHIPPED_PATHS", 3)
     rows = [(i, json.dumps({"modules": {f"k{i % 7}": [1, 2] if i % 2 else 3}})) for i in range(40)]
+    rows += [(100 + i, json.dumps({"modules": {"a.b": {'q"t': v}}, "curriculum": json.dumps([{"x y": v, "z.w": {"k": v}}])})) for i, v in enumerate(([1], 2, [3, None], "4"))]
     df = spark.createDataFrame(rows, "id long, raw_json string")
     assert sorted(tuple(r) for r in flatten_lists(df, "id", "raw_json", ROOTS, values=False).collect()) == sorted(walk(rows))
 
