@@ -310,6 +310,39 @@ def test_hidden_limit(spark):
     assert ("chars", 500) in {(r["measure"], r["limit_len"]) for r in found}
 
 
+def test_limits_decide(spark):
+    """Cut where lines of their kind do end: only the limit tells these from complete texts."""
+    r = random.Random(8)
+    words = ["Library", "Opening", "Rooms", "Campus", "Housing", "Sports", "Advice", "Dates", "Forms", "Places"]
+    line = lambda: " ".join(r.choice(words) for _ in range(4))
+    docs = [(i, "free", "\n".join(line() for _ in range(r.randrange(4, 30)))) for i in range(600)]
+    held = []
+    while len(held) < 40:
+        t = "\n".join(line() for _ in range(40))
+        if t[200] == "\n" or t[200] == " ":  # ends in a whole word
+            held.append((1000 + len(held), "held", t[:200]))
+    soft = [(2000 + i, "soft", ("\n".join(line() for _ in range(40)))[:300].rpartition(" ")[0] + " [...]") for i in range(40)]
+    marked = [(3000 + i, "free", "\n".join(line() for _ in range(r.randrange(4, 30))) + " [...]") for i in range(40)]
+    df = spark.createDataFrame(docs + held + soft + marked, "doc_id int, source string, text string")
+    got = {x["doc_id"]: x["at_limit"] for x in truncation.truncated(df).collect()}
+    none = {x["doc_id"] for x in truncation.truncated(df, least=10**9).collect()}
+    assert all(got.get(i) for i, s, _ in held + soft)
+    assert sum(i in none for i, s, _ in held + soft) < 40 and not any(v for k, v in got.items() if k < 1000 or k >= 3000)
+
+
+@pytest.mark.parametrize("tail", ["", " ...", "\n[more]", " &am", " <br", " ..." * 500, " " * 100_000 + "… [more]" * 100, "\ufffd" * 5000, "read more »  "])
+def test_markers_come_off(tail):
+    assert truncation.without_marker("The end of th" + tail) == "The end of th"
+
+
+def test_prefix_hashes():
+    words = ["deadline", "deadly", "d", "über", "😀x", "", "x" * 1_000_000]
+    by = {w: truncation.prefix_hashes(w) for w in words}
+    assert [len(by[w]) for w in words] == [len(w) for w in words]
+    assert (by["deadline"][:5] == by["deadly"][:5]).all() and by["deadline"][5] != by["deadly"][5] and by["d"][0] == by["deadly"][0]
+    assert len({*by["deadline"].tolist(), *by["x" * 1_000_000][:1000].tolist()}) == 1008
+
+
 # --- p3, p2: samples and what is counted on all ---------------------------------------------------------------------
 def test_names_are_counted_on_all_texts(spark):
     names = [a + b for a in ("Zor", "Quil", "Vex", "Brum", "Tald") for b in ("ina", "ober", "wick", "elda", "umar", "isch", "anto", "ulf")]
