@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Queries answered in one pass over the items; more take further passes.
+from ..session import shared_folder
+
+#: So many queries at most are sent with the tasks; more are written to the shared folder and read by the tasks, so many at a time.
 QUERY_BLOCK = 4096
+#: Numbers of a block of item vectors, and of a product, that a task holds at a time.
+BLOCK_NUMBERS = 8_000_000
 
 
 def usable(v: str, dim: int) -> Column:
@@ -41,38 +44,104 @@ def _unit(col: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _read_blocks(q: DataFrame) -> Callable[[], Iterator[pa.RecordBatch]]:
+    """The rows of `q` in batches of QUERY_BLOCK at most, as often as a task asks for them; the driver holds one batch at most."""
+    head = q.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    if head.num_rows <= QUERY_BLOCK:
+        return lambda: iter(head.to_batches())
+    where, size = shared_folder(q.sparkSession, "queries"), QUERY_BLOCK
+    q.write.parquet(where)
+
+    def read() -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
+
+        fs, path = FileSystem.from_uri(where if "://" in where or where.startswith("file:") else f"file://{where}")
+        yield from ds.dataset(path, filesystem=fs, format="parquet").to_batches(batch_size=size)
+
+    return read
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Batches of items put together to as many vectors as a task holds at a time, in order of their keys."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        return t.take(pc.sort_indices(t.column(0))).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) * dim >= BLOCK_NUMBERS:
+            yield whole()
+            held.clear()
+    if held:
+        yield whole()
+
+
+def _least(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least numbers of every row of `s`, ties by column."""
+    n = min(k, s.shape[1])
+    edge = np.partition(s, n - 1, axis=1)[:, n - 1 : n]
+    below, tied = s < edge, s == edge
+    return np.nonzero(below | tied & (tied.cumsum(1) <= n - below.sum(1, keepdims=True)))
+
+
+def block_topk(queries: DataFrame, items: DataFrame, k: int, dim: int, keys: tuple[str, str], vectors: tuple[str, str], digits: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The search behind exact_topk and ivf_topk: items stay where they are and meet the queries in blocks by matrix products.
+
+    With centres, an item meets only the queries of whose `probes` nearest centres one is the item's nearest. Only the k
+    best of a block leave the task, ties by the item's key, so copies of one item in any number don't widen the result.
+    """
+    q = queries.where(usable(vectors[0], dim)).select(keys[0], vectors[0])
+    it = items.where(usable(vectors[1], dim)).select(keys[1], vectors[1])
+    schema = T.StructType([q.schema[keys[0]], it.schema[keys[1]], T.StructField("score", T.DoubleType())])
+    read = _read_blocks(q)
+    step = max(1, QUERY_BLOCK)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches, dim):
+            x, own = _unit(b.column(1), dim), b.column(0)
+            lists = (x @ centres.T).argmax(1) if centres is not None else None
+            part = max(1, min(step, BLOCK_NUMBERS // len(x)))
+            for block in read():
+                for at in range(0, block.num_rows, part):
+                    some = block.slice(at, part)
+                    v = _unit(some.column(1), dim)
+                    if lists is None:
+                        s = np.round(np.maximum(1.0 - v @ x.T, 0.0), digits)
+                        row, col = _least(s, k)
+                        score = s[row, col]
+                    else:
+                        near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :probes]
+                        found = []
+                        for c in np.unique(lists):
+                            i, j = np.flatnonzero((near == c).any(1)), np.flatnonzero(lists == c)
+                            if len(i):
+                                s = np.round(np.maximum(1.0 - v[i] @ x[j].T, 0.0), digits)
+                                r, m = _least(s, k)
+                                found.append((i[r], j[m], s[r, m]))
+                        if not found:
+                            continue
+                        row, col, score = map(np.concatenate, zip(*found, strict=True))
+                        order = np.lexsort((col, score, row))
+                        row, col, score = row[order], col[order], score[order]
+                        first = np.r_[True, np.diff(row) > 0]
+                        best = np.arange(len(row)) - np.flatnonzero(first)[first.cumsum() - 1] < k
+                        row, col, score = row[best], col[best], score[best]
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), own.take(pa.array(col)), pa.array(score)], names=schema.fieldNames())
+
+    return ranked(it.mapInArrow(search, schema), keys[0], k, "score", keys[1])
+
+
 def exact_topk(queries: DataFrame, items: DataFrame, k: int, dim: int, query_key: str = "query_id", query_vector: str = "query_vector", item_key: str = "item_id", item_vector: str = "item_vector", digits: int = 6) -> DataFrame:
     """query key, item key, score (cosine distance, rounded) and rank of the k nearest items of every query, ties by item key.
 
-    Every item is compared with every query, in blocks: QUERY_BLOCK queries are sent to the tasks at a time and one matrix
-    product answers them for a batch of items; only each batch's best leave the task. Vectors that are not usable on
-    either side take no part; an empty side gives an empty result.
+    Every item is compared with every query, in one pass over the items, in blocks on both sides. Vectors that are not
+    usable on either side take no part; an empty side gives an empty result; null keys are kept.
     """
-    q = queries.where(usable(query_vector, dim)).select(query_key, query_vector)
-    it = items.where(usable(item_vector, dim)).select(item_key, item_vector)
-    schema = T.StructType([q.schema[query_key], it.schema[item_key], T.StructField("score", T.DoubleType())])
-    passes = max(1, -(-q.count() // QUERY_BLOCK))
-    found = []
-    for p in range(passes):
-        block = q.where(F.pmod(F.xxhash64(query_key), F.lit(passes)) == p).toArrow() if passes > 1 else q.toArrow()
-        if not block.num_rows:
-            continue
-        keys, vectors = block[query_key].combine_chunks(), _unit(block[query_vector].combine_chunks(), dim)
-
-        def search(batches: Iterator[pa.RecordBatch], keys: pa.Array = keys, vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                s = np.round(np.maximum(1.0 - vectors @ _unit(b.column(1), dim).T, 0.0), digits)
-                n = min(k, b.num_rows)
-                edge = np.partition(s, n - 1, axis=1)[:, n - 1]  # ties at the edge stay in
-                row, at = np.nonzero(s <= edge[:, None])
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), b.column(0).take(pa.array(at)), pa.array(s[row, at])], names=schema.fieldNames())
-
-        found.append(it.mapInArrow(search, schema))
-    if not found:
-        found = [items.sparkSession.createDataFrame([], schema)]
-    return ranked(reduce(DataFrame.unionAll, found), query_key, k, "score", item_key)
+    return block_topk(queries, items, k, dim, (query_key, item_key), (query_vector, item_vector), digits)
 
 
 def ranked(df: DataFrame, group: str, k: int | None, *order: str | Column) -> DataFrame:

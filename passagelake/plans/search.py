@@ -114,7 +114,7 @@ def vector_dims(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ivf_topk")
 def ivf(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate nearest items by inverted lists; recall is measured in the tests."""
+    """Approximate nearest items by inverted lists; the tests measure the recall of this query itself."""
     return ivf_topk(_queries(spark, d), _items(spark, d), K, DIM)
 
 

@@ -2,15 +2,18 @@
 
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
 from passagelake.functions import extract as X
 from passagelake.functions import text as T
 from passagelake.functions.cleaning import clean_full_text
 from passagelake.operators import ann, chunking, html, objects, retrieval, rules, upsert
+from passagelake.plans import registry
 from passagelake.sources import config, io
 from passagelake.streaming import threads
 
@@ -149,14 +152,32 @@ def _by(df, key="query_id"):
     return out
 
 
-def test_ivf_recall(spark, data):
-    e = spark.read.parquet(f"{data}/embeddings.parquet")
-    items = e.selectExpr("vec_id AS item_id", "embedding AS item_vector")
-    queries = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
-    exact = {(r["query_id"], r["item_id"]) for r in retrieval.exact_topk(queries, items, 10, 64).collect()}
-    near = {(r["query_id"], r["item_id"]) for r in ann.ivf_topk(queries, items, 10, 64, lists=20, probes=12).collect()}
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ivf_recall(spark, data, folder):
+    """Of the query as it is registered, against brute force."""
+    d = str(Path(data).parent / folder)
+    if not Path(d).exists():
+        pytest.skip("no such data")
+    exact = {(r["query_id"], r["item_id"]) for r in registry.QUERIES["vector_topk"](spark, d).collect()}
+    near = {(r["query_id"], r["item_id"]) for r in registry.QUERIES["ivf_topk"](spark, d).collect()}
     assert len(exact & near) / len(exact) >= 0.9
-    assert ann.ivf_topk(queries, items.limit(0), 3, 64).count() == 0
+
+
+def test_ivf_edges(spark):
+    r = np.random.default_rng(2)
+    items = spark.createDataFrame([(i, [float(x) for x in r.standard_normal(8)]) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(200)] + [(9, None), (10, [0.0] * 8), (11, [1.0])], "item_id int, item_vector array<float>")
+    queries = items.where("item_id % 20 = 0").toDF("query_id", "query_vector")
+    got = ann.ivf_topk(queries, items, 5, 8)
+    assert got.groupBy("query_id").count().where("count <> 5").count() == 0 and got.where("query_id = 1000 AND score = 0").count() == 5
+    assert ann.ivf_topk(queries, items.limit(0), 3, 8).count() == 0 == ann.ivf_topk(queries.limit(0), items, 3, 8).count()
+
+
+def test_ties_in_a_block_stay_bounded(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5000)], "item_id int, item_vector array<float>")
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 1.0])], "query_id int, query_vector array<float>")
+    monkeypatch.setattr(retrieval, "BLOCK_NUMBERS", 1000)
+    got = retrieval.exact_topk(q, items, 3, 2)
+    assert {(r["query_id"], r["item_id"]) for r in got.collect()} == {(a, b) for a in (1, 2) for b in (0, 1, 2)}
 
 
 def test_fusion_and_merge(spark):
