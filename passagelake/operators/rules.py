@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,29 +38,35 @@ def _any(c: Column, *parts: str) -> Column:
     return out
 
 
-# Fixed values below: path parts by which pages are told apart, in the order in which they are tried.
-def classify_page(url: Column, scope: str = "/en/") -> Column:
-    """struct<page_class, confidence>: ordered rules over a page's path; pages outside `scope` are left out."""
+# Classes of pages by parts of their paths, in the order in which they are tried. A row is one class: groups of
+# parts of each of which one must occur, the class, its confidence.
+PAGE_RULES: tuple[tuple[tuple[tuple[str, ...], ...], str, str], ...] = (
+    ((("/search/", "/sitemap", "/login", "/newsletter"),), "exclude", "high"),
+    ((("/english-language-study-programmes/",), ("/elective", "/core-courses", "/modules", "/course")), "curriculum_page", "high"),
+    ((("/english-language-study-programmes/",), ("-bachelor", "-master", "/bachelor", "/master")), "degree_program", "high"),
+    ((("/english-language-study-programmes/",),), "degree_program", "medium"),
+    ((("/studies/applications/",), ("uni-assist", "uniassist", "uni_assis")), "application_route_rule", "high"),
+    ((("/studies/applications/",), ("deadline", "period")), "deadline_rule", "medium"),
+    ((("/studies/applications/",), ("/master", "masters")), "application_process", "high"),
+    ((("/studies/applications/",),), "application_process", "medium"),
+    ((("/studies/degree-programmes/",), ("/faq",)), "faq_support", "high"),
+    ((("/studies/degree-programmes/",),), "overview_navigation", "medium"),
+    ((("/fees", "/cost", "/semester-fee", "/semester-contribution", "/contribution"),), "fees_funding_rule", "medium"),
+    ((("/language", "/english", "/german"),), "language_proof_rule", "medium"),
+    ((("/international/",), ("/apply", "/application", "/admission", "/requirements")), "application_process", "medium"),
+)
+# Where pages are classified at all, the class of those elsewhere and of those no rule knows.
+PAGE_SCOPE, OUT_OF_SCOPE, NO_RULE = "/en/", ("exclude_non_en", "high"), ("needs_review", "low")
+
+
+def classify_page(url: Column, rules: tuple = PAGE_RULES, scope: str = PAGE_SCOPE, outside: tuple[str, str] = OUT_OF_SCOPE, default: tuple[str, str] = NO_RULE) -> Column:
+    """struct<page_class, confidence> of a page by the first of `rules` that its path meets; `outside` where the path doesn't begin with `scope`."""
     p = F.lower(url_path(url))
-    course, applying = _any(p, "/english-language-study-programmes/"), _any(p, "/studies/applications/")
-    rules = [
-        (~F.startswith(p, F.lit(scope)), "exclude_other_language:high"),
-        (_any(p, "/search/", "/sitemap", "/login", "/newsletter"), "exclude:high"),
-        (course & _any(p, "/elective", "/core-courses", "/modules", "/course"), "curriculum_page:high"),
-        (course & _any(p, "-bachelor", "-master", "/bachelor", "/master"), "degree_program:high"),
-        (course, "degree_program:medium"),
-        (applying & _any(p, "uni-assist", "uniassist", "uni_assis"), "application_route_rule:high"),
-        (applying & _any(p, "deadline", "period"), "deadline_rule:medium"),
-        (applying & _any(p, "/master", "masters"), "application_process:high"),
-        (applying, "application_process:medium"),
-        (_any(p, "/studies/degree-programmes/") & _any(p, "/faq"), "faq_support:high"),
-        (_any(p, "/studies/degree-programmes/"), "overview_navigation:medium"),
-        (_any(p, "/fees", "/cost", "/semester-fee", "/semester-contribution", "/contribution"), "fees_funding_rule:medium"),
-        (_any(p, "/language", "/english", "/german"), "language_proof_rule:medium"),
-        (_any(p, "/international/") & _any(p, "/apply", "/application", "/admission", "/requirements"), "application_process:medium"),
-    ]
-    both = F.split(first_label(rules, "needs_review:low"), ":")
-    return F.struct(both[0].alias("page_class"), both[1].alias("confidence"))
+    label = lambda kind, sure: F.struct(F.lit(kind).alias("page_class"), F.lit(sure).alias("confidence"))
+    out = F.when(~F.startswith(p, F.lit(scope)), label(*outside))
+    for groups, kind, sure in rules:
+        out = out.when(reduce(Column.__and__, (_any(p, *parts) for parts in groups)), label(kind, sure))
+    return out.otherwise(label(*default))
 
 
 def relevance(text: Column, url: Column, keywords: tuple[str, ...], paths: tuple[str, ...], critical: tuple[str, ...]) -> Column:
@@ -219,14 +226,21 @@ def fuzzy_matches(texts: DataFrame, names: DataFrame, key: str, text: str | Colu
     return texts.select(key, match_form(text, True).alias("_t")).mapInArrow(run, schema)
 
 
-def check_draft(draft: Column, n_docs: Column, n_topics: Column, unsupported: tuple[str, ...]) -> Column:
+# What is said of a draft without topics, without documents, without citations, with wrong ones, and the
+# weights of documents, topics, citations and right citations in the confidence.
+DRAFT_REASONS = ("No topics detected", "No evidence documents retrieved", "No citations in draft", "Draft contains invalid citation numbers")
+DRAFT_WEIGHTS = (0.35, 0.2, 0.25, 0.2)
+
+
+def check_draft(draft: Column, n_docs: Column, n_topics: Column, unsupported: tuple[str, ...], claim_reason: str = "Draft contains an unsupported statement") -> Column:
     """struct of a draft's checks: citation_count, citations_valid, is_grounded, confidence, review_reason."""
     cited = F.array_distinct(F.transform(all_matches(draft, r"\[Doc ([0-9]+)\]", 1), lambda x: x.cast("int")))
     some = F.size(cited) > 0
     valid = some & F.forall(cited, lambda c: (c >= 1) & (c <= n_docs))
     claims = F.exists(F.array(*map(F.lit, unsupported)), lambda p: F.contains(F.lower(draft), p))
-    reasons = F.array_compact(F.array(F.when(n_topics == 0, "No topics detected"), F.when(n_docs == 0, "No evidence documents retrieved"), F.when(~some, "No citations in draft"), F.when(some & ~valid, "Draft contains invalid citation numbers"), F.when(claims, "Draft contains an unsupported statement")))
-    conf = F.when(n_docs > 0, 0.35).otherwise(0.0) + F.when(n_topics > 0, 0.2).otherwise(0.0) + F.when(some, 0.25).otherwise(0.0) + F.when(valid, 0.2).otherwise(0.0)
+    wrong = (n_topics == 0, n_docs == 0, ~some, some & ~valid, claims)
+    reasons = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in zip(wrong, (*DRAFT_REASONS, claim_reason), strict=True))))
+    conf = sum((F.when(c, F.lit(w)).otherwise(0.0) for c, w in zip((n_docs > 0, n_topics > 0, some, valid), DRAFT_WEIGHTS, strict=True)), F.lit(0.0))
     return F.struct(F.size(cited).alias("citation_count"), valid.alias("citations_valid"), ((n_docs > 0) & valid).alias("is_grounded"), F.round(conf, 2).alias("confidence"), F.array_join(reasons, "; ").alias("review_reason"))
 
 

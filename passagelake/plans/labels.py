@@ -16,16 +16,12 @@ _PATH = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)',
 _has = lambda c, *ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
 
 
+_CLASS = " ".join(f"WHEN {' AND '.join(_has('p', *parts) for parts in groups)} THEN '{kind}:{sure}'" for groups, kind, sure in L.PAGE_RULES)
+
+
 @query("classify_pages", f"""
     WITH p AS (SELECT id, {_PATH} AS p FROM site_objects),
-    c AS (SELECT id, CASE WHEN NOT starts_with(p, '/en/') THEN 'exclude_other_language:high' WHEN {_has('p', '/search/', '/sitemap', '/login', '/newsletter')} THEN 'exclude:high'
-      WHEN {_has('p', '/english-language-study-programmes/')} AND {_has('p', '/elective', '/core-courses', '/modules', '/course')} THEN 'curriculum_page:high'
-      WHEN {_has('p', '/english-language-study-programmes/')} AND {_has('p', '-bachelor', '-master', '/bachelor', '/master')} THEN 'degree_program:high' WHEN {_has('p', '/english-language-study-programmes/')} THEN 'degree_program:medium'
-      WHEN {_has('p', '/studies/applications/')} AND {_has('p', 'uni-assist', 'uniassist', 'uni_assis')} THEN 'application_route_rule:high' WHEN {_has('p', '/studies/applications/')} AND {_has('p', 'deadline', 'period')} THEN 'deadline_rule:medium'
-      WHEN {_has('p', '/studies/applications/')} AND {_has('p', '/master', 'masters')} THEN 'application_process:high' WHEN {_has('p', '/studies/applications/')} THEN 'application_process:medium'
-      WHEN {_has('p', '/studies/degree-programmes/')} AND {_has('p', '/faq')} THEN 'faq_support:high' WHEN {_has('p', '/studies/degree-programmes/')} THEN 'overview_navigation:medium'
-      WHEN {_has('p', '/fees', '/cost', '/semester-fee', '/semester-contribution', '/contribution')} THEN 'fees_funding_rule:medium' WHEN {_has('p', '/language', '/english', '/german')} THEN 'language_proof_rule:medium'
-      WHEN {_has('p', '/international/')} AND {_has('p', '/apply', '/application', '/admission', '/requirements')} THEN 'application_process:medium' ELSE 'needs_review:low' END AS c FROM p)
+    c AS (SELECT id, CASE WHEN NOT starts_with(p, '{L.PAGE_SCOPE}') THEN '{':'.join(L.OUT_OF_SCOPE)}' {_CLASS} ELSE '{':'.join(L.NO_RULE)}' END AS c FROM p)
     SELECT id, string_split(c, ':')[1] AS page_class, string_split(c, ':')[2] AS confidence FROM c""")
 def classify_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "site_objects").select("id", L.classify_page(F.coalesce("url", F.lit(""))).alias("c")).select("id", "c.page_class", "c.confidence")
