@@ -1,9 +1,10 @@
 """Problem 3: personal information in free text, by weak supervision.
 
-Patterns propose spans; labelers built on formats, gazetteers and contexts vote on each. Expectation-maximisation
-estimates, from their agreements alone, how reliable every labeler is and with it each span's probability, and on these a
-final span classifier (logistic regression over hashed features of the span and its surroundings) is trained. Fitting uses
-a bounded sample; every text is searched whole.
+Patterns propose spans, widely: every run of capitalised words and every longer number is one. Labelers built on formats,
+gazetteers and contexts vote on each, for or against. Expectation-maximisation estimates, from their agreements alone, how
+reliable every labeler is and with it each span's probability, and on these a final span classifier (logistic regression
+over hashed features of the span and its surroundings) is trained, which decides. Fitting uses a bounded sample; every text
+is searched whole.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import bounded_sample
-
 SAMPLE = 3000  # texts of each group that the classifier is fitted on at most
 DIM = 1 << 15
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
@@ -39,6 +38,9 @@ COMMON = set(
     "MfG LG VG BG Gruß Grüße Grüßen Dank Voraus Regards Wishes Cheers Sincerely Hochachtungsvoll "
     "Student Studentin Studierende Office Building Haus Gebäude Raum Room Module Modul Unit Desk Centre Center Counter Service Büro University Universität Hochschule College Programme Studiengang Phone Tel Mobil Mail Fwd Re AW WG RE".split()
 )
+# Words with which names of prizes, buildings and firms end.
+THINGS = frozenset("Prize Award Medal Fellowship Scholarship Preis Hall House Building Library Auditorium Wing Lecture Theatre Stiftung Foundation Institut Institute Saal Bau Haus Company Group Verlag Press Street Road Lane University".split())
+_PARTICLES = frozenset("von van de der den zu el al bin da di".split())
 _W = r"[^\W\d_]"
 _CAP = rf"(?:[A-ZÄÖÜÀ-ÞČŠŽŁŚĆ]{_W}*(?:[-’']{_W}+)*)"
 _GAP = r"(?:[ \t]+|[ \t]*\r?\n[>| \t]*)"
@@ -61,8 +63,12 @@ _ANCHORS: dict[str, re.Pattern] = {
     "dated": re.compile(rf"(?:(?i:{_D})(?:,?[ \t]+\d\d?:\d\d)?,{_GAP}({_SEQ})(?:{_GAP}<[^>]*>)?[ \t]*:[ \t]*(?=\r?\n|$))|(?:({_SEQ})(?:{_GAP}<[^>]*>)?,{_GAP}(?i:{_D})(?:,?[ \t]+\d\d?:\d\d)?[ \t]*:[ \t]*(?=\r?\n|$))"),
     "self": re.compile(rf"\b(?:I|Ich){_GAP}\(({_LAST_FIRST}|{_SEQW})[,)]"),
 }
+#: What a text must hold for an anchor to be there.
+_HINTS = {"title": ("Herr", "Frau", "Fr.", "Hr.", "Mr", "Ms", "Miss", "Dr", "Prof"), "wrote": ("hat ", "hat\n", "hat\r", "hat\t", "schrieb", "eply to", "EPLY TO", "ntwort auf", "NTWORT AUF", "eply To", "ntwort Auf"), "self": ("(",)}
+_HIDERS = ("(at)", "(@)", "(a)", "(ät)", "[at]", "[@]", "[ät]", "[a]", "{at}", "{@}", "<at>", " dot ", " DOT ", " punkt ", " Punkt ", " @ ", "-at-", "_at_")
 #: Anchors that start at a line's first character behind quote marks, and the letters with which a closing may begin.
 _OF_LINES = {"greeting", "closing", "header", "dated"}
+_GREETERS = frozenset("hHdDlLgGmM")
 _CLOSERS = frozenset("mwbkarctysvlhfdgMWBKARCTYSVLHFDG")
 #: Anchors that stand behind the name: first what is looked for, then what must end there.
 _BEHIND: dict[str, re.Pattern] = {
@@ -72,7 +78,7 @@ _BEHIND: dict[str, re.Pattern] = {
 }
 _SPACES = " \t\r\n>|"
 _NONSPACE, _INITIAL = re.compile(r"[^\s,]+"), re.compile(r"[A-ZÄÖÜ]\.")
-_BEFORE_WORDS, _AFTER_WORDS = re.compile(r"[\wäöüß@.:<(]+|\n"), re.compile(r"[\wäöüß@.:<>),]+|\n")
+_BEFORE_WORDS, _AFTER_WORDS = re.compile(r"[\wäöüß@.:<(]+|\n"), re.compile(r"[^\n\wäöüß@.:<>),]*([\wäöüß@.:<>),]+|\n)")
 _LOWERS, _UPPERS, _DIGIT = re.compile("[a-zäöüß]+"), re.compile("[A-ZÄÖÜ]+"), re.compile(r"\d")
 _ID_DATE, _PHONE_DATE = re.compile(r"\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{2,4}"), re.compile(r"\(?(?:\d{4}-\d\d?-\d\d?|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{1,2}/\d{1,2}/\d{2,4})(?!\d)")
 _ID_FORM, _ID_SHAPE = re.compile(r"[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d"), re.compile(r"[A-Z]{1,2}\d[\dA-Z ]{6,}|[a-z]\d{6,8}|\d{2} \d{3} \d{3} \d{3}|\d{6,8}")
@@ -81,6 +87,8 @@ _FAMILY_BEFORE = re.compile(rf"(?<![\w@.-])({_CAP}),{_GAP}$")
 _FAMILY_AFTER = re.compile(rf"({_GAP})(?:[A-ZÄÖÜ]\.{_GAP})?({_CAP})(?![\w@]|-[a-z])")
 #: A name all in lower case, where the line or a verb of writing ends it.
 _LOWER_PAIR = re.compile(rf"(?<![\w@.+-])([a-zäöüéèë]{{3,15}}(?:-[a-zäöüéèë]+)?) ([a-zäöüß]{{4,25}}(?:-[a-zäöüß]+)?)(?=[ \t]*(?:[<(,:]|\r?\n|$)|[ \t]+(?:wrote|schrieb|hat|geschrieben|has|from|aus|on|am)\b)(?![@.]\w)")
+#: What may stand between the words of a run.
+_JOINS = frozenset(f" {x}" for x in ("", *(f"{w} " for w in sorted(_PARTICLES))))
 _TOKEN = re.compile(rf"(?<![\w@.-]){_CAP}(?![\w@]|-[a-z])")
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _HIDDEN_MAIL = re.compile(
@@ -90,7 +98,7 @@ _HIDDEN_MAIL = re.compile(
 _MAY_HIDE = re.compile(r"[(\[{<](?:at|a|ät|@)[)\]}>]| (?:dot|DOT|punkt|Punkt) | @ |[-_]at[-_]")
 _PHONE = re.compile(r"(?<![\w/.+-])(?:\+|\(\+?)?\d(?:[\d()/.\-]|[ \u00a0](?=[\d(/-])){5,24}\d(?![\w])")
 _ID_LABEL = r"(?:personalausweis\w*|ausweis(?:nummer|nr)?|id[ -]?card|identity card|reisepass\w*|passport|pass(?:nummer|nr)|matr(?:ikel)?\w*|student(?:en)?(?: |-)?(?:id|number|no|nummer|nr)|studierendennummer|bewerber\w*|applicant(?: |-)?(?:id|number|no)?|application (?:number|id)|steuer\w*(?:-id\w*|-nr|nummer)?|tax\b|tin\b|insurance|\w*versicher\w*|sv-\w+|kv-\w+)"
-_ID = re.compile(r"(?<![\w.@/+-])(?:[A-Za-z]{1,3})?\d(?:[\dA-Z]|[ /-](?=[\dA-Z]{2,})){4,15}(?![\w@])(?!\.\d)|(?<![\w.@/+-])[A-Z]\d{2}[A-Z]\d{2}[A-Z]\d{2}(?!\w)")
+_ID = re.compile(r"\d(?:(?<=(?<![\w.@/+-])\d)|(?<=(?<![\w.@/+-])[A-Za-z]\d)|(?<=(?<![\w.@/+-])[A-Za-z]{2}\d)|(?<=(?<![\w.@/+-])[A-Za-z]{3}\d))(?:[\dA-Z]|[ /-](?=[\dA-Z]{2,})){4,15}(?![\w@])(?!\.\d)")  # behind up to three letters
 _LABEL_BEFORE = re.compile(rf"(?i){_ID_LABEL}[\s>|.:#-]*(?:(?:id|number|no|nr|nummer|card)\b[\s>|.:#-]*)?(?:(?:is|ist|lautet|was|war)\b[\s>|:]*)?$")
 _OTHER_BEFORE = re.compile(r"(?i)(?:order|parcel|receipt|bestell\w*|paket\w*|sendung\w*|rechnung\w*|invoice|beleg|module?\b.{0,12}|room|raum|EUR|€|version|error|fehler|code|katalog\w*|vorgang|aushang|aktenzeichen|likes?|got|isbn|konto\w*|iban)[\s>|.:#-]*$")
 _PHONE_BEFORE = re.compile(r"(?i)(?:tel(?:efon)?|phone|mobile?|mobil|fon|handy|call(?: me)?|reach me (?:under|at|on)|erreichen (?:sie )?mich unter|unter|rückruf.{0,15}|ruf.{0,15}|fax|\bT|whatsapp|number)[\s>|.:]*$")
@@ -98,9 +106,9 @@ _STREET_DE = rf"[A-ZÄÖÜ][\wäöüß]*(?:-[A-ZÄÖÜ]?[\wäöüß]+)*(?:[ -])?
 _STREET_AM = rf"(?:Am|An der|An den|Im|In der|Zum|Zur|Unter den|Auf dem|Auf der|Hinter dem|Vor dem){_GAP}(?:{_CAP}{_GAP}){{1,2}}\d{{1,4}}(?:[ ]?[a-z](?!\w))?(?![\w:%]|[./]\d|\.? ?(?:{_MONTHS}|Uhr))"
 _STREET_EN = rf"(?<![\w.,/:-])\d{{1,4}}[a-z]?{_GAP}(?:{_CAP}{_GAP}){{1,3}}(?:Road|Street|Lane|Close|Row|Avenue|Way|Court|Drive|Place|Terrace|Gardens|Square|Hill|Crescent|Walk|Mews|Grove|Rd|St|Ave)\b"
 _STREETS = (
-    (re.compile(_STREET_DE), re.compile(r"(?:aße|asse|tr\.|weg|Weg|allee|Allee|gasse|Gasse|latz|fer|ing|amm|ssee|teig|fad|all|nade)[ \n\r\t>|]{1,9}\d").search),
-    (re.compile(_STREET_EN), re.compile(r"\b(?:Road|Street|Lane|Close|Row|Avenue|Way|Court|Drive|Place|Terrace|Gardens|Square|Hill|Crescent|Walk|Mews|Grove|Rd|St|Ave)\b").search),
-    (re.compile(_STREET_AM), re.compile(r"\b(?:Am|An de[rn]|Im|In der|Zu[mr]|Unter den|Au[f] de[mr]|Hinter dem|Vor dem)[ \n]").search),
+    (re.compile(_STREET_DE), ("straße", "strasse", "Straße", "Strasse", "str.", "Str.", "weg", "Weg", "llee", "asse", "latz", "fer", "ing ", "ing\n", "Ring", "amm", "haussee", "teig", "fad", "all ", "romenade")),
+    (re.compile(_STREET_EN), ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", "Rd", "St", "Ave")),
+    (re.compile(_STREET_AM), ("Am", "An de", "Im", "In der", "Zum", "Zur", "Unter den", "Auf de", "Hinter dem", "Vor dem")),
 )
 _LABEL_HINTS = ("ausweis", "card", "pass", "matr", "stud", "bewerb", "applic", "steuer", "tax", "tin", "insur", "versicher", "sv-", "kv-")
 #: Words after which a name may follow, and what may stand between; they are looked up in the lower-case text.
@@ -130,7 +138,7 @@ class Model:
     names: frozenset[str]
     places: frozenset[str]
     reliability: dict[str, dict[str, float]]
-    weights: np.ndarray
+    weights: list[float]
     bias: dict[str, float]
 
 
@@ -156,8 +164,15 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
     """All proposed spans of `text` with their labelers' votes (1 for, -1 against)."""
     out: list[Span] = []
     near = lambda a, n=60: text[max(0, a - n) : a]
+
+    def some(hints: tuple[str, ...]) -> bool:
+        for h in hints:
+            if h in text:
+                return True
+        return False
+
     mails = list(_EMAIL.finditer(text)) if "@" in text else []
-    if _MAY_HIDE.search(text):
+    if some(_HIDERS) and _MAY_HIDE.search(text):
         mails += [m for m in _HIDDEN_MAIL.finditer(text) if not any(m.start() < o.end() and o.start() < m.end() for o in mails)]
     for m in mails:
         v = m[0].rstrip(".-")
@@ -166,16 +181,17 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
     taken = [(s.start, s.end) for s in out]
     free = lambda a, b: not any(a < y and x < b for x, y in taken)
     for m in _ID.finditer(text):
-        if not free(*m.span()):
+        a, e = m.span()
+        while a and m.start() - a < 3 and text[a - 1].isascii() and text[a - 1].isalpha():
+            a -= 1
+        if e - a < 6 or not free(a, e):
             continue
-        b = near(m.start(), 45)
+        b = near(a, 45)
         low = b.lower()
         label = any(h in low for h in _LABEL_HINTS) and bool(_LABEL_BEFORE.search(b))
-        date = bool(_ID_DATE.match(m[0]))
-        if label or not m[0].isdigit() and re.search(r"[A-Z]", m[0]) and re.search(r"\d{5}", m[0]) or _ID_FORM.fullmatch(m[0]):
-            out.append(Span("id_number", m.start(), m.end(), {"label": 1 if label else -1, "other": -1 if _OTHER_BEFORE.search(b) else 0, "date": -1 if date else 0, "shape": 1 if _ID_SHAPE.fullmatch(m[0]) else 0}))
-            if label:
-                taken.append(m.span())
+        out.append(Span("id_number", a, e, {"label": 1 if label else -1, "other": -1 if _OTHER_BEFORE.search(b) else 0, "date": -1 if _ID_DATE.match(text, a, e) else 0, "shape": 1 if _ID_SHAPE.fullmatch(text, a, e) else 0}))
+        if label:
+            taken.append((a, e))
     for m in _PHONE.finditer(text):
         a, e = m.span()
         if not free(a, e):
@@ -186,7 +202,7 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
             continue
         out.append(Span("phone", a, e, {"prefix": 1 if re.match(r"\+|00[1-9]|\(?0[1-9]", v) else -1, "length": 1 if n >= 9 else -1, "context": 1 if _PHONE_BEFORE.search(b) else 0, "line": 1 if re.search(r"\n[>| ]*$", b) or not b else 0, "other": -1 if _OTHER_BEFORE.search(b) or _LABEL_BEFORE.search(b) else 0}))
         taken.append((a, e))
-    for m in [m for rx, may in _STREETS if may(text) for m in rx.finditer(text)]:
+    for m in [m for rx, hints in _STREETS if some(hints) for m in rx.finditer(text)]:
         a, e = m.span()
         if not free(a, e):
             continue
@@ -206,7 +222,7 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
             else:
                 e = k
         a, e = _trim_seq(text, a, e, names)
-        if a >= e or e - a < 2 or not free(a, e) or _THING_WORD.search(text[a:e]) or _THING_AFTER.match(text[e : e + 24]):
+        if a >= e or e - a < 2 or not free(a, e):
             return
         for s in found.values():
             if s.start < e and a < s.end:  # one mention: the widest of what its anchors see
@@ -228,23 +244,24 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
                 k = low.find(word, k + 1)
     at, lines = 0, []
     for x in text.split("\n"):
-        k = at
-        while k < len(text) and text[k] in ">| \t":
-            k += 1
-        lines.append((k, at + len(x), x.rstrip().endswith(":")))
+        y = x.lstrip(">| \t")
+        if y:
+            end = at + len(x)
+            lines.append((end - len(y), end, y[0], y.rstrip()[-1:] == ":"))
+        else:
+            lines.append((at, at, "", False))
         at += len(x) + 1
-    for i, (k, end, _) in enumerate(lines):
+    colons = {i - d for i, x in enumerate(lines) if x[3] for d in range(3)}
+    for i, (k, end, c, _) in enumerate(lines):
         if k >= end:
             continue
-        c = text[k]
-        colon_near = any(x[2] for x in lines[i : i + 3])
-        for by, maybe in (("greeting", c in "hHdDlLgGmM"), ("closing", end - k < 90 and c in _CLOSERS), ("header", c in "*FVTACK"), ("dated", colon_near)):
+        for by, maybe in (("greeting", c in _GREETERS), ("closing", end - k < 90 and c in _CLOSERS), ("header", c in "*FVTACK"), ("dated", i in colons)):
             if maybe and (m := _ANCHORS[by].match(text, k)):
                 g = next((n for n in range(1, (m.lastindex or 0) + 1) if m[n]), 0)
                 if g and not (by in ("header", "dated") and m[g] in places):
                     name(m.start(g), m.end(g), by)
     for by, rx in _ANCHORS.items():
-        if by in _OF_LINES:
+        if by in _OF_LINES or not some(_HINTS[by]):
             continue
         for m in rx.finditer(text):
             g = next((k for k in range(1, (m.lastindex or 0) + 1) if m[k]), 0)
@@ -263,9 +280,10 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
     for m in _LOWER_PAIR.finditer(text):
         if m[1].split("-")[0].capitalize() in names:
             name(m.start(1), m.end(2), "lowercase")
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
     last = 0
-    for m in _TOKEN.finditer(text):
-        w = m[0]
+    for a, e in tokens:
+        w = text[a:e]
         if w not in names:
             if "-" in w:
                 w = w.split("-")[0]
@@ -273,9 +291,8 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
                 w = w.capitalize()
             if w not in names:
                 continue
-        if m.start() < last:
+        if a < last:
             continue
-        a, e = m.span()
         j = a - 1
         while j >= 0 and text[j] in _SPACES:
             j -= 1
@@ -287,47 +304,75 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
                 e = n.end()
         last = e
         name(a, e, "gazetteer")
+    taken += [(s.start, s.end) for s in found.values()]
+    i = 0
+    while i < len(tokens):  # two to four capitalised words side by side, whatever they are
+        j = i
+        while j + 1 < len(tokens) and j - i < 3 and text[tokens[j][1] : tokens[j + 1][0]] in _JOINS:
+            j += 1
+        if j > i:
+            a, e = _trim_seq(text, tokens[i][0], tokens[j][1], names)
+            if " " in text[a:e] and free(a, e):
+                found[a] = Span("person_name", a, e, {"bare": -1})  # no context speaks for it
+        i = j + 1
     for s in found.values():
-        words = _NONSPACE.findall(text[s.start : s.end])
-        hyphen = len(words) > 1 and text[s.end : s.end + 1] == "-"  # what a thing's name goes on with
-        s.votes["thing"] = -1 if hyphen and _THING_BEFORE.search(near(s.start, 24)) or "-" in text[s.start : s.end] and _THING_WORD.search(text[s.start : s.end]) else 0
-        s.votes["place"] = -1 if len(words) == 1 and words[0] in places and words[0] not in names else 0
-        s.votes["lower"] = -1 if any(w.strip(".,") in COMMON for w in words) else 0
-        s.votes["known"] = 1 if any(w.strip(".,").split("-")[0].capitalize() in names for w in words) else 0
+        words = [w.strip(".,") for w in _NONSPACE.findall(text[s.start : s.end])]
+        behind = text[s.end : s.end + 24]
+        thing = _THING_AFTER.match(behind) or "-" in text[s.start : s.end] and _THING_WORD.search(text[s.start : s.end])
+        hyphen = len(words) > 1 and behind[:1] == "-" and _THING_BEFORE.search(near(s.start, 24))  # what a thing's name goes on with
+        s.votes.pop("gazetteer", None)
+        s.votes["thing"] = -1 if thing or hyphen or len(words) > 1 and words[-1] in THINGS else 0
+        s.votes["article"] = -1 if _THING_BEFORE.search(near(s.start, 24)) else 0
+        s.votes["place"] = -1 if any(w in places for w in words) and not any(w in names for w in words) else 0
+        s.votes["common"] = -1 if any(w in COMMON or w.islower() and w not in _PARTICLES for w in words) else 0
+        s.votes["given"] = 1 if any(w.split("-")[0].capitalize() in names for w in words) else 0
         out.append(s)
     for s in out:
         s.value = text[s.start : s.end]
     return out
 
 
+@lru_cache(maxsize=65_536)
+def _look(value: str) -> tuple[str, ...]:
+    """What a span shows by itself, as features."""
+    shape = _LOWERS.sub("a", _UPPERS.sub("A", _DIGIT.sub("0", value)))
+    words = value.split()
+    return f"s{shape}", f"n{len(words)}", f"x{words[-1][-4:] if words else ''}", f"p{words[0][:3] if words else ''}", f"w{words[0] if words else ''}"
+
+
+@lru_cache(maxsize=262_144)
+def _place(kind: str, feature: str) -> int:
+    return crc32(f"{kind}|{feature}".encode()) % DIM
+
+
 def _features(text: str, s: Span) -> list[int]:
     """Hashed features of a span and its surroundings; a fixed number of them."""
     k = s.kind
-    votes = ",".join(f"{n}{v}" for n, v in sorted(s.votes.items()) if v)
+    votes = ",".join([f"{n}{v}" for n, v in sorted(s.votes.items()) if v])
     before = _BEFORE_WORDS.findall(text[max(0, s.start - 40) : s.start])[-2:]
-    after = _AFTER_WORDS.findall(text[s.end : s.end + 30])[:1]
-    shape = _LOWERS.sub("a", _UPPERS.sub("A", _DIGIT.sub("0", s.value[:40])))
-    words = s.value.split()
-    fs = [f"v{votes}", f"b{before[-1] if before else '^'}", f"bb{' '.join(before)}", f"a{after[0] if after else '$'}", f"s{shape}", f"n{len(words)}", f"x{words[-1][-4:] if words else ''}", f"p{words[0][:3] if words else ''}", f"w{words[0] if words else ''}", f"u{len(s.votes)}"]
-    return [crc32(f"{k}|{f}".encode()) % DIM for f in fs]
-
-
-def estimate(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over labelers' votes (1, -1, 0 for none): probability of each span, reliability of each labeler."""
-    n, m = votes.shape
-    cast = (votes != 0).sum(0)
-    # what only speaks against a span names another thing outright: it is trusted more to begin with, and beliefs weigh a fifth of the votes
-    start = np.where((votes == 1).any(0), 0.8, 0.93)
-    acc, prior = start.copy(), 0.7
-    q = np.full(n, prior)
+    after = _AFTER_WORDS.match(text, s.end)
+    own = (f"v{votes}", f"b{before[-1] if before else '^'}", f"bb{' '.join(before)}", f"a{after[1] if after else '$'}", f"u{len(s.votes)}", *_look(s.value))
+    return [_place(k, f) for f in own]
+
+
+def estimate(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over labelers' votes (1, -1, 0 for none): probability of each span, reliability of each labeler.
+
+    How often a labeler votes for true and for other spans is counted for each kind of vote by itself, so that one who is
+    right against may be wrong for. Abstentions tell nothing, and a vote never tells the contrary: at worst its labeler has
+    no weight left. Nothing is known of the labelers to begin with; two observations smooth each count.
+    """
+    kinds = ((votes == 1).astype(float), (votes == -1).astype(float))
+    cast = sum(k.sum(0) for k in kinds)
+    q = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
     for _ in range(rounds):
-        w = np.log(acc / (1 - acc))
-        q = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + votes @ w, -30, 30)))
-        right = (votes == 1) * q[:, None] + (votes == -1) * (1 - q)[:, None]
-        weight = 5 + 0.2 * cast
-        acc = np.clip((right.sum(0) + start * weight) / (cast + weight), 0.55, 0.985)
-        prior = float(np.clip(q.mean(), 0.05, 0.95))
-    return q, acc
+        prior = float(np.clip(q.mean(), 0.02, 0.98))
+        out = np.full(len(votes), np.log(prior / (1 - prior)))
+        for k, low, high in ((kinds[0], 0.0, 6.0), (kinds[1], -6.0, 0.0)):
+            true, other = (k.T @ q + 2 / 3) / (q.sum() + 2), (k.T @ (1 - q) + 2 / 3) / ((1 - q).sum() + 2)
+            out += k @ np.clip(np.log(true / other), low, high)
+        q = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+    return q, (kinds[0].T @ q + kinds[1].T @ (1 - q) + 1) / (cast + 2)
 
 
 _GREETING = re.compile(_LINE + _ANCHORS["greeting"].pattern)
@@ -406,15 +451,13 @@ def fit(texts: list[str], rounds: int = 80, given: frozenset[str] = GIVEN, learn
             b -= 0.3 * err.sum() / np.sqrt(gb)
         weights += w
         bias[kind] = float(b)
-    return Model(names, places, rel, weights, bias)
+    return Model(names, places, rel, weights.tolist(), bias)
 
 
 def find(text: str, model: Model) -> list[Span]:
     """The accepted spans of a text, in order and without overlaps."""
-    out: list[Span] = []
-    for s in candidates(text, model.names, model.places):
-        if model.weights[_features(text, s)].sum() + model.bias.get(s.kind, 0.0) > 0:
-            out.append(s)
+    w = model.weights
+    out = [s for s in candidates(text, model.names, model.places) if sum([w[i] for i in _features(text, s)]) + model.bias.get(s.kind, 0.0) > 0]
     out.sort(key=lambda s: (TYPES.index(s.kind), s.start))
     kept: list[Span] = []
     for s in out:
@@ -431,12 +474,22 @@ def replace(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit_on(df: DataFrame, group: str, text: str, sample: int = SAMPLE) -> Model:
-    """A model with gazetteers of all texts, fitted on at most `sample` distinct texts of each group, chosen by their hash."""
-    groups = [r[0] for r in df.select(group).distinct().limit(100).collect()]
+def fit_on(df: DataFrame, group: str, text: str, sample: int = SAMPLE, total: int = 4 * SAMPLE) -> Model:
+    """A model with gazetteers of all texts, fitted on distinct texts of every group, chosen by their hash: at most `sample` of each, and at most `total` over however many groups there are."""
+    rows = df.select(F.col(group).alias("_g"), F.col(text).alias("_t")).where("_t <> ''")
+    sizes = rows.groupBy("_g").agg(F.approx_count_distinct(F.xxhash64("_t"), 0.02).alias("_n"))
+    n = sizes.agg(F.count(F.lit(1))).first()[0]
+    each = max(1, min(sample, total // max(n, 1)))
+    part = F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("_n")) * min(1.0, 1.3 * total / max(n, 1))
+    h = F.pmod(F.xxhash64("_t"), F.lit(1 << 30))
+    kept = rows.join(sizes.toDF("_g2", "_n"), F.col("_g").eqNullSafe(F.col("_g2"))).withColumn("_h", h).where(F.col("_h") <= part * (1 << 30))
+    got = kept.select("_g", "_h", "_t").distinct().limit(4 * total).collect()
+    taken: Counter[object] = Counter()
     texts: list[str] = []
-    for g in sorted(groups):
-        texts += [r[0] for r in bounded_sample(df.where(F.col(group).eqNullSafe(g) & F.col(text).isNotNull()).select(text), sample, distinct=True)]
+    for r in sorted(got, key=lambda r: (r["_h"], str(r["_g"]), r["_t"])):
+        taken[r["_g"]] += 1
+        if taken[r["_g"]] <= each and len(texts) < total:
+            texts.append(r["_t"])
     return fit(texts, learned=learned_on(df, text))
 
 

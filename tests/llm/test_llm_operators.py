@@ -157,6 +157,57 @@ def test_estimate_trusts_the_reliable():
     assert acc[0] > acc[1] and acc[2] > acc[1] and ((q > 0.5) == y).mean() > 0.9
 
 
+def _numbered(n, seed):
+    """Mails with phone numbers and order numbers, half of each with as many labelers for as against; and the true starts."""
+    r = random.Random(seed)
+    num = lambda k: "".join(r.choice("123456789") for _ in range(k))
+    out = []
+    for _ in range(n):
+        phone = r.choice([f"0{num(3)} {num(7)}", f"({num(3)}) {num(3)}-{num(4)}"])
+        order = r.choice([f"order\n0{num(3)}-{num(3)}", f"order {num(4)}-{num(4)}"])
+        t = f"Hello,\nmy {order} did not arrive. {r.choice(['Call me', 'My phone', 'You find me in the list as'])} {phone}, please.\nSee also order {num(4)}-{num(4)}."
+        out.append((t, t.index(phone)))
+    return out
+
+
+def test_pii_classifier_overrules_the_vote():
+    model = pii.fit([t for t, _ in _numbered(400, 1)])
+    counts, overruled = {"ties in": [0, 0, 0], "ties out": [0, 0, 0], "rows": [0, 0, 0]}, 0
+    for t, true in _numbered(200, 2):
+        spans = [s for s in pii.candidates(t, model.names, model.places) if s.kind == "phone"]
+        got = {"ties in": {s.start for s in spans if sum(s.votes.values()) >= 0}, "ties out": {s.start for s in spans if sum(s.votes.values()) > 0}, "rows": {s.start for s in pii.find(t, model) if s.kind == "phone"}}
+        overruled += len(got["ties in"] ^ got["rows"]) + len(got["ties out"] ^ got["rows"])
+        for k, own in got.items():
+            for i, x in enumerate((own & {true}, own, {true})):
+                counts[k][i] += len(x)
+    f1 = {k: 2 * hit / (own + true) for k, (hit, own, true) in counts.items()}
+    assert overruled > 80 and f1["rows"] > 0.98 and f1["rows"] > max(f1["ties in"], f1["ties out"]) + 0.05, (overruled, f1)
+
+
+def test_runs_of_capitals_are_proposed_and_refused():
+    studies = ["Digital Water Systems", "Urban Trade Law", "Media Studies", "Social Logistics"]
+    model = pii.fit([f"{t}\nI study {studies[i % 4]}, and {n} won the {n} Prize." for i, t in enumerate(_mails()) for n in [t.rpartition("\n")[2]]])
+    t = "Dear Ms Kornfeldt,\nI study Digital Water Systems, and Clara Velidze won the Ines Kornfeldt Prize."
+    spans = {s.value for s in pii.candidates(t, model.names, model.places) if s.kind == "person_name"}
+    assert {"Digital Water Systems", "Ines Kornfeldt"} <= spans
+    assert {s.value for s in pii.find(t, model)} == {"Kornfeldt", "Clara Velidze"}
+
+
+def test_labelers_can_lose():
+    r = np.random.default_rng(1)
+    y = r.random(1000) < 0.4
+    says = lambda right, some: np.where(r.random(1000) < some, np.where(r.random(1000) < right, y, ~y) * 2 - 1, 0)
+    votes = np.stack([says(0.95, 0.8), says(0.93, 0.8), says(0.9, 0.8), np.ones(1000)], 1).astype(float)
+    q, acc = pii.estimate(votes)
+    assert ((q > 0.5) == y).mean() > 0.93 and acc[3] < 0.5 < 0.85 < min(acc[:3])
+
+
+def test_pii_fits_on_every_group(spark):
+    rows = [(f"g{i}", f"Best regards\nAnna Number{'abcdefghij'[i % 10]}{'abcdefghijklmnop'[i // 10]}") for i in range(150)]
+    model = pii.fit_on(spark.createDataFrame(rows, "g string, text string"), "g", "text", 1, 1000)
+    assert len(model.weights) == pii.DIM and pii.find("Best regards\nAnna Example", model)
+
+
 def test_pii_frames(spark):
     texts = _mails(60)
     df = spark.createDataFrame([("a", i, t, "c") for i, t in enumerate(texts)] + [("a", None, None, None), ("a", 99, "", None)], "g string, id int, text string, pii_type string")
