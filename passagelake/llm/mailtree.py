@@ -7,7 +7,9 @@
     signature := separator? line*
     notice    := paragraph that software or a legal department appends
 
-The grammar is applied by recursive descent; a node keeps the numbers of its lines in the mail it was found in.
+The grammar is applied by descent: `parse` gives the nodes of one mail, with the lines of the mails inside them, and `tree`
+goes on inside. What a sender has newly written is never inside a quote or forward, so `new_lines` serialises the authored and
+closing nodes of the outermost mail and leaves what is inside unparsed; `mail_nodes` gives every node of the whole tree.
 """
 
 from __future__ import annotations
@@ -20,22 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MAX_DEPTH = 40  # quotes nested deeper stay one quote node; their lines are quoted either way
+MAX_DEPTH = 40  # quotes nested deeper stay one node of the tree unless a caller says otherwise
 
 _MONTH = r"(?:jan(?:uary|uar)?|feb(?:ruary|ruar)?|m(?:arch|ar|ärz|rz)|apr(?:il)?|ma[iy]|june?i?|july?i?|aug(?:ust)?|sep(?:t|tember)?|o[ck]t(?:ober)?|nov(?:ember)?|de[cz](?:ember)?)"
 _DATE = rf"(?:\d{{4}}-\d\d?-\d\d?|\d{{1,2}}\.\d{{1,2}}\.(?:\d{{2,4}})?|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{1,2}}(?:st|nd|rd|th|\.)?\s+{_MONTH}\.?(?:,?\s+\d{{4}})?|{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?)"
 _TIME = r"(?:,?\s+(?:at\s+|um\s+)?\d{1,2}[:.]\d\d(?:\s*(?:am|pm|uhr))?)?"
 _DAY = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?|mo|di|mi|do|fr|sa|so|(?:mon|diens|donners|frei|sams|sonn)tag|mittwoch)[,.]*\s+"
-_WHO = r"[^\n:]{2,120}?"
+_WHO = r"[^\n:]{2,}?"
 _I = re.IGNORECASE
 _INTROS = [
     re.compile(rf"^(?:on|am)\s+(?:{_DAY})?{_DATE}{_TIME},?\s+(?:hat\s+|schrieb\s+)?{_WHO}(?:\s+wrote|\s+geschrieben)?\s*:$", _I),
     re.compile(rf"^{_WHO}\s+(?:wrote|schrieb)\s+(?:on|am)\s+(?:{_DAY})?{_DATE}{_TIME}\s*:$", _I),
     re.compile(rf"^(?:in reply to|replying to|(?:als )?antwort auf|zu)\s+{_WHO}\s*\((?:{_DAY})?{_DATE}{_TIME}\)\s*:$", _I),
-    re.compile(rf"^(?:in reply to|(?:als )?antwort auf)\s+{_WHO}<[^>]+@[^>]+>[^:]*:$", _I),
+    re.compile(rf"^(?:in reply to|(?:als )?antwort auf)\s+{_WHO}<[^<>]+@[^<>]+>[^:]*:$", _I),
     re.compile(rf"^(?:{_DAY})?{_DATE}{_TIME},\s*{_WHO}\s*:$", _I),
     re.compile(rf"^{_WHO},\s*(?:{_DAY})?{_DATE}{_TIME}\s*:$", _I),
-    re.compile(rf"^{_WHO}<[^>]+@[^>]+>\s*(?:wrote|schrieb)\s*:$", _I),
+    re.compile(rf"^{_WHO}<[^<>]+@[^<>]+>\s*(?:wrote|schrieb)\s*:$", _I),
 ]
 _RULE_TEXT = re.compile(r"^[-_=\s]*(?:begin\s+)?(?:original(?:\s+message|nachricht)|ursprüngliche\s+(?:nachricht|e-?mail)|forwarded\s+(?:message|mail|by.*)|weitergeleitete\s+(?:nachricht|e-?mail)|anfang der weitergeleiteten.*)\s*:?[-_=\s]*$", _I)
 _RULE = re.compile(r"^\s*_{20,}\s*$")
@@ -63,10 +65,11 @@ _MORE_THAN = re.compile(r"^>\s?\d[\d.,]*\s?(?:%|€|\w).*[.?!]$")
 
 @dataclass
 class Node:
-    """A node of the tree: kind, its line numbers (from 0) in the mail it was found in, and a quote's own tree."""
+    """A node of the tree: kind, its line numbers (from 0) in the mail it was found in, the lines of a mail inside it without their prefix, and that mail's nodes."""
 
     kind: str
     lines: list[int]
+    held: list[str] | None = None
     inside: list[Node] = field(default_factory=list)
 
 
@@ -77,9 +80,9 @@ def _intro(lines: list[str], i: int) -> int:
         return 0
     joined = one
     for n in (1, 2, 3):
-        if joined.endswith(":") and len(joined) < 260 and any(p.match(joined) for p in _INTROS):
+        if joined.endswith(":") and any(p.match(joined) for p in _INTROS):
             return n
-        if i + n >= len(lines) or not lines[i + n].strip() or one.endswith((".", "?", "!", ":")) or len(joined) > 200:
+        if i + n >= len(lines) or not lines[i + n].strip() or one.endswith((".", "?", "!", ":")):
             return 0
         more = lines[i + n].strip()
         if more.endswith(":") and any(p.match(more) for p in _INTROS):  # introduces by itself; what stands before it is no part of it
@@ -127,17 +130,17 @@ def _next(lines: list[str], i: int) -> int:
     return i
 
 
-def parse(lines: list[str], depth: int = 0) -> list[Node]:
-    """The tree of a mail given by its lines."""
+def parse(lines: list[str]) -> list[Node]:
+    """The nodes of a mail given by its lines; those of the mails inside it are not looked for."""
     out: list[Node] = []
     state, i, n = "body", 0, len(lines)
     introduced = any(_intro(lines, k) for k in range(n) if lines[k].rstrip().endswith(":") or lines[k].strip()[:3].lower() in ("on ", "am ", "in "))
 
-    def add(kind: str, a: int, b: int, inside: list[Node] | None = None) -> None:
-        if inside is None and out and out[-1].kind == kind and not out[-1].inside and kind in ("authored", "signature", "notice"):
+    def add(kind: str, a: int, b: int) -> None:
+        if out and out[-1].kind == kind and kind in ("authored", "signature", "notice"):
             out[-1].lines.extend(range(a, b))
         else:
-            out.append(Node(kind, list(range(a, b)), inside or []))
+            out.append(Node(kind, list(range(a, b))))
 
     def quoted(a: int, indented: bool) -> int:
         """The end of the prefixed block that starts at a."""
@@ -168,7 +171,7 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
             kind = "forward"
         out.append(Node("intro", list(range(a, b))))
         if c < e:
-            out.append(Node(kind, list(range(b, e)), parse([strip(s) for s in lines[b:e]], depth + 1) if depth < MAX_DEPTH else []))
+            out.append(Node(kind, list(range(b, e)), [strip(s) for s in lines[b:e]]))
         i, state = e, "body"
 
     while i < n:
@@ -197,7 +200,7 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
                 i += 1
                 continue
             if s.startswith(">") or introduced or e > i + 1:
-                out.append(Node("quote", list(range(i, e)), parse([_PREFIX.sub("", x, count=1) for x in lines[i:e]], depth + 1) if depth < MAX_DEPTH else []))
+                out.append(Node("quote", list(range(i, e)), [_PREFIX.sub("", x, count=1) for x in lines[i:e]]))
                 i, state = e, "body"
                 continue
         if _notice(s):
@@ -245,6 +248,22 @@ def parse(lines: list[str], depth: int = 0) -> list[Node]:
     return out
 
 
+def tree(lines: list[str], depth: int = MAX_DEPTH) -> list[Node]:
+    """The nodes of a mail with those of the mails inside them, and so on down to `depth`; without recursion, so that no depth is too deep."""
+    top = parse(lines)
+    level = top
+    for _ in range(depth):
+        below: list[Node] = []
+        for node in level:
+            if node.held is not None:
+                node.inside = parse(node.held)
+                below += node.inside
+        if not below:
+            break
+        level = below
+    return top
+
+
 def lines_of(text: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
 
@@ -260,6 +279,32 @@ def old_lines(text: str) -> list[int]:
     return [k for k, x in enumerate(lines_of(text)) if x.strip() and k not in new]
 
 
+def mail_nodes(df: DataFrame, keys: list[str], text: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """Columns `keys` and every node of every mail's tree: node (positions from the outermost mail inwards, from 0, joined by `/`), depth, kind, first_line (from 1, in the whole text), n_lines.
+
+    Nested deeper than `depth` is one node. Null and blank texts have no nodes; keys may be null or repeated; other columns
+    are ignored; no shuffle.
+    """
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("node", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("first_line", T.IntegerType()), T.StructField("n_lines", T.IntegerType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at, rows = [], []
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                stack = [("", 0, 0, x, n) for n, x in enumerate(tree(lines_of(t.as_py() or ""), depth))]
+                while stack:
+                    above, level, offset, x, n = stack.pop()
+                    name = f"{above}/{n}" if above else str(n)
+                    at.append(i)
+                    rows.append((name, level, x.kind, offset + x.lines[0] + 1, len(x.lines)))
+                    stack += [(name, level + 1, offset + x.lines[0], y, m) for m, y in enumerate(x.inside)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.fieldNames())
+
+    return df.select(*keys, df[text].alias("_text")).mapInArrow(run, schema)
+
+
 def reduce_mails(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Columns `keys`, the numbers (from 1) of the lines not newly written, and new_text, every row by itself.
 
