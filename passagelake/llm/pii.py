@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 3000  # texts of each group that the classifier is fitted on at most
+SAMPLE = 2000  # texts of each group that the classifier is fitted on at most
 DIM = 1 << 15
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
@@ -107,7 +107,7 @@ _STREET_AM = rf"(?:Am|An der|An den|Im|In der|Zum|Zur|Unter den|Auf dem|Auf der|
 _STREET_EN = rf"(?<![\w.,/:-])\d{{1,4}}[a-z]?{_GAP}(?:{_CAP}{_GAP}){{1,3}}(?:Road|Street|Lane|Close|Row|Avenue|Way|Court|Drive|Place|Terrace|Gardens|Square|Hill|Crescent|Walk|Mews|Grove|Rd|St|Ave)\b"
 _STREETS = (
     (re.compile(_STREET_DE), ("straße", "strasse", "Straße", "Strasse", "str.", "Str.", "weg", "Weg", "llee", "asse", "latz", "fer", "ing ", "ing\n", "Ring", "amm", "haussee", "teig", "fad", "all ", "romenade")),
-    (re.compile(_STREET_EN), ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", "Rd", "St", "Ave")),
+    (re.compile(_STREET_EN), ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", *(f"{w}{x}" for w in ("Rd", "St", "Ave") for x in " \n\r.,;:!?)"))),
     (re.compile(_STREET_AM), ("Am", "An de", "Im", "In der", "Zum", "Zur", "Unter den", "Auf de", "Hinter dem", "Vor dem")),
 )
 _LABEL_HINTS = ("ausweis", "card", "pass", "matr", "stud", "bewerb", "applic", "steuer", "tax", "tin", "insur", "versicher", "sv-", "kv-")
@@ -117,6 +117,9 @@ _PHRASE_TAIL = re.compile(rf"\w*(?:{_GAP}(?:to|with|an|mit|is|ist))?{_GAP}({_LAS
 _CITY_AFTER = re.compile(rf"^,?[\s>|]*(?:(?:Flat|Apt|Apartment|Wohnung|Whg)\.?[ ]\w+,?[\s>|]*)?(?:\d{{4,5}}[ ]{_CAP}|{_CAP}\b)")
 _ZIP_AFTER = re.compile(rf"^,?[\s>|]*\d{{4,5}}[ ]{_CAP}")
 _ADDRESS_BEFORE = re.compile(r"(?i)(?:address(?: is)?|anschrift(?: lautet| ist)?|adresse(?: lautet| ist)?|wohne?(?:n|t)?(?: in| an)?(?: der)?|live at|letter to .{2,50},|brief an .{2,50},)[\s>|:]*$")
+_PREFIX, _AT_LINE, _AM_FORM = re.compile(r"\+|00[1-9]|\(?0[1-9]"), re.compile(r"\n[>| ]*$"), re.compile(r"(?:Am|An|Im|In|Zum|Zur|Unter|Auf|Hinter|Vor)\b")
+_LINE_BEFORE, _LINE_AFTER = re.compile(r"(?:^|\n)[>| \t]*$"), re.compile(r",?[ \t]*(?:\r?\n|$|\d|Flat)")
+_TLD, _TLD_SPLIT = re.compile(r"[A-Za-z]{2,12}"), re.compile(r"[.\s)\]}_-]")
 _THING_AFTER = re.compile(r"^(?:-[\wäöüß]+|[\s>|]+(?:GmbH|AG|KG|UG|SE|Ltd\.?|Inc\.?|LLC|e\.V\.|& (?:Co|Sons|Partner|Söhne)\w*|(?:[Pp]rize|[Aa]ward|[Mm]edal|[Ff]ellowship|[Ss]cholarship|Preis|Hall|House|Building|Library|Auditorium|[Ww]ing|Lecture|Theatre|Stiftung|Foundation|Institut\w*|Saal|Bau|Haus|Company|Group|Verlag|Press|Street|Road|Lane|University)\b))")
 _THING_BEFORE = re.compile(r"(?:\b(?:[Tt]he|[Dd]er|[Dd]en|[Dd]em|[Dd]as|[Dd]ie|[Ii]m|Haus|Building|Gebäude|Raum|[Rr]oom|Hotel|Firma|[Cc]ompany)[ ]|[\wäöüß]-)$")
 _PLACE_BEFORE = re.compile(r"(?:\b(?:in|aus|nach|at|from|bei|Haus|Standort|Campus|near|between|and|und|of|the)[ ]|\d{4,5} )$")
@@ -176,8 +179,8 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
         mails += [m for m in _HIDDEN_MAIL.finditer(text) if not any(m.start() < o.end() and o.start() < m.end() for o in mails)]
     for m in mails:
         v = m[0].rstrip(".-")
-        tld = re.split(r"[.\s)\]}_-]", v)[-1]
-        out.append(Span("email", m.start(), m.start() + len(v), {"format": 1 if "@" in v and " " not in v else 0, "tld": 1 if re.fullmatch(r"[A-Za-z]{2,12}", tld) else -1, "obfuscated": 0 if "@" in v else 1}))
+        tld = _TLD_SPLIT.split(v)[-1]
+        out.append(Span("email", m.start(), m.start() + len(v), {"format": 1 if "@" in v and " " not in v else 0, "tld": 1 if _TLD.fullmatch(tld) else -1, "obfuscated": 0 if "@" in v else 1}))
     taken = [(s.start, s.end) for s in out]
     free = lambda a, b: not any(a < y and x < b for x, y in taken)
     for m in _ID.finditer(text):
@@ -200,18 +203,18 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
         n = sum(c.isdigit() for c in v)
         if n < 7 or n > 16 or v.count("(") != v.count(")") or _PHONE_DATE.match(v):
             continue
-        out.append(Span("phone", a, e, {"prefix": 1 if re.match(r"\+|00[1-9]|\(?0[1-9]", v) else -1, "length": 1 if n >= 9 else -1, "context": 1 if _PHONE_BEFORE.search(b) else 0, "line": 1 if re.search(r"\n[>| ]*$", b) or not b else 0, "other": -1 if _OTHER_BEFORE.search(b) or _LABEL_BEFORE.search(b) else 0}))
+        out.append(Span("phone", a, e, {"prefix": 1 if _PREFIX.match(v) else -1, "length": 1 if n >= 9 else -1, "context": 1 if _PHONE_BEFORE.search(b) else 0, "line": 1 if _AT_LINE.search(b) or not b else 0, "other": -1 if _OTHER_BEFORE.search(b) or _LABEL_BEFORE.search(b) else 0}))
         taken.append((a, e))
     for m in [m for rx, hints in _STREETS if some(hints) for m in rx.finditer(text)]:
         a, e = m.span()
         if not free(a, e):
             continue
         v, b, after = m[0], near(a, 70), text[e : e + 60]
-        am = bool(re.match(r"(?:Am|An|Im|In|Zum|Zur|Unter|Auf|Hinter|Vor)\b", v))
+        am = bool(_AM_FORM.match(v))
         if am and re.search(rf"\b(?:\w*(?:tag|mittwoch|semester|jahr|monat|uhr|modul|raum|abend|morgen)|{_MONTHS})\s+\d", v, re.I):
             continue
-        line = bool(re.search(r"(?:^|\n)[>| \t]*$", b))
-        out.append(Span("street_address", a, e, {"form": 0 if am else 1, "city": 1 if _ZIP_AFTER.match(after) or _CITY_AFTER.match(after) and not am else 0, "context": 1 if _ADDRESS_BEFORE.search(b) else 0, "line": 1 if line and re.match(r",?[ \t]*(?:\r?\n|$|\d|Flat)", after) else 0, "loose": -1 if am and not line and not _ZIP_AFTER.match(after) and not _ADDRESS_BEFORE.search(b) else 0}))
+        line = bool(_LINE_BEFORE.search(b))
+        out.append(Span("street_address", a, e, {"form": 0 if am else 1, "city": 1 if _ZIP_AFTER.match(after) or _CITY_AFTER.match(after) and not am else 0, "context": 1 if _ADDRESS_BEFORE.search(b) else 0, "line": 1 if line and _LINE_AFTER.match(after) else 0, "loose": -1 if am and not line and not _ZIP_AFTER.match(after) and not _ADDRESS_BEFORE.search(b) else 0}))
         taken.append((a, e))
     found: dict[int, Span] = {}
 
@@ -382,7 +385,8 @@ _WORD, _MAILBOX, _PLACE = re.compile(rf"(?<![\w@.-]){_CAP}(?![\w@])"), re.compil
 def _count(t: str, first: Counter[str], place: Counter[str], total: Counter[str]) -> None:
     """Adds the words of a text as given names in mailboxes and greetings, as words behind prepositions of place, and at all."""
     total.update(_WORD.findall(t))
-    first.update(m[1].split("-")[0] for m in _MAILBOX.finditer(t))
+    if "<" in t:
+        first.update(m[1].split("-")[0] for m in _MAILBOX.finditer(t))
     first.update(m[1].split("-")[0] for m in _GREETING.finditer(t) if " " not in m[1].strip())
     place.update(m[1] for m in _PLACE.finditer(t))
 
@@ -477,13 +481,16 @@ def replace(text: str, spans: list[Span]) -> str:
 def fit_on(df: DataFrame, group: str, text: str, sample: int = SAMPLE, total: int = 4 * SAMPLE) -> Model:
     """A model with gazetteers of all texts, fitted on distinct texts of every group, chosen by their hash: at most `sample` of each, and at most `total` over however many groups there are."""
     rows = df.select(F.col(group).alias("_g"), F.col(text).alias("_t")).where("_t <> ''")
-    sizes = rows.groupBy("_g").agg(F.approx_count_distinct(F.xxhash64("_t"), 0.02).alias("_n"))
-    n = sizes.agg(F.count(F.lit(1))).first()[0]
-    each = max(1, min(sample, total // max(n, 1)))
-    part = F.least(F.lit(1.0), F.lit(1.3 * each) / F.col("_n")) * min(1.0, 1.3 * total / max(n, 1))
+    sizes = rows.groupBy("_g").agg(F.approx_count_distinct(F.xxhash64("_t"), 0.02).alias("n"))
+    own = {r["_g"]: r["n"] for r in sizes.limit(1001).collect()}
+    if len(own) > 1000:  # a share of each would be a dozen texts: one share of all
+        own, n = {}, rows.agg(F.approx_count_distinct(F.xxhash64("_t"), 0.02)).first()[0]
+    each = max(1, min(sample, total // max(len(own), 1))) if own else total
+    part = F.lit(min(1.0, 1.3 * total / max(n, 1)) if not own else 1.0)
+    for g, n in own.items():
+        part = F.when(F.col("_g").eqNullSafe(F.lit(g)), min(1.0, 1.3 * each / n)).otherwise(part)
     h = F.pmod(F.xxhash64("_t"), F.lit(1 << 30))
-    kept = rows.join(sizes.toDF("_g2", "_n"), F.col("_g").eqNullSafe(F.col("_g2"))).withColumn("_h", h).where(F.col("_h") <= part * (1 << 30))
-    got = kept.select("_g", "_h", "_t").distinct().limit(4 * total).collect()
+    got = rows.withColumn("_h", h).where(F.col("_h") <= part * (1 << 30)).select(F.when(F.lit(bool(own)), F.col("_g")).alias("_g"), "_h", "_t").distinct().limit(4 * total).collect()
     taken: Counter[object] = Counter()
     texts: list[str] = []
     for r in sorted(got, key=lambda r: (r["_h"], str(r["_g"]), r["_t"])):

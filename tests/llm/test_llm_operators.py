@@ -104,12 +104,29 @@ def test_mail_tree():
     new = mailtree.new_lines(MAIL)
     lines = mailtree.lines_of(MAIL)
     assert [lines[i] for i in sorted(new)] == ["Hello,", "I have a question.", "> 56 credits are needed, are they not?", "From: Althausen", "To: Silberdorf, by the night train", "Best regards", "Ann Example", "Thanks, got it."]
-    kinds = [n.kind for n in mailtree.parse(lines)]
+    kinds = [n.kind for n in mailtree.tree(lines)]
     assert kinds.count("quote") == 1 and "signature" in kinds
-    quote = next(n for n in mailtree.parse(lines) if n.kind == "quote")
+    quote = next(n for n in mailtree.tree(lines) if n.kind == "quote")
     assert any(x.kind == "quote" for x in quote.inside)
 
 
+def test_mail_nodes(spark):
+    df = spark.createDataFrame([(1, MAIL, "c"), (None, None, None), (3, " ", "c"), (4, "> " * 500 + "deep", None)], "id int, text string, kind string")
+    got = mailtree.mail_nodes(df, ["id"], "text").collect()
+    lines = mailtree.lines_of(MAIL)
+    own = {r["node"]: r for r in got if r["id"] == 1}
+    quote = next(r for r in own.values() if r["kind"] == "quote" and r["depth"] == 0)
+    inner = {r["kind"]: r for n, r in own.items() if n.startswith(quote["node"] + "/")}
+    assert lines[inner["authored"]["first_line"] - 1] == "> Dear Ann," and lines[inner["quote"]["first_line"] - 1] == "> > deeper" and inner["closing"]["n_lines"] == 2
+    assert max(r["depth"] for r in got if r["id"] == 4) == mailtree.MAX_DEPTH and {r["id"] for r in got} == {1, 4}
+    assert max(r["depth"] for r in mailtree.mail_nodes(df.where("id = 4"), ["id"], "text", 600).collect()) == 500
+
+
+def test_long_introductions(spark):
+    who = "A. Very " + "Long " * 60 + "Name"
+    assert mailtree.old_lines(f"New text.\n\nOn 13 June 2023 at 17:25, {who} wrote:\n> old") == [2, 3]
+
+
 @pytest.mark.parametrize("text", ["", "\n\n", ">", "x" * 200_000, "> " * 500 + "deep", "\r\n".join(["Hi", "", "Sent from my phone"]), "-----Original Message-----\nFrom: A B <a@b.c>\nSubject: x\n\nold"])
 def test_mail_tree_odd(text):
     old = mailtree.old_lines(text)
