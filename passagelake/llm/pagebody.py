@@ -1,31 +1,32 @@
 """Problem 5: the main body of a page, by a recurrent block labeller.
 
 Every non-blank line of a page is a block. A bidirectional LSTM, written in numpy, reads for each block a vector of its
-layout path (bullet, indent, separators, case, blank lines around it; the texts have no tags left), its hashed words and
+layout path (bullet, indent, separators, case, blank lines around it; the texts have no tags left), all its hashed words and
 a few measures, and labels all blocks of the page with the whole page as context. It is trained on a bounded sample of
 pages that a seed labeller has marked: words of consent, law, sharing and the like, lines repeated on the site, menus
-learned from separator lines, and titles told from list items by their words. No page is cut for reading or labelling.
+learned from separator lines, and titles told from list items by their words. The lexicons of the seed labeller are no
+input of the network, which knows a block by its words, its layout and its neighbours only. The words of menus, titles and
+items are counted over all pages. No page or block is cut for reading or labelling.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import bounded_sample
 
 SAMPLE = 1500  # pages the labeller is trained on at most
-WORDS, PATHS, EMBED, HIDDEN, DENSE = 4096, 512, 16, 20, 16
+WORDS, PATHS, EMBED, HIDDEN, DENSE = 4096, 512, 16, 20, 12
+ODDS = 1 << 16  # buckets of the words of titles and items
 
 # Words of page furniture in English and German.
 _CHROME = re.compile(
@@ -60,39 +61,46 @@ def _words(s: str) -> list[str]:
 
 @dataclass
 class Seeds:
-    """What the seed labeller has learned from the sample: words of menus, and log-odds of words in titles against list items."""
+    """What is learned from all pages: words of menus, and log-odds of words in titles against list items, in ODDS hash buckets."""
 
     menu: frozenset[str]
-    title_words: dict[str, float]
-
-
-def learn_seeds(pages: list[tuple[str, str | None, list[int]]]) -> Seeds:
-    menu: Counter[str] = Counter()
-    title: Counter[str] = Counter()
-    item: Counter[str] = Counter()
-    for text, heading, _ in pages:
-        if heading:
-            title.update(set(_title_keys(heading)))
-        for x in text.split("\n"):
-            parts = [p.strip() for p in _SEP.split(x.strip()) if p.strip()]
-            if len(parts) >= 5 and max(map(len, parts)) <= 25 and not re.search(r"\d|,", x):
-                menu.update({_norm(p) for p in parts})
-            m = _BULLET.match(x)
-            if m and m[1] in ("*", "•"):
-                item.update(set(_title_keys(x[m.end() :])))
-    tn, im = sum(title.values()) + 1, sum(item.values()) + 1
-    odds = {w: float(np.log((title[w] + 0.5) / tn) - np.log((item[w] + 0.5) / im)) for w in title | item if title[w] + item[w] >= 3}
-    return Seeds(frozenset(w for w, c in menu.items() if c >= 3), odds)
-
-
-def _title_keys(s: str) -> list[str]:
+    odds: np.ndarray
+
+
+def _title_keys(s: str) -> set[str]:
     w = _words(s)
-    return [f"^{w[0]}" if w else "^", *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)), *w, "," if "," in s else "", ":" if ": " in s else ""]
+    return {f"^{w[0]}" if w else "^", *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)), *w, *("," for _ in s if _ == ","), *(":" for _ in [0] if ": " in s)}
 
 
 def titleness(s: str, seeds: Seeds) -> float:
     """Log-odds that a short line is a page's title and no list item."""
-    return sum(seeds.title_words.get(k, 0.0) for k in set(_title_keys(s)))
+    return float(sum([seeds.odds[crc32(k.encode()) % ODDS] for k in _title_keys(s)]))
+
+
+def _key_column(c: Column) -> Column:
+    """_title_keys as hash buckets, each once."""
+    low = F.regexp_replace(F.lower(c), "[0-9]+", "0")
+    one = lambda w: F.concat(F.transform(w, lambda x: x), F.array(F.concat(F.lit("^"), F.coalesce(F.get(w, F.lit(0)), F.lit("")))), F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)), F.array(F.when(F.contains(c, F.lit(",")), ","), F.when(F.contains(c, F.lit(": ")), ":")))
+    keys = F.get(F.transform(F.array(F.regexp_extract_all(low, F.lit(r"\p{L}+|[0-9]+"), F.lit(0))), one), F.lit(0))
+    return F.array_distinct(F.transform(F.array_compact(keys), lambda k: F.pmod(F.crc32(k.cast("binary")), F.lit(ODDS))))
+
+
+def learn_seeds(df: DataFrame, text: str, heading: str, rare: float = 1e-5) -> Seeds:
+    """Counts over all pages, by Spark: parts of separator lines standing in at least three lines and `rare` of all pages, and words of titles and items. To the driver come at most 2 * ODDS numbers and some 1 / rare parts."""
+    pages = df.select(F.col(text).alias("_t"), F.col(heading).alias("_h"))
+    n = pages.count()
+    lines = pages.select(F.explode(F.split("_t", "\n")).alias("x")).select(F.trim(F.regexp_replace("x", r"\r$", "")).alias("x"))
+    parts = F.filter(F.split("x", _SEP.pattern), lambda p: F.trim(p) != "")
+    menus = lines.where(F.regexp_like("x", F.lit(r"(?:[|·/>»›•–-]|  |\t).*(?:[|·/>»›•–-]|  |\t).*(?:[|·/>»›•–-]|  |\t)")) & ~F.regexp_like("x", F.lit("[0-9,]"))).select(parts.alias("p"))
+    menus = menus.where((F.size("p") >= 5) & F.forall("p", lambda p: F.char_length(p) <= 25)).select(F.explode(F.array_distinct(F.transform("p", lambda p: F.lower(F.regexp_replace(F.trim(p), r"\s+", " "))))).alias("p"))
+    menu = [r["p"] for r in menus.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 3) & (F.col("n") >= rare * n)).collect()]
+    items = lines.where(F.startswith("x", F.lit("*")) | F.startswith("x", F.lit("•"))).select(F.lit(1).alias("k"), F.explode(_key_column(F.regexp_replace("x", r"^[*•]\s+", ""))).alias("b"))
+    titles = pages.where("_h IS NOT NULL").select(F.lit(0).alias("k"), F.explode(_key_column(F.col("_h"))).alias("b"))
+    counts = np.zeros((2, ODDS))
+    for r in titles.unionAll(items).groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["k"], r["b"]] = r["n"]
+    odds = np.log((counts[0] + 0.5) / (counts[0].sum() + 1)) - np.log((counts[1] + 0.5) / (counts[1].sum() + 1))
+    return Seeds(frozenset(menu), np.where(counts.sum(0) >= 3, odds, 0.0))
 
 
 def seed_labels(blocks: list[str], heading: str | None, repeated: list[bool], seeds: Seeds) -> list[int]:
@@ -157,35 +165,64 @@ def seed_labels(blocks: list[str], heading: str | None, repeated: list[bool], se
     return out
 
 
-@lru_cache(maxsize=65_536)
-def _facts(x: str) -> tuple:
-    """What a block shows by itself, remembered because the same lines come again: measures, normal form, words, hashed words, layout path around the blanks."""
-    s, low = x.strip(), _norm(x)
-    w = _words(s)
-    m = _BULLET.match(s)
-    measures = (
-        np.log1p(len(s)) / 5, min(len(w), 40) / 20, float(bool(_PROSE_END.search(s))), float(bool(m)), float(" | " in s), sum(c.isdigit() for c in s) / max(len(s), 1), float(s.isupper()),
-        float(bool(_CHROME.match(s) or _SITE.search(s) and len(s) < 110)), float(bool(_TEASER_HEAD.match(s))), float(bool(_TEASER_MARK.match(s) or _MORE.search(s))))
-    hashed = [crc32(t.encode()) % WORDS for t in (w[:30] + [f"^{w[0]}"] if w else ["^"])]
-    seps = len(_SEP.findall(s))
-    front = f"{'t' if x[:1] == chr(9) else ' ' if x[:1] == ' ' else ''}/{(m[1] or '1') if m else s[:1] if not s[:1].isalnum() else 'w'}/{min(seps, 3)}/{'U' if s.isupper() else 'l' if s.islower() else 'm'}/"
-    back = f"/{s[-1:] if s[-1:] in '.:!?,)]' else ''}/{min(len(s) // 20, 5)}"
-    return measures, low, frozenset(w), hashed, front, back, _BULLET.sub("", s) if len(s) < 100 else None
-
-
-def vectors(blocks: list[str], heading: str | None, repeated: list[bool], blank_before: list[bool], seeds: Seeds) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
-    """Per block: measures, hashed words, hashed layout path (bullet, indent, separators, case, blanks around, ending, length)."""
-    n, title = len(blocks), _norm(heading)
-    tw = set(_words(title))
-    dense = np.zeros((n, DENSE), np.float32)
-    words, paths = [], np.zeros(n, np.int64)
-    for i, x in enumerate(blocks):
-        v, low, w, hashed, front, back, bare = _facts(x)
-        dense[i] = (*v[:7], float(bool(title) and low == title), len(tw & w) / max(len(tw), 1), i / max(n, 1), float(repeated[i]), *v[7:], float(np.tanh(titleness(bare, seeds) / 4)) if bare is not None else 0.0, float(low in seeds.menu))
-        words.append(hashed)
-        after = blank_before[i + 1] if i + 1 < n else True
-        paths[i] = crc32(f"{front}{int(blank_before[i])}{int(after)}{back}".encode()) % PATHS
-    return dense, words, paths
+class Reader:
+    """Turns pages into what the network reads. What a line shows by itself is kept for as many lines as fit, as the same ones come again."""
+
+    def __init__(self, seeds: Seeds, most: int = 65_536):
+        self.seeds, self.most = seeds, most
+        self.seen: dict[str, int] = {}
+        self.lows: list[str] = []
+        self.sets: list[frozenset[str]] = []
+        self.words: list[np.ndarray] = []
+        self.rows: list[tuple[float, ...]] = []
+        self.paths: list[tuple[int, int]] = []
+
+    def _add(self, x: str) -> int:
+        s, low, w = x.strip(), _norm(x), _words(x)
+        m = _BULLET.match(s)
+        self.lows.append(low)
+        self.sets.append(frozenset(w))
+        self.words.append(np.array([crc32(t.encode()) % WORDS for t in ([*w, f"^{w[0]}"] if w else ["^"])], np.int64))
+        self.rows.append((
+            float(np.log1p(len(s)) / 5), float(np.log1p(len(w)) / 3), float(bool(_PROSE_END.search(s))), float(bool(m)), float(" | " in s), sum(map(str.isdigit, s)) / max(len(s), 1), float(s.isupper()),
+            float(np.tanh(titleness(_BULLET.sub("", s), self.seeds) / 4)), float(low in self.seeds.menu)))
+        front = f"{'t' if x[:1] == chr(9) else ' ' if x[:1] == ' ' else ''}/{(m[1] or '1') if m else s[:1] if not s[:1].isalnum() else 'w'}/{min(len(_SEP.findall(s)), 3)}/{'U' if s.isupper() else 'l' if s.islower() else 'm'}/"
+        back = f"/{s[-1:] if s[-1:] in '.:!?,)]' else ''}/{min(len(s) // 20, 5)}"
+        self.paths.append((crc32(front.encode()), crc32(back.encode())))
+        self.seen[x] = len(self.lows) - 1
+        return len(self.lows) - 1
+
+    def read(self, pages: list[tuple[list[str], str | None, list[bool], list[bool]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Blocks, heading, repeated and blank_before of each page; out come, of the blocks of all pages in a row: measures, hashed words (all in a row) with their number a block, paths, then the number of each block's line among those kept, and the blocks a page."""
+        if len(self.seen) > self.most:
+            self.__init__(self.seeds, self.most)
+        at: list[int] = []
+        same: list[float] = []
+        shared: list[float] = []
+        for blocks, heading, _, _ in pages:
+            own = [i if (i := self.seen.get(x)) is not None else self._add(x) for x in blocks]
+            title = _norm(heading)
+            tw = frozenset(_words(title))
+            at += own
+            same += [float(bool(title) and self.lows[i] == title) for i in own]
+            shared += [len(tw & self.sets[i]) / len(tw) for i in own] if tw else [0.0] * len(own)
+        sizes = [len(p[0]) for p in pages]
+        n, ids = len(at), np.array(at, np.int64)
+        dense = np.zeros((n, DENSE), np.float32)
+        if n:
+            used, where = np.unique(ids, return_inverse=True)
+            dense[:, :9] = np.array([self.rows[i] for i in used], np.float32)[where]
+            dense[:, 9], dense[:, 10] = same, shared
+            dense[:, 11] = np.concatenate([np.asarray(p[2], np.float32) for p in pages])
+            codes = np.array([self.paths[i] for i in used], np.uint64)[where]
+            blank = np.concatenate([np.asarray(p[3], np.uint64) for p in pages])
+            follows = np.concatenate([np.r_[np.asarray(p[3][1:], np.uint64), np.uint64(1)] for p in pages if p[3]])
+            mix = codes[:, 0] * np.uint64(0x9E3779B1) + codes[:, 1] * np.uint64(0x85EBCA77) + (blank * np.uint64(2) + follows) * np.uint64(0xC2B2AE3D)
+            paths = ((mix >> np.uint64(16)) % np.uint64(PATHS)).astype(np.int64)
+            words = [self.words[i] for i in used]
+        else:
+            used, where, paths, words = np.zeros(0, np.int64), ids, np.zeros(0, np.int64), []
+        return dense, where, paths, words, sizes
 
 
 class Labeller:
@@ -199,13 +236,16 @@ class Labeller:
         for k in "fb":
             self.p |= {f"x{k}": f(d, 4 * h), f"h{k}": f(h, 4 * h), f"c{k}": np.r_[np.zeros(h), np.ones(h), np.zeros(2 * h)].astype(np.float32)}
 
-    def _inputs(self, dense: np.ndarray, words: list[list[int]], paths: np.ndarray) -> np.ndarray:
+    def _means(self, words: list[np.ndarray] | list[list[int]]) -> np.ndarray:
+        """The mean word vector of every block; each has at least one word."""
+        if not words:
+            return np.zeros((0, EMBED), np.float32)
+        sizes = np.array([len(w) for w in words])
         flat = np.concatenate([np.asarray(w, np.int64) for w in words])
-        at = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        mean = np.zeros((len(words), EMBED), np.float32)
-        np.add.at(mean, at, self.p["W"][flat])
-        mean /= np.array([len(w) for w in words], np.float32)[:, None]
-        return np.concatenate([dense, mean, self.p["P"][paths]], 1)
+        return np.add.reduceat(self.p["W"][flat], np.r_[0, sizes.cumsum()[:-1]], 0) / sizes[:, None].astype(np.float32)
+
+    def _inputs(self, dense: np.ndarray, words: list[list[int]], paths: np.ndarray) -> np.ndarray:
+        return np.concatenate([dense, self._means(words), self.p["P"][paths]], 1)
 
     @staticmethod
     def _gates(z: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -243,25 +283,26 @@ class Labeller:
         x = self._inputs(dense, words, paths)[:, None, :]
         return 1 / (1 + np.exp(-self.logits(x, np.ones((len(words), 1), np.float32))[0][:, 0]))
 
-    def predict_all(self, pages: list[tuple[np.ndarray, list[list[int]], np.ndarray]], batch: int = 64) -> list[np.ndarray]:
-        """Probabilities of many pages; pages of like length are run together, padded to the longest of them."""
-        out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i][1])), key=lambda i: len(pages[i][1]))
+    def predict_all(self, dense: np.ndarray, where: np.ndarray, paths: np.ndarray, words: list[np.ndarray], sizes: list[int], batch: int = 64) -> np.ndarray:
+        """Probabilities of all blocks of many pages, as Reader gives them; pages of like length are run together, padded to the longest of them."""
+        every = np.concatenate([dense, self._means(words)[where], self.p["P"][paths]], 1)
+        out = np.zeros(len(every))
+        begins = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        order = sorted((i for i in range(len(sizes)) if sizes[i]), key=sizes.__getitem__)
         at = 0
         while at < len(order):
-            n = len(pages[order[at]][1])
+            n = sizes[order[at]]
             end = at + 1
-            while end < len(order) and end - at < batch and len(pages[order[end]][1]) <= n + 8 + n // 8:
+            while end < len(order) and end - at < batch and sizes[order[end]] <= n + 8 + n // 8:
                 end += 1
             own = order[at:end]
-            t = len(pages[own[-1]][1])
-            x, mask = np.zeros((t, len(own), DENSE + 2 * EMBED), np.float32), np.zeros((t, len(own)), np.float32)
+            t = sizes[own[-1]]
+            x, mask = np.zeros((t, len(own), every.shape[1]), np.float32), np.zeros((t, len(own)), np.float32)
             for j, i in enumerate(own):
-                k = len(pages[i][1])
-                x[:k, j], mask[:k, j] = self._inputs(*pages[i]), 1
+                x[: sizes[i], j], mask[: sizes[i], j] = every[begins[i] : begins[i + 1]], 1
             p = 1 / (1 + np.exp(-np.clip(self.logits(x, mask, keep=False)[0], -30, 30)))
             for j, i in enumerate(own):
-                out[i] = p[: len(pages[i][1]), j]
+                out[begins[i] : begins[i + 1]] = p[: sizes[i], j]
             at = end
         return out
 
@@ -331,17 +372,15 @@ def _page(text: str, repeated: list[int] | None) -> tuple[list[int], list[str],
     return no, blocks, [i in rep for i in no], before
 
 
-def fit(pages: list[tuple[str, str | None, list[int]]], epochs: int = 8) -> tuple[Seeds, Labeller]:
+def fit(pages: list[tuple[str, str | None, list[int]]], seeds: Seeds, epochs: int = 8) -> Labeller:
     """A labeller from sample pages (text, heading, numbers of lines repeated on the site)."""
-    seeds = learn_seeds(pages)
-    inputs, labels = [], []
-    for text, heading, repeated in pages:
-        _, blocks, rep, before = _page(text, repeated)
-        inputs.append(vectors(blocks, heading, rep, before, seeds))
-        labels.append(seed_labels(blocks, heading, rep, seeds))
+    cut = [(*_page(text, repeated)[1:], heading) for text, heading, repeated in pages]
+    dense, where, paths, words, sizes = Reader(seeds).read([(blocks, h, rep, before) for blocks, rep, before, h in cut])
+    ends = np.cumsum(sizes)
+    inputs = [(dense[e - n : e], [words[i] for i in where[e - n : e]], paths[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
     model = Labeller()
-    model.train(inputs, labels, epochs)
-    return seeds, model
+    model.train(inputs, [seed_labels(blocks, h, rep, seeds) for blocks, rep, before, h in cut], epochs)
+    return model
 
 
 def label_pages(df: DataFrame, key: str, text: str, heading: str, repeated: str, sample: int = SAMPLE, epochs: int = 8) -> DataFrame:
@@ -352,26 +391,32 @@ def label_pages(df: DataFrame, key: str, text: str, heading: str, repeated: str,
     repeated; other columns are ignored; rows are independent once the model is fitted.
     """
     cols = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(heading).alias("_h"), F.col(repeated).alias("_r"))
-    pages = [(r["_t"], r["_h"], r["_r"]) for r in bounded_sample(cols.where("_t IS NOT NULL"), sample)]
-    seeds, model = fit(pages, epochs)
+    known = cols.where("_t IS NOT NULL")
+    seeds = learn_seeds(known, "_t", "_h")
+    pages = [(r["_t"], r["_h"], r["_r"]) for r in bounded_sample(known.select("_t", "_h", "_r"), sample, on=("_t", "_h"))]
+    model = fit(pages, seeds, epochs)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("other_lines", T.ArrayType(T.IntegerType())), T.StructField("main_text", T.StringType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            other: list[list[int]] = []
-            main: list[str | None] = []
-            rows = list(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True))
-            for at in range(0, len(rows), 512):
-                part = [None if t is None else (*_page(t, r), h) for t, h, r in rows[at : at + 512]]
-                labels = iter(model.predict_all([vectors(blocks, h, rep, before, seeds) for no, blocks, rep, before, h in filter(None, part)]))
-                for page in part:
-                    if page is None:
+        reader = Reader(seeds)
+        for whole in it:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                pages = [None if t is None else (*_page(t, r), h) for t, h, r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+                p = model.predict_all(*reader.read([(x[1], x[4], x[2], x[3]) for x in pages if x is not None]))
+                main_ = p >= 0.5
+                other: list[list[int]] = []
+                main: list[str | None] = []
+                k = 0
+                for x in pages:
+                    if x is None:
                         other.append([])
                         main.append(None)
                         continue
-                    p = next(labels)
-                    other.append([n for n, q in zip(page[0], p, strict=True) if q < 0.5])
-                    main.append("\n".join(x for x, q in zip(page[1], p, strict=True) if q >= 0.5))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(other, pa.list_(pa.int32())), pa.array(main, pa.string())], names=schema.fieldNames())
+                    keep = main_[k : k + len(x[0])].tolist()
+                    k += len(x[0])
+                    other.append([n for n, y in zip(x[0], keep, strict=True) if not y])
+                    main.append("\n".join([t for t, y in zip(x[1], keep, strict=True) if y]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(other, pa.list_(pa.int32())), pa.array(main, pa.string())], names=schema.fieldNames())
 
     return cols.mapInArrow(run, schema)

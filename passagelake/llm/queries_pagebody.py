@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..session import cut, table
 from .pagebody import label_pages
 from .registry import query
-from .sitelines import host, marked_lines
+from .sitelines import host, marked_in, site_lines
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "overview_pages").select("snapshot_id", F.col("metadata.title").alias("heading"), host("metadata.url").alias("site"), F.col("content.full_text").alias("text"))
-    rows = pages.select(F.lit("p").alias("group"), F.col("snapshot_id").alias("row_key"), "site", "text")
-    repeated = marked_lines(rows).groupBy("row_key").agg(F.collect_set("line_no").alias("repeated")).withColumnRenamed("row_key", "snapshot_id")
-    return label_pages(cut(pages.join(repeated, "snapshot_id", "left")), "snapshot_id", "text", "heading", "repeated")
+    sites = cut(site_lines(pages.select(F.lit("p").alias("group"), "site", "text")).select("site", "lines"))  # a few lines a site; the texts stay where they are
+    marked = pages.join(sites, "site", "left").select("snapshot_id", "text", "heading", marked_in(F.col("text"), F.col("lines")).alias("repeated"))
+    return label_pages(marked, "snapshot_id", "text", "heading", "repeated")
 
 
 @query("p5_found")

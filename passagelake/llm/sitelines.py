@@ -60,6 +60,18 @@ def marked_lines(df: DataFrame, share: float = 0.05, least: int = 3, min_texts:
     return own.join(found, ["group", "site", "h"], "left_semi").select("group", "row_key", (F.col("at") + 1).cast("int").alias("line_no"))
 
 
+def site_lines(df: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
+    """group, site, lines: the hashes of every site's repeated lines, at most 1 / share times the lines its mean row has."""
+    return line_counts(df, share, least).groupBy("group", "site").agg(F.collect_set("h").alias("lines"))
+
+
+def marked_in(text: Column, repeated: Column) -> Column:
+    """Numbers (from 1) of the lines of a text whose hashes are in `repeated`; null where that is. Rows need not be joined line by line."""
+    hs = _hashes(text)
+    own = lambda h: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i + 1)), lambda x: x.isNotNull())
+    return F.when(repeated.isNotNull(), F.get(F.transform(F.array(hs), own), F.lit(0)))
+
+
 def clean_texts(df: DataFrame, share: float = 0.05, least: int = 3, min_texts: int = 1) -> DataFrame:
     """Every row's text without its site's repeated lines: group, row_key, n_removed, clean_text; keys must be unique in a group.
 

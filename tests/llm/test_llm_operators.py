@@ -252,6 +252,43 @@ def test_page_body(spark):
     assert got[500]["main_text"] is None and got[501]["main_text"] == "" and len(got) == 123
 
 
+def test_labels_come_from_the_context(spark):
+    """The same line is content in one place and a teaser in another; no word of the seeds' lexicons is an input."""
+    r = random.Random(6)
+    topics = ["Open day in Altau", "Housing in Kolk", "Advice on grants", "Lab safety course", "Summer term dates"]
+    def page():
+        a, b = r.sample(topics, 2)
+        prose = "This text says at some length what has to be done, and it ends with a full stop."
+        return "\n".join(["Skip to content", a, prose, b, prose, "Related pages", *r.sample(topics, 2), "Imprint"]), a
+    pages = [page() for _ in range(260)]
+    df = spark.createDataFrame([(t, h) for t, h in pages], "text string, heading string")
+    seeds = pagebody.learn_seeds(df, "text", "heading")
+    model = pagebody.fit([(t, h, []) for t, h in pages[:200]], seeds)
+    read = pagebody.Reader(seeds).read([(b, h, rep, before) for t, h in pages[200:] for _, b, rep, before in [pagebody._page(t, [])]])
+    true = np.tile([0, 1, 1, 1, 1, 0, 0, 0, 0], 60)
+    full = ((model.predict_all(*read) >= 0.5) == true).mean()
+    model.p["out"][: 2 * pagebody.HIDDEN] = 0
+    alone = ((model.predict_all(*read) >= 0.5) == true).mean()
+    assert full > 0.92 and alone < full - 0.1, (full, alone)
+
+
+def test_all_words_of_a_block_are_read():
+    seeds = pagebody.Seeds(frozenset(), np.zeros(pagebody.ODDS))
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    _, _, _, words, _ = pagebody.Reader(seeds).read([([long], None, [False], [True])])
+    assert len(words[0]) == 401
+
+
+def test_reader_forgets_and_goes_on():
+    seeds = pagebody.Seeds(frozenset(), np.zeros(pagebody.ODDS))
+    page = lambda i: ([f"line {chr(97 + i)}", "same"], "same", [False, True], [True, False])
+    small, big = pagebody.Reader(seeds, 3), pagebody.Reader(seeds)
+    for i in range(9):
+        a, b = small.read([page(i)]), big.read([page(i)])
+        assert (a[0] == b[0]).all() and (a[2] == b[2]).all() and [w.tolist() for w in a[3]] == [w.tolist() for w in b[3]]
+    assert len(big.read([])[1]) == 0
+
+
 def test_lstm_gradient():
     r = np.random.default_rng(0)
     model = pagebody.Labeller()
