@@ -78,7 +78,6 @@ _BEHIND: dict[str, re.Pattern] = {
 }
 _SPACES = " \t\r\n>|"
 _NONSPACE, _INITIAL = re.compile(r"[^\s,]+"), re.compile(r"[A-ZÄÖÜ]\.")
-_BEFORE_WORDS, _AFTER_WORDS = re.compile(r"[\wäöüß@.:<(]+|\n"), re.compile(r"[^\n\wäöüß@.:<>),]*([\wäöüß@.:<>),]+|\n)")
 _LOWERS, _UPPERS, _DIGIT = re.compile("[a-zäöüß]+"), re.compile("[A-ZÄÖÜ]+"), re.compile(r"\d")
 _ID_DATE, _PHONE_DATE = re.compile(r"\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{2,4}"), re.compile(r"\(?(?:\d{4}-\d\d?-\d\d?|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{1,2}/\d{1,2}/\d{2,4})(?!\d)")
 _ID_FORM, _ID_SHAPE = re.compile(r"[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d"), re.compile(r"[A-Z]{1,2}\d[\dA-Z ]{6,}|[a-z]\d{6,8}|\d{2} \d{3} \d{3} \d{3}|\d{6,8}")
@@ -107,7 +106,7 @@ _STREET_AM = rf"(?:Am|An der|An den|Im|In der|Zum|Zur|Unter den|Auf dem|Auf der|
 _STREET_EN = rf"(?<![\w.,/:-])\d{{1,4}}[a-z]?{_GAP}(?:{_CAP}{_GAP}){{1,3}}(?:Road|Street|Lane|Close|Row|Avenue|Way|Court|Drive|Place|Terrace|Gardens|Square|Hill|Crescent|Walk|Mews|Grove|Rd|St|Ave)\b"
 _STREETS = (
     (re.compile(_STREET_DE), ("straße", "strasse", "Straße", "Strasse", "str.", "Str.", "weg", "Weg", "llee", "asse", "latz", "fer", "ing ", "ing\n", "Ring", "amm", "haussee", "teig", "fad", "all ", "romenade")),
-    (re.compile(_STREET_EN), ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", *(f"{w}{x}" for w in ("Rd", "St", "Ave") for x in " \n\r.,;:!?)"))),
+    (re.compile(_STREET_EN), ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", "Rd", "St ", "St\n", "St\r", "St,", "St.", "St;", "St)", "Ave")),
     (re.compile(_STREET_AM), ("Am", "An de", "Im", "In der", "Zum", "Zur", "Unter den", "Auf de", "Hinter dem", "Vor dem")),
 )
 _LABEL_HINTS = ("ausweis", "card", "pass", "matr", "stud", "bewerb", "applic", "steuer", "tax", "tin", "insur", "versicher", "sv-", "kv-")
@@ -335,27 +334,38 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
     return out
 
 
+def _place(kind: str, feature: str) -> int:
+    return crc32(f"{kind}|{feature}".encode()) % DIM
+
+
 @lru_cache(maxsize=65_536)
-def _look(value: str) -> tuple[str, ...]:
-    """What a span shows by itself, as features."""
+def _look(kind: str, value: str) -> tuple[int, ...]:
+    """What a span shows by itself."""
     shape = _LOWERS.sub("a", _UPPERS.sub("A", _DIGIT.sub("0", value)))
     words = value.split()
-    return f"s{shape}", f"n{len(words)}", f"x{words[-1][-4:] if words else ''}", f"p{words[0][:3] if words else ''}", f"w{words[0] if words else ''}"
+    fs = (f"s{shape}", f"n{len(words)}", f"x{words[-1][-4:] if words else ''}", f"p{words[0][:3] if words else ''}", f"w{words[0] if words else ''}")
+    return tuple(_place(kind, f) for f in fs)
 
 
-@lru_cache(maxsize=262_144)
-def _place(kind: str, feature: str) -> int:
-    return crc32(f"{kind}|{feature}".encode()) % DIM
+@lru_cache(maxsize=65_536)
+def _votes(kind: str, votes: tuple[tuple[str, int], ...]) -> tuple[int, ...]:
+    said = ",".join(f"{n}{v}" for n, v in sorted(votes) if v)
+    return _place(kind, f"v{said}"), _place(kind, f"u{len(votes)}")
+
 
+@lru_cache(maxsize=65_536)
+def _around(kind: str, first: str, second: str, after: str) -> tuple[int, ...]:
+    return _place(kind, f"b{second}"), _place(kind, f"bb{first} {second}"), _place(kind, f"a{after}")
 
-def _features(text: str, s: Span) -> list[int]:
+
+def _features(text: str, s: Span) -> tuple[int, ...]:
     """Hashed features of a span and its surroundings; a fixed number of them."""
-    k = s.kind
-    votes = ",".join([f"{n}{v}" for n, v in sorted(s.votes.items()) if v])
-    before = _BEFORE_WORDS.findall(text[max(0, s.start - 40) : s.start])[-2:]
-    after = _AFTER_WORDS.match(text, s.end)
-    own = (f"v{votes}", f"b{before[-1] if before else '^'}", f"bb{' '.join(before)}", f"a{after[1] if after else '$'}", f"u{len(s.votes)}", *_look(s.value))
-    return [_place(k, f) for f in own]
+    before = text[max(0, s.start - 40) : s.start]
+    words = before.rsplit(None, 2)
+    line = "\n" if "\n" in before[len(before.rstrip(" \t>|\r\n")) :] else ""
+    after = text[s.end : s.end + 30].split(None, 1)
+    first, second = (words[-2] if len(words) > 1 else "", words[-1] if words else "")
+    return (*_votes(s.kind, tuple(s.votes.items())), *_around(s.kind, first, second + line, after[0] if after else ""), *_look(s.kind, s.value))
 
 
 def estimate(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -411,8 +421,8 @@ def learned_on(df: DataFrame, text: str, given: frozenset[str] = GIVEN) -> tuple
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter(), Counter()
         for b in it:
-            for t in b.column(0):
-                if s := t.as_py():
+            for s in b.column(0).to_pylist():
+                if s:
                     _count(s, *counts)
             if sum(map(len, counts)) > 300_000:
                 yield packed(*counts)
@@ -462,9 +472,13 @@ def find(text: str, model: Model) -> list[Span]:
     """The accepted spans of a text, in order and without overlaps."""
     w = model.weights
     out = [s for s in candidates(text, model.names, model.places) if sum([w[i] for i in _features(text, s)]) + model.bias.get(s.kind, 0.0) > 0]
-    out.sort(key=lambda s: (TYPES.index(s.kind), s.start))
+    if len(out) < 2:
+        return out
+    out.sort(key=lambda s: s.start)
+    if all(a.end <= b.start for a, b in zip(out, out[1:])):
+        return out
     kept: list[Span] = []
-    for s in out:
+    for s in sorted(out, key=lambda s: (TYPES.index(s.kind), s.start)):  # of spans that overlap the first type stays
         if not any(s.start < k.end and k.start < s.end for k in kept):
             kept.append(s)
     return sorted(kept, key=lambda s: s.start)
@@ -512,14 +526,14 @@ def detect(df: DataFrame, keys: list[str], text: str, model: Model, clean: bool
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(b.num_columns - 1).to_pylist()
             if clean:
-                done = [None if (s := t.as_py()) is None else replace(s, find(s, model)) for t in texts]
+                done = [None if s is None else replace(s, find(s, model)) for s in texts]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(done, pa.string())], names=schema.fieldNames())
                 continue
             at, kind, start, end = [], [], [], []
-            for i, t in enumerate(texts):
-                if s := t.as_py():
+            for i, s in enumerate(texts):
+                if s:
                     for x in find(s, model):
                         at.append(i)
                         kind.append(x.kind)
