@@ -51,12 +51,30 @@ _BULLET = re.compile(r"^\s*(?:([-*•–])|\d+[.)])\s+")
 _PROSE_END = re.compile(r"[.!?][\"”“»)]?\s*$")
 
 
+_WORD = re.compile(r"[^\W\d_]+|\d+")
+
+
 def _norm(s: str | None) -> str:
-    return re.sub(r"\s+", " ", s or "").strip().lower()
+    return " ".join((s or "").split()).lower()
 
 
 def _words(s: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+|\d+", re.sub(r"\d+", "0", s.lower()))
+    return ["0" if w[0].isdigit() else w for w in _WORD.findall(s.lower())]
+
+
+class _Crcs(dict):
+    """crc32 and bytes of words, kept until there are too many."""
+
+    def __missing__(self, w: str) -> tuple[int, bytes]:
+        if len(self) > 200_000:
+            self.clear()
+        b = w.encode()
+        self[w] = out = (crc32(b), b" " + b)
+        return out
+
+
+_CRC = _Crcs()
+_FIRST = crc32(b"^")
 
 
 @dataclass
@@ -67,14 +85,22 @@ class Seeds:
     odds: np.ndarray
 
 
-def _title_keys(s: str) -> set[str]:
-    w = _words(s)
-    return {f"^{w[0]}" if w else "^", *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)), *w, *("," for _ in s if _ == ","), *(":" for _ in [0] if ": " in s)}
+def _title_buckets(w: list[str], s: str) -> set[int]:
+    """Hash buckets of the words of a line, its pairs of words, its first word, and whether it has a comma or a colon."""
+    known = [_CRC[x] for x in w]
+    out = {crc % ODDS for crc, _ in known}
+    out.update([crc32(b, crc) % ODDS for (crc, _), (_, b) in zip(known, known[1:])])
+    out.add(crc32(known[0][1][1:], _FIRST) % ODDS if known else _FIRST % ODDS)
+    if "," in s:
+        out.add(crc32(b",") % ODDS)
+    if ": " in s:
+        out.add(crc32(b":") % ODDS)
+    return out
 
 
 def titleness(s: str, seeds: Seeds) -> float:
     """Log-odds that a short line is a page's title and no list item."""
-    return float(sum([seeds.odds[crc32(k.encode()) % ODDS] for k in _title_keys(s)]))
+    return float(sum([seeds.odds[k] for k in _title_buckets(_words(s), s)]))
 
 
 def _key_column(c: Column) -> Column:
@@ -169,7 +195,7 @@ class Reader:
     """Turns pages into what the network reads. What a line shows by itself is kept for as many lines as fit, as the same ones come again."""
 
     def __init__(self, seeds: Seeds, most: int = 65_536):
-        self.seeds, self.most = seeds, most
+        self.seeds, self.most, self.odds = seeds, most, seeds.odds.tolist()
         self.seen: dict[str, int] = {}
         self.lows: list[str] = []
         self.sets: list[frozenset[str]] = []
@@ -178,16 +204,29 @@ class Reader:
         self.paths: list[tuple[int, int]] = []
 
     def _add(self, x: str) -> int:
-        s, low, w = x.strip(), _norm(x), _words(x)
+        s = x.strip()
+        low = _norm(s)
+        found = _WORD.findall(low)
+        digits = 0
+        w = []
+        for t in found:
+            if t[0].isdigit():
+                digits += len(t)
+                t = "0"
+            w.append(t)
         m = _BULLET.match(s)
+        bare = s[m.end() :] if m else s
+        own = w if not m or m[1] else w[1:]  # without the number of a numbered item
         self.lows.append(low)
         self.sets.append(frozenset(w))
-        self.words.append(np.array([crc32(t.encode()) % WORDS for t in ([*w, f"^{w[0]}"] if w else ["^"])], np.int64))
+        self.words.append(np.array([_CRC[t][0] % WORDS for t in w] + [(crc32(_CRC[w[0]][1][1:], _FIRST) if w else _FIRST) % WORDS], np.int64))
+        n = len(s)
+        odds = self.odds
         self.rows.append((
-            float(np.log1p(len(s)) / 5), float(np.log1p(len(w)) / 3), float(bool(_PROSE_END.search(s))), float(bool(m)), float(" | " in s), sum(map(str.isdigit, s)) / max(len(s), 1), float(s.isupper()),
-            float(np.tanh(titleness(_BULLET.sub("", s), self.seeds) / 4)), float(low in self.seeds.menu)))
+            float(np.log1p(n) / 5), float(np.log1p(len(w)) / 3), float(bool(_PROSE_END.search(s))), float(bool(m)), float(" | " in s), digits / max(n, 1), float(s.isupper()),
+            float(np.tanh(sum([odds[k] for k in _title_buckets(own, bare)]) / 4)), float(low in self.seeds.menu)))
         front = f"{'t' if x[:1] == chr(9) else ' ' if x[:1] == ' ' else ''}/{(m[1] or '1') if m else s[:1] if not s[:1].isalnum() else 'w'}/{min(len(_SEP.findall(s)), 3)}/{'U' if s.isupper() else 'l' if s.islower() else 'm'}/"
-        back = f"/{s[-1:] if s[-1:] in '.:!?,)]' else ''}/{min(len(s) // 20, 5)}"
+        back = f"/{s[-1:] if s[-1:] in '.:!?,)]' else ''}/{min(n // 20, 5)}"
         self.paths.append((crc32(front.encode()), crc32(back.encode())))
         self.seen[x] = len(self.lows) - 1
         return len(self.lows) - 1
@@ -383,17 +422,18 @@ def fit(pages: list[tuple[str, str | None, list[int]]], seeds: Seeds, epochs: in
     return model
 
 
-def label_pages(df: DataFrame, key: str, text: str, heading: str, repeated: str, sample: int = SAMPLE, epochs: int = 8) -> DataFrame:
+def label_pages(df: DataFrame, key: str, text: str, heading: str, repeated: str, sample: int = SAMPLE, epochs: int = 8, corpus: DataFrame | None = None) -> DataFrame:
     """`key`, the numbers (from 1) of the non-blank lines that are no main content, and main_text with the others in order.
 
-    repeated: column with the numbers of lines repeated on the page's site (null for none). Trained on at most `sample`
+    corpus: the same texts and headings as they are before `repeated` is found, where that takes a join. repeated: column with the numbers of lines repeated on the page's site (null for none). Trained on at most `sample`
     pages, chosen by their hash. Null texts give null and no numbers, blank ones an empty main_text; keys may be null or
     repeated; other columns are ignored; rows are independent once the model is fitted.
     """
     cols = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(heading).alias("_h"), F.col(repeated).alias("_r"))
     known = cols.where("_t IS NOT NULL")
-    seeds = learn_seeds(known, "_t", "_h")
-    pages = [(r["_t"], r["_h"], r["_r"]) for r in bounded_sample(known.select("_t", "_h", "_r"), sample, on=("_t", "_h"))]
+    every = known if corpus is None else corpus.select(F.col(text).alias("_t"), F.col(heading).alias("_h")).where("_t IS NOT NULL")
+    seeds = learn_seeds(every, "_t", "_h")
+    pages = [(r["_t"], r["_h"], r["_r"]) for r in bounded_sample(known.select("_t", "_h", "_r"), sample, on=("_t", "_h"), rows=every.count())]
     model = fit(pages, seeds, epochs)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("other_lines", T.ArrayType(T.IntegerType())), T.StructField("main_text", T.StringType())])
 

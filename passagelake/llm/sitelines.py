@@ -65,6 +65,16 @@ def site_lines(df: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
     return line_counts(df, share, least).groupBy("group", "site").agg(F.collect_set("h").alias("lines"))
 
 
+#: So many hashes, of 16 bytes and as much again around them, are broadcast at most.
+BROADCAST_HASHES = 500_000
+
+
+def broadcast_if_small(df: DataFrame, hashes: str) -> DataFrame:
+    """`df` with the hint to broadcast it if its arrays of hashes are counted and found small; else the join is Spark's choice."""
+    n = df.agg(F.coalesce(F.sum(F.size(hashes) + 4), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_HASHES else df
+
+
 def marked_in(text: Column, repeated: Column) -> Column:
     """Numbers (from 1) of the lines of a text whose hashes are in `repeated`; null where that is. Rows need not be joined line by line."""
     hs = _hashes(text)
