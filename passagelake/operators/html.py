@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,16 +151,93 @@ def extract(html: str, base_url: str = "", link_part: str = "/en/") -> dict:
     return {"title": title.text() if title else None, "description": meta.get("description"), "keywords": meta.get("keywords"), "main_text": re.sub(r"\s+", " ", area.text(" ")).strip(), "headings": heads, "lists": lists, "tables": _tables(area), "links": links, "sections": _sections(area)}
 
 
-def extract_pages(df: DataFrame, keys: list[str], html: str, base_url: str = "") -> DataFrame:
-    """Columns `keys` and `page`, the struct of SCHEMA; null for a null text. Rows are independent."""
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("page", SCHEMA)])
+# What headings of requirements, procedures and sections of questions say.
+REQUIREMENTS = r"requirement|prerequisite|eligibility|qualification"
+PROCEDURES = r"how to|steps|procedure|process|guide"
+QUESTIONS = r"frequently asked questions|faq"
+
+GUIDANCE = _struct(
+    body_text=_STR, requirements=_LIST(_STR), procedures=_LIST(_struct(title=_STR, steps=_LIST(_STR))),
+    faqs=_LIST(_struct(question=_STR, answer=_STR)), useful_links=_LIST(_struct(url=_STR, text=_STR)),
+)
+
+
+def body_text(root: Element) -> str:
+    """The text of <main>, else of a block of class content, else of the body, without navigation, head and foot; one line."""
+    area = next((e for e in root.walk() if e.name == "main"), None) or next((e for e in root.walk() if e.name == "div" and "content" in e.attrs.get("class", "").split()), None) or next((e for e in root.walk() if e.name == "body"), None)
+    if area is None:
+        return ""
+    out, stack = [], [area]
+    while stack:
+        e = stack.pop()
+        if isinstance(e, str):
+            out += e.split()
+        elif e.name not in _SILENT | {"nav", "footer", "header"}:
+            stack.extend(reversed(e.children))
+    return " ".join(out)
+
+
+def guidance(html: str, keywords: tuple[str, ...], base_url: str = "", items: int = 10, steps: int = 15, answer_chars: int = 500, links: int = 20) -> dict:
+    """What a page tells its readers to do, as in GUIDANCE.
+
+    Requirements are the first `items` of a list right behind a heading of REQUIREMENTS, procedures the first `steps` of an
+    ordered list behind one of PROCEDURES. In a block that names QUESTIONS, itself or in a heading, each heading of level 3
+    or 4 or bold text with what stands right behind it is a question with its answer. Useful links are web addresses whose
+    text has one of the keywords.
+    """
+    root = parse(html)
+    behind: dict[int, Element] = {}
+    holder: dict[int, Element] = {}
+    for e in root.walk():
+        kids = [c for c in e.children if isinstance(c, Element)]
+        behind |= {id(a): b for a, b in zip(kids, kids[1:])}
+        holder |= {id(c): e for c in kids}
+    own = lambda e, n: [c.text() for c in e.walk() if c.name == "li"][:n]
+    need: list[str] = []
+    how: list[dict] = []
+    asked: list[dict] = []
+    useful: list[dict] = []
+    seen: set[int] = set()
+    for e in root.walk():
+        if e.name in ("h2", "h3", "h4"):
+            title, nxt = e.text(), behind.get(id(e))
+            if nxt is not None and nxt.name in ("ul", "ol") and re.search(REQUIREMENTS, title, re.I):
+                need += own(nxt, items)
+            if nxt is not None and nxt.name == "ol" and re.search(PROCEDURES, title, re.I):
+                how.append({"title": title, "steps": own(nxt, steps)})
+        if e.name not in _SILENT and any(isinstance(c, str) and re.search(QUESTIONS, c, re.I) for c in e.children):
+            block = holder.get(id(e), e) if e.name in _HEADINGS else e
+            if id(block) not in seen:
+                seen.add(id(block))
+                for q in [x for x in block.walk() if x.name in ("h3", "h4", "strong", "b")][:items]:
+                    if (a := behind.get(id(q))) is not None:
+                        asked.append({"question": q.text(), "answer": a.text()[:answer_chars]})
+        if e.name == "a" and (h := e.attrs.get("href")) and any(k in e.text().lower() for k in keywords):
+            url = urljoin(base_url, h)
+            if url.startswith(("http://", "https://")) and len(useful) < links:
+                useful.append({"url": url, "text": e.text()[:100]})
+    return {"body_text": body_text(root), "requirements": need, "procedures": how, "faqs": asked, "useful_links": useful}
+
+
+def extract_guidance(df: DataFrame, keys: list[str], html: str, keywords: tuple[str, ...], base_url: str = "") -> DataFrame:
+    """Columns `keys` and `page`, the struct of GUIDANCE; null for a null text, empty lists where there is nothing. Rows are independent."""
+    return _by_page(df, keys, html, GUIDANCE, lambda s: guidance(s, keywords, base_url))
+
+
+def _by_page(df: DataFrame, keys: list[str], html: str, kind: T.StructType, read: Callable[[str], dict]) -> DataFrame:
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("page", kind)])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(SCHEMA)
+        arrow = to_arrow_type(kind)
         for b in it:
-            pages = [None if (s := t.as_py()) is None else extract(s, base_url) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pages, kind)], names=schema.fieldNames())
+            pages = [None if s is None else read(s) for s in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pages, arrow)], names=schema.fieldNames())
 
     return df.select(*keys, F.col(html).alias("_html")).mapInArrow(run, schema)
+
+
+def extract_pages(df: DataFrame, keys: list[str], html: str, base_url: str = "") -> DataFrame:
+    """Columns `keys` and `page`, the struct of SCHEMA; null for a null text. Rows are independent."""
+    return _by_page(df, keys, html, SCHEMA, lambda s: extract(s, base_url))
