@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_full_text
 from ..functions.extract import signal_block
-from ..functions.text import excerpt, is_thin
+from ..functions.text import clean_whitespace, excerpt, is_thin
 from ..session import cut
 
 
@@ -36,47 +39,157 @@ def embedding_texts(objects: DataFrame, header: str | None = None) -> DataFrame:
     return j.select("object_id", full.alias("embedding_text"), F.col("_add").isNotNull().alias("enriched"), F.when(F.col("_add").isNotNull(), F.col("_b._dst")).alias("related_used"), F.col("_thin").alias("is_thin_before"), still.alias("still_thin"))
 
 
-#: Builders by class: a name and a function from (title, object id, related, page) to a JSON-able struct column.
-BUILDERS: dict[str, object] = {}
+@dataclass(frozen=True)
+class Page:
+    """What a builder sees of a page, as columns without nulls: title, object_id, notes, text, related (array<string>), items of lists (array<string>), sections (array<struct<heading, content>>)."""
+
+    title: Column
+    object_id: Column
+    notes: Column
+    text: Column
+    related: Column
+    items: Column
+    sections: Column
+
+
+#: Builders by class: from a Page to a struct column.
+BUILDERS: dict[str, Callable[[Page], Column]] = {}
+
+
+def register_builder(kind: str) -> Callable[[Callable[[Page], Column]], Callable[[Page], Column]]:
+    """Adds or replaces the builder of a class of pages."""
+
+    def add(build: Callable[[Page], Column]) -> Callable[[Page], Column]:
+        BUILDERS[kind] = build
+        return build
+
+    return add
+
+
+def _about(p: Column, word: str) -> Column:
+    return F.filter(p, lambda r: F.contains(r, F.lit(word)))
+
+
+def _says(c: Column, *words: str) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(F.lower(c), F.lit(w))
+    return out
+
+
+def _kind_of(object_id: Column) -> Column:
+    """What follows the first hyphen of an id."""
+    return F.when(F.contains(object_id, F.lit("-")), F.regexp_extract(object_id, "^[^-]*-(.*)$", 1)).otherwise("general")
+
+
+def steps_of(sections: Column, most: int = 10) -> Column:
+    """Sections with a numbered or step heading, with their place among all; where there are none the first `most` sections."""
+    every = F.transform(sections, lambda s, i: F.struct((i + 1).alias("step_number"), s["heading"].alias("title"), s["content"].alias("description")))
+    marked = F.filter(every, lambda s: F.regexp_like(s["title"], F.lit(r"^[0-9]+\.?\s|(?i:step\s+[0-9]+)")))
+    return F.when(F.size(marked) > 0, marked).otherwise(F.slice(every, 1, most))
+
+
+@register_builder("degree_program")
+def _degree_program(p: Page) -> Column:
+    fact = lambda word, label: F.when(_says(p.text, word), label)
+    semesters = F.regexp_extract(p.text, r"([0-9]{1,2})\s*(?:[Ss]emesters|[Ss]emester\b)", 1)
+    credits = F.regexp_extract(p.text, r"([0-9]{2,3})\s*(?:ECTS|credits|Leistungspunkte)", 1)
+    info = F.struct(
+        F.trim(F.regexp_replace(p.title, r"\s*\([^)]*\)", "")).alias("name"), F.coalesce(fact("master", "Master"), fact("bachelor", "Bachelor"), F.lit("")).alias("degree_type"),
+        F.regexp_extract(p.text, r"\b([BM]\.?(?:Sc|A|Eng)\.?)(?=\W|$)", 1).alias("degree_abbreviation"), F.nullif(semesters, F.lit("")).cast("int").alias("duration_semesters"), F.nullif(credits, F.lit("")).cast("int").alias("ects_credits"),
+        F.coalesce(fact("english", "English"), fact("german", "German"), F.lit("")).alias("language"), F.array_compact(F.array(fact("winter semester", "winter"), fact("summer semester", "summer"))).alias("start_semesters"))
+    return F.struct(info.alias("program_info"), F.struct(_about(p.related, "curriculum").alias("related_curriculum_pages")).alias("curriculum"), F.struct(_about(p.related, "application").alias("related_application_pages")).alias("application_info"))
+
 
+@register_builder("curriculum_page")
+def _curriculum(p: Page) -> Column:
+    info = F.struct(_about(p.related, "degree_program").alias("program_reference"), F.when(_says(p.title, "elective"), "elective").otherwise("core").alias("module_type"))
+    return F.struct(info.alias("curriculum_info"), F.transform(p.items, lambda x: F.struct(x.alias("description"))).alias("modules"))
 
-def register_builder(kind: str, build) -> None:
-    """Adds or replaces the builder of a class of pages: build(title, object_id, related, text) -> Column of a struct."""
-    BUILDERS[kind] = build
 
+@register_builder("application_process")
+def _process(p: Page) -> Column:
+    until = F.struct(F.when(_says(p.text, "july 15"), "July 15").alias("winter_semester"), F.when(_says(p.text, "january 15"), "January 15").alias("summer_semester"))
+    mail = F.nullif(F.regexp_extract(p.text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0), F.lit(""))
+    return F.struct(F.struct(p.title.alias("name"), p.notes.alias("description")).alias("process_info"), steps_of(p.sections).alias("steps"), until.alias("deadlines"), F.struct(mail.alias("email")).alias("contact"))
 
-def _with(parts: str, related: Column) -> Column:
-    return F.filter(related, lambda r: F.contains(r, F.lit(parts)))
 
+@register_builder("application_route_rule")
+def _route(p: Page) -> Column:
+    scope = F.when(_says(p.title, "visa"), "External requirement").otherwise("Internal requirement")
+    return F.struct(F.struct(_kind_of(p.object_id).alias("rule_type"), scope.alias("scope"), p.notes.alias("description")).alias("rule_info"))
 
-register_builder("degree_program", lambda t, o, r, x: F.struct(F.struct(F.trim(F.regexp_replace(t, r"\s*\([^)]*\)", "")).alias("name"), F.when(F.contains(F.lower(x), F.lit("master")), "Master").when(F.contains(F.lower(x), F.lit("bachelor")), "Bachelor").otherwise("").alias("degree_type")).alias("program_info"), F.struct(_with("curriculum", r).alias("related_curriculum_pages")).alias("curriculum")))
-register_builder("curriculum_page", lambda t, o, r, x: F.struct(F.struct(_with("degree_program", r).alias("program_reference"), F.when(F.contains(F.lower(t), F.lit("elective")), "elective").otherwise("core").alias("module_type")).alias("curriculum_info")))
-register_builder("application_route_rule", lambda t, o, r, x: F.struct(F.struct(F.coalesce(F.nullif(F.regexp_extract(o, "^[^-]*-(.*)$", 1), F.lit("")), F.lit("general")).alias("rule_type"), F.when(F.contains(F.lower(t), F.lit("visa")), "External requirement").otherwise("Internal requirement").alias("scope")).alias("rule_info")))
-register_builder("language_proof_rule", lambda t, o, r, x: F.struct(F.struct(F.when(F.contains(F.lower(t), F.lit("german")), "German").when(F.contains(F.lower(t), F.lit("english")), "English").alias("language"), t.alias("test_name")).alias("language_info")))
-register_builder("fees_funding_rule", lambda t, o, r, x: F.struct(F.struct(F.regexp_extract_all(x, F.lit(r"(?:€|EUR)\s*([0-9]+(?:[.,][0-9]{2})?)"), F.lit(1)).alias("amounts_mentioned")).alias("financial_info")))
-def _steps(x: Column) -> Column:
-    """Numbered lines of a text as steps."""
-    lines = F.filter(F.split(x, "\n"), lambda s: F.regexp_like(s, F.lit(r"^\s*[0-9]+[.)]\s")))
-    return F.transform(lines, lambda s, i: F.struct((i + 1).alias("step_number"), F.trim(F.regexp_replace(s, r"^\s*[0-9]+[.)]\s+", "")).alias("title")))
 
+@register_builder("language_proof_rule")
+def _language(p: Page) -> Column:
+    spoken = F.when(_says(p.title, "german", "dsh"), "German").when(_says(p.title, "english"), "English")
+    return F.struct(F.struct(spoken.alias("language"), p.title.alias("test_name"), p.notes.alias("description")).alias("language_info"))
 
-register_builder("application_process", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("process_info"), _steps(x).alias("steps"), F.struct(F.when(F.contains(F.lower(x), F.lit("july 15")), "July 15").alias("winter_semester"), F.when(F.contains(F.lower(x), F.lit("january 15")), "January 15").alias("summer_semester")).alias("deadlines"), F.struct(F.nullif(F.regexp_extract(x, r"[\w.-]+@[\w.-]+\.\w+", 0), F.lit("")).alias("email")).alias("contact")))
-register_builder("special_category", lambda t, o, r, x: F.struct(F.struct(t.alias("name"), F.regexp_like(F.lower(x), F.lit("deadline|until|bis zum")).alias("time_bound")).alias("category_info")))
-register_builder("faq_support", lambda t, o, r, x: F.struct(F.transform(F.filter(F.split(x, "\n"), lambda s: F.endswith(F.trim(s), F.lit("?"))), lambda s: F.struct(F.trim(s).alias("question"))).alias("questions")))
-register_builder("accessibility_support", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("support_info")))
-register_builder("family_support", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("support_info")))
-register_builder("university_profile", lambda t, o, r, x: F.struct(F.struct(t.alias("name")).alias("profile_info")))
-register_builder("overview_navigation", lambda t, o, r, x: F.struct(r.alias("child_pages")))
 
+@register_builder("fees_funding_rule")
+def _fees(p: Page) -> Column:
+    kind = F.when(_says(p.title, "funding", "scholarship"), "funding").otherwise("fee")
+    return F.struct(F.struct(kind.alias("type"), p.notes.alias("description"), F.regexp_extract_all(p.text, F.lit(r"(?:€|EUR)\s*([0-9]+(?:,[0-9]{3})*(?:\.[0-9]{2})?)"), F.lit(1)).alias("amounts_mentioned")).alias("financial_info"))
 
-def build_objects(pages: DataFrame, kind: str, key: str, title: str, object_id: str, related: str, text: str) -> DataFrame:
-    """`key`, object_type and object_json: each page as the object of its class; classes without a builder give metadata only."""
-    t, o, x = (F.coalesce(F.col(c), F.lit("")) for c in (title, object_id, text))
-    r = F.coalesce(F.col(related), F.array().cast("array<string>"))
-    out = None
+
+@register_builder("deadline_rule")
+def _deadlines(p: Page) -> Column:
+    kind = F.when(_says(p.title, "application"), "application_period").otherwise("academic_calendar")
+    return F.struct(F.struct(kind.alias("type"), p.notes.alias("description")).alias("deadline_info"), F.struct(F.regexp_extract_all(p.text, F.lit(r"[0-9]{1,2}\.[0-9]{1,2}\.(?:[0-9]{4})?"), F.lit(0)).alias("dates_mentioned")).alias("dates"))
+
+
+@register_builder("special_category")
+def _category(p: Page) -> Column:
+    return F.struct(F.struct(_kind_of(p.object_id).alias("category_type"), p.notes.alias("purpose"), _says(p.title, "ukraine", "crisis").alias("time_bound")).alias("category_info"))
+
+
+@register_builder("faq_support")
+def _faq(p: Page) -> Column:
+    both = F.filter(p.sections, lambda s: (s["heading"] != "") & (s["content"] != ""))
+    return F.struct(F.struct(p.title.alias("topic"), p.notes.alias("description")).alias("faq_info"), F.transform(both, lambda s: F.struct(s["heading"].alias("question"), s["content"].alias("answer"))).alias("questions"))
+
+
+@register_builder("overview_navigation")
+def _overview(p: Page) -> Column:
+    return F.struct(F.struct(p.notes.alias("purpose"), p.title.alias("scope")).alias("navigation_info"), p.related.alias("child_pages"))
+
+
+@register_builder("accessibility_support")
+def _accessibility(p: Page) -> Column:
+    return F.struct(F.struct(p.title.alias("service_type"), p.notes.alias("scope")).alias("support_info"))
+
+
+@register_builder("family_support")
+def _family(p: Page) -> Column:
+    return F.struct(F.struct(p.title.alias("service_type"), F.array(F.lit("students with children")).alias("who_for"), p.notes.alias("description")).alias("support_info"))
+
+
+@register_builder("university_profile")
+def _profile(p: Page) -> Column:
+    return F.struct(F.struct(p.title.alias("department"), p.notes.alias("offerings")).alias("profile_info"))
+
+
+def content_of(text: Column, sections: Column, limit: int = 500) -> Column:
+    """struct<full_text, sections, summary>: the text in one line, the sections, the first section's beginning with three points."""
+    first = F.substring(F.coalesce(F.get(sections, F.lit(0))["content"], F.lit("")), 1, limit)
+    return F.struct(clean_whitespace(text).alias("full_text"), sections.alias("sections"), F.when(first != "", F.concat(clean_whitespace(first), F.lit("..."))).alias("summary"))
+
+
+def build_objects(pages: DataFrame, key: str, kind: str, title: str, object_id: str, notes: str, text: str, related: str, items: str, sections: str) -> DataFrame:
+    """`key`, object_type and object_json: metadata, what the class's builder makes, related_pages and content; classes without a builder have no middle part.
+
+    items: array<string>; sections: array<struct<heading, content>>; nulls count as empty. One projection, no Python.
+    """
+    t, o, n, x = (F.coalesce(F.col(c), F.lit("")) for c in (title, object_id, notes, text))
+    strings = F.array().cast("array<string>")
+    rows = F.transform(F.coalesce(F.col(sections), F.array().cast("array<struct<heading:string,content:string>>")), lambda s: F.struct(F.coalesce(s["heading"], F.lit("")).alias("heading"), F.coalesce(s["content"], F.lit("")).alias("content")))
+    own = pages.select(key, F.col(kind).alias("object_type"), t.alias("_t"), o.alias("_o"), n.alias("_n"), x.alias("_x"), F.coalesce(related, strings).alias("_r"), F.coalesce(items, strings).alias("_i"), rows.alias("_s"))
+    page = Page(*(F.col(c) for c in ("_t", "_o", "_n", "_x", "_r", "_i", "_s")))
+    body = None
     for name, build in sorted(BUILDERS.items()):
-        j = F.to_json(build(t, o, r, x))
-        out = F.when(F.col(kind) == name, j) if out is None else out.when(F.col(kind) == name, j)
-    meta = F.to_json(F.struct(o.alias("object_id"), t.alias("title")))
-    body = out.otherwise(F.lit("{}"))
-    return pages.select(key, F.col(kind).alias("object_type"), F.concat(F.lit('{"metadata":'), meta, F.when(body == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(body, 2, 1 << 30)))).alias("object_json"))
+        j = F.to_json(build(page))
+        body = F.when(F.col("object_type") == name, j) if body is None else body.when(F.col("object_type") == name, j)
+    inner = lambda j: F.substring(j, 2, F.char_length(j) - 2)
+    head = F.to_json(F.struct(F.struct(page.object_id.alias("object_id"), F.col("object_type"), page.title.alias("title"), page.notes.alias("classification_notes")).alias("metadata")))
+    tail = F.to_json(F.struct(page.related.alias("related_pages"), content_of(page.text, page.sections).alias("content")))
+    return own.select(key, "object_type", F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(inner(head), F.nullif(inner(body), F.lit("")), inner(tail))), ","), F.lit("}")).alias("object_json"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clean_full_text as clean
 from ..operators import objects as O
 from ..operators.chunking import chunk_texts, fixed_chunks
-from ..operators.html import extract_pages
 from ..session import table
 from .registry import query
 
@@ -49,28 +48,98 @@ def build_embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return O.embedding_texts(_objects(spark, d), HEADER)
 
 
-@query("html_extract")
-def html_extract(spark: SparkSession, d: str) -> DataFrame:
-    """The parts of pages whose markup is rebuilt from their stored sections."""
-    p = table(spark, d, "overview_pages").where("content.full_text IS NOT NULL")
-    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    sections = F.coalesce(F.array_join(F.transform("content.sections", lambda s: F.concat(F.lit("<h2>"), esc(s["heading"]), F.lit("</h2><p>"), esc(s["content"]), F.lit("</p>"))), ""), F.lit(""))
-    html = F.concat(F.lit("<html><head><title>"), esc(F.col("metadata.title")), F.lit("</title></head><body><nav>menu</nav><main><h1>"), esc(F.col("metadata.title")), F.lit("</h1>"), sections, F.lit("</main></body></html>"))
-    e = extract_pages(p.select("snapshot_id", html.alias("html")), ["snapshot_id"], "html")
-    return e.select("snapshot_id", "page.title", "page.main_text", F.size("page.headings").alias("n_headings"), F.size("page.sections").alias("n_sections"))
-
-
 @query("extract_links", """
     SELECT id, array_to_string(list_filter(list_transform(links, lambda l: l.url), lambda u: contains(u, '/en/')), ' ') AS en_links FROM web_documents""")
 def extract_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "web_documents").select("id", F.array_join(F.filter(F.transform("links", lambda x: x["url"]), lambda u: F.contains(u, F.lit("/en/"))), " ").alias("en_links"))
 
 
-@query("build_objects")
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of the stored pages: their steps are the sections, their bulleted lines the items of lists."""
+    o = table(spark, d, "site_objects").where(F.expr("try_parse_json(raw_json)").isNotNull())
+    text = F.coalesce(F.get_json_object("raw_json", "$.content.full_text"), F.lit(""))
+    steps = F.from_json(F.get_json_object("raw_json", "$.steps"), "array<struct<title:string,description:string>>")
+    items = F.transform(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit("^[•*-] "))), lambda x: F.substring(x, 3, 1 << 30))
+    rows = o.select("id", "object_type", "title", "object_id", F.col("classification_notes").alias("notes"), text.alias("text"), "related_pages", items.alias("items"), F.transform(steps, lambda s: F.struct(s["title"].alias("heading"), s["description"].alias("content"))).alias("sections"))
+    return O.build_objects(rows, "id", "object_type", "title", "object_id", "notes", "text", "related_pages", "items", "sections")
+
+
+_OBJECTS = """
+    o AS (SELECT id, object_type, coalesce(title, '') AS title, coalesce(object_id, '') AS object_id, coalesce(classification_notes, '') AS notes, coalesce(related_pages, []) AS related, coalesce(raw_json->>'$.content.full_text', '') AS text,
+      coalesce(CAST(json_transform(raw_json->'$.steps', '[{"title": "VARCHAR", "description": "VARCHAR"}]') AS STRUCT(title VARCHAR, description VARCHAR)[]), []) AS steps FROM (SELECT * FROM site_objects WHERE json_valid(raw_json)))"""
+
+
+def _part(spark: SparkSession, d: str, path: str, kind: str) -> DataFrame:
+    return _built(spark, d).select("id", "object_type", F.from_json(F.get_json_object("object_json", path), kind).alias("x")).where("x IS NOT NULL")
+
+
+@query("build_objects", f"WITH {_OBJECTS} SELECT id, object_type, object_id, title, len(related)::INTEGER AS n_related, trim(regexp_replace(text, '[\\s\\x{{A0}}]+', ' ', 'g')) AS full_text, len(steps)::INTEGER AS n_sections FROM o")
 def build_objects(spark: SparkSession, d: str) -> DataFrame:
-    """Typed objects of pages by their class."""
-    o = table(spark, d, "site_objects").select("id", "object_type", "title", "object_id", "related_pages", F.get_json_object("raw_json", "$.content.full_text").alias("text"))
-    return O.build_objects(o, "object_type", "id", "title", "object_id", "related_pages", "text")
+    """Typed objects of pages by their class: metadata and content, read back from the built JSON."""
+    j = lambda p: F.get_json_object("object_json", p)
+    n = lambda p, k: F.coalesce(F.size(F.from_json(j(p), f"array<{k}>")), F.lit(0))
+    return _built(spark, d).select("id", "object_type", j("$.metadata.object_id").alias("object_id"), j("$.metadata.title").alias("title"), n("$.related_pages", "string").alias("n_related"), j("$.content.full_text").alias("full_text"), n("$.content.sections", "struct<heading:string>").alias("n_sections"))
+
+
+@query("object_steps", f"""
+    WITH {_OBJECTS}, s AS (SELECT id, steps, unnest(steps) AS s, unnest(range(1, len(steps) + 1)) AS n FROM o WHERE object_type = 'application_process'),
+    k AS (SELECT *, regexp_matches(coalesce(s.title, ''), '^[0-9]+\\.?\\s|(?i:step\\s+[0-9]+)') AS marked, max(CASE WHEN regexp_matches(coalesce(s.title, ''), '^[0-9]+\\.?\\s|(?i:step\\s+[0-9]+)') THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS has FROM s)
+    SELECT id, n::INTEGER AS step_number, coalesce(s.title, '') AS title, coalesce(s.description, '') AS description FROM k WHERE marked OR has = 0 AND n <= 10""")
+def object_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of processes: numbered headings, else the first ten sections."""
+    return _part(spark, d, "$.steps", "array<struct<step_number:int,title:string,description:string>>").where("object_type = 'application_process'").select("id", F.inline("x"))
+
+
+@query("object_questions", f"""
+    WITH {_OBJECTS}, s AS (SELECT id, unnest(steps) AS s FROM o WHERE object_type = 'faq_support') SELECT id, s.title AS question, s.description AS answer FROM s WHERE s.title <> '' AND s.description <> ''""")
+def object_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and answers of pages that have them: every section with heading and content."""
+    return _part(spark, d, "$.questions", "array<struct<question:string,answer:string>>").select("id", F.inline("x"))
+
+
+@query("object_modules", f"""
+    WITH {_OBJECTS} SELECT id, unnest(list_transform(list_filter(string_split(text, E'\\n'), lambda x: regexp_matches(x, '^[•*-] ')), lambda x: substr(x, 3))) AS description FROM o WHERE object_type = 'curriculum_page'""")
+def object_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Modules of curriculum pages: the items of all their lists."""
+    return _part(spark, d, "$.modules", "array<struct<description:string>>").where("object_type = 'curriculum_page'").select("id", F.inline("x"))
+
+
+@query("object_related", f"""
+    WITH {_OBJECTS} SELECT id, 'curriculum' AS kind, r FROM (SELECT id, unnest(related) AS r FROM o WHERE object_type = 'degree_program') WHERE contains(r, 'curriculum')
+    UNION ALL SELECT id, 'application', r FROM (SELECT id, unnest(related) AS r FROM o WHERE object_type = 'degree_program') WHERE contains(r, 'application')""")
+def object_related(spark: SparkSession, d: str) -> DataFrame:
+    """Curriculum and application pages of programmes."""
+    b = _built(spark, d).where("object_type = 'degree_program'")
+    of = lambda k, p: b.select("id", F.lit(k).alias("kind"), F.explode(F.from_json(F.get_json_object("object_json", p), "array<string>")).alias("r"))
+    return of("curriculum", "$.curriculum.related_curriculum_pages").unionAll(of("application", "$.application_info.related_application_pages"))
+
+
+_FACTS = {
+    "program_info.name": ("degree_program", "trim(regexp_replace(title, '\\s*\\([^)]*\\)', '', 'g'))"),
+    "program_info.degree_type": ("degree_program", "CASE WHEN contains(lower(text), 'master') THEN 'Master' WHEN contains(lower(text), 'bachelor') THEN 'Bachelor' ELSE '' END"),
+    "program_info.ects_credits": ("degree_program", "nullif(regexp_extract(text, '([0-9]{2,3})\\s*(?:ECTS|credits|Leistungspunkte)', 1), '')"),
+    "program_info.language": ("degree_program", "CASE WHEN contains(lower(text), 'english') THEN 'English' WHEN contains(lower(text), 'german') THEN 'German' ELSE '' END"),
+    "curriculum_info.module_type": ("curriculum_page", "CASE WHEN contains(lower(title), 'elective') THEN 'elective' ELSE 'core' END"),
+    "process_info.name": ("application_process", "title"),
+    "contact.email": ("application_process", "nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', 0), '')"),
+    "rule_info.rule_type": ("application_route_rule", "CASE WHEN contains(object_id, '-') THEN regexp_extract(object_id, '^[^-]*-(.*)$', 1) ELSE 'general' END"),
+    "rule_info.scope": ("application_route_rule", "CASE WHEN contains(lower(title), 'visa') THEN 'External requirement' ELSE 'Internal requirement' END"),
+    "language_info.language": ("language_proof_rule", "CASE WHEN contains(lower(title), 'german') OR contains(lower(title), 'dsh') THEN 'German' WHEN contains(lower(title), 'english') THEN 'English' END"),
+    "language_info.test_name": ("language_proof_rule", "title"),
+    "financial_info.type": ("fees_funding_rule", "CASE WHEN contains(lower(title), 'funding') OR contains(lower(title), 'scholarship') THEN 'funding' ELSE 'fee' END"),
+    "category_info.category_type": ("special_category", "CASE WHEN contains(object_id, '-') THEN regexp_extract(object_id, '^[^-]*-(.*)$', 1) ELSE 'general' END"),
+    "category_info.time_bound": ("special_category", "CASE WHEN contains(lower(title), 'ukraine') OR contains(lower(title), 'crisis') THEN 'true' ELSE 'false' END"),
+    "faq_info.topic": ("faq_support", "title"),
+    "support_info.service_type": ("accessibility_support", "title"),
+    "support_info.scope": ("accessibility_support", "notes"),
+}
+
+
+@query("object_facts", f"WITH {_OBJECTS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT id, '{path}' AS field, {sql} AS value FROM o WHERE object_type = '{kind}'" for path, (kind, sql) in _FACTS.items()) + ") WHERE value IS NOT NULL")
+def object_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Single values of every class's object."""
+    facts = F.filter(F.array(*(F.when(F.col("object_type") == kind, F.struct(F.lit(path).alias("field"), F.get_json_object("object_json", f"$.{path}").alias("value"))) for path, (kind, _) in _FACTS.items())), lambda x: x["value"].isNotNull())
+    return _built(spark, d).select("id", F.inline(facts))
 
 
 @query("page_sections", """

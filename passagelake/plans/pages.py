@@ -84,6 +84,14 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).select("snapshot_id", F.explode("page.links").alias("l")).select("snapshot_id", "l.text", "l.url")
 
 
+@query("html_extract", f"""
+    WITH {_PAGES} SELECT snapshot_id, (1 + (len(wanted) > 0)::INT + (len(steps) > 0)::INT + 2 * len(sections))::INTEGER AS n_headings, ((len(wanted) > 0)::INT + (len(steps) > 0)::INT)::INTEGER AS n_lists, (len(rows_) > 0)::INTEGER AS n_tables,
+      len(list_filter(related, lambda r: r <> ''))::INTEGER AS n_links FROM m""")
+def html_extract(spark: SparkSession, d: str) -> DataFrame:
+    """All parts of every page in one pass: how many of each."""
+    return _parts(spark, d).select("snapshot_id", *(F.size(f"page.{c}").alias(f"n_{c}") for c in ("headings", "lists", "tables", "links")))
+
+
 @query("html_titles", "SELECT snapshot_id, regexp_replace(coalesce(metadata.title, ''), '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g') AS title FROM overview_pages WHERE content.full_text IS NOT NULL")
 def html_titles(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).select("snapshot_id", "page.title")

@@ -299,8 +299,26 @@ def test_objects(spark):
     got = {r["object_id"]: r for r in objects.embedding_texts(o).collect()}
     assert got["a"]["enriched"] and got["a"]["related_used"] == "b" and "excerpt from b" in got["a"]["embedding_text"]
     assert not got["b"]["enriched"] and "Classification notes: note" in got["b"]["embedding_text"] and got["c"]["is_thin_before"] and not got["c"]["still_thin"]
-    j = objects.build_objects(o.withColumn("k", F.lit("degree_program")), "k", "object_id", "title", "object_id", "related_pages", "full_text").collect()
-    assert all(json.loads(r["object_json"])["metadata"]["object_id"] == r["object_id"] for r in j)
+    parts = "transform(array('Step 1: apply', null), h -> struct(h AS heading, 'do it' AS content)) AS sections"
+    rows = o.crossJoin(spark.createDataFrame([(k,) for k in [*objects.BUILDERS, "unknown", None]], "k string")).selectExpr("*", "array('Module A') AS items", parts)
+    args = ("object_id", "k", "title", "object_id", "classification_notes", "full_text", "related_pages", "items", "sections")
+    got = {(r["object_id"], r["object_type"]): json.loads(r["object_json"]) for r in objects.build_objects(rows, *args).collect()}
+    assert len(got) == 3 * (len(objects.BUILDERS) + 2) and all(v["metadata"]["object_id"] == k[0] for k, v in got.items())
+    assert got["a", "application_process"]["steps"] == [{"step_number": 1, "title": "Step 1: apply", "description": "do it"}]
+    assert got["a", "faq_support"]["questions"] == [{"question": "Step 1: apply", "answer": "do it"}] and got["a", "curriculum_page"]["modules"] == [{"description": "Module A"}]
+    assert got["b", "university_profile"]["content"]["summary"] == "do it..." and set(got["c", "unknown"]) == {"metadata", "related_pages", "content"}
+    bare = o.selectExpr("*", "'faq_support' AS k", "CAST(null AS array<string>) AS items", "CAST(null AS array<struct<heading:string,content:string>>) AS sections")
+    assert all(json.loads(r["object_json"])["questions"] == [] for r in objects.build_objects(bare, *args).collect()) and objects.build_objects(bare.limit(0), *args).count() == 0
+
+
+def test_guidance():
+    page = """<body><header>H</header><main><h2>Entry requirements</h2><ul><li>one<li>two</ul><h3>How to apply</h3><ol><li>a<li>b</ol><h3>Guide</h3><p>x</p>
+    <div><h2>FAQ</h2><h4>Why?</h4><p>Because.</p><b>Who?</b><span>All</span></div><a href="/x">Language tests</a><a href="mailto:a@b">language</a><a href="y">other</a></main><footer>F</footer>"""
+    g = html.guidance(page, ("language",), "https://h.org/d/")
+    assert g["requirements"] == ["one", "two"] and g["procedures"] == [{"title": "How to apply", "steps": ["a", "b"]}]
+    assert g["faqs"] == [{"question": "Why?", "answer": "Because."}, {"question": "Who?", "answer": "All"}]
+    assert g["useful_links"] == [{"url": "https://h.org/x", "text": "Language tests"}] and g["body_text"].startswith("Entry requirements one two How to apply a b") and "F" not in g["body_text"].split()
+    assert html.guidance("", ("x",)) == {"body_text": "", "requirements": [], "procedures": [], "faqs": [], "useful_links": []}
 
 
 # --- sources and streams ---------------------------------------------------------------------------------------------
