@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .upsert import numbered
+
 
 def programme_score(title: Column, url: Column, text: Column, aliases: Column, others: Column, weak: Column) -> Column:
     """Points of a document for a programme: an alias found in the URL counts 6, in the title 5, in the text 4; a weak section takes 5, clues to other programmes 6. aliases, others: arrays of lower-case strings."""
@@ -20,11 +22,17 @@ def programme_score(title: Column, url: Column, text: Column, aliases: Column, o
 
 
 def select_evidence(df: DataFrame, group: str, score: str, order: str, strong: int = 3, keep: int = 5) -> DataFrame:
-    """Of each group the documents with a score of `strong` or more, filled up in order to `keep`; with position (from 1)."""
-    s = (F.col(score) >= strong).cast("int")
-    w = Window.partitionBy(group)
-    out = df.withColumn("_strong", F.sum(s).over(w)).withColumn("position", F.row_number().over(w.orderBy(F.desc(s), order)))
-    return out.where(F.col("position") <= F.greatest(F.col("_strong"), F.lit(keep))).drop("_strong")
+    """Of each group the documents with a score of `strong` or more, filled up in order to `keep`; with position (from 1).
+
+    order: a whole-number column, unique in its group. Strong rows are counted and numbered by ranges of it, weak ones cut
+    to `keep` a group before the shuffle, so no task sees all rows of a group. Null scores are weak, null groups a group.
+    """
+    is_strong = F.coalesce(F.col(score) >= strong, F.lit(False))
+    first = numbered(df.where(is_strong), group, order, "position").withColumn("position", F.col("position").cast("int"))
+    weak = df.where(~is_strong).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_at") <= keep)
+    n = df.groupBy(F.col(group).alias("_g")).agg(F.count_if(is_strong).alias("_n"))
+    fill = weak.join(n, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_at") + F.col("_n") <= keep)
+    return first.unionByName(fill.withColumn("position", (F.col("_at") + F.col("_n")).cast("int")).drop("_at", "_g", "_n"))
 
 
 def best_citation(df: DataFrame, group: str, score: str, position: str, keyword: Column) -> DataFrame:
@@ -61,3 +69,48 @@ def prompt(profile: dict[str, Column], topics: Column, evidence: Column, rules:
     facts = F.concat_ws("\n", *(F.when(c.isNotNull(), F.concat(F.lit(f"{k}: "), c)) for k, c in profile.items()))
     docs = F.array_join(F.transform(evidence, lambda e, i: F.concat(F.lit("[Doc "), (i + 1).cast("string"), F.lit("] "), F.substring(e, 1, most))), "\n")
     return F.concat_ws("\n\n", facts, F.concat(F.lit("Topics: "), F.array_join(topics, ", ")), docs, F.lit(rules))
+
+
+def guarded_rewrite(draft: Column, topics: Column, guarded: tuple[str, ...], pattern: str, replacement: str) -> Column:
+    """`draft` with what matches `pattern` replaced where its topics (array<string>) have one of `guarded`; else, and without topics, as it is."""
+    return F.when(F.coalesce(F.arrays_overlap(topics, F.array(*map(F.lit, guarded))), F.lit(False)), F.regexp_replace(draft, pattern, replacement)).otherwise(draft)
+
+
+def with_note(response: Column, level: Column, notes: dict[str, str]) -> Column:
+    """The response with the note of its level of confidence behind it, if there is one for that level."""
+    out = None
+    for k, note in notes.items():
+        out = F.when(level == k, F.concat(response, F.lit(note))) if out is None else out.when(level == k, F.concat(response, F.lit(note)))
+    return response if out is None else out.otherwise(response)
+
+
+def block(head: str, lines: dict[str, Column], tail: str = "") -> Column:
+    """`head`, a line `- label: value` for every value that is there, and `tail`; null if none is."""
+    got = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"- {k}: "), c)) for k, c in lines.items())))
+    return F.when(F.size(got) > 0, F.concat_ws("\n", F.lit(head), F.array_join(got, "\n"), *([F.lit(tail)] if tail else [])))
+
+
+def lines_where(rules: list[tuple[Column, str]]) -> Column:
+    """The lines whose conditions hold, in the order of the rules."""
+    return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(x)) for c, x in rules))), "\n")
+
+
+def ordered_topics(found: Column, order: tuple[str, ...], merges: dict[str, str], discards: list[tuple[tuple[str, ...], str]], most: int, fallback: str) -> Column:
+    """Topics merged into others, without those that the presence of others makes needless, in order of priority, at most `most`; [fallback] if none is left.
+
+    found: array<string>; merges: from -> into; discards: (any of these, what then goes). Topics out of `order` are dropped.
+    """
+    into = found
+    for a, b in merges.items():
+        into = F.transform(into, lambda x, a=a, b=b: F.when(x == a, F.lit(b)).otherwise(x))
+    kept = into
+    for those, gone in discards:
+        kept = F.when(F.arrays_overlap(into, F.array(*map(F.lit, those))), F.array_remove(kept, gone)).otherwise(kept)
+    out = F.slice(F.filter(F.array(*map(F.lit, order)), lambda t: F.array_contains(kept, t)), 1, most)
+    return F.when(F.coalesce(F.size(out), F.lit(0)) > 0, out).otherwise(F.array(F.lit(fallback)))
+
+
+def bad_phrases(draft: Column, phrases: tuple[str, ...], disclaimer: str | None = None) -> Column:
+    """The phrases of a table that a draft has, without case, after a disclaimer at its end is taken off. The table is the caller's."""
+    body = F.lower(F.regexp_replace(draft, rf"(?s)\s*{disclaimer}.*\z", "") if disclaimer else draft)
+    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(body, p))

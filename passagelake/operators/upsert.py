@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def upsert_actions(stored: DataFrame, incoming: DataFrame, key: str, order: str, force: bool = False) -> DataFrame:
     """`incoming` with action: insert, duplicate (an earlier incoming row has the key), or for stored keys skip or, with force, update.
@@ -35,12 +37,13 @@ def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
     return k.groupBy("_key").agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
-def running_count(df: DataFrame, key: str, time: str, tie: str, out: str) -> DataFrame:
+def running_count(df: DataFrame, key: str, time: str, tie: str, out: str, slot: str = "hour") -> DataFrame:
     """`df` with the number (from 1) of each row among its key's in order of time and tie.
 
-    Counted within days and carried over the days' totals, so a key with a third of all rows is still split by day.
+    Counted within slots of time (a unit of date_trunc) and carried over the slots' totals, so a key with a third of all
+    rows, even one that is hot on one day only, is split by slot.
     """
-    day = F.to_date(time)
+    day = F.date_trunc(slot, time)
     own = df.withColumn("_day", day)
     days = own.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
     before = days.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -62,13 +65,13 @@ def numbered(df: DataFrame, key: str, order: str, out: str, width: int = 1 << 20
     return j.select("w.*", (F.col("w._i") + F.col("b._before")).cast("long").alias(out)).drop("_range", "_i")
 
 
-def sessions(df: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
+def sessions(df: DataFrame, key: str, time: str, gap_seconds: int, slot: str = "hour") -> DataFrame:
     """Per key its number of rows and of sessions, a session ending after more than `gap_seconds` without a row.
 
-    Gaps are counted within days; those between days come from the days' first and last times. Rows without time count as
-    rows only.
+    Gaps are counted within slots of time; those between slots come from their first and last times. Rows without time
+    count as rows only.
     """
-    day = F.to_date(time)
+    day = F.date_trunc(slot, time)
     w = Window.partitionBy(key, "_day").orderBy(time)
     apart = lambda a, b: F.floor((F.unix_micros(b) - F.unix_micros(a)) / 1_000_000) > gap_seconds
     own = df.select(key, F.col(time).cast("timestamp").alias(time), day.alias("_day"))
@@ -79,9 +82,9 @@ def sessions(df: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
     return days.withColumn("_begin", begin).groupBy(key).agg(F.sum(F.col("_new") + F.col("_begin")).alias("sessions"), F.sum("_n").alias("events"))
 
 
-def carry_forward(df: DataFrame, key: str, time: str, tie: str, value: str, out: str) -> DataFrame:
-    """`df` with the latest non-null `value` of its key up to each row; split by day like running_count."""
-    own = df.withColumn("_day", F.to_date(time))
+def carry_forward(df: DataFrame, key: str, time: str, tie: str, value: str, out: str, slot: str = "hour") -> DataFrame:
+    """`df` with the latest non-null `value` of its key up to each row; split by slots of time like running_count."""
+    own = df.withColumn("_day", F.date_trunc(slot, time))
     inside = Window.partitionBy(key, "_day").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = own.withColumn("_v", F.last(value, ignorenulls=True).over(inside))
     days = own.groupBy(key, "_day").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, tie))).alias("_last"))
@@ -94,19 +97,26 @@ def carry_forward(df: DataFrame, key: str, time: str, tie: str, value: str, out:
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node and least number of steps (0 for seeds) of what the seeds reach within `depth` steps.
 
-    edges: src, dst; seeds: node. One join a step, new nodes only.
+    edges: src, dst; seeds: node. One join a step, new nodes only. Each step's nodes are written to the shared folder, so
+    that no step is computed again by a later one and the plan does not grow.
     """
-    found = seeds.select("node").distinct().withColumn("steps", F.lit(0))
-    edge = front = found
-    edge = edges.select("src", "dst").distinct()
+    front = cut(seeds.select("node").distinct().withColumn("steps", F.lit(0)))
+    edge = cut(edges.select("src", "dst").distinct())
+    found = front
     for step in range(1, depth + 1):
-        nxt = front.join(edge, front["node"] == edge["src"]).select(F.col("dst").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("steps", F.lit(step))
-        found, front = found.unionAll(nxt), nxt
+        nxt = front.join(edge, front["node"] == edge["src"]).select(F.col("dst").alias("node")).distinct()
+        front = cut(nxt.join(found.select("node"), "node", "left_anti").withColumn("steps", F.lit(step)))
+        if front.isEmpty():
+            break
+        found = found.unionAll(front)
     return found
 
 
 def merge_adjacent(df: DataFrame, group: str, document: str, index: str, position: str, text: str) -> DataFrame:
-    """Fuses neighbours in a ranked list that are consecutive pieces of one document: group, document, first index, joined text, merged_from (null for single pieces)."""
+    """Fuses neighbours in a ranked list that are consecutive pieces of one document: group, document, first index, joined text, merged_from (null for single pieces).
+
+    A group is one query's results, at most as many as were asked for; it is not meant for all pieces of a collection.
+    """
     w = Window.partitionBy(group).orderBy(position)
     new = ~F.coalesce((F.lag(document).over(w) == F.col(document)) & (F.lag(index).over(w) + 1 == F.col(index)), F.lit(False))
     isles = df.withColumn("_isle", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

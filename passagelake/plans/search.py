@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import retrieval as R
+from ..operators import upsert as U
 from ..operators.ann import ivf_topk
 from ..session import table
 from .registry import query
@@ -251,3 +252,26 @@ def build_context(spark: SparkSession, d: str) -> DataFrame:
     block = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit(" - WEB]\n"), line("Title: ", "title"), line("URL: ", "url"), F.lit("Content: "), "text", F.lit("\n\n"))
     t = web_topk(spark, d).where("rank <= 3").join(items, "item_id").select("query_id", F.struct("rank", block.alias("b")).alias("x"))
     return t.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "")).alias("context_md5"))
+
+
+@query("merge_adjacent", f"""
+    WITH {_WEB}, t AS (SELECT top.query_id, c.document_id, c.chunk_index, c.text FROM top JOIN web_chunks c ON c.id = top.item_id),
+    f AS (SELECT *, CASE WHEN lag(document_id) OVER w = document_id AND lag(chunk_index) OVER w + 1 = chunk_index THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY query_id ORDER BY document_id, chunk_index)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY document_id, chunk_index) AS isle FROM f)
+    SELECT query_id, document_id, min(chunk_index) AS first_index, md5(string_agg(text, ' ' ORDER BY chunk_index)) AS text_md5, CASE WHEN count(*) > 1 THEN count(*) END AS merged_from FROM i GROUP BY query_id, document_id, isle""")
+def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
+    """Of each question's thirty nearest chunks those that follow each other in their document, as one text."""
+    pieces = table(spark, d, "web_chunks").select(F.col("id").alias("item_id"), "document_id", "chunk_index", "text")
+    found = _web_top(spark, d).select("query_id", "item_id").join(pieces, "item_id").withColumn("place", F.struct("document_id", "chunk_index"))
+    return U.merge_adjacent(found, "query_id", "document_id", "chunk_index", "place", "text").select("query_id", "document_id", "first_index", F.md5("text").alias("text_md5"), "merged_from")
+
+
+@query("chunk_metadata", """
+    SELECT c.id, c.document_id, coalesce(len(c.contacts), len(d.contacts))::INTEGER AS n_contacts, coalesce(c.links, d.links)[1].url AS first_link, CASE WHEN c.contacts IS NULL AND d.contacts IS NOT NULL THEN 'document' WHEN c.contacts IS NOT NULL THEN 'chunk' END AS contacts_from
+    FROM web_chunks c LEFT JOIN web_documents d ON d.id = c.document_id""")
+def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their contacts and links, and where they have none those of their document."""
+    c = table(spark, d, "web_chunks").select("id", "document_id", "contacts", "links")
+    w = table(spark, d, "web_documents").select(F.col("id").alias("document_id"), F.col("contacts").alias("_c"), F.col("links").alias("_l"))
+    source = F.when(F.col("contacts").isNotNull(), "chunk").when(F.col("_c").isNotNull(), "document")
+    return c.join(w, "document_id", "left").select("id", "document_id", F.size(F.coalesce("contacts", "_c")).alias("n_contacts"), F.get(F.coalesce("links", "_l"), F.lit(0))["url"].alias("first_link"), source.alias("contacts_from"))

@@ -151,16 +151,6 @@ def best_related(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("object_id").agg(F.max("x").alias("x")).select("object_id", "x.best", "x.score")
 
 
-@query("merge_adjacent", """
-    WITH c AS (SELECT document_id, chunk_index, text, CASE WHEN lag(chunk_index) OVER w + 1 = chunk_index THEN 0 ELSE 1 END AS fresh FROM web_chunks WHERE length(text) < 600 WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)),
-    i AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY chunk_index) AS isle FROM c)
-    SELECT document_id, min(chunk_index) AS first_index, md5(string_agg(text, ' ' ORDER BY chunk_index)) AS text_md5, CASE WHEN count(*) > 1 THEN count(*) END AS merged_from FROM i GROUP BY document_id, isle""")
-def merge_adjacent(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of consecutive short chunks of a document as one text."""
-    c = table(spark, d, "web_chunks").where(F.char_length("text") < 600).select(F.col("document_id").alias("g"), "document_id", "chunk_index", F.col("chunk_index").alias("pos"), "text")
-    return U.merge_adjacent(c, "g", "document_id", "chunk_index", "pos", "text").select("document_id", "first_index", F.md5("text").alias("text_md5"), "merged_from")
-
-
 @query("source_reordering", """
     WITH b AS (SELECT doc_id, source, CASE WHEN object_type = 'degree_program' THEN 0 WHEN object_type IN ('fees_funding_rule', 'application_process') THEN 1 WHEN object_type IS NOT NULL THEN 2 ELSE 3 END AS bucket FROM documents)
     SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY bucket, doc_id) AS new_number FROM b QUALIFY new_number <= 8""")
