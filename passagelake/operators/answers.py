@@ -100,9 +100,12 @@ def ordered_topics(found: Column, order: tuple[str, ...], merges: dict[str, str]
 
     found: array<string>; merges: from -> into; discards: (any of these, what then goes). Topics out of `order` are dropped.
     """
+    def merged(c: Column, a: str, b: str) -> Column:
+        return F.transform(c, lambda x: F.when(x == a, F.lit(b)).otherwise(x))
+
     into = found
     for a, b in merges.items():
-        into = F.transform(into, lambda x, a=a, b=b: F.when(x == a, F.lit(b)).otherwise(x))
+        into = merged(into, a, b)
     kept = into
     for those, gone in discards:
         kept = F.when(F.arrays_overlap(into, F.array(*map(F.lit, those))), F.array_remove(kept, gone)).otherwise(kept)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as A
 from ..operators.embed import embed
+from ..operators.rules import exact_matches
 from ..operators.upsert import numbered
 from ..session import table
 from .registry import query
@@ -73,23 +74,44 @@ def reference_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "web_documents").select("id", A.reference_lines(F.array(F.lit(1), F.lit(9), F.lit(1)), urls).alias("v"))
 
 
-@query("renumber_citations", """
-    SELECT id, 'See [Doc ' || CASE WHEN row_num % 2 = 0 THEN 1 ELSE 2 END || '] and .' AS v FROM qa_pairs WHERE row_num IS NOT NULL""")
+@query("renumber_citations", f"""
+    WITH f AS (SELECT id, row_num, coalesce(tags[1], 'this') AS t, question FROM qa_pairs WHERE row_num IS NOT NULL AND question IS NOT NULL AND NOT contains(question, '[Doc'))
+    SELECT id, md5('See ' || CASE row_num % 4 + 1 WHEN 3 THEN '[Doc 1]' WHEN 1 THEN '[Doc 2]' ELSE '' END || ' on ' || t || ', ' || question || ' ' || CASE row_num % 3 + 1 WHEN 3 THEN '[Doc 1]' WHEN 1 THEN '[Doc 2]' ELSE '' END || '.') AS v FROM f""")
 def renumber_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Citations after the sources are put in a new order."""
-    draft = F.concat(F.lit("See [Doc "), F.when(F.col("row_num") % 2 == 0, "3").otherwise("1"), F.lit("] and [Doc 8]."))
-    return table(spark, d, "qa_pairs").where("row_num IS NOT NULL").select("id", A.renumber_citations(draft, F.array(F.lit(3), F.lit(1))).alias("v"))
-
-
-@query("quality_score", """
-    WITH p AS (SELECT id, length(answer) AS n, regexp_matches(answer, '[0-9]') AS num, coalesce(len(tags), 0) AS t, contains(lower(answer), 'guarantee') AS bad FROM qa_pairs),
-    s AS (SELECT id, round(CASE WHEN bad THEN least(least(n / 200.0::DOUBLE, 1) * 50 + CASE WHEN num THEN 30 ELSE 0 END + least(t / 2.0::DOUBLE, 1) * 20, 60) ELSE least(n / 200.0::DOUBLE, 1) * 50 + CASE WHEN num THEN 30 ELSE 0 END + least(t / 2.0::DOUBLE, 1) * 20 END, 2) AS score FROM p)
+    """Citations of drafts made of each question, after the sources are put in a new order."""
+    q = table(spark, d, "qa_pairs").where("row_num IS NOT NULL AND question IS NOT NULL").where(~F.contains("question", F.lit("[Doc")))
+    cite = lambda n: F.concat(F.lit("[Doc "), (F.col("row_num") % n + 1).cast("string"), F.lit("]"))
+    draft = F.concat(F.lit("See "), cite(4), F.lit(" on "), F.coalesce(F.get("tags", F.lit(0)), F.lit("this")), F.lit(", "), "question", F.lit(" "), cite(3), F.lit("."))
+    return q.select("id", F.md5(A.renumber_citations(draft, F.array(F.lit(3), F.lit(1)))).alias("v"))
+
+
+_Q_PARTS = {
+    "topics": (20.0, "least(coalesce(len(tags), 0) / 2.0::DOUBLE, 1)"),
+    "length": (25.0, "least(n / 200.0::DOUBLE, 1)"),
+    "numbers": (20.0, "CASE WHEN regexp_matches(answer, '[0-9]') THEN 1.0::DOUBLE ELSE 0 END"),
+    "overlap": (15.0, "least(len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-zäöüß]{5,}')), list_distinct(regexp_extract_all(lower(answer), '[a-zäöüß]{5,}')))) / 3.0::DOUBLE, 1)"),
+    "sentences": (10.0, "CASE WHEN regexp_matches(trim(answer), '[.!?]$') THEN 1.0::DOUBLE ELSE 0 END"),
+    "reference": (5.0, "CASE WHEN regexp_matches(answer, '@|https?://') THEN 1.0::DOUBLE ELSE 0 END"),
+    "form": (5.0, "CASE WHEN regexp_matches(answer, '^[A-ZÄÖÜ]') THEN 1.0::DOUBLE ELSE 0 END"),
+}
+_Q_CAPS = ((60.0, "n < 40"), (70.0, "contains(lower(answer), 'cannot')"), (75.0, "NOT regexp_matches(trim(answer), '[.!?]$')"), (80.0, "coalesce(len(tags), 0) = 0"))
+
+
+@query("quality_score", f"""
+    WITH p AS (SELECT *, length(answer) AS n FROM qa_pairs WHERE question IS NOT NULL AND answer IS NOT NULL), t AS (SELECT *, {' + '.join(f'{sql} * {w}::DOUBLE' for w, sql in _Q_PARTS.values())} AS total FROM p),
+    s AS (SELECT id, round(least(total, {', '.join(f'CASE WHEN {cond} THEN {cap}::DOUBLE ELSE 100 END' for cap, cond in _Q_CAPS)}), 2) AS score FROM t)
     SELECT id, score, CASE WHEN score >= 85 THEN 'good' WHEN score >= 70 THEN 'mostly_good' WHEN score >= 50 THEN 'partial' ELSE 'review' END AS label FROM s""")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    """A weighted score of answers with caps, and its label."""
-    n, t = F.char_length("answer"), F.coalesce(F.size("tags"), F.lit(0))
-    parts = {"length": (F.least(n / 200.0, F.lit(1.0)), 50.0), "numbers": (F.regexp_like("answer", F.lit("[0-9]")).cast("double"), 30.0), "tags": (F.least(t / 2.0, F.lit(1.0)), 20.0)}
-    return table(spark, d, "qa_pairs").select("id", A.weighted_quality(parts, [(F.contains(F.lower("answer"), F.lit("guarantee")), 60.0)]).alias("q")).select("id", "q.score", "q.label")
+    """A score of answers from seven weighted parts under four caps, and its label."""
+    n, t, answer = F.char_length("answer"), F.coalesce(F.size("tags"), F.lit(0)), F.col("answer")
+    has = lambda p: F.regexp_like(answer, F.lit(p)).cast("double")
+    long = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-zäöüß]{5,}"), F.lit(0)))
+    ends = F.regexp_like(F.trim(answer), F.lit("[.!?]$"))
+    parts = {
+        "topics": (F.least(t / 2.0, F.lit(1.0)), 20.0), "length": (F.least(n / 200.0, F.lit(1.0)), 25.0), "numbers": (has("[0-9]"), 20.0), "overlap": (F.least(F.size(F.array_intersect(long(F.col("question")), long(answer))) / 3.0, F.lit(1.0)), 15.0),
+        "sentences": (ends.cast("double"), 10.0), "reference": (has("@|https?://"), 5.0), "form": (has("^[A-ZÄÖÜ]"), 5.0)}
+    caps = [(n < 40, 60.0), (F.contains(F.lower(answer), F.lit("cannot")), 70.0), (~ends, 75.0), (t == 0, 80.0)]
+    return table(spark, d, "qa_pairs").where("question IS NOT NULL AND answer IS NOT NULL").select("id", A.weighted_quality(parts, caps).alias("q")).select("id", "q.score", "q.label")
 
 
 @query("draft_prompt", """
@@ -100,14 +122,30 @@ def draft_prompt(spark: SparkSession, d: str) -> DataFrame:
     return m.select("request_id", F.md5(p).alias("prompt_md5"))
 
 
-@query("email_context", """
-    SELECT request_id, coalesce(lang, CASE WHEN regexp_matches(lower(email_text), '\\b(und|nicht|der|die|das)\\b') THEN 'de' ELSE 'en' END) AS language, nullif(regexp_extract(email_text, '(?m)^(?:Hallo|Hi|Dear) ([A-Z][a-z]+),', 1), '') AS addressed,
-      nullif(regexp_extract(email_text, '((?:winter|summer) semester [0-9]{2,4}(?:/[0-9]{2})?)', 1), '') AS semester FROM email_requests""")
+#: Example patterns of what a mail says of its sender: group 1 is the value.
+CONTEXT = {
+    "addressed": r"(?m)^(?:Hallo|Hi|Dear) ([A-Z][a-z]+),",
+    "signed": r"(?m)^(?:Best regards|Kind regards|Best wishes|Viele Grüße|Mit freundlichen Grüßen),?[ ]*\r?\n([A-ZÄÖÜ][^\r\n,]{1,60})",
+    "semester": r"((?:[Ww]inter|[Ss]ummer|Sommer)[ ]?semester [0-9]{2,4}(?:/[0-9]{2})?)",
+    "student_id": r"(?:[Mm]atrikelnummer|[Ss]tudent (?:ID|number)|Matr\.-Nr\.)[ :]*(?:is |ist |lautet )?([A-Za-z]?[0-9]{5,9})",
+    "deadline": r"(?:before|until|by|bis zum|Bis zum) ([0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})",
+    "room": r"(?:room|Raum) ([A-Z] [0-9]{1,4})",
+    "module": r"(?:module|Modul) ([A-Z][0-9]{1,3}\.[0-9]{1,2})",
+    "programme": r"(?:apply for|study|studiere|für|für den Studiengang) ([A-Z][a-zäöü]+ [A-Z][a-zäöü]+(?: [A-Z][a-zäöü]+)?)",
+}
+
+
+@query("email_context", f"""
+    SELECT request_id, coalesce(lang, CASE WHEN regexp_matches(lower(email_text), '\\b(und|nicht|der|die|das)\\b') THEN 'de' ELSE 'en' END) AS language,
+      CASE WHEN contains(lower(email_text), 'master') THEN 'master' WHEN contains(lower(email_text), 'bachelor') THEN 'bachelor' END AS degree,
+      {", ".join(f"nullif(regexp_extract(email_text, '{p}', 1), '') AS {k}" for k, p in CONTEXT.items())} FROM email_requests""")
 def email_context(spark: SparkSession, d: str) -> DataFrame:
-    """What a mail says of itself: language, who is addressed, semester."""
+    """What a mail says of itself and its sender, one column a pattern."""
     got = lambda p: F.nullif(F.regexp_extract("email_text", p, 1), F.lit(""))
-    lang = F.coalesce("lang", F.when(F.regexp_like(F.lower("email_text"), F.lit(r"\b(und|nicht|der|die|das)\b")), "de").otherwise("en"))
-    return table(spark, d, "email_requests").select("request_id", lang.alias("language"), got("(?m)^(?:Hallo|Hi|Dear) ([A-Z][a-z]+),").alias("addressed"), got("((?:winter|summer) semester [0-9]{2,4}(?:/[0-9]{2})?)").alias("semester"))
+    low = F.lower("email_text")
+    lang = F.coalesce("lang", F.when(F.regexp_like(low, F.lit(r"\b(und|nicht|der|die|das)\b")), "de").otherwise("en"))
+    degree = F.when(F.contains(low, F.lit("master")), "master").when(F.contains(low, F.lit("bachelor")), "bachelor")
+    return table(spark, d, "email_requests").select("request_id", lang.alias("language"), degree.alias("degree"), *(got(p).alias(k) for k, p in CONTEXT.items()))
 
 
 @query("greeting", """
@@ -128,9 +166,104 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
     return r.select("source", F.inline(rules)).orderBy("priority", "source")
 
 
-@query("object_answer", """
-    SELECT id, concat_ws(E'\\n', 'Title: ' || title, 'Type: ' || object_type, 'More: ' || url) AS v FROM site_objects""")
+_KNOWN = "CASE WHEN json_valid(raw_json) THEN raw_json->>'$.{0}' END"
+
+
+@query("object_answer", f"""
+    SELECT id, concat_ws(E'\\n', 'Title: ' || title, 'Type: ' || object_type, CASE WHEN object_type = 'degree_program' THEN concat_ws(E'\\n', 'Degree: ' || nullif({_KNOWN.format('program_info.degree_type')}, ''), 'Language: ' || nullif({_KNOWN.format('program_info.language')}, '')) END,
+      CASE WHEN object_type = 'language_proof_rule' THEN 'Test: ' || title END, CASE WHEN object_type = 'fees_funding_rule' THEN 'Kind: ' || CASE WHEN contains(lower(title), 'scholarship') THEN 'funding' ELSE 'fee' END END, 'More: ' || url) AS v
+    FROM (SELECT * FROM site_objects WHERE object_type <> 'degree_program' OR json_valid(raw_json))""")
 def object_answer(spark: SparkSession, d: str) -> DataFrame:
-    """An object in lines, those without a value left out."""
+    """An object in lines, with those of its type; lines without a value are left out."""
+    o = table(spark, d, "site_objects").where((F.col("object_type") != "degree_program") | F.expr("try_parse_json(raw_json) IS NOT NULL"))
     line = lambda label, c: F.concat(F.lit(f"{label}: "), c)
-    return table(spark, d, "site_objects").select("id", F.concat_ws("\n", line("Title", "title"), line("Type", "object_type"), line("More", "url")).alias("v"))
+    of = lambda kind, c: F.when(F.col("object_type") == kind, c)
+    info = lambda f: F.nullif(F.get_json_object("raw_json", f"$.program_info.{f}"), F.lit(""))
+    degree = of("degree_program", F.concat_ws("\n", line("Degree", info("degree_type")), line("Language", info("language"))))
+    fee = of("fees_funding_rule", line("Kind", F.when(F.contains(F.lower("title"), F.lit("scholarship")), "funding").otherwise("fee")))
+    return o.select("id", F.concat_ws("\n", line("Title", F.col("title")), line("Type", F.col("object_type")), degree, of("language_proof_rule", line("Test", F.col("title"))), fee, line("More", F.col("url"))).alias("v"))
+
+
+# --- conditional texts -------------------------------------------------------------------------------------------
+@query("guarded_rewrite", """
+    SELECT id, CASE WHEN list_has_any(coalesce(tags, []), ['fees', 'exams']) THEN regexp_replace(answer, '(?i)EUR ([0-9]+)', '\\1 euros', 'g') ELSE answer END AS v FROM qa_pairs""")
+def guarded_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Answers reworded where their topics ask for it."""
+    return table(spark, d, "qa_pairs").select("id", A.guarded_rewrite(F.col("answer"), F.col("tags"), ("fees", "exams"), "(?i)EUR ([0-9]+)", "$1 euros").alias("v"))
+
+
+_NOTES = {"very_low": "\n\nLittle was found on this; please verify it.", "low": "\n\nThis may not be complete."}
+
+
+@query("low_confidence_note", """
+    WITH c AS (SELECT id, answer, length(answer) / 400.0::DOUBLE AS c FROM qa_pairs)
+    SELECT id, answer || CASE WHEN c < 0.3 THEN E'\\n\\nLittle was found on this; please verify it.' WHEN c < 0.5 THEN E'\\n\\nThis may not be complete.' ELSE '' END AS v FROM c""")
+def low_confidence_note(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with a note where confidence (here by length) is low."""
+    c = F.char_length("answer") / 400.0
+    level = F.when(c < 0.3, "very_low").when(c < 0.5, "low").otherwise("medium")
+    return table(spark, d, "qa_pairs").select("id", A.with_note(F.col("answer"), level, _NOTES).alias("v"))
+
+
+@query("followup_message", """
+    SELECT request_id, E'This message follows an earlier one.\\n\\nMessage preview:\\n' || left(email_text, 500) AS v FROM email_requests WHERE regexp_matches(lower(email_text), 'again|noch einmal|follow')""")
+def followup_message(spark: SparkSession, d: str) -> DataFrame:
+    """A note with the first 500 characters of mails that follow earlier ones."""
+    m = table(spark, d, "email_requests").where(F.regexp_like(F.lower("email_text"), F.lit("again|noch einmal|follow")))
+    return m.select("request_id", F.concat(F.lit("This message follows an earlier one.\n\nMessage preview:\n"), F.substring("email_text", 1, 500)).alias("v"))
+
+
+@query("prompt_guidance", """
+    SELECT id, concat_ws(E'\\n', CASE WHEN contains(lower(question), 'fee') OR contains(lower(question), 'gebühr') THEN 'Give amounts with their currency.' END, CASE WHEN regexp_matches(lower(question), 'deadline|frist|until|bis wann') THEN 'Give dates in full.' END,
+      CASE WHEN list_contains(coalesce(tags, []), 'exams') THEN 'Name the module.' END) AS v FROM qa_pairs WHERE question IS NOT NULL""")
+def prompt_guidance(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of guidance for a generator, each under its condition."""
+    low = F.lower("question")
+    rules = [
+        (F.contains(low, F.lit("fee")) | F.contains(low, F.lit("gebühr")), "Give amounts with their currency."),
+        (F.regexp_like(low, F.lit("deadline|frist|until|bis wann")), "Give dates in full."),
+        (F.coalesce(F.array_contains("tags", "exams"), F.lit(False)), "Name the module."),
+    ]
+    return table(spark, d, "qa_pairs").where("question IS NOT NULL").select("id", A.lines_where(rules).alias("v"))
+
+
+@query("topic_ordering", """
+    WITH t AS (SELECT id, list_transform(tags, lambda x: CASE WHEN x = 'thesis' THEN 'exams' ELSE x END) AS t FROM qa_pairs WHERE tags IS NOT NULL),
+    k AS (SELECT id, CASE WHEN list_has_any(t, ['fees', 'housing']) THEN list_filter(t, lambda x: x <> 'library') ELSE t END AS k FROM t),
+    o AS (SELECT id, list_filter(['exams', 'fees', 'housing', 'visa', 'library', 'sports'], lambda x: list_contains(k, x))[1:3] AS o FROM k)
+    SELECT id, CASE WHEN len(o) = 0 THEN 'general' ELSE array_to_string(o, ',') END AS topics FROM o""")
+def topic_ordering(spark: SparkSession, d: str) -> DataFrame:
+    """Topics merged, made unneeded by others, ordered and cut."""
+    t = A.ordered_topics(F.col("tags"), ("exams", "fees", "housing", "visa", "library", "sports"), {"thesis": "exams"}, [(("fees", "housing"), "library")], 3, "general")
+    return table(spark, d, "qa_pairs").where("tags IS NOT NULL").select("id", F.array_join(t, ",").alias("topics"))
+
+
+@query("programme_context", """
+    WITH p AS (SELECT arg_min(url, id) AS url, arg_min(CASE WHEN json_valid(raw_json) THEN raw_json->>'$.program_info.language' END, id) AS language, min(id) AS ord, title AS name FROM site_objects WHERE object_type = 'degree_program' AND title IS NOT NULL GROUP BY title),
+    n AS (SELECT *, trim(regexp_replace(lower(replace(name, '&', ' and ')), '[^a-z0-9äöüß]+', ' ', 'g')) AS a FROM p), t AS (SELECT request_id, email_text, ' ' || trim(regexp_replace(lower(replace(email_text, '&', ' and ')), '[^a-z0-9äöüß]+', ' ', 'g')) || ' ' AS t FROM email_requests),
+    h AS (SELECT t.request_id, t.email_text, n.*, CASE WHEN length(n.a) > 4 THEN 1.0 ELSE 0.92 END AS score FROM t JOIN n ON contains(t.t, ' ' || n.a || ' ') WHERE n.a <> ''),
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ord) = 1)
+    SELECT request_id, concat_ws(E'\\n', 'Known of the programme:', '- Name: ' || name, '- Degree in the mail: ' || CASE WHEN contains(lower(email_text), 'master') THEN 'master' WHEN contains(lower(email_text), 'bachelor') THEN 'bachelor' END, '- Language: ' || nullif(language, ''), '- Page: ' || nullif(url, ''),
+      'Use this name.') AS block, '- Programme page (' || name || '): ' || url AS reference, printf('%.2f', score) AS match_score FROM b""")
+def programme_context(spark: SparkSession, d: str) -> DataFrame:
+    """For each mail that names a programme what is known of it, as a block for a prompt, a reference line and the match's score."""
+    o = table(spark, d, "site_objects").where("object_type = 'degree_program' AND title IS NOT NULL")
+    language = F.when(F.expr("try_parse_json(raw_json) IS NOT NULL"), F.get_json_object("raw_json", "$.program_info.language"))
+    first = o.groupBy(F.col("title").alias("name")).agg(F.min("id").alias("ord"), F.min_by(F.struct(F.col("url").alias("url"), language.alias("language")), "id").alias("x"))
+    mails = table(spark, d, "email_requests").select("request_id", "email_text")
+    best = exact_matches(mails, first.select("name", F.col("name").alias("alias"), "ord"), "request_id", "email_text")
+    j = best.join(first.select("name", "x.url", "x.language"), "name").join(mails, "request_id")
+    low = F.lower("email_text")
+    degree = F.when(F.contains(low, F.lit("master")), "master").when(F.contains(low, F.lit("bachelor")), "bachelor")
+    text = A.block("Known of the programme:", {"Name": F.col("name"), "Degree in the mail": degree, "Language": F.col("language"), "Page": F.col("url")}, "Use this name.")
+    return j.select("request_id", text.alias("block"), F.concat(F.lit("- Programme page ("), "name", F.lit("): "), "url").alias("reference"), F.format_string("%.2f", "score").alias("match_score"))
+
+
+#: Example phrases that a draft should not have; a caller brings its own.
+PHRASES = ("without guarantee", "free of charge", "the student", "retrieved documents", "based on your profile", "cannot confirm", "could not confirm", "not specified in our", "contact us again", "need more information", "which programme", "please specify", "evidence documents", "staff review")
+
+
+@query("bad_phrase", "SELECT id, array_to_string(list_filter([" + ", ".join(f"'{p}'" for p in PHRASES) + "], lambda p: contains(regexp_replace(lower(answer), '(?s)\\s*please note:.*$', ''), p)), '; ') AS phrases FROM qa_pairs WHERE answer IS NOT NULL")
+def bad_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """The phrases of a table that an answer has, but for those in a disclaimer at its end."""
+    return table(spark, d, "qa_pairs").where("answer IS NOT NULL").select("id", F.array_join(A.bad_phrases(F.col("answer"), PHRASES, "(?i)please note:"), "; ").alias("phrases"))

@@ -255,11 +255,6 @@ def validate_draft(spark: SparkSession, d: str) -> DataFrame:
     return _drafts(spark, d).select("id", L.check_draft(F.col("draft"), F.col("n"), F.col("n"), ("admission is guaranteed",)).alias("c")).select("id", "c.*")
 
 
-@query("bad_phrase", "SELECT id, regexp_matches(lower(answer), 'without guarantee|free of charge') AS bad FROM qa_pairs")
-def bad_phrase(spark: SparkSession, d: str, phrases: tuple[str, ...] = ("without guarantee", "free of charge")) -> DataFrame:
-    return table(spark, d, "qa_pairs").select("id", F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower("answer"), p)).alias("bad"))
-
-
 @query("extractive_draft", """
     SELECT id, E'Thank you for your enquiry.\\n' || coalesce(array_to_string(list_transform(range(1, least(len(tags), 4) + 1), lambda i: 'Regarding ' || tags[i] || ', see [Doc ' || least(i, 3) || '].'), E'\\n'), '') AS draft FROM qa_pairs""")
 def extractive_draft(spark: SparkSession, d: str) -> DataFrame:
@@ -269,13 +264,21 @@ def extractive_draft(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rewrite_refs", """
-    SELECT id, 'See ' || CASE WHEN len(links) >= 1 THEN '(' || links[1].url || ')' ELSE '(source web - 1)' END || ' and (source web - 99)' AS v FROM web_documents""")
+    WITH w AS (SELECT id, coalesce(title, 'This') AS t, coalesce(links, []) AS l, length(coalesce(title, '')) % 4 + 1 AS n FROM web_documents)
+    SELECT id, t || ' ' || CASE WHEN len(l) >= n THEN '(' || l[n].url || ')' ELSE '(source web - ' || n || ')' END || ', first ' || CASE WHEN len(l) >= 1 THEN '(' || l[1].url || ')' ELSE '(Source web - 1)' END || '; see (source web - 99)' AS v FROM w""")
 def rewrite_refs(spark: SparkSession, d: str) -> DataFrame:
+    """References of a line made of each title as its document's links; unknown numbers stay."""
     urls = F.transform(F.coalesce("links", F.array().cast("array<struct<url:string,text:string>>")), lambda x: x["url"])
-    return table(spark, d, "web_documents").select("id", L.rewrite_references(F.lit("See (source web - 1) and (source web - 99)"), urls).alias("v"))
+    n = (F.char_length(F.coalesce("title", F.lit(""))) % 4 + 1).cast("string")
+    draft = F.concat(F.coalesce("title", F.lit("This")), F.lit(" (source web - "), n, F.lit("), first (Source web - 1); see (source web - 99)"))
+    return table(spark, d, "web_documents").select("id", L.rewrite_references(draft, urls).alias("v"))
+
+
+_MANY = "regexp_replace({0}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
 
 
-@query("parse_subqueries")
+@query("parse_subqueries", f"""
+    WITH g AS (SELECT id, list_filter([{_MANY.format("question")}, '', {_MANY.format("answer")}], lambda x: x <> '') AS g FROM qa_pairs) SELECT id, CASE WHEN len(g) > 1 THEN array_to_string(g, ' | ') END AS v FROM g""")
 def parse_subqueries(spark: SparkSession, d: str) -> DataFrame:
     """Lists of sub-questions from a model's answers: thoughts and code fences off, JSON read, at most four, null for fewer than two."""
     raw = F.concat(F.lit("<think>x</think>```json\n"), F.to_json(F.array("question", F.lit(" "), "answer")), F.lit("\n```"))
