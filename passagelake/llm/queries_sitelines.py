@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .nearcopies import near_copies
 from .registry import query
 from .sitelines import clean_texts, host, line_report, marked_lines
 
@@ -40,21 +41,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_lines(_rows(spark, sf_dir)).select(F.col("group").alias("src_table"), "row_key", "line_no")
 
 
-_CLEAN = (
-    _SQL[: _SQL.index("SELECT src_table, row_key, CAST(line_no")].replace("JOIN docs d ON", "LEFT JOIN docs d ON")
-    + """, gone AS (SELECT src_table, row_key, line_no FROM fs SEMI JOIN hits USING (src_table, site, f)),
-    every AS (SELECT src_table, row_key, unnest(string_split(text, E'\\n')) AS line, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS line_no FROM rows_),
-    kept AS (SELECT e.src_table, e.row_key, string_agg(e.line, E'\\n' ORDER BY e.line_no) FILTER (WHERE g.line_no IS NULL) AS t, count(g.line_no) AS n FROM every e LEFT JOIN gone g USING (src_table, row_key, line_no) GROUP BY 1, 2)
-    SELECT r.src_table, r.row_key, coalesce(k.n, 0)::INTEGER AS n_removed, CASE WHEN r.text IS NULL THEN NULL ELSE coalesce(k.t, '') END AS clean_text FROM rows_ r LEFT JOIN kept k USING (src_table, row_key)"""
-)
-
-
-@query("p6_clean", _CLEAN)
+@query("p6_clean")
 def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text without the lines found."""
+    """Every text without its site's repeated lines, but with those of republished articles."""
     return clean_texts(_rows(spark, sf_dir)).withColumnRenamed("group", "src_table")
 
 
+@query("p6_clusters")
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable row with the cluster of near-copies it belongs to."""
+    rows = _rows(spark, sf_dir).where("site IS NOT NULL AND trim(text) <> ''").withColumn("doc", F.md5("text"))
+    texts = rows.groupBy("group", "site", "doc").agg(F.any_value("text").alias("text"))
+    return rows.select("group", "row_key", "site", "doc").join(near_copies(texts, "doc", "text", ["group", "site"]), ["group", "site", "doc"]).select(F.col("group").alias("src_table"), "row_key", "cluster")
+
+
 _LINES = (
     _SQL[: _SQL.index("hits AS")]
     + """d AS (SELECT 'overview_pages' AS src_table, CAST(snapshot_id AS VARCHAR) AS row_key, CAST(fetched_at AS DATE) AS day FROM overview_pages UNION ALL SELECT 'web_chunks', id, CAST(created_at AS DATE) FROM web_chunks)
@@ -66,4 +66,4 @@ _LINES = (
 @query("p6_lines", _LINES)
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines found, with rows, distinct texts and days: few texts or days mean republication, not boilerplate."""
-    return line_report(_rows(spark, sf_dir)).withColumnRenamed("group", "src_table")
+    return line_report(_rows(spark, sf_dir)).withColumnRenamed("group", "src_table").drop("n_clusters")

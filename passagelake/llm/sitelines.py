@@ -1,7 +1,8 @@
 """Problem 6: lines repeated across one source's documents.
 
 Copies of a text are collapsed before its lines are looked at, so a line is counted over distinct texts (with their
-number of rows) and, for the lines that matter, over distinct days of publication.
+number of rows). The lines that matter are then counted over clusters of near-copies and over days of publication: what
+stands in many rows but in few clusters or on one day is a republished article and is kept when texts are cleaned.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .nearcopies import near_copies
+
 
 def host(url: str | Column) -> Column:
     """Lower-case host of a URL without port; null if there is none."""
@@ -20,14 +24,18 @@ def lines(text: str | Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
 
 
+#: White space, as Unicode has it.
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def form(line: Column) -> Column:
-    """What two lines have in common when they are alike."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(line, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", " ")), "[0-9]+", "0")
+    """What two lines have in common when they are alike: lower case, white space as single spaces and none at the ends, digits as 0."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, _SPACE, " "))), "[0-9]+", "0")
 
 
 def _hashes(text: Column) -> Column:
-    """For each line a 128-bit hash of its form, or null where it has no letter."""
-    return F.transform(lines(text), lambda x: F.when(F.regexp_like(x, F.lit(r"\p{L}")), F.unhex(F.md5(form(x)))))
+    """For each line a 64-bit hash of its form, or null where it has no letter; lines are only compared within a site."""
+    return F.transform(F.split(text, "\n"), lambda x: F.when(F.regexp_like(x, F.lit(r"\p{L}")), F.xxhash64(form(x))))
 
 
 def _usable(df: DataFrame) -> DataFrame:
@@ -65,8 +73,8 @@ def site_lines(df: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
     return line_counts(df, share, least).groupBy("group", "site").agg(F.collect_set("h").alias("lines"))
 
 
-#: So many hashes, of 16 bytes and as much again around them, are broadcast at most.
-BROADCAST_HASHES = 500_000
+#: So many hashes, of 8 bytes each, are broadcast at most.
+BROADCAST_HASHES = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, hashes: str) -> DataFrame:
@@ -82,25 +90,45 @@ def marked_in(text: Column, repeated: Column) -> Column:
     return F.when(repeated.isNotNull(), F.get(F.transform(F.array(hs), own), F.lit(0)))
 
 
-def clean_texts(df: DataFrame, share: float = 0.05, least: int = 3, min_texts: int = 1) -> DataFrame:
+def _found_lines(df: DataFrame, share: float, least: int, more: list[str]) -> DataFrame:
+    """group, row_key, site, h, line_no and `more` of every repeated line of every row, written once."""
+    found = line_counts(df, share, least).select("group", "site", "h")
+    own = _usable(df).select("group", "row_key", "site", *more, F.md5("text").alias("doc"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where(F.col("h").isNotNull())
+    return cut(own.join(found, ["group", "site", "h"], "left_semi").select("group", "row_key", "site", "h", "doc", *more, (F.col("at") + 1).cast("int").alias("line_no")))
+
+
+def _spread(df: DataFrame, lines_: DataFrame) -> DataFrame:
+    """group, site, h with n_rows, n_texts, n_clusters and n_days of every repeated line. Days are counted exactly, in one bitmap a line."""
+    texts = df.join(lines_.select("group", "row_key").distinct(), ["group", "row_key"], "left_semi").where(F.col("site").isNotNull()).select("group", "site", F.md5("text").alias("doc"), "text").groupBy("group", "site", "doc").agg(F.any_value("text").alias("text"))
+    clusters = near_copies(texts, "doc", "text", ["group", "site"])
+    per = lines_.groupBy("group", "site", "h", "doc").agg(F.count_distinct("row_key").alias("n"))  # a line twice in a row counts once
+    per = per.join(clusters, ["group", "site", "doc"])
+    per = per.groupBy("group", "site", "h", "cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).groupBy("group", "site", "h").agg(F.sum("n").alias("n_rows"), F.sum("t").alias("n_texts"), F.count(F.lit(1)).alias("n_clusters"))
+    day = F.pmod(F.datediff("day", F.lit("1970-01-01").cast("date")), F.lit(32768))
+    days = lines_.groupBy("group", "site", "h").agg(F.bitmap_count(F.bitmap_construct_agg(F.when(F.col("day").isNotNull(), F.bitmap_bit_position(F.coalesce(day, F.lit(0)) + 1)))).alias("n_days"))
+    return per.join(days, ["group", "site", "h"])
+
+
+def clean_texts(df: DataFrame, share: float = 0.05, least: int = 3, min_clusters: int = 2, min_days: int = 2) -> DataFrame:
     """Every row's text without its site's repeated lines: group, row_key, n_removed, clean_text; keys must be unique in a group.
 
-    Rows without site keep their text; null texts stay null.
+    df: group, row_key, site, text, day. Lines that stand in fewer than `min_clusters` clusters of near-copies, or on
+    fewer than `min_days` days where days are known at all, belong to a republished article and stay. Rows without site
+    keep their text; null texts stay null.
     """
-    gone = marked_lines(df, share, least, min_texts).groupBy("group", "row_key").agg(F.collect_set("line_no").alias("gone"))
+    found = _found_lines(df, share, least, ["day"])
+    gone = _spread(df, found).where((F.col("n_clusters") >= min_clusters) & ((F.col("n_days") >= min_days) | (F.col("n_days") == 0))).select("group", "site", "h")
+    gone = found.join(gone, ["group", "site", "h"], "left_semi").groupBy("group", "row_key").agg(F.collect_set("line_no").alias("gone"))
     at = df.select("group", "row_key", "text").join(gone, ["group", "row_key"], "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), (i + 1).cast("int")))
     return at.select("group", "row_key", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.array_join(kept, "\n").alias("clean_text"))
 
 
 def line_report(df: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
-    """The repeated lines with their counts over rows, distinct texts and distinct days.
-
-    df as for line_counts, with `day` (date). Days are counted exactly, in one bitmap a line, only for the lines found.
-    """
-    found = line_counts(df, share, least)
-    day = F.datediff(F.coalesce("day", F.lit("1970-01-01").cast("date")), F.lit("1970-01-01").cast("date"))
-    own = _usable(df).select("group", "site", F.col("day").isNotNull().alias("dated"), F.pmod(day, F.lit(32768)).alias("d"), F.explode(F.array_distinct(F.transform(lines(F.col("text")), lambda x: F.when(F.regexp_like(x, F.lit(r"\p{L}")), F.struct(F.unhex(F.md5(form(x))).alias("h"), form(x).alias("f")))))).alias("x"))
-    days = own.where(F.col("x").isNotNull()).select("group", "site", "dated", "d", F.col("x.h").alias("h"), F.col("x.f").alias("f")).join(found.select("group", "site", "h"), ["group", "site", "h"], "left_semi")
-    agg = days.groupBy("group", "site", "h").agg(F.min("f").alias("line_form"), F.bitmap_count(F.bitmap_construct_agg(F.when(F.col("dated"), F.bitmap_bit_position(F.col("d") + 1)))).alias("n_days"))
-    return found.join(agg, ["group", "site", "h"]).drop("h")
+    """The repeated lines with their counts over rows, distinct texts, clusters of near-copies and distinct days; df as for clean_texts."""
+    found = _found_lines(df, share, least, ["day"])
+    sizes = _usable(df).groupBy("group", "site").agg(F.count(F.lit(1)).alias("site_rows"))
+    one = found.groupBy("group", "site", "h").agg(F.min(F.struct("row_key", "line_no")).alias("x"))  # a row that shows the line
+    form_ = df.select("group", "row_key", "text").join(one.select("group", "site", "h", F.col("x.row_key").alias("row_key"), F.col("x.line_no").alias("no")), ["group", "row_key"])
+    forms = form_.select("group", "site", "h", form(F.get(lines(F.col("text")), F.col("no") - 1)).alias("line_form"))
+    return _spread(df, found).join(sizes, ["group", "site"]).join(forms, ["group", "site", "h"]).drop("h")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("passagelake.llm")
 
-from passagelake.llm import forest, mailtree, mix, pack, pagebody, pii, sampling, sitelines, split, tokens, truncation  # noqa: E402
+from passagelake.llm import forest, mailtree, mix, nearcopies, pack, pagebody, pii, sampling, sitelines, split, tokens, truncation  # noqa: E402
 
 
 # --- p4 --------------------------------------------------------------------------------------------------------------
@@ -73,11 +73,54 @@ def test_sitelines_counts_rows_not_copies(spark):
     assert {(str(i), 1) for i in range(1, 40)} | {("c1", 1), ("c1", 2), ("c2", 1), ("c2", 2), ("c3", 1), ("c3", 2)} == got
     real = {(r["row_key"], r["line_no"]) for r in sitelines.marked_lines(df, min_texts=3).collect()}
     assert ("c1", 1) not in real and ("c1", 2) in real  # republished is not boilerplate
-    clean = {r["row_key"]: r["clean_text"] for r in sitelines.clean_texts(df).collect()}
+    dated = df.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.xxhash64("row_key"), F.lit(9)).cast("int")))
+    clean = {r["row_key"]: r["clean_text"] for r in sitelines.clean_texts(dated).collect()}
     assert clean["1"] == "own x line\n12" and clean["n"] == "Footer 1" and clean["e"] is None
     assert sitelines.marked_lines(df.limit(0)).count() == 0
 
 
+def test_republished_articles_stay(spark):
+    r = random.Random(9)
+    words = "river bridge lantern winter harvest museum tower garden meadow castle market window silver copper".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n)) + "."
+    article = [say(12) for _ in range(6)]
+    rows = [("g", f"a{i}", "h", "\n".join([f"Printed on day {'abcdefghij'[i]}", *article, "Legal notice of the house"]), i) for i in range(10)]
+    rows += [("g", f"b{i}", "h", "\n".join([say(30), "Legal notice of the house", say(20)]), i % 5) for i in range(40)]
+    rows += [("g", f"c{i}", "h", "\n".join([say(30), "Only on one day", say(20)]), 3) for i in range(8)] + [("g", "n", "h", None, 1), (None, None, "h", "x y", None)]
+    df = spark.createDataFrame(rows, "group string, row_key string, site string, text string, d int").withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")))
+    clean = {x["row_key"]: x["clean_text"] for x in sitelines.clean_texts(df).collect()}
+    assert all(article[0] in clean[f"a{i}"] and article[5] in clean[f"a{i}"] and "Legal" not in clean[f"a{i}"] for i in range(10))
+    assert all("Legal" not in clean[f"b{i}"] for i in range(40)) and all("Only on one day" in clean[f"c{i}"] for i in range(8)) and clean["n"] is None
+    gone = {x["row_key"]: x["clean_text"] for x in sitelines.clean_texts(df, min_clusters=1, min_days=1).collect()}
+    assert all(article[0] not in gone[f"a{i}"] for i in range(10)) and "Only on one day" not in gone["c1"]
+
+
+def test_near_copies(spark):
+    r = random.Random(10)
+    words = [f"word{i}" for i in range(3000)]
+    rows, true = [], {}
+    for f in range(60):
+        base = [r.choice(words) for _ in range(220)]
+        for k in range(4):
+            t = list(base)
+            for _ in range(k):  # a changed word costs five shingles
+                t[r.randrange(220)] = "changed"
+            rows.append((f"{f:02d}{k}", "s", " ".join(t)))
+            true[f"{f:02d}{k}"] = t
+    rows += [(f"x{i:04d}", "s", " ".join(["same"] * 50 + [str(i)])) for i in range(300)] + [("e1", "s", ""), ("e2", "s", "  "), ("n", "s", None), ("other", "t", rows[0][2])]
+    df = spark.createDataFrame(rows, "k string, site string, text string").withColumn("cluster", F.lit("clash"))
+    got = {x["k"]: x["cluster"] for x in nearcopies.near_copies(df, "k", "text", ["site"]).collect()}
+    assert len(got) == len(rows) and got["n"] == "n" and got["other"] == "other" and got["e2"] == "e1"
+    shingles = {k: {tuple(t[i : i + 5]) for i in range(216)} for k, t in true.items()}
+    for f in range(60):
+        for a in range(4):
+            for b in range(a):
+                x, y = shingles[f"{f:02d}{a}"], shingles[f"{f:02d}{b}"]
+                if len(x & y) / len(x | y) >= 0.9:
+                    assert got[f"{f:02d}{a}"] == got[f"{f:02d}{b}"]
+    assert len({v for k, v in got.items() if k[:2].isdigit()}) >= 60 and nearcopies.near_copies(df.limit(0), "k", "text", ["site"]).count() == 0
+
+
 # --- p7 --------------------------------------------------------------------------------------------------------------
 MAIL = """Hello,
 I have a question.
