@@ -10,6 +10,7 @@ from ..operators import objects as O
 from ..operators.chunking import chunk_texts, fixed_chunks
 from ..session import table
 from .registry import query
+from .texts import _W, trim_sql
 
 HEADER = r"[A-ZÄÖÜ][^\n]{2,40} University of Crafts(?:\s*[-–—]\s*studies, research, further training)?"
 
@@ -30,12 +31,35 @@ def chunk_boundary(spark: SparkSession, d: str) -> DataFrame:
     return chunk_texts(table(spark, d, "documents"), ["doc_id", "title", "object_type"], "text")
 
 
-@query("clean_full_text")
+_WORDS = f"regexp_split_to_array(x, '{_W}+')"
+_CRUMB = f"(length(x) < 150 AND length(x) > 10 AND len({_WORDS}) > 2 AND len({_WORDS}) < 15 AND len(list_filter({_WORDS}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) / len({_WORDS}) > 0.6 AND NOT contains(x, '.'))"
+_STOCK = "lower(x) IN ('table of contents', 'quick access', 'further information')"
+_HEADLESS = f"regexp_replace(coalesce(content.full_text, ''), '^(?:{HEADER})', '')"
+_SPACED = "regexp_replace(regexp_replace(b, ' +([.,;:!?)])', '\\1', 'g'), '([(]) +', '\\1', 'g')"
+
+
+@query("clean_full_text", f"""
+    WITH l AS (SELECT snapshot_id, list_transform(string_split({trim_sql(_HEADLESS)}, E'\\n'), lambda x: {trim_sql('x')}) AS l FROM overview_pages),
+    o AS (SELECT snapshot_id, l, coalesce(nullif(list_position(list_transform(l, lambda x: x <> '' AND NOT {_CRUMB} AND NOT {_STOCK}), true), 0), len(l) + 1) AS at_ FROM l),
+    b AS (SELECT snapshot_id, regexp_replace(array_to_string(list_filter(l, lambda x, i: i >= at_ AND NOT {_STOCK}), ' '), '{_W}+', ' ', 'g') AS b FROM o)
+    SELECT snapshot_id, {trim_sql(_SPACED)} AS v FROM b""")
 def clean_full_text(spark: SparkSession, d: str) -> DataFrame:
     """Page texts as one line without header and leading breadcrumbs."""
     return table(spark, d, "overview_pages").select("snapshot_id", clean("content.full_text", HEADER).alias("v"))
 
 
+@query("chunk_boundary_check", """
+    SELECT doc_id, length(text) AS n_chars, TRUE AS in_order, TRUE AS in_text, TRUE AS in_size FROM documents WHERE length(text) > 2500""")
+def chunk_boundary_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of every long document whether its passages are in order, are what stands at their places, and keep to the size."""
+    docs = table(spark, d, "documents").where(F.char_length("text") > 2500).select("doc_id", F.col("text").alias("whole"))
+    c = chunk_texts(docs, ["doc_id", "whole"], "whole")
+    own = F.regexp_replace(F.expr("substring(whole, start_char + 1, end_char - start_char)"), r"^[\s\x{A0}]+|[\s\x{A0}]+$", "") == F.col("chunk_text")
+    per = c.groupBy("doc_id").agg(F.max(F.char_length("whole")).cast("long").alias("n_chars"), F.array_sort(F.collect_list(F.struct("chunk_index", "start_char", "end_char"))).alias("p"), F.every(own).alias("in_text"), F.every(F.col("end_char") - F.col("start_char") <= 1100).alias("in_size"))
+    order = (F.size("p") == 1) | F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: (F.get("p", i)["start_char"] > F.get("p", i - 1)["start_char"]) & (F.get("p", i)["chunk_index"] == i))
+    return per.select("doc_id", "n_chars", order.alias("in_order"), "in_text", "in_size")
+
+
 def _objects(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "overview_pages").select("snapshot_id", "related_pages", F.col("content.full_text").alias("full_text"), "metadata.object_id", "metadata.object_type", "metadata.title", "metadata.url", "metadata.classification_notes")
     last = p.groupBy("object_id").agg(F.max("snapshot_id").alias("snapshot_id"))

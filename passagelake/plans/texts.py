@@ -80,30 +80,55 @@ _per_row("evidence_query", "email_requests", "request_id", "concat_ws('. ', null
 _per_row("required_min_chunks", "documents", "doc_id", "CASE WHEN length(text) >= 7000 THEN 10 WHEN length(text) >= 3500 THEN 6 WHEN length(text) >= 1800 THEN 4 WHEN length(text) >= 1000 THEN 3 ELSE 1 END", lambda: F.when(F.char_length("text") >= 7000, 10).when(F.char_length("text") >= 3500, 6).when(F.char_length("text") >= 1800, 4).when(F.char_length("text") >= 1000, 3).otherwise(1))
 
 
-@query("date_ranges")
+_NAMED = rf"(?i)(?:^|[^\w])([0-9]{{1,2}}(?:st|nd|rd|th)?{_W}+(?:{X.MONTHS_EN})|(?:{X.MONTHS_EN}){_W}+[0-9]{{1,2}}(?:st|nd|rd|th)?)"
+_RANGES = rf"list_transform(list_concat(list_concat(regexp_extract_all(text, '[0-9]{{1,2}}\.[0-9]{{1,2}}\.{_W}*[-–—]{_W}*[0-9]{{1,2}}\.[0-9]{{1,2}}\.', 0), regexp_extract_all(text, '[0-9]{{1,2}}\.[0-9]{{1,2}}\.(?:[0-9]{{4}}|[0-9]{{2}})?', 0)), regexp_extract_all(text, '{_NAMED}', 1)), lambda x: {trim_sql('x')})"
+_ranges = lambda sep: f"array_to_string(list_filter({_RANGES}, lambda x, i: list_position(list_transform({_RANGES}, lambda y: lower(y)), lower(x)) = i)[1:8], '{sep}')"
+_HEAD = r"(?i)(?:Which documents|Required documents|Documents required|Application documents)[^\n]*\n?((?:[^\n]+\n?){0,15})"
+_NAMING = f"length(x) BETWEEN 10 AND 120 AND {_has('x', X.DOCUMENT_TERMS)}"
+_DOTTED = f"regexp_replace(x, '^[-•*]{_W}*', '')"
+_SECTIONS = f"list_transform(regexp_extract_all(text, '{_HEAD}', 1), lambda s: list_transform(list_filter(list_transform(string_split(s, E'\\n'), lambda x: {trim_sql('x')}), lambda x: {_NAMING}), lambda x: {ws_sql(_DOTTED)}))"
+_required = f"coalesce(array_to_string(list_filter({_SECTIONS}, lambda s: len(s) > 0)[1][1:10], '; '), '')"
+_FACTS_OF = f"""concat_ws(', ', 'language=' || CASE WHEN {_has('text', ('taught in english', 'english-taught', 'english language', 'b2 english', 'c1 english'))} THEN 'English' WHEN {_has('text', ('taught in german', 'german-taught', 'b2 german', 'c1 german'))} THEN 'German' END,
+    'intake=' || CASE WHEN contains(lower(text), 'winter semester') AND contains(lower(text), 'summer semester') THEN 'winter+summer' WHEN {_has('text', ('winter semester', 'starts in winter'))} THEN 'winter' WHEN {_has('text', ('summer semester', 'starts in summer'))} THEN 'summer' END,
+    'ects=' || nullif(regexp_extract(text, '([0-9]{{2,3}}){_W}*ECTS', 1), ''), 'duration=' || CASE WHEN regexp_matches(lower(text), '[0-9]{_W}*semester') THEN regexp_extract(lower(text), '([0-9]){_W}*semester', 1) || ' semesters' END)"""
+_euros = f"array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, '€{_W}*({_N})', 1), regexp_extract_all(text, '({_N}){_W}*€', 1)), regexp_extract_all(text, '(?i)({_N}){_W}*(?:EUR|Euro|euros)', 1))))[1:10], ', ')"
+
+
+@query("date_ranges", f"SELECT doc_id, {_ranges(',')} AS v FROM documents")
 def date_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Ranges, days and named days, distinct but for case."""
     return table(spark, d, "documents").select("doc_id", F.array_join(X.date_ranges("text"), ",").alias("v"))
 
 
-@query("signal_block")
+@query("signal_block", f"""
+    WITH p AS (SELECT doc_id, object_type, nullif({_ranges(', ')}, '') AS dates, nullif({_sent(X.MODAL, 20, 200)}, '') AS actions, nullif({_required}, '') AS papers, nullif({_euros}, '') AS euros, nullif({_sent(X.ELIGIBLE, 25, 180)}, '') AS cues, nullif({_FACTS_OF}, '') AS facts
+               FROM documents)
+    SELECT doc_id, CASE object_type WHEN 'application_process' THEN concat_ws(E'\\n', 'Deadlines mentioned: ' || dates, 'Key actions: ' || actions, 'Required documents: ' || papers) WHEN 'fees_funding_rule' THEN concat_ws(E'\\n', 'Amounts mentioned: ' || euros || ' EUR', 'Eligibility cues: ' || cues)
+      WHEN 'degree_program' THEN concat_ws(E'\\n', 'Program facts: ' || facts) ELSE '' END AS v FROM p""")
 def signal_block(spark: SparkSession, d: str) -> DataFrame:
     """Lines of hints by the document's type."""
     return table(spark, d, "documents").select("doc_id", X.signal_block(F.col("object_type"), "text").alias("v"))
 
 
-@query("required_documents")
+@query("required_documents", f"SELECT doc_id, {_required} AS v FROM documents")
 def required_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(X.required_documents("text"), "; ").alias("v"))
 
 
-@query("clean_dates")
+_FOUND = "list_sort(list_distinct(list_concat(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}', 0)[1:5]" for p in _DATES[:2]) + f"), regexp_extract_all(text, '{_DATES[2]}', 0)[1:5])))[1:10]"
+
+
+@query("clean_dates", f"SELECT doc_id, array_to_string(list_filter(list_transform({_FOUND}, lambda x: {trim_sql('x')}), lambda x: regexp_matches(x, '[0-9]')), ',') AS v FROM documents")
 def clean_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates found in the texts, cleaned."""
     return table(spark, d, "documents").select("doc_id", F.array_join(X.clean_dates(X.dates_and_deadlines("text")), ",").alias("v"))
 
 
-@query("clean_pages")
+@query("clean_pages", r"""
+    SELECT id, replace(replace(replace(replace(title, 'Ã¤', 'ä'), 'Ã¼', 'ü'), 'â€™', ''''), 'Â', '') AS title,
+      array_to_string(list_transform(list_filter(contacts, lambda c: CASE WHEN c.type = 'phone' THEN NOT regexp_matches(c.value, '^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}') AND length(regexp_replace(c.value, '[^0-9]', '', 'g')) BETWEEN 10 AND 15
+        WHEN c.type = 'email' THEN regexp_matches(lower(c.value), '^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}$') ELSE true END), lambda c: c.type || ':' || CASE WHEN c.type = 'email' THEN lower(c.value) ELSE trim(c.value) END), ',') AS contacts FROM web_documents""")
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     """Web documents with repaired titles and cleaned contacts."""
-    return table(spark, d, "web_documents").select("id", T.fix_encoding("title").alias("title"), X.clean_contacts(F.col("contacts")).alias("contacts"))
+    shown = F.array_join(F.transform(X.clean_contacts(F.col("contacts")), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), ",")
+    return table(spark, d, "web_documents").select("id", T.fix_encoding("title").alias("title"), shown.alias("contacts"))
