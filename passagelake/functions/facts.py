@@ -46,3 +46,37 @@ def steps(c: str | Column) -> Column:
     """array<struct<step_number, title, date>> of a text's numbered lines."""
     numbered = F.filter(F.split(col(c), "\n"), lambda s: F.regexp_like(s, F.lit(r"^\s*[0-9]+[.)]\s")))
     return F.transform(numbered, lambda s, i: F.struct((i + 1).alias("step_number"), trim_ws(F.regexp_replace(s, r"^\s*[0-9]+[.)]\s+", "")).alias("title"), first_match(s, DATE).alias("date")))
+
+
+FEE = rf"([A-Za-zÄÖÜäöüß]{{3,30}}) (?:of|is|von|beträgt|kostet) {AMOUNT}"
+TEST = r"(TOEFL|IELTS|DSH|TestDaF|DSD|telc|Cambridge)[^0-9\n]{0,20}([0-9]{1,3}(?:[.,][0-9])?)"
+PERSON = r"((?:Dr\. |Prof\. )?[A-ZÄÖÜ][a-zäöüß]+ [A-ZÄÖÜ][a-zäöüß]+)[ ,:]{1,3}[<(]?([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
+
+
+def _pairs(c: str | Column, pattern: str, first: str, second: str) -> Column:
+    return F.zip_with(all_matches(c, pattern, 1), all_matches(c, pattern, 2), lambda a, b: F.struct(a.alias(first), b.alias(second)))
+
+
+def fee_breakdown(c: str | Column, most: float = 100_000.0) -> Column:
+    """array<struct<label, amount>>: amounts with the word they are of; amounts of nothing or over `most` are no fees."""
+    got = F.transform(_pairs(c, FEE, "label", "amount"), lambda x: F.struct(F.lower(x["label"]).alias("label"), F.replace(x["amount"], F.lit(","), F.lit(".")).cast("double").alias("amount")))
+    return F.filter(got, lambda x: (x["amount"] > 0) & (x["amount"] <= most))
+
+
+def test_details(c: str | Column) -> Column:
+    """array<struct<test, score>> of language tests named with a score."""
+    return F.transform(_pairs(c, TEST, "test", "score"), lambda x: F.struct(x["test"].alias("test"), F.replace(x["score"], F.lit(","), F.lit(".")).cast("double").alias("score")))
+
+
+def contact_persons(c: str | Column, offices: tuple[str, ...] = ("Office", "Team", "Desk", "Büro", "Service")) -> Column:
+    """array<struct<name, email>> of names with an address right behind; names that are those of an office are left out, addresses are in lower case."""
+    got = _pairs(c, PERSON, "name", "email")
+    kept = F.filter(got, lambda x: ~F.exists(F.array(*map(F.lit, offices)), lambda o: F.contains(x["name"], o)))
+    return F.transform(kept, lambda x: F.struct(x["name"].alias("name"), F.lower(x["email"]).alias("email")))
+
+
+def requirement_lines(c: str | Column, terms: tuple[str, ...] = ("required", "must", "need", "muss", "müssen", "vorliegen"), most: int = 10) -> Column:
+    """The first `most` lines of a list, without their bullets, or sentences that ask for something."""
+    pieces = F.transform(F.split(col(c), r"\n|(?<=[.!?]) "), trim_ws)
+    asks = lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(x), t))
+    return F.slice(F.transform(F.filter(pieces, lambda x: F.char_length(x).between(15, 200) & asks(x)), lambda x: F.regexp_replace(x, r"^[-•*] *", "")), 1, most)

@@ -77,6 +77,13 @@ def relevance(text: Column, url: Column, keywords: tuple[str, ...], paths: tuple
     return (sum((count_of(low, k) * 2 for k in keywords), F.lit(0)) + F.when(_any(u, *paths), 10).otherwise(0) + F.when(_any(u, *critical), 15).otherwise(0)).cast("int")
 
 
+def topic_points(low: dict[str, Column], terms: tuple[str, ...], bonus: tuple[tuple[str, str, int], ...] = (), weights: tuple[tuple[str, int], ...] = (("title", 5), ("url", 5), ("text", 2))) -> Column:
+    """Points of a page for a topic: `weights` for each term found in a part of the page, and `bonus` (part, pattern, points). low: the parts in lower case."""
+    plain = (F.when(F.contains(low[part], F.lit(t)), n).otherwise(0) for t in terms for part, n in weights)
+    more = (F.when(F.regexp_like(low[part], F.lit(p)), n).otherwise(0) for part, p, n in bonus)
+    return sum((*plain, *more), F.lit(0)).cast("int")
+
+
 def exact_matches(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """key, name, score: the best name that stands as whole words in each text; longer than four letters scores 1, shorter 0.92.
 

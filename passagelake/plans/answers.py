@@ -13,7 +13,8 @@ from ..session import table
 from .registry import query
 
 
-@query("embed")
+@query("embed", """
+    SELECT id, 768 AS dims, 'hashing-768' AS embedding_model, CASE WHEN regexp_matches(chunk_text, '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0 END AS squared_norm FROM chunks WHERE chunk_text IS NOT NULL AND md5(chunk_text) NOT IN (SELECT md5(text) FROM web_chunks WHERE text IS NOT NULL)""")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """New passages embedded: those whose text is already stored never reach the model."""
     c = table(spark, d, "chunks")

@@ -44,3 +44,36 @@ def deadlines(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, n::INTEGER AS step_number, trim(regexp_replace(s, '^[ \\t]*[0-9]+[.)][ \\t]+', '')) AS title, nullif(regexp_extract(s, '[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}', 0), '') AS date FROM s""")
 def numbered_steps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.inline(X.steps("text")))
+
+
+@query("fee_breakdown", f"""
+    WITH m AS (SELECT doc_id, regexp_extract_all(text, '{X.FEE}', 1) AS a, regexp_extract_all(text, '{X.FEE}', 2) AS b FROM documents), r AS (SELECT doc_id, unnest(a) AS label, unnest(b) AS amount FROM m)
+    SELECT doc_id, lower(label) AS label, CAST(replace(amount, ',', '.') AS DOUBLE) AS amount FROM r WHERE CAST(replace(amount, ',', '.') AS DOUBLE) > 0 AND CAST(replace(amount, ',', '.') AS DOUBLE) <= 100000""")
+def fee_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts with what they are of."""
+    return table(spark, d, "documents").select("doc_id", F.inline(X.fee_breakdown("text")))
+
+
+@query("test_details", f"""
+    WITH t AS (SELECT id, 'IELTS at least 6,5 or TOEFL ' || (80 + id % 20) || '; ' || coalesce(title, '') AS t FROM site_objects), r AS (SELECT id, unnest(regexp_extract_all(t, '{X.TEST}', 1)) AS test, unnest(regexp_extract_all(t, '{X.TEST}', 2)) AS score FROM t)
+    SELECT id, test, CAST(replace(score, ',', '.') AS DOUBLE) AS score FROM r""")
+def test_details(spark: SparkSession, d: str) -> DataFrame:
+    """Tests and scores in a line built from each title."""
+    t = F.concat(F.lit("IELTS at least 6,5 or TOEFL "), (F.col("id") % 20 + 80).cast("string"), F.lit("; "), F.coalesce("title", F.lit("")))
+    return table(spark, d, "site_objects").select("id", F.inline(X.test_details(t)))
+
+
+@query("contact_persons", f"""
+    WITH r AS (SELECT request_id, unnest(regexp_extract_all(email_text, '{X.PERSON}', 1)) AS name, unnest(regexp_extract_all(email_text, '{X.PERSON}', 2)) AS email FROM email_requests)
+    SELECT request_id, name, lower(email) AS email FROM r WHERE NOT regexp_matches(name, 'Office|Team|Desk|Büro|Service')""")
+def contact_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Persons with their addresses in mails."""
+    return table(spark, d, "email_requests").select("request_id", F.inline(X.contact_persons("email_text")))
+
+
+@query("requirement_lines", """
+    WITH p AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(text, '([.!?]) ', '\\1\n', 'g'), '\n'), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f\\v]+|[ \\t\\r\\n\\f\\v]+$', '', 'g')) AS p FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_filter(p, lambda x: length(x) BETWEEN 15 AND 200 AND regexp_matches(lower(x), 'required|must|need|muss|müssen|vorliegen'))[1:10], lambda x: regexp_replace(x, '^[-•*] *', '')), ' | ') AS v FROM p""")
+def requirement_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and sentences that ask for something, ten a text."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.requirement_lines("text"), " | ").alias("v"))

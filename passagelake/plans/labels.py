@@ -205,14 +205,23 @@ def programme_page_evidence(spark: SparkSession, d: str) -> DataFrame:
 _TERMS = {"exams": ("exam", "thesis"), "fees": ("fee", "eur "), "visa": ("visa", "residence")}
 
 
-@query("page_topic_score", "SELECT topic, doc_id, score FROM (" + " UNION ALL ".join(
-    f"SELECT '{k}' AS topic, doc_id, ({' + '.join(f'CASE WHEN contains(lower(coalesce(title, chr(32))), chr(32) || trim({chr(39)}{t}{chr(39)})) THEN 5 ELSE 0 END + CASE WHEN contains(lower(text), {chr(39)}{t}{chr(39)}) THEN 2 ELSE 0 END' for t in ts)})::INTEGER AS score FROM documents" for k, ts in _TERMS.items()) + ") WHERE score > 0")
+#: More points of a topic: part of the page looked at, what it must have there, points.
+_BONUS = {"fees": (("url", "finan", 15), ("text", "eur [0-9]", 20)), "exams": (("text", "registration", 8),), "visa": (("url", "international", 10), ("text", "language", 8))}
+_PARTS = "(SELECT id, lower(coalesce(title, '')) AS title, lower(coalesce(url, '')) AS url, lower(coalesce(raw_json, '')) AS text FROM site_objects)"
+
+
+def _points_sql(topic: str) -> str:
+    plain = [f"CASE WHEN contains({part}, '{t}') THEN {n} ELSE 0 END" for t in _TERMS[topic] for part, n in (("title", 5), ("url", 5), ("text", 2))]
+    return " + ".join([*plain, *(f"CASE WHEN regexp_matches({part}, '{p}') THEN {n} ELSE 0 END" for part, p, n in _BONUS[topic])])
+
+
+@query("page_topic_score", "SELECT topic, id, score FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS topic, id, ({_points_sql(k)})::INTEGER AS score FROM {_PARTS}" for k in _TERMS) + ") WHERE score > 0")
 def page_topic_score(spark: SparkSession, d: str) -> DataFrame:
-    """Points of a page for each topic by its terms in title and text."""
-    title, text = F.lower(F.coalesce("title", F.lit(" "))), F.lower("text")
-    score = lambda ts: sum((F.when(F.contains(title, F.lit(" " + t.strip())), 5).otherwise(0) + F.when(F.contains(text, F.lit(t)), 2).otherwise(0) for t in ts), F.lit(0)).cast("int")
-    s = table(spark, d, "documents").select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("topic"), score(ts).alias("score")) for k, ts in _TERMS.items()))).alias("x"))
-    return s.select("x.topic", "doc_id", "x.score").where("score > 0")
+    """Points of a page for each topic: terms in title (5), URL (5) and text (2), and what a table of bonuses adds."""
+    low = {c: F.lower(F.coalesce(c if c != "text" else "raw_json", F.lit(""))) for c in ("title", "url", "text")}
+    score = lambda k: L.topic_points(low, _TERMS[k], _BONUS[k])
+    s = table(spark, d, "site_objects").select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("topic"), score(k).alias("score")) for k in _TERMS))).alias("x"))
+    return s.select("x.topic", "id", "x.score").where("score > 0")
 
 
 @query("official_docs", "WITH s AS (" + " UNION ALL ".join(
