@@ -56,12 +56,12 @@ def _uniform(key: str, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
 
 
-def mean_copies(docs: DataFrame, targets: DataFrame, key: str, seed: int = 0, total: float | None = None) -> DataFrame:
+def mean_copies(docs: DataFrame, targets: DataFrame, key: str, seed: int = 0, total: float | None = None, fill: float = 0.95) -> DataFrame:
     """Per source of `targets` with documents and a share: source, target_share, cap, docs, tokens, mean_copies, thresholds.
 
     docs: `key`, source, n_tokens; targets: source, target_share, max_repeats (a table of sources, small by nature: its
-    rows and BINS rows a source come to the driver). total: tokens of the mixture; by default the most with which every
-    source can reach its share. Shares are those of `targets` over their sum among the sources that have documents.
+    rows and BINS rows a source come to the driver). total: tokens of the mixture; by default the part `fill` of the most with
+    which every source can reach its share, so that the copies of the tightest one are drawn as well and not all it may have. Shares are those of `targets` over their sum among the sources that have documents.
     """
     u = _uniform(key, seed)
     binned = docs.where("n_tokens > 0").join(F.broadcast(targets.where("target_share > 0 AND max_repeats > 0").select("source").distinct()), "source").groupBy(
@@ -72,7 +72,7 @@ def mean_copies(docs: DataFrame, targets: DataFrame, key: str, seed: int = 0, to
     want = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.where("target_share > 0 AND max_repeats > 0").collect() if r["source"] in have}
     scale = sum(s for s, _ in want.values())
     if total is None and want:
-        total = min(sum(t for _, t, _ in have[s]) * cap / (share / scale) for s, (share, cap) in want.items())
+        total = fill * min(sum(t for _, t, _ in have[s]) * cap / (share / scale) for s, (share, cap) in want.items())
     rows = []
     for s, (share, cap) in want.items():
         mean = solve_mean(sorted((u, t) for u, t, _ in have[s]), (share / scale) * (total or 0.0), cap)
