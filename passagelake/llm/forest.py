@@ -2,12 +2,15 @@
 
 Each tree writes every vector's direction as a long hash string: the nearest of the tree's own centres, then the sides of
 random hyperplanes on which the rest of the vector lies, then random bits. Sorted by it, vectors with a common prefix
-stand together. A vector descends to its longest prefix that no more than `bucket` vectors share; where fewer than `least`
-are left it ascends again, in all trees by the same rule. Within a prefix all vectors are compared by one matrix product.
-
-The sorted array of a tree is range-partitioned; the random end of the strings lets any run of equal hashes be divided, so
-neither copies nor a dense cluster can fill a task, and the work per vector is bounded by trees * bucket comparisons. As
-near vectors part more often the finer a table is cut, trees, bucket and centres grow with the rows by one rule.
+stand together. A vector descends in every tree to the longest prefix it shares with any other, and then ascends in all
+trees at once, a bit at a time, until those who share the prefix of that length with it are, over all trees together,
+enough: where one tree has few near it, the others are not asked for more of the far ones. How many share a prefix is
+estimated from the sample that the trees are fitted on, so that the length is known when a vector is hashed; who they are
+is seen in the whole sorted array. Vectors of one prefix and length are compared by one matrix product.
+
+The sorted array of a tree is range-partitioned; a prefix with more than 2 * `bucket` members is divided further by the
+vectors themselves, so neither copies nor a dense cluster can fill a task, and one with fewer than `least` takes in its
+neighbours. As near vectors part more often the finer a table is cut, trees, bucket and centres grow with the rows.
 """
 
 from __future__ import annotations
@@ -64,6 +67,8 @@ class Forest:
     def __init__(self, sample: np.ndarray, rows: int, trees: int, centres: int, partition_rows: int, seed: int = 11):
         r = np.random.default_rng(seed)
         self.trees, dim = trees, sample.shape[1]
+        self.scale = rows / max(len(sample), 1)
+        self.sorted: list[np.ndarray] = []
         self.parts = max(1, -(-rows // partition_rows))
         self.centres, self.planes, self.bounds = [], [], []
         for _ in range(trees):
@@ -71,6 +76,7 @@ class Forest:
             self.planes.append(r.standard_normal((dim, BITS)).astype(np.float32))
         for t in range(trees):
             keys = np.sort(self.keys(sample, t, r.integers(0, 1 << SALT, len(sample))))
+            self.sorted.append(keys)
             at = (np.arange(1, self.parts) * len(keys)) // self.parts
             self.bounds.append(keys[at] if len(keys) else np.zeros(0, np.int64))
 
@@ -99,6 +105,21 @@ class Forest:
         bits = ((side > 0) @ (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)).astype(np.int64)
         return (c.astype(np.int64) << (BITS + SALT)) | (bits << SALT) | salt.astype(np.int64)
 
+    def depth(self, keys: list[np.ndarray], enough: float) -> np.ndarray:
+        """How many bits after the centre each vector, given by its keys in all trees, shares with its candidates: the most at which these are, over all trees, `enough` by the sample."""
+        n = len(keys[0])
+        low, high = np.zeros(n, np.int64), np.full(n, BITS, np.int64)  # `low` bits give enough, or are the fewest there are
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            shift = BITS + SALT - mid
+            found = np.zeros(n)
+            for t in range(self.trees):
+                first = keys[t] >> shift << shift
+                found += np.searchsorted(self.sorted[t], first + (np.int64(1) << shift)) - np.searchsorted(self.sorted[t], first)
+            ok = found * self.scale >= enough
+            low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
+        return low.astype(np.int8)
+
     def part(self, keys: np.ndarray, t: int) -> np.ndarray:
         return t * self.parts + np.searchsorted(self.bounds[t], keys, "right")
 
@@ -168,20 +189,50 @@ def further_bits(keys: np.ndarray, q: np.ndarray, bucket: int, seed: int) -> np.
     return keys
 
 
-def nearest_in(q: np.ndarray, groups: list[tuple[int, int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per group: rows, their k nearest in it and the cosines. q: small whole numbers, whose products are exact in float32."""
-    for a, b in groups:
+def candidate_ranges(keys: np.ndarray, depth: np.ndarray, bucket: int, least: int) -> list[tuple[np.ndarray, int, int]]:
+    """Rows and the range of the sorted `keys` that they are compared with: all that share centre and `depth` bits with them.
+
+    A range of more than 2 * bucket is replaced by the cells into which prefix_groups divides it; one of fewer than `least`
+    is widened by its neighbours.
+    """
+    out: list[tuple[np.ndarray, int, int]] = []
+    cells: dict[tuple[int, int], np.ndarray] = {}
+    n = len(keys)
+    for d in np.unique(depth):
+        rows = np.flatnonzero(depth == d)
+        pre = keys >> (BITS + SALT - int(d))
+        lo, hi = np.searchsorted(pre, pre[rows], "left"), np.searchsorted(pre, pre[rows], "right")
+        cut = np.r_[0, np.flatnonzero(np.diff(lo)) + 1, len(rows)]
+        for i, j in zip(cut[:-1], cut[1:]):
+            a, b, own = int(lo[i]), int(hi[i]), rows[i:j]
+            if b - a > 2 * bucket:
+                if (a, b) not in cells:
+                    cells[a, b] = np.array([x for g in prefix_groups(keys[a:b], bucket, least) for x in g], np.int64).reshape(-1, 2) + a
+                g = cells[a, b]
+                at = np.searchsorted(g[:, 0], own, "right") - 1
+                for c in np.unique(at):
+                    out.append((own[at == c], int(g[c, 0]), int(g[c, 1])))
+                continue
+            if b - a < least:
+                a, b = max(0, min(a, b - least)), min(n, max(b, a + least))
+            out.append((own, a, b))
+    return out
+
+
+def nearest_in(q: np.ndarray, groups: list[tuple[np.ndarray, int, int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per group: rows, their k nearest in its range and the cosines. q: small whole numbers, whose products are exact in float32."""
+    for rows, a, b in groups:
         n = b - a
         if n < 2:
             continue
         x = q[a:b].astype(np.float32)
         norm = np.sqrt((x * x).sum(1, dtype=np.float64))
         m = min(k, n - 1)
-        for at in range(0, n, 1024):  # so many rows at a time, whatever the cell's size
-            own = np.arange(at, min(at + 1024, n))
+        for at in range(0, len(rows), 1024):  # so many rows at a time, whatever the range's size
+            own = rows[at : at + 1024] - a
             dots = x[own] @ x.T
             s = dots / norm.astype(np.float32)[None, :]
-            s[own - at, own] = -np.inf
+            s[np.arange(len(own)), own] = -np.inf
             top = np.argpartition(s, n - m, axis=1)[:, n - m :] if m < n - 1 else np.argsort(s, axis=1)[:, 1:]
             yield own + a, top + a, np.take_along_axis(dots, top, 1).astype(np.float64) / (norm[own][:, None] * norm[top])
 
@@ -218,9 +269,10 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
                 q = np.rint(x * (127 / np.abs(x).max(1))[:, None]).astype(np.int8)
                 off = np.arange(len(pos) + 1, dtype=np.int32) * dim
                 q_col = pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(q.tobytes())])
+                keys = [forest.keys(x, t, np.array([hash_bytes(i, t) for i in ids], np.int64)) for t in range(forest.trees)]
+                depth = pa.array(forest.depth(keys, forest.trees * bucket / 2))
                 for t in range(forest.trees):
-                    keys = forest.keys(x, t, np.array([hash_bytes(i, t) for i in ids], np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(forest.part(keys, t).astype(np.int32)), pa.array(keys), pa.array(ids, pa.binary()), q_col], names=["part", "h", "id", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(forest.part(keys[t], t).astype(np.int32)), pa.array(keys[t]), depth, pa.array(ids, pa.binary()), q_col], names=["part", "h", "depth", "id", "q"])
 
     def searched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in it if b.num_rows]
@@ -234,6 +286,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
             keys = t["h"].to_numpy()[own]
             order = own[np.argsort(keys, kind="stable")]
             keys = np.sort(keys)
+            depth = t["depth"].to_numpy()[order]
             ids = t["id"].combine_chunks().take(pa.array(order))
             flat = t["q"].combine_chunks()
             o = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
@@ -241,14 +294,14 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, tr
             keys = further_bits(keys, q, bucket, seed + int(p))
             if (np.diff(keys) < 0).any():
                 again = np.argsort(keys, kind="stable")
-                keys, q, ids = keys[again], q[again], ids.take(pa.array(again))
-            for row, top, cos in nearest_in(q, prefix_groups(keys, bucket, least), k):
+                keys, q, depth, ids = keys[again], q[again], depth[again], ids.take(pa.array(again))
+            for row, top, cos in nearest_in(q, candidate_ranges(keys, depth, bucket, least), k):
                 n, m = top.shape
                 off = pa.array(np.arange(n + 1, dtype=np.int32) * m)
                 near = pa.StructArray.from_arrays([pa.array(cos.ravel()), ids.take(pa.array(top.ravel()))], ["cosine", "other"])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.ListArray.from_arrays(off, near)], names=["id", "near"])
 
-    placed = use.mapInArrow(hashed, "part int, h long, id binary, q binary").repartitionById(forest.trees * forest.parts, "part")
+    placed = use.mapInArrow(hashed, "part int, h long, depth byte, id binary, q binary").repartitionById(forest.trees * forest.parts, "part")
     found = placed.mapInArrow(searched, "id binary, near array<struct<cosine double, other binary>>")
     all_ = found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most trees * k entries
     best = F.slice(F.reverse(F.array_sort(F.array_distinct("near"))), 1, k + 1)

@@ -562,6 +562,30 @@ def test_forest_recall_beyond_the_bucket(spark):
     assert np.mean(hit) >= 0.8, np.mean(hit)
 
 
+def test_ascent_is_the_same_in_all_trees():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((4000, 32)).astype(np.float32)
+    x[:1500] = x[0] + 0.05 * r.standard_normal((1500, 32)).astype(np.float32)  # a dense place and a sparse rest
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    f = forest.Forest(x, 4000, 3, 8, 5000)
+    keys = [f.keys(x, t, r.integers(0, 1 << forest.SALT, len(x))) for t in range(3)]
+    depth = f.depth(keys, 300)
+    shared = lambda d: sum(np.array([(k >> (forest.BITS + forest.SALT - int(d[i])) == k[i] >> (forest.BITS + forest.SALT - int(d[i]))).sum() for i in range(0, 4000, 40)]) for k in keys)
+    deeper = np.minimum(depth + 1, forest.BITS)
+    got, more = shared(depth), shared(deeper)
+    assert (got[depth[::40] > 0] >= 280).all() and (more[depth[::40] < forest.BITS] < 320).all()
+    assert depth[:1500].mean() > depth[1500:].mean() + 2  # where many are near, longer prefixes do
+
+
+def test_ranges_cover_their_rows():
+    r = np.random.default_rng(6)
+    for keys in (np.sort(r.integers(0, 1 << 52, 5000)), np.zeros(5000, np.int64), np.sort(r.integers(0, 3, 3000)) << 48, np.zeros(0, np.int64)):
+        got = forest.candidate_ranges(keys, r.integers(0, 25, len(keys)).astype(np.int8), 128, 16)
+        rows = np.concatenate([g[0] for g in got]) if got else np.zeros(0, int)
+        assert sorted(rows.tolist()) == list(range(len(keys)))
+        assert all(a <= own.min() and own.max() < b and 16 <= b - a <= 256 + 32 for own, a, b in got)
+
+
 def test_small_cells_join_neighbours():
     r = np.random.default_rng(2)
     huge = (5 << 48) | (0b1010 << 44) | r.integers(0, 1 << 24, 5000)
