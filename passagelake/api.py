@@ -102,13 +102,16 @@ def build_content(spark: SparkSession, store: str, web: DataFrame | None = None,
         stored = old.select(key) if old is not None else rows.select(key).limit(0)
         acts = upsert_actions(stored, rows.withColumn("_order", F.xxhash64(*rows.columns)), key, "_order", force)
         done.append(acts.groupBy("action").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "action", "n"))
-        fresh = acts.where(F.col("action").isin("insert", "update")).drop("action", "_order").dropDuplicates([key])
+        acts = acts.where(F.col("action").isin("insert", "update")).drop("action")
+        row = F.struct(*(c for c in acts.columns if c != "_order"))
+        one = acts.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, "_order").alias("_row")).select("_row.*")  # of equal keys the first
+        fresh = one.unionByName(acts.where(F.col(key).isNull()).drop("_order"))  # rows without a key are rows of their own
         if text:
             keep = fresh.columns
-            v = embed(fresh.select(key, text), [key], text, make, model).withColumnRenamed("embedding", vector)
-            fresh = fresh.join(v, key).select(*keep, vector, "embedding_model")
+            v = embed(fresh.select(*keep, F.col(text).alias("_embedded")), keep, "_embedded", make, model)
+            fresh = v.withColumnRenamed("embedding", vector).select(*keep, vector, "embedding_model")
         if not dry_run:
-            whole = fresh if old is None else old.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+            whole = fresh if old is None else old.join(fresh.where(F.col(key).isNotNull()).select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
             io.write_version(whole, f"{store}/{name}")
 
     if web is not None:
@@ -141,3 +144,17 @@ def migrate_objects(objects: DataFrame, make: Callable[[], Embedder] = HashingEm
     n = chunks.groupBy("object_id").agg(F.count(F.lit(1)).alias("n"))
     report = texts.join(n, "object_id", "left").select("object_id", "object_type", F.char_length("embedding_text").alias("embedding_text_len"), "enriched", "still_thin", F.coalesce("n", F.lit(0)).alias("num_chunks"))
     return vectors, report
+
+
+def load_objects(objects: DataFrame, store: str, make: Callable[[], Embedder] = HashingEmbedder, model: str = "hashing-768", dry_run: bool = False, **sizes: object) -> DataFrame:
+    """Replaces a store's documents and chunks by those of `objects` in one step, and gives the report of migrate_objects.
+
+    documents: one row an object; chunks: as from migrate_objects, with document_id. Both become new versions, documents
+    first, so that no chunk is seen without its document; earlier versions stay as backups. With dry_run nothing is written.
+    """
+    chunks, report = migrate_objects(objects, make, model, **sizes)
+    documents = objects.join(report.select("object_id", "enriched", "still_thin", "num_chunks"), "object_id", "left").withColumn("id", F.xxhash64("object_id"))
+    if not dry_run:
+        io.write_version(documents, f"{store}/documents")
+        io.write_version(chunks.withColumn("document_id", F.xxhash64("object_id")), f"{store}/chunks")
+    return report

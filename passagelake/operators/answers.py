@@ -29,10 +29,10 @@ def select_evidence(df: DataFrame, group: str, score: str, order: str, strong: i
     """
     is_strong = F.coalesce(F.col(score) >= strong, F.lit(False))
     first = numbered(df.where(is_strong), group, order, "position").withColumn("position", F.col("position").cast("int"))
-    weak = df.where(~is_strong).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_at") <= keep)
-    n = df.groupBy(F.col(group).alias("_g")).agg(F.count_if(is_strong).alias("_n"))
-    fill = weak.join(n, F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_at") + F.col("_n") <= keep)
-    return first.unionByName(fill.withColumn("position", (F.col("_at") + F.col("_n")).cast("int")).drop("_at", "_g", "_n"))
+    weak = df.where(~is_strong).withColumn("__at", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__at") <= keep)
+    n = df.groupBy(F.col(group).alias("__group")).agg(F.count_if(is_strong).alias("__strong"))
+    fill = weak.join(n, F.col(group).eqNullSafe(F.col("__group"))).where(F.col("__at") + F.col("__strong") <= keep)
+    return first.unionByName(fill.withColumn("position", (F.col("__at") + F.col("__strong")).cast("int")).drop("__at", "__group", "__strong"))
 
 
 def best_citation(df: DataFrame, group: str, score: str, position: str, keyword: Column) -> DataFrame:

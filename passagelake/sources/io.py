@@ -52,6 +52,36 @@ def read_sheet(spark: SparkSession, path: str, **columns: str | int) -> DataFram
     return questions_answers(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), **columns)
 
 
+def choose_sheet(names: list[str], preferred: tuple[str, ...] = ("Sheet1", "QA", "Data")) -> str:
+    """The first of the preferred sheets there is, else the first sheet."""
+    if not names:
+        raise ValueError("no sheet")
+    return next((n for n in preferred if n in names), names[0])
+
+
+def read_workbook(spark: SparkSession, folder: str, sheet: str | None = None, **columns: str | int) -> DataFrame:
+    """question, answer and row_number of a workbook exported to a folder of CSV files, one a sheet; which sheet is chosen as choose_sheet says.
+
+    row_number is the row's line in the sheet, of which the header is the first; a sheet is read by one task, as its rows
+    have an order, and rows left out keep their numbers.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(n[:-4] for n in (f.getPath().getName() for f in found) if n.endswith(".csv"))
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/{sheet or choose_sheet(names)}.csv")
+    numbered = df.withColumn("_row_number", F.monotonically_increasing_id().cast("int") + 2)
+    by = {k: v for k, v in columns.items()}
+    q = by.get("question", find_column(df.columns, "question", "frage"))
+    a = by.get("answer", find_column(df.columns, "answer", "antwort"))
+    both = questions_answers(df, q, a)  # raises where there is no such column
+    assert both.columns == ["question", "answer"]
+    q, a = (df.columns[c] if isinstance(c, int) else c for c in (q, a))
+    kept = numbered.select(normalize_text(F.col(q).cast("string")).alias("question"), normalize_text(F.col(a).cast("string")).alias("answer"), F.col("_row_number").alias("row_number"))
+    full = lambda c: F.coalesce((F.col(c) != "") & (F.lower(c) != "nan"), F.lit(False))
+    return kept.where(full("question") & full("answer"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: file, text."""
     return spark.read.text(path, wholetext=True).select(_name().alias("file"), F.col("value").alias("text"))

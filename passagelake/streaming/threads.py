@@ -67,11 +67,10 @@ def ingest_new(stream: DataFrame, stored_path: str, key: str, prepare: Callable[
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         fresh = df.where(F.col(key).isNotNull()).dropDuplicates([key])
-        try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored_path)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "*.parquet")):  # something is stored: of it only the keys are read
             fresh = fresh.join(spark.read.parquet(stored_path).select(key), key, "left_anti")
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         prepare(fresh).write.mode("append").parquet(stored_path)
 
     return stream.writeStream.foreachBatch(batch)

@@ -51,3 +51,22 @@ def test_command_line(spark, tmp_path, capsys):
     chunks = spark.read.parquet(out + "/chunks")
     assert chunks.select("object_id").distinct().count() == 3 and chunks.where("object_id = 'o0' AND enriched").count() > 0 and chunks.where("embedding IS NULL").count() == 0
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 3 and "objects" in capsys.readouterr().out
+
+
+def test_load_objects_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "v2")
+    o = spark.createDataFrame([("a", "degree_program", "A", "u", None, ["b"], "Short."), ("b", "x", "B", "u", "n", [], "Long text about the programme and its modules. " * 60)], "object_id string, object_type string, title string, url string, classification_notes string, related_pages array<string>, full_text string")
+    assert api.load_objects(o, path, dry_run=True).count() == 2 and io.versions(spark, f"{path}/documents") == []
+    for n in (1, 2):
+        api.load_objects(o, path)
+        docs, chunks = io.read_version(spark, f"{path}/documents"), io.read_version(spark, f"{path}/chunks")
+        assert io.versions(spark, f"{path}/chunks")[-1] == n and docs.count() == 2 and chunks.join(docs, chunks["document_id"] == docs["id"], "left_anti").count() == 0
+
+
+def test_forced_build_keeps_the_first_and_rows_without_key(spark, tmp_path):
+    path = str(tmp_path / "store")
+    pairs = spark.createDataFrame([("q", "a"), ("q", "a"), (None, "b"), (None, "c")], "question string, answer string")
+    for _ in range(2):
+        api.build_content(spark, path, None, pairs, force=True).collect()
+    got = io.read_version(spark, f"{path}/qa_pairs")
+    assert got.where("question = 'q'").count() == 1 and got.where("question IS NULL").count() == 4

@@ -12,7 +12,7 @@ import __spark_entry__  # noqa: F401
 from passagelake.functions import extract as X
 from passagelake.functions import text as T
 from passagelake.functions.cleaning import clean_full_text
-from passagelake.operators import ann, chunking, html, objects, retrieval, rules, upsert
+from passagelake.operators import ann, answers, chunking, html, objects, retrieval, rules, upsert
 from passagelake.plans import registry
 from passagelake.sources import config, io
 from passagelake.streaming import threads
@@ -337,6 +337,14 @@ def test_sources(spark, tmp_path):
     assert io.read_sheet(spark, str(tmp_path / "qa.csv"), question=1, answer=2).count() == 1
     with pytest.raises(ValueError):
         io.read_sheet(spark, str(tmp_path / "qa.csv"), question=5)
+    book = tmp_path / "book"
+    book.mkdir()
+    (book / "Other.csv").write_text("x\n1\n")
+    (book / "QA.csv").write_text("Nr,Frage,Antwort\n1,Was?,Das\n2,nan,x\n3,Wer?,\"Der\ndort\"\n")
+    assert [tuple(r) for r in io.read_workbook(spark, str(book)).collect()] == [("Was?", "Das", 2), ("Wer?", "Der dort", 4)]
+    assert io.choose_sheet(["a", "b"]) == "a" and io.choose_sheet(["a", "Data", "Sheet1"]) == "Sheet1"
+    with pytest.raises(ValueError):
+        io.read_workbook(spark, str(book), "Other")
     (tmp_path / "m.jl").write_text('{"id": "1", "url": "u", "status": 200}\nbroken\n')
     assert io.read_manifest(spark, str(tmp_path / "m.jl")).count() == 1
     (tmp_path / "c.csv").write_text("page_id,status,title,url,html_file,page_class,confidence,object_id_suggested,notes\n1,200,t,u,f,x,high,,\n2,200,t,u,f,,high,,\n")
@@ -373,6 +381,33 @@ def test_streams(spark, tmp_path):
     assert sorted(r["h"] for r in spark.read.parquet(out).collect()) == ["k0", "k1", "k2", "k3"]
 
 
+def test_evidence_without_a_window_over_a_group(spark):
+    rows = [(i, "g" if i % 3 else None, [None, 0, 5][i % 7 % 3] if i < 60 else 0) for i in range(300)] + [(1000 + i, "weak", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, g string, score int").withColumn("_n", F.lit("clash"))
+    got = answers.select_evidence(df.drop("_n"), "g", "score", "id").collect()
+    for g in ("g", None, "weak"):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (not (r[2] or 0) >= 3, r[0]))
+        strong = sum((r[2] or 0) >= 3 for r in own)
+        assert [r["id"] for r in sorted((x for x in got if x["g"] == g), key=lambda x: x["position"])] == [r[0] for r in own[: max(strong, 5)]]
+    assert answers.select_evidence(df.limit(0), "g", "score", "id").count() == 0
+
+
+def test_running_state_of_a_key_hot_on_one_day(spark):
+    rows = [(i, "hot" if i % 4 else "b", f"2024-01-01 {i % 24:02d}:{i % 60:02d}:00", f"v{i}" if i % 5 == 0 else None) for i in range(400)] + [(900, None, None, "x")]
+    df = spark.createDataFrame(rows, "id long, k string, t string, v string").withColumn("t", F.col("t").cast("timestamp"))
+    order = sorted((r for r in rows if r[1] == "hot"), key=lambda r: (r[2], r[0]))
+    n = {r["id"]: r["n"] for r in upsert.running_count(df, "k", "t", "id", "n").collect()}
+    assert [n[r[0]] for r in order] == list(range(1, len(order) + 1)) and len(n) == 401
+    last, want = None, {}
+    for r in order:
+        last = r[3] or last
+        want[r[0]] = last
+    got = {r["id"]: r["w"] for r in upsert.carry_forward(df, "k", "t", "id", "v", "w").collect()}
+    assert all(got[k] == v for k, v in want.items())
+    plan = upsert.running_count(df, "k", "t", "id", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" in plan and "_day" in plan.split("row_number")[1][:400]
+
+
 def test_facts(spark):
     from passagelake.functions import facts
 
