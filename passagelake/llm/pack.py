@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from ..session import cut
 
-#: Buckets into which the items of one size are dealt for ranking; no task ranks more than a bucket.
-RANK_BUCKETS = 64
+#: Least number of buckets into which the items of one size are dealt for ranking, and items of all sizes a bucket beyond.
+RANK_BUCKETS, RANK_ROWS = 64, 250_000
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((size, items of it in one container), ...), containers
 
@@ -140,16 +140,18 @@ def pack(items: DataFrame, key: str, size: str, capacities: dict[str, int]) -> D
     and equal keys are items of their own; null keys are kept; an empty table gives an empty one.
 
     Only the histogram of each profile, at most `capacity` rows, comes to the driver; the plan that goes back has about as
-    many rows. Items of one size are ranked in RANK_BUCKETS buckets, so a size may hold any share of the items.
+    many rows. Items of one size are ranked in buckets whose number grows with the items, so a size may hold any
+    share of them.
     """
     caps = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(int(c)).cast("long").alias("capacity")) for p, c in sorted(capacities.items())))
     it = items.select(F.col(key).alias("__key"), F.col(size).cast("long").alias("n")).where("n > 0")
     all_ = it.select("*", F.inline(caps))
+    buckets = max(RANK_BUCKETS, -(-items.count() // RANK_ROWS))
     full, rest = F.floor(F.col("n") / F.col("capacity")), F.col("n") % F.col("capacity")
-    bucket = F.pmod(F.xxhash64("__key", "n"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket")
+    bucket = F.pmod(F.xxhash64("__key", "n"), F.lit(buckets)).cast("int").alias("bucket")
     whole = all_.where(rest > 0).select("profile", "__key", rest.alias("size"), full.cast("int").alias("part_no"), (full * F.col("capacity")).alias("part_start"), bucket)
     counts = whole.groupBy("profile", "size", "bucket").agg(F.count(F.lit(1)).alias("items"))
-    counts = cut(counts)  # at most sum(capacity) * RANK_BUCKETS rows, used twice
+    counts = cut(counts)  # at most sum(capacity) * buckets rows, used twice
     hists: dict[str, dict[int, int]] = {}
     for r in counts.groupBy("profile", "size").agg(F.sum("items").alias("items")).toLocalIterator():
         hists.setdefault(r["profile"], {})[r["size"]] = r["items"]

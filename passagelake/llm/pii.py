@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,7 +66,6 @@ _ANCHORS: dict[str, re.Pattern] = {
 }
 #: What a text must hold for an anchor to be there.
 _HINTS = {"title": ("Herr", "Frau", "Fr.", "Hr.", "Mr", "Ms", "Miss", "Dr", "Prof"), "wrote": ("hat ", "hat\n", "hat\r", "hat\t", "schrieb", "eply to", "EPLY TO", "ntwort auf", "NTWORT AUF", "eply To", "ntwort Auf"), "self": ("(",)}
-_HIDERS = ("(at)", "(@)", "(a)", "(ät)", "[at]", "[@]", "[ät]", "[a]", "{at}", "{@}", "<at>", " dot ", " DOT ", " punkt ", " Punkt ", " @ ", "-at-", "_at_")
 #: Anchors that start at a line's first character behind quote marks, and the letters with which a closing may begin.
 _OF_LINES = {"greeting", "closing", "header", "dated"}
 _GREETERS = frozenset("hHdDlLgGmM")
@@ -104,14 +104,16 @@ _PHONE_BEFORE = re.compile(r"(?i)(?:tel(?:efon)?|phone|mobile?|mobil|fon|handy|c
 _STREET_DE = rf"[A-ZÄÖÜ][\wäöüß]*(?:-[A-ZÄÖÜ]?[\wäöüß]+)*(?:[ -])?(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Ww]eg|[Aa]llee|[Gg]asse|[Pp]latz|[Uu]fer|[Rr]ing|[Dd]amm|[Cc]haussee|[Ss]teig|[Pp]fad|[Ww]all|[Pp]romenade){_GAP}\d{{1,4}}(?:[ ]?[a-z](?!\w))?(?![\w:]|[./]\d)"
 _STREET_AM = rf"(?:Am|An der|An den|Im|In der|Zum|Zur|Unter den|Auf dem|Auf der|Hinter dem|Vor dem){_GAP}(?:{_CAP}{_GAP}){{1,2}}\d{{1,4}}(?:[ ]?[a-z](?!\w))?(?![\w:%]|[./]\d|\.? ?(?:{_MONTHS}|Uhr))"
 _STREET_EN = rf"(?<![\w.,/:-])\d{{1,4}}[a-z]?{_GAP}(?:{_CAP}{_GAP}){{1,3}}(?:Road|Street|Lane|Close|Row|Avenue|Way|Court|Drive|Place|Terrace|Gardens|Square|Hill|Crescent|Walk|Mews|Grove|Rd|St|Ave)\b"
-_STREETS = (
-    (re.compile(_STREET_DE), ("straße", "strasse", "Straße", "Strasse", "str.", "Str.", "weg", "Weg", "llee", "asse", "latz", "fer", "ing ", "ing\n", "Ring", "amm", "haussee", "teig", "fad", "all ", "romenade")),
-    (re.compile(_STREET_EN), ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", "Rd", "St ", "St\n", "St\r", "St,", "St.", "St;", "St)", "Ave")),
-    (re.compile(_STREET_AM), ("Am", "An de", "Im", "In der", "Zum", "Zur", "Unter den", "Auf de", "Hinter dem", "Vor dem")),
-)
+_DE, _EN, _AM = re.compile(_STREET_DE), re.compile(_STREET_EN), re.compile(_STREET_AM)
+#: What a text must hold for a street to be in it: a house number behind such an ending, before one of these words, or behind one of these.
+_HOUSE = re.compile(r"[ \n\r\t>|]\d{1,4}(?:[ ]?[a-z])?(?![\w:]|[./]\d)")
+_DE_ENDS = ("aße", "asse", "tr.", "weg", "Weg", "lee", "latz", "fer", "ing", "Ring", "amm", "see", "teig", "fad", "all", "ade", "Ufer", "Wall")
+_NUMBERED = re.compile(r"\d[a-z]?[ \t\r\n>|]+[A-ZÄÖÜÀ-ÞČŠŽŁŚĆ]")
+_EN_WORDS = ("Road", "Street", "Lane", "Close", "Row", "Avenue", "Way", "Court", "Drive", "Place", "Terrace", "Gardens", "Square", "Hill", "Crescent", "Walk", "Mews", "Grove", "Rd", "St ", "St\n", "St\r", "St,", "St.", "St;", "St)", "Ave")
+_AM_WORDS = ("Am", "An de", "Im", "In der", "Zum", "Zur", "Unter den", "Auf de", "Hinter dem", "Vor dem")
 _LABEL_HINTS = ("ausweis", "card", "pass", "matr", "stud", "bewerb", "applic", "steuer", "tax", "tin", "insur", "versicher", "sv-", "kv-")
 #: Words after which a name may follow, and what may stand between; they are looked up in the lower-case text.
-_PHRASE_WORDS = ("flatmate", "roommate", "classmate", "housemate", "mitbewohner", "kommiliton", "colleague", "kolleg", "friend", "freund", "tutor", "spoke", "talked", "wrote", "write", "letter", "brief", "sprach", "gesprochen", "telefonat", "met", "called", "ask", "named", "namens", "name is", "heiße", "signed", "contact", "ansprechpartner")
+_PHRASE_WORDS = frozenset(("flatmate", "roommate", "classmate", "housemate", "mitbewohner", "kommiliton", "colleague", "kolleg", "friend", "freund", "tutor", "spoke", "talked", "wrote", "write", "letter", "brief", "sprach", "gesprochen", "telefonat", "met", "called", "ask", "named", "namens", "name is", "heiße", "signed", "contact", "ansprechpartner"))
 _PHRASE_TAIL = re.compile(rf"\w*(?:{_GAP}(?:to|with|an|mit|is|ist))?{_GAP}({_LAST_FIRST}|{_SEQW})")
 _CITY_AFTER = re.compile(rf"^,?[\s>|]*(?:(?:Flat|Apt|Apartment|Wohnung|Whg)\.?[ ]\w+,?[\s>|]*)?(?:\d{{4,5}}[ ]{_CAP}|{_CAP}\b)")
 _ZIP_AFTER = re.compile(rf"^,?[\s>|]*\d{{4,5}}[ ]{_CAP}")
@@ -162,6 +164,25 @@ def _trim_seq(text: str, a: int, b: int, names: frozenset[str]) -> tuple[int, in
     return (words[0][0], words[-1][1]) if words else (a, a)
 
 
+@lru_cache(maxsize=8)
+def _finder(words: frozenset[str]) -> ahocorasick.Automaton:
+    """Finds all of the words, in lower case, in one pass over a text; gives where they end and their lengths."""
+    out = ahocorasick.Automaton()
+    for w in {w.lower() for w in words if w.lower().capitalize() in words or w.islower()}:
+        out.add_word(w, len(w))
+    if len(out) == 0:
+        out.add_word("\0", 1)
+    out.make_automaton()
+    return out
+
+
+def _may_hide(t: str) -> bool:
+    """Whether a text has any of what _MAY_HIDE looks for; literal searches are far quicker than the pattern."""
+    return (
+        "(at" in t or "[at" in t or "{at" in t or "<at" in t or "(a)" in t or "[a]" in t or "(ät" in t or "[ät" in t or "(@" in t or "[@" in t or "{@" in t
+        or " dot " in t or " DOT " in t or " punkt " in t or " Punkt " in t or " @ " in t or "-at" in t or "_at" in t)
+
+
 def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list[Span]:
     """All proposed spans of `text` with their labelers' votes (1 for, -1 against)."""
     out: list[Span] = []
@@ -174,7 +195,7 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
         return False
 
     mails = list(_EMAIL.finditer(text)) if "@" in text else []
-    if some(_HIDERS) and _MAY_HIDE.search(text):
+    if _may_hide(text) and _MAY_HIDE.search(text):
         mails += [m for m in _HIDDEN_MAIL.finditer(text) if not any(m.start() < o.end() and o.start() < m.end() for o in mails)]
     for m in mails:
         v = m[0].rstrip(".-")
@@ -204,7 +225,15 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
             continue
         out.append(Span("phone", a, e, {"prefix": 1 if _PREFIX.match(v) else -1, "length": 1 if n >= 9 else -1, "context": 1 if _PHONE_BEFORE.search(b) else 0, "line": 1 if _AT_LINE.search(b) or not b else 0, "other": -1 if _OTHER_BEFORE.search(b) or _LABEL_BEFORE.search(b) else 0}))
         taken.append((a, e))
-    for m in [m for rx, hints in _STREETS if some(hints) for m in rx.finditer(text)]:
+    houses = [m.start() for m in _HOUSE.finditer(text)]
+    streets: list[re.Match] = []
+    if houses and any(text[max(0, k - 12) : k].rstrip(_SPACES).endswith(_DE_ENDS) for k in houses):
+        streets += _DE.finditer(text)
+    if _NUMBERED.search(text) and some(_EN_WORDS):
+        streets += _EN.finditer(text)
+    if houses and some(_AM_WORDS):
+        streets += _AM.finditer(text)
+    for m in streets:
         a, e = m.span()
         if not free(a, e):
             continue
@@ -238,12 +267,10 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
 
     low = text.lower()
     if len(low) == len(text):
-        for word in _PHRASE_WORDS:
-            k = low.find(word)
-            while k >= 0:
-                if (not k or not low[k - 1].isalnum()) and (m := _PHRASE_TAIL.match(text, k + len(word))):
-                    name(m.start(1), m.end(1), "phrase")
-                k = low.find(word, k + 1)
+        for last, size in _finder(_PHRASE_WORDS).iter(low):
+            k = last + 1 - size
+            if (not k or not low[k - 1].isalnum()) and (m := _PHRASE_TAIL.match(text, last + 1)):
+                name(m.start(1), m.end(1), "phrase")
     at, lines = 0, []
     for x in text.split("\n"):
         y = x.lstrip(">| \t")
@@ -279,8 +306,9 @@ def candidates(text: str, names: frozenset[str], places: frozenset[str]) -> list
             from_ = max(0, len(c) - 60) + (len(tail[0]) if len(tail) == 6 else 0)
             if n := _ENDS_IN_NAME.search(c, from_):
                 name(m.start() - len(b) + n.start(1), m.start() - len(b) + len(c), by, True)
-    for m in _LOWER_PAIR.finditer(text):
-        if m[1].split("-")[0].capitalize() in names:
+    for last, size in _finder(names).iter(text):
+        k = last + 1 - size
+        if text[last + 1 : last + 2] in (" ", "-") and (not k or not (text[k - 1].isalnum() or text[k - 1] in "_@.+-")) and (m := _LOWER_PAIR.match(text, k)):
             name(m.start(1), m.end(2), "lowercase")
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     last = 0
