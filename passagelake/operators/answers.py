@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .upsert import numbered
 
 
-def programme_score(title: Column, url: Column, text: Column, aliases: Column, others: Column, weak: Column) -> Column:
-    """Points of a document for a programme: an alias found in the URL counts 6, in the title 5, in the text 4; a weak section takes 5, clues to other programmes 6. aliases, others: arrays of lower-case strings."""
+def programme_score(title: Column, url: Column, text: Column, aliases: Column, others: Column, weak: Column, target: Column | None = None) -> Column:
+    """Points of a document for a programme: an alias found in the URL counts 6, in the title 5, in the text 4, the programme's own page (URL `target` or below it) 10; a weak section takes 5, clues to other programmes 6. aliases, others: arrays of lower-case strings."""
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in (url, title, text)]
 
     def found(c: Column) -> Column:
@@ -18,7 +18,8 @@ def programme_score(title: Column, url: Column, text: Column, aliases: Column, o
 
     hits = found(low[0]) * 6 + found(low[1]) * 5 + found(low[2]) * 4
     other = F.exists(others, lambda o: F.contains(low[1], o) | F.contains(low[0], o))
-    return (hits - F.when(weak, 5).otherwise(0) - F.when(other, 6).otherwise(0)).cast("int")
+    own = F.when(F.startswith(low[0], F.lower(target)), 10).otherwise(0) if target is not None else F.lit(0)
+    return (hits + own - F.when(weak, 5).otherwise(0) - F.when(other, 6).otherwise(0)).cast("int")
 
 
 def select_evidence(df: DataFrame, group: str, score: str, order: str, strong: int = 3, keep: int = 5) -> DataFrame:
@@ -47,6 +48,12 @@ def reference_lines(cited: Column, urls: Column) -> Column:
     return F.array_join(F.array_compact(F.transform(F.array_distinct(cited), lambda c: F.when(F.get(urls, c - 1).isNotNull(), F.concat(F.lit("[Doc "), c.cast("string"), F.lit("] "), F.get(urls, c - 1))))), "\n")
 
 
+def with_topic_links(lines: Column, topics: Column, links: dict[str, tuple[str, ...]]) -> Column:
+    """Reference lines (array<string>) and, for each of `topics` (array<string>), its links as lines of their own; every line once, in this order."""
+    more = [F.when(F.array_contains(topics, t), F.array(*(F.lit(f"- {u}") for u in us))).otherwise(F.array().cast("array<string>")) for t, us in links.items()]
+    return F.array_distinct(F.concat(lines, *(F.coalesce(m, F.array().cast("array<string>")) for m in more)))
+
+
 def renumber_citations(draft: Column, order: Column) -> Column:
     """`[Doc N]` rewritten where document N now stands in `order` (array<int> of old numbers); numbers not in it are dropped."""
     pieces = F.split(draft, r"\[Doc [0-9]+\]")

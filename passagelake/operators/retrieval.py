@@ -44,7 +44,7 @@ def _unit(col: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _read_blocks(q: DataFrame) -> Callable[[], Iterator[pa.RecordBatch]]:
+def read_blocks(q: DataFrame) -> Callable[[], Iterator[pa.RecordBatch]]:
     """The rows of `q` in batches of QUERY_BLOCK at most, as often as a task asks for them; the driver holds one batch at most."""
     head = q.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
     if head.num_rows <= QUERY_BLOCK:
@@ -97,7 +97,7 @@ def block_topk(queries: DataFrame, items: DataFrame, k: int, dim: int, keys: tup
     q = queries.where(usable(vectors[0], dim)).select(keys[0], vectors[0])
     it = items.where(usable(vectors[1], dim)).select(keys[1], vectors[1])
     schema = T.StructType([q.schema[keys[0]], it.schema[keys[1]], T.StructField("score", T.DoubleType())])
-    read = _read_blocks(q)
+    read = read_blocks(q)
     step = max(1, QUERY_BLOCK)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import all_matches, match_form, url_host, url_path
+from ..functions.text import all_matches, match_form, url_path
+from .retrieval import read_blocks
 
 
 def labels_by_rules(text: Column, rules: dict[str, tuple[str, ...]], default: str | None = None) -> Column:
@@ -84,29 +85,39 @@ def topic_points(low: dict[str, Column], terms: tuple[str, ...], bonus: tuple[tu
     return sum((*plain, *more), F.lit(0)).cast("int")
 
 
+def _named(texts: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """key and the columns of `aliases` of every alias that stands as whole words in a text, each once.
+
+    texts: key, _t (words with single spaces); aliases: _a, alike. An equi-join on the whole alias: every text offers its
+    runs of as many words as some alias has, so no text travels with its words and no pair is looked at in vain.
+    """
+    sizes = [r[0] for r in aliases.select(F.size(F.split("_a", " "))).distinct().collect()]  # a handful: the numbers of words of aliases
+    runs = lambda w: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array(*(F.array_join(F.slice(w, i, F.lit(n)), " ") for n in sorted(sizes))))))
+    if not sizes:
+        return texts.select(key).limit(0).join(aliases, F.lit(True))
+    own = texts.where("_t <> ''").select(key, F.explode(F.get(F.transform(F.array(F.split("_t", " ")), runs), F.lit(0))).alias("_a"))
+    return own.join(aliases, "_a")
+
+
 def exact_matches(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """key, name, score: the best name that stands as whole words in each text; longer than four letters scores 1, shorter 0.92.
 
-    names: name, alias, ord (order of preference). Words of the texts are joined with the first words of the aliases, so
-    no text meets an alias with which it shares nothing; then the whole alias is compared.
+    names: name, alias, ord (order of preference). Null and blank texts and aliases match nothing.
     """
-    t = texts.select(key, F.concat(F.lit(" "), match_form(text, True), F.lit(" ")).alias("_t"))
-    a = names.select("name", "ord", match_form("alias", True).alias("_a")).where("_a <> ''").withColumn("_w", F.split("_a", " ")[0])
-    words = t.select(key, "_t", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))).alias("_w"))
-    hit = words.join(a, "_w").where(F.contains("_t", F.concat(F.lit(" "), "_a", F.lit(" "))))
+    t = texts.select(key, match_form(text, True).alias("_t"))
+    a = names.select("name", "ord", match_form("alias", True).alias("_a")).where("_a <> ''")
     score = F.when(F.char_length("_a") > 4, 1.0).otherwise(0.92)
-    best = hit.groupBy(key).agg(F.max(F.struct(score.alias("score"), (-F.col("ord")).alias("o"), "name")).alias("b"))
+    best = _named(t, a, key).groupBy(key).agg(F.max(F.struct(score.alias("score"), (-F.col("ord")).alias("o"), "name")).alias("b"))
     return best.select(key, "b.name", "b.score")
 
 
 def longest_matches(texts: DataFrame, names: DataFrame, key: str, text: str, least: int = 4) -> DataFrame:
     """key, name, score: the name with the longest alias in each text; upper-case abbreviations score 100 more. names as in exact_matches."""
-    t = texts.select(key, F.concat(F.lit(" "), match_form(text), F.lit(" ")).alias("_t"))
-    a = names.select("name", "ord", "alias", match_form("alias").alias("_a")).where(F.char_length("_a") >= least).withColumn("_w", F.split("_a", " ")[0])
-    words = t.select(key, "_t", F.explode(F.array_distinct(F.split(F.trim("_t"), " "))).alias("_w"))
-    hit = words.join(a, "_w").where(F.contains("_t", F.concat(F.lit(" "), "_a", F.lit(" "))))
-    score = F.char_length("_a") + F.when((F.upper("alias") == F.col("alias")) & F.regexp_like("alias", F.lit("[A-Z]")), 100).otherwise(0)
-    best = hit.groupBy(key).agg(F.max(F.struct(score.alias("score"), (-F.col("ord")).alias("o"), "name")).alias("b"))
+    t = texts.select(key, match_form(text).alias("_t"))
+    upper = (F.upper("alias") == F.col("alias")) & F.regexp_like("alias", F.lit("[A-Z]"))
+    a = names.select("name", "ord", upper.alias("_upper"), match_form("alias").alias("_a")).where(F.char_length("_a") >= least)
+    score = F.char_length("_a") + F.when(F.col("_upper"), 100).otherwise(0)
+    best = _named(t, a, key).groupBy(key).agg(F.max(F.struct(score.alias("score"), (-F.col("ord")).alias("o"), "name")).alias("b"))
     return best.select(key, "b.name", "b.score")
 
 
@@ -195,39 +206,45 @@ class Catalogue:
 def fuzzy_matches(texts: DataFrame, names: DataFrame, key: str, text: str | Column, least: float = 0.78) -> DataFrame:
     """key, name, score: the alias of two or more words most like a run of 3 to 9 words of each text.
 
-    names: name, alias, ord: a catalogue, sent to the tasks if it has at most 50,000 rows and refused beyond. Every run is
-    held against every alias by bounds that leave out none of the likeness asked for; ratios are those of matching blocks.
+    names: name, alias, ord: a catalogue of any size; a small one is sent with the tasks, the blocks of a larger one are
+    read by them from the shared folder. Every run is held against every alias by bounds that leave out none of the
+    likeness asked for; ratios are those of matching blocks, ties go to the least ord, name and alias.
     """
-    rows = names.select("name", "alias", "ord", match_form("alias", True).alias("a")).where("a LIKE '% %'").limit(50_001).collect()
-    if len(rows) > 50_000:
-        raise ValueError("a catalogue of more than 50,000 aliases; match its parts one by one")
-    aliases = sorted((r["ord"], r["name"], r["a"]) for r in rows)
+    read = read_blocks(names.select("ord", "name", match_form("alias", True).alias("a")).where("a LIKE '% %'"))
     schema = T.StructType([texts.schema[key], T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        catalogue = Catalogue([a for _, _, a in aliases])
+        known: list[tuple[list[tuple], Catalogue]] = []
         for batch in it:
-            at, got, scores = [], [], []
-            for row, t in enumerate(batch.column(1)):
-                t = t.as_py() or ""
-                best: tuple[float, int] | None = None
-                matcher = SequenceMatcher(None, "", "", autojunk=True)
-                for near, begins, ends, bounds in catalogue.near(t, least):
-                    tried = set()
-                    for j in np.lexsort((near, -bounds)).tolist():  # the best bound first
-                        if best and bounds[j] < best[0] - 1e-9:
-                            break
-                        i, own = int(near[j]), t[begins[j] : ends[j]]
-                        if (i, own) in tried:
-                            continue
-                        tried.add((i, own))
-                        matcher.set_seqs(aliases[i][2], own)
-                        if (r := matcher.ratio()) >= least and (best is None or r > best[0] or r == best[0] and i < best[1]):
-                            best = (r, i)
-                if best:
-                    at.append(row)
-                    got.append(aliases[best[1]][1])
-                    scores.append(round(best[0], 6))
+            texts_ = [t or "" for t in batch.column(1).to_pylist()]
+            best: list[tuple[float, tuple] | None] = [None] * len(texts_)
+            matcher = SequenceMatcher(None, "", "", autojunk=True)
+            for n, block in enumerate(read()):
+                if n < len(known):
+                    aliases, catalogue = known[n]
+                else:
+                    aliases = sorted(zip(*(c.to_pylist() for c in block.columns), strict=True))
+                    catalogue = Catalogue([a for _, _, a in aliases])
+                    if n == len(known) < 4:  # so many blocks are kept between batches
+                        known.append((aliases, catalogue))
+                for row, t in enumerate(texts_):
+                    top = best[row]
+                    for near, begins, ends, bounds in catalogue.near(t, least):
+                        tried = set()
+                        for j in np.lexsort((near, -bounds)).tolist():  # the best bound first
+                            if top and bounds[j] < top[0] - 1e-9:
+                                break
+                            i, own = int(near[j]), t[begins[j] : ends[j]]
+                            if (i, own) in tried:
+                                continue
+                            tried.add((i, own))
+                            matcher.set_seqs(aliases[i][2], own)
+                            if (r := matcher.ratio()) >= least and (top is None or r > top[0] or r == top[0] and aliases[i] < top[1]):
+                                top = (r, aliases[i])
+                    best[row] = top
+            at = [i for i, b in enumerate(best) if b]
+            got = [best[i][1][1] for i in at]
+            scores = [round(best[i][0], 6) for i in at]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(got, pa.string()), pa.array(scores, pa.float64())], names=schema.fieldNames())
 
     return texts.select(key, match_form(text, True).alias("_t")).mapInArrow(run, schema)

@@ -26,12 +26,12 @@ def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
 _ALIAS, _OTHER = "['soziale', 'social']", "['maritime']"
 _SCORE = f"""
     (len(list_filter({_ALIAS}, lambda a: contains(lower(coalesce(url, '')), a))) * 6 + len(list_filter({_ALIAS}, lambda a: contains(lower(coalesce(title, '')), a))) * 5 + len(list_filter({_ALIAS}, lambda a: contains(lower(coalesce(raw_json, '')), a))) * 4
-     - CASE WHEN object_type = 'special_category' THEN 5 ELSE 0 END - CASE WHEN len(list_filter({_OTHER}, lambda o: contains(lower(coalesce(title, '')), o) OR contains(lower(coalesce(url, '')), o))) > 0 THEN 6 ELSE 0 END)::INTEGER"""
+     + CASE WHEN starts_with(lower(coalesce(url, '')), 'https://www.birkenhorst.test/en/') THEN 10 ELSE 0 END - CASE WHEN object_type = 'special_category' THEN 5 ELSE 0 END - CASE WHEN len(list_filter({_OTHER}, lambda o: contains(lower(coalesce(title, '')), o) OR contains(lower(coalesce(url, '')), o))) > 0 THEN 6 ELSE 0 END)::INTEGER"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "site_objects")
-    s = A.programme_score(F.col("title"), F.col("url"), F.col("raw_json"), F.array(F.lit("soziale"), F.lit("social")), F.array(F.lit("maritime")), F.col("object_type") == "special_category")
+    s = A.programme_score(F.col("title"), F.col("url"), F.col("raw_json"), F.array(F.lit("soziale"), F.lit("social")), F.array(F.lit("maritime")), F.col("object_type") == "special_category", F.lit("https://www.birkenhorst.test/en/"))
     return o.select("id", "object_type", "title", s.alias("score"))
 
 
@@ -67,12 +67,19 @@ def concat_official(spark: SparkSession, d: str) -> DataFrame:
     return a.unionAll(table(spark, d, "web_documents").where(F.contains(F.lower("title"), F.lit("fees"))).select(F.lit("retrieved"), F.lit(1), "id"))
 
 
+_TOPIC_LINKS = {"fees": ("https://www.example.org/fees", "https://www.example.org/costs"), "housing": ("https://www.example.org/housing",)}
+
+
 @query("reference_links", """
-    SELECT id, CASE WHEN links[1].url IS NULL THEN '' ELSE '[Doc 1] ' || links[1].url END AS v FROM web_documents""")
+    WITH w AS (SELECT id, CASE WHEN links[1].url IS NULL THEN [] ELSE ['[Doc 1] ' || links[1].url] END AS l, list_filter([CASE WHEN contains(lower(title), 'fee') THEN 'fees' END, CASE WHEN contains(lower(title), 'dorm') OR contains(lower(title), 'wohnheim') THEN 'housing' END], lambda x: x IS NOT NULL) AS t FROM web_documents)
+    SELECT id, array_to_string(list_concat(list_concat(l, CASE WHEN list_contains(t, 'fees') THEN ['- https://www.example.org/fees', '- https://www.example.org/costs'] ELSE [] END), CASE WHEN list_contains(t, 'housing') THEN ['- https://www.example.org/housing'] ELSE [] END), E'\\n') AS v FROM w""")
 def reference_links(spark: SparkSession, d: str) -> DataFrame:
-    """Reference lines of the documents that are cited and have a URL."""
+    """Reference lines of the documents that are cited and have a URL, and the links of their topics."""
     urls = F.slice(F.coalesce(F.transform("links", lambda x: x["url"]), F.array().cast("array<string>")), 1, 1)
-    return table(spark, d, "web_documents").select("id", A.reference_lines(F.array(F.lit(1), F.lit(9), F.lit(1)), urls).alias("v"))
+    cited = F.filter(F.split(A.reference_lines(F.array(F.lit(1), F.lit(9), F.lit(1)), urls), "\n"), lambda x: x != "")
+    low = F.lower("title")
+    topics = F.array_compact(F.array(F.when(F.contains(low, F.lit("fee")), "fees"), F.when(F.contains(low, F.lit("dorm")) | F.contains(low, F.lit("wohnheim")), "housing")))
+    return table(spark, d, "web_documents").select("id", F.array_join(A.with_topic_links(cited, topics, _TOPIC_LINKS), "\n").alias("v"))
 
 
 @query("renumber_citations", f"""
@@ -115,14 +122,6 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "qa_pairs").where("question IS NOT NULL AND answer IS NOT NULL").select("id", A.weighted_quality(parts, caps).alias("q")).select("id", "q.score", "q.label")
 
 
-@query("draft_prompt", """
-    SELECT request_id, md5(concat_ws(E'\\n\\n', concat_ws(E'\\n', 'language: ' || lang, 'thread: ' || thread_id), 'Topics: ' || coalesce(subject, 'none'), '[Doc 1] ' || left(email_text, 1400), 'Cite every statement.')) AS prompt_md5 FROM email_requests""")
-def draft_prompt(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "email_requests")
-    p = A.prompt({"language": F.col("lang"), "thread": F.col("thread_id")}, F.array(F.coalesce("subject", F.lit("none"))), F.array("email_text"), "Cite every statement.")
-    return m.select("request_id", F.md5(p).alias("prompt_md5"))
-
-
 #: Example patterns of what a mail says of its sender: group 1 is the value.
 CONTEXT = {
     "addressed": r"(?m)^(?:Hallo|Hi|Dear) ([A-Z][a-z]+),",
@@ -149,6 +148,19 @@ def email_context(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "email_requests").select("request_id", lang.alias("language"), degree.alias("degree"), *(got(p).alias(k) for k, p in CONTEXT.items()))
 
 
+_PROFILE = {"language": "lang", "thread": "thread_id", **{k: f"nullif(regexp_extract(email_text, '{p}', 1), '')" for k, p in CONTEXT.items()}}
+
+
+@query("draft_prompt", f"""
+    SELECT request_id, md5(concat_ws(E'\\n\\n', nullif(concat_ws(E'\\n', {", ".join(f"'{k}: ' || {v}" for k, v in _PROFILE.items())}), ''), 'Topics: ' || coalesce(subject, 'none'), '[Doc 1] ' || left(email_text, 1400), 'Cite every statement.')) AS prompt_md5 FROM email_requests WHERE lang IS NOT NULL""")
+def draft_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt for a generator: what the mail says of its sender, topics, evidence, rules."""
+    m = table(spark, d, "email_requests").where("lang IS NOT NULL")
+    known = {"language": F.col("lang"), "thread": F.col("thread_id"), **{k: F.nullif(F.regexp_extract("email_text", p, 1), F.lit("")) for k, p in CONTEXT.items()}}
+    p = A.prompt(known, F.array(F.coalesce("subject", F.lit("none"))), F.array("email_text"), "Cite every statement.")
+    return m.select("request_id", F.md5(p).alias("prompt_md5"))
+
+
 @query("greeting", """
     SELECT request_id, CASE WHEN lang = 'de' THEN 'Guten Tag' ELSE 'Hello' END || coalesce(' ' || nullif(regexp_extract(student_email, '^([a-z]+)[._+@]', 1), ''), '') || ',' AS v FROM email_requests""")
 def greeting(spark: SparkSession, d: str) -> DataFrame:
@@ -157,13 +169,21 @@ def greeting(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("recommendations", """
-    WITH r AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE title IS NULL) AS untitled, count(*) FILTER (WHERE object_type IS NULL) AS untyped FROM documents GROUP BY 1)
-    SELECT source, 'fill titles' AS advice, 1 AS priority FROM r WHERE untitled > 0.05 * n UNION ALL SELECT source, 'classify', 2 FROM r WHERE untyped > 0.05 * n UNION ALL SELECT source, 'too few documents', 3 FROM r WHERE n < 20""")
+    WITH r AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE title IS NULL) AS untitled, count(*) FILTER (WHERE object_type IS NULL) AS untyped, count(*) FILTER (WHERE lang IS NULL) AS no_lang, count(*) FILTER (WHERE length(text) < 200) AS thin,
+      count(DISTINCT md5(text)) AS texts, max(updated_at) AS newest FROM documents GROUP BY 1)
+    SELECT source, 'fill titles' AS advice, 1 AS priority FROM r WHERE untitled > 0.05 * n UNION ALL SELECT source, 'classify', 2 FROM r WHERE untyped > 0.05 * n UNION ALL SELECT source, 'too few documents', 3 FROM r WHERE n < 20
+    UNION ALL SELECT source, 'detect languages', 4 FROM r WHERE no_lang > 0.02 * n UNION ALL SELECT source, 'enrich thin texts', 5 FROM r WHERE thin > 0.1 * n UNION ALL SELECT source, 'drop copies', 6 FROM r WHERE texts < n UNION ALL SELECT source, 'fetch again', 7 FROM r WHERE newest < TIMESTAMP '2025-06-01'""")
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
     """Rules over one small aggregate a source, by priority."""
-    r = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("title").isNull()).alias("untitled"), F.count_if(F.col("object_type").isNull()).alias("untyped"))
-    rule = lambda cond, advice, p: F.when(cond, F.struct(F.lit(advice).alias("advice"), F.lit(p).alias("priority")))
-    rules = F.array_compact(F.array(rule(F.col("untitled") > 0.05 * F.col("n"), "fill titles", 1), rule(F.col("untyped") > 0.05 * F.col("n"), "classify", 2), rule(F.col("n") < 20, "too few documents", 3)))
+    t = table(spark, d, "documents")
+    copies = t.groupBy("source", F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("c")).groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
+    part = lambda c: F.count_if(c)
+    r = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), part(F.col("title").isNull()).alias("untitled"), part(F.col("object_type").isNull()).alias("untyped"), part(F.col("lang").isNull()).alias("no_lang"), part(F.char_length("text") < 200).alias("thin"), F.max("updated_at").alias("newest")).join(copies, "source")
+    n = F.col("n")
+    known = [
+        (F.col("untitled") > 0.05 * n, "fill titles"), (F.col("untyped") > 0.05 * n, "classify"), (n < 20, "too few documents"), (F.col("no_lang") > 0.02 * n, "detect languages"),
+        (F.col("thin") > 0.1 * n, "enrich thin texts"), (F.col("texts") < n, "drop copies"), (F.col("newest") < F.lit("2025-06-01").cast("timestamp"), "fetch again")]
+    rules = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(x).alias("advice"), F.lit(p).alias("priority"))) for p, (c, x) in enumerate(known, 1))))
     return r.select("source", F.inline(rules)).orderBy("priority", "source")
 
 

@@ -132,3 +132,12 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     """Web documents with repaired titles and cleaned contacts."""
     shown = F.array_join(F.transform(X.clean_contacts(F.col("contacts")), lambda x: F.concat(x["type"], F.lit(":"), x["value"])), ",")
     return table(spark, d, "web_documents").select("id", T.fix_encoding("title").alias("title"), shown.alias("contacts"))
+
+
+@query("page_program_facts", f"""
+    WITH p AS (SELECT snapshot_id, content.full_text AS text FROM overview_pages WHERE content.full_text IS NOT NULL) SELECT snapshot_id, {_FACTS_OF} AS v FROM p""")
+def page_program_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of a programme in the text of pages."""
+    f = X.program_facts("text")
+    shown = F.concat_ws(", ", *(F.when(f[n].isNotNull(), F.concat(F.lit(f"{n}="), f[n])) for n in ("language", "intake", "ects", "duration")))
+    return table(spark, d, "overview_pages").where("content.full_text IS NOT NULL").select("snapshot_id", F.col("content.full_text").alias("text")).select("snapshot_id", shown.alias("v"))
