@@ -18,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,7 @@ _BULLET = re.compile(r"^\s*(?:([-*•–])|\d+[.)])\s+")
 _PROSE_END = re.compile(r"[.!?][\"”“»)]?\s*$")
 
 
+_BLANKS = re.compile(r"[\s\x85\xA0]+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -191,6 +193,13 @@ def seed_labels(blocks: list[str], heading: str | None, repeated: list[bool], se
     return out
 
 
+def form_hash(x: str) -> int:
+    """The hash under which sitelines counts a line, as Spark has it."""
+    f = re.sub("[0-9]+", "0", _BLANKS.sub(" ", x).strip(" ").lower())
+    h = xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Reader:
     """Turns pages into what the network reads. What a line shows by itself is kept for as many lines as fit, as the same ones come again."""
 
@@ -201,6 +210,7 @@ class Reader:
         self.sets: list[frozenset[str]] = []
         self.words: list[np.ndarray] = []
         self.rows: list[tuple[float, ...]] = []
+        self.forms: list[int | None] = []
         self.paths: list[tuple[int, int]] = []
 
     def _add(self, x: str) -> int:
@@ -219,6 +229,7 @@ class Reader:
         own = w if not m or m[1] else w[1:]  # without the number of a numbered item
         self.lows.append(low)
         self.sets.append(frozenset(w))
+        self.forms.append(form_hash(x) if len(w) > w.count("0") else None)
         self.words.append(np.array([_CRC[t][0] % WORDS for t in w] + [(crc32(_CRC[w[0]][1][1:], _FIRST) if w else _FIRST) % WORDS], np.int64))
         n = len(s)
         odds = self.odds
@@ -231,18 +242,20 @@ class Reader:
         self.seen[x] = len(self.lows) - 1
         return len(self.lows) - 1
 
-    def read(self, pages: list[tuple[list[str], str | None, list[bool], list[bool]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        """Blocks, heading, repeated and blank_before of each page; out come, of the blocks of all pages in a row: measures, hashed words (all in a row) with their number a block, paths, then the number of each block's line among those kept, and the blocks a page."""
+    def read(self, pages: list[tuple[list[str], str | None, list[bool] | frozenset[int], list[bool]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Blocks, heading, repeated (of each block, or the hashes of what is repeated on the site) and blank_before of each page; out come, of the blocks of all pages in a row: measures, hashed words (all in a row) with their number a block, paths, then the number of each block's line among those kept, and the blocks a page."""
         if len(self.seen) > self.most:
             self.__init__(self.seeds, self.most)
         at: list[int] = []
         same: list[float] = []
+        again: list[bool] = []
         shared: list[float] = []
-        for blocks, heading, _, _ in pages:
+        for blocks, heading, rep, _ in pages:
             own = [i if (i := self.seen.get(x)) is not None else self._add(x) for x in blocks]
             title = _norm(heading)
             tw = frozenset(_words(title))
             at += own
+            again += [self.forms[i] in rep for i in own] if isinstance(rep, frozenset) else rep
             same += [float(bool(title) and self.lows[i] == title) for i in own]
             shared += [len(tw & self.sets[i]) / len(tw) for i in own] if tw else [0.0] * len(own)
         sizes = [len(p[0]) for p in pages]
@@ -252,7 +265,7 @@ class Reader:
             used, where = np.unique(ids, return_inverse=True)
             dense[:, :9] = np.array([self.rows[i] for i in used], np.float32)[where]
             dense[:, 9], dense[:, 10] = same, shared
-            dense[:, 11] = np.concatenate([np.asarray(p[2], np.float32) for p in pages])
+            dense[:, 11] = again
             codes = np.array([self.paths[i] for i in used], np.uint64)[where]
             blank = np.concatenate([np.asarray(p[3], np.uint64) for p in pages])
             follows = np.concatenate([np.r_[np.asarray(p[3][1:], np.uint64), np.uint64(1)] for p in pages if p[3]])
@@ -396,9 +409,9 @@ class Labeller:
                     self.p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def _page(text: str, repeated: list[int] | None) -> tuple[list[int], list[str], list[bool], list[bool]]:
-    """Line numbers (from 1) of the blocks, the blocks, whether each is repeated on its site, whether a blank line precedes it."""
-    rep = set(repeated or ())
+def _page(text: str, repeated: list[int] | frozenset[int] | None) -> tuple[list[int], list[str], list[bool] | frozenset[int], list[bool]]:
+    """Line numbers (from 1) of the blocks, the blocks, whether each is repeated on its site (or the hashes of what is), whether a blank line precedes it."""
+    rep = repeated if isinstance(repeated, frozenset) else set(repeated or ())
     no, blocks, before, gap = [], [], [], True
     for i, x in enumerate(text.split("\n"), 1):
         if x.strip():
@@ -408,41 +421,55 @@ def _page(text: str, repeated: list[int] | None) -> tuple[list[int], list[str],
             gap = False
         else:
             gap = True
-    return no, blocks, [i in rep for i in no], before
+    return no, blocks, rep if isinstance(rep, frozenset) else [i in rep for i in no], before
 
 
-def fit(pages: list[tuple[str, str | None, list[int]]], seeds: Seeds, epochs: int = 8) -> Labeller:
-    """A labeller from sample pages (text, heading, numbers of lines repeated on the site)."""
+def fit(pages: list[tuple[str, str | None, list[int] | frozenset[int]]], seeds: Seeds, epochs: int = 8) -> Labeller:
+    """A labeller from sample pages (text, heading, numbers or hashes of lines repeated on the site)."""
     cut = [(*_page(text, repeated)[1:], heading) for text, heading, repeated in pages]
     dense, where, paths, words, sizes = Reader(seeds).read([(blocks, h, rep, before) for blocks, rep, before, h in cut])
     ends = np.cumsum(sizes)
     inputs = [(dense[e - n : e], [words[i] for i in where[e - n : e]], paths[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
     model = Labeller()
-    model.train(inputs, [seed_labels(blocks, h, rep, seeds) for blocks, rep, before, h in cut], epochs)
+    model.train(inputs, [seed_labels(blocks, h, (dense[e - n : e, 11] > 0).tolist(), seeds) for (blocks, _, _, h), n, e in zip(cut, sizes, ends, strict=True)], epochs)
     return model
 
 
-def label_pages(df: DataFrame, key: str, text: str, heading: str, repeated: str, sample: int = SAMPLE, epochs: int = 8, corpus: DataFrame | None = None) -> DataFrame:
+def label_pages(df: DataFrame, key: str, text: str, heading: str, repeated: str, sample: int = SAMPLE, epochs: int = 8, corpus: DataFrame | None = None, site: str | None = None) -> DataFrame:
     """`key`, the numbers (from 1) of the non-blank lines that are no main content, and main_text with the others in order.
 
-    corpus: the same texts and headings as they are before `repeated` is found, where that takes a join. repeated: column with the numbers of lines repeated on the page's site (null for none). Trained on at most `sample`
+    corpus: the same texts and headings as they are before `repeated` is found, where that takes a join. repeated: column with the numbers of lines repeated on the page's site (null for none), or
+    with the hashes (bigint) of all lines repeated there; site: then the site, whose hashes are taken up once a task. Trained on at most `sample`
     pages, chosen by their hash. Null texts give null and no numbers, blank ones an empty main_text; keys may be null or
     repeated; other columns are ignored; rows are independent once the model is fitted.
     """
-    cols = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(heading).alias("_h"), F.col(repeated).alias("_r"))
+    hashed = df.schema[repeated].dataType.elementType == T.LongType()
+    cols = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(heading).alias("_h"), (F.col(site) if site else F.lit(None).cast("string")).alias("_s"), F.col(repeated).alias("_r"))
     known = cols.where("_t IS NOT NULL")
     every = known if corpus is None else corpus.select(F.col(text).alias("_t"), F.col(heading).alias("_h")).where("_t IS NOT NULL")
     seeds = learn_seeds(every, "_t", "_h")
-    pages = [(r["_t"], r["_h"], r["_r"]) for r in bounded_sample(known.select("_t", "_h", "_r"), sample, on=("_t", "_h"), rows=every.count())]
+    pages = [(r["_t"], r["_h"], frozenset(r["_r"] or ()) if hashed else r["_r"]) for r in bounded_sample(known.select("_t", "_h", "_r"), sample, on=("_t", "_h"), rows=every.count())]
     model = fit(pages, seeds, epochs)
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("other_lines", T.ArrayType(T.IntegerType())), T.StructField("main_text", T.StringType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(seeds)
+        sets: dict[str | None, frozenset[int]] = {}
+
+        def repeated_on(site_: str | None, column: pa.Array, i: int) -> frozenset[int] | list[int] | None:
+            if not hashed:
+                return column[i].as_py()
+            if site_ is None or site_ not in sets:
+                if len(sets) > 1000:
+                    sets.clear()
+                sets[site_] = frozenset(column[i].as_py() or ())
+            return sets[site_]
+
         for whole in it:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                pages = [None if t is None else (*_page(t, r), h) for t, h, r in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+                texts, heads, sites = (c.to_pylist() for c in b.columns[1:4])
+                pages = [None if t is None else (*_page(t, repeated_on(s, b.column(4), i)), h) for i, (t, h, s) in enumerate(zip(texts, heads, sites, strict=True))]
                 p = model.predict_all(*reader.read([(x[1], x[4], x[2], x[3]) for x in pages if x is not None]))
                 main_ = p >= 0.5
                 other: list[list[int]] = []

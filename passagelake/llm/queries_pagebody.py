@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..session import cut, table
 from .pagebody import label_pages
 from .registry import query
-from .sitelines import broadcast_if_small, host, marked_in, site_lines
+from .sitelines import broadcast_if_small, host, site_lines
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "overview_pages").select("snapshot_id", F.col("metadata.title").alias("heading"), host("metadata.url").alias("site"), F.col("content.full_text").alias("text"))
     sites = cut(site_lines(pages.select(F.lit("p").alias("group"), "site", "text")).select("site", "lines"))  # a few lines a site; the texts stay where they are
-    marked = pages.join(broadcast_if_small(sites, "lines"), "site", "left").select("snapshot_id", "text", "heading", marked_in(F.col("text"), F.col("lines")).alias("repeated"))
-    return label_pages(marked, "snapshot_id", "text", "heading", "repeated", corpus=pages)
+    known = pages.join(broadcast_if_small(sites, "lines"), "site", "left")
+    return label_pages(known, "snapshot_id", "text", "heading", "lines", corpus=pages, site="site")
 
 
 @query("p5_found")

@@ -83,13 +83,6 @@ def broadcast_if_small(df: DataFrame, hashes: str) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_HASHES else df
 
 
-def marked_in(text: Column, repeated: Column) -> Column:
-    """Numbers (from 1) of the lines of a text whose hashes are in `repeated`; null where that is. Rows need not be joined line by line."""
-    hs = _hashes(text)
-    own = lambda h: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(repeated, x), i + 1)), lambda x: x.isNotNull())
-    return F.when(repeated.isNotNull(), F.get(F.transform(F.array(hs), own), F.lit(0)))
-
-
 def _found_lines(df: DataFrame, share: float, least: int, more: list[str]) -> DataFrame:
     """group, row_key, site, h, line_no and `more` of every repeated line of every row, written once."""
     found = line_counts(df, share, least).select("group", "site", "h")

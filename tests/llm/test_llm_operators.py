@@ -315,6 +315,25 @@ def test_labels_come_from_the_context(spark):
     assert full > 0.92 and alone < full - 0.1, (full, alone)
 
 
+def test_hashes_of_lines_as_spark_has_them(spark):
+    lines = ["Skip to content", "  Fees:\t2024 ", "\u00a0Über 12 Größen\r", "ΟΔΟΣ 7", "© 2024 Example", "😀 a", "x" * 5000]
+    df = spark.createDataFrame([("\n".join([*lines, "12", ""]),)], "t string")
+    got = df.select(sitelines._hashes(F.col("t"))).first()[0]
+    assert got == [*map(pagebody.form_hash, lines), None, None]
+
+
+def test_repeated_lines_given_as_hashes(spark):
+    pages = [_page(i) for i in range(80)]
+    gone = [1, 2, 7, 9, 10]
+    hashes = sorted({pagebody.form_hash(t.split("\n")[n - 1]) for t, _ in pages for n in gone})
+    df = spark.createDataFrame([(i, t, h, "s") for i, (t, h) in enumerate(pages)], "id int, text string, heading string, site string")
+    a = df.withColumn("r", F.array(*map(F.lit, gone)))
+    b = df.withColumn("r", F.array(*(F.lit(h).cast("long") for h in hashes)))
+    one = {r["id"]: r["other_lines"] for r in pagebody.label_pages(a, "id", "text", "heading", "r", sample=60).collect()}
+    two = {r["id"]: r["other_lines"] for r in pagebody.label_pages(b, "id", "text", "heading", "r", sample=60, site="site").collect()}
+    assert one == two
+
+
 def test_all_words_of_a_block_are_read():
     seeds = pagebody.Seeds(frozenset(), np.zeros(pagebody.ODDS))
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
