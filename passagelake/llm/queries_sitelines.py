@@ -50,9 +50,9 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_clusters")
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable row with the cluster of near-copies it belongs to."""
-    rows = _rows(spark, sf_dir).where("site IS NOT NULL AND trim(text) <> ''").withColumn("doc", F.md5("text"))
-    texts = rows.groupBy("group", "site", "doc").agg(F.any_value("text").alias("text"))
-    return rows.select("group", "row_key", "site", "doc").join(near_copies(texts, "doc", "text", ["group", "site"]), ["group", "site", "doc"]).select(F.col("group").alias("src_table"), "row_key", "cluster")
+    rows = _rows(spark, sf_dir).where("site IS NOT NULL AND trim(text) <> ''").withColumn("doc", F.xxhash64("text"))
+    clusters = near_copies(rows, "doc", "text", ["group", "site"])
+    return rows.select("group", "row_key", "site", "doc").join(clusters, ["group", "site", "doc"]).select(F.col("group").alias("src_table"), "row_key", "cluster")
 
 
 _LINES = (

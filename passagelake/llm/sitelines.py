@@ -86,14 +86,13 @@ def broadcast_if_small(df: DataFrame, hashes: str) -> DataFrame:
 def _found_lines(df: DataFrame, share: float, least: int, more: list[str]) -> DataFrame:
     """group, row_key, site, h, line_no and `more` of every repeated line of every row, written once."""
     found = line_counts(df, share, least).select("group", "site", "h")
-    own = _usable(df).select("group", "row_key", "site", *more, F.md5("text").alias("doc"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where(F.col("h").isNotNull())
+    own = _usable(df).select("group", "row_key", "site", *more, F.xxhash64("text").alias("doc"), F.posexplode(_hashes(F.col("text"))).alias("at", "h")).where(F.col("h").isNotNull())
     return cut(own.join(found, ["group", "site", "h"], "left_semi").select("group", "row_key", "site", "h", "doc", *more, (F.col("at") + 1).cast("int").alias("line_no")))
 
 
 def _spread(df: DataFrame, lines_: DataFrame) -> DataFrame:
     """group, site, h with n_rows, n_texts, n_clusters and n_days of every repeated line. Days are counted exactly, in one bitmap a line."""
-    texts = df.join(lines_.select("group", "row_key").distinct(), ["group", "row_key"], "left_semi").where(F.col("site").isNotNull()).select("group", "site", F.md5("text").alias("doc"), "text").groupBy("group", "site", "doc").agg(F.any_value("text").alias("text"))
-    clusters = near_copies(texts, "doc", "text", ["group", "site"])
+    clusters = near_copies(_usable(df).select("group", "site", F.xxhash64("text").alias("doc"), "text"), "doc", "text", ["group", "site"])
     per = lines_.groupBy("group", "site", "h", "doc").agg(F.count_distinct("row_key").alias("n"))  # a line twice in a row counts once
     per = per.join(clusters, ["group", "site", "doc"])
     per = per.groupBy("group", "site", "h", "cluster").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("t")).groupBy("group", "site", "h").agg(F.sum("n").alias("n_rows"), F.sum("t").alias("n_texts"), F.count(F.lit(1)).alias("n_clusters"))
