@@ -224,11 +224,10 @@ def page_topic_score(spark: SparkSession, d: str) -> DataFrame:
     return s.select("x.topic", "id", "x.score").where("score > 0")
 
 
-@query("official_docs", "WITH s AS (" + " UNION ALL ".join(
-    f"SELECT '{k}' AS topic, doc_id, ({' + '.join(f'CASE WHEN contains(lower(coalesce(title, chr(32))), chr(32) || trim({chr(39)}{t}{chr(39)})) THEN 5 ELSE 0 END + CASE WHEN contains(lower(text), {chr(39)}{t}{chr(39)}) THEN 2 ELSE 0 END' for t in ts)})::INTEGER AS score FROM documents" for k, ts in _TERMS.items()) + ") SELECT topic, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id) <= 3")
+@query("official_docs", "WITH s AS (" + " UNION ALL ".join(f"SELECT '{k}' AS topic, id, ({_points_sql(k)})::INTEGER AS score FROM {_PARTS}" for k in _TERMS) + ") SELECT topic, id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) <= 3")
 def official_docs(spark: SparkSession, d: str) -> DataFrame:
     """The three best pages of each topic."""
-    w = Window.partitionBy("topic").orderBy(F.desc("score"), "doc_id")
+    w = Window.partitionBy("topic").orderBy(F.desc("score"), "id")
     return page_topic_score(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 3").drop("rn")
 
 
