@@ -35,6 +35,8 @@ CLOSED_LINE = r"(?:^\s*(?:https?://|www\.)\S+$)|(?:[.!?][\"'”“»)]*\s+\([^()
 
 #: No single marker is longer; there may be any number of them.
 _LONGEST = 64
+#: So many keys of copies are broadcast at most, after they are counted.
+BROADCAST_KEYS = 500_000
 #: Counts are handed on from a task when it holds so many.
 _HELD = 400_000
 _MARKER, _TERMINAL, _OPEN_POINT, _CLOSED = re.compile(MARKER, re.I), re.compile(TERMINAL), re.compile(OPEN_POINT), re.compile(CLOSED_LINE)
@@ -217,8 +219,10 @@ def truncated(docs: DataFrame, key: str = "doc_id", ends: float = 0.3, least: in
     by_limit, rest = open_.where("at_limit"), open_.where("NOT at_limit")
 
     copies = own.groupBy("h").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = own.select(key, "h").join(copies.select("h", "first"), "h").where(F.col(key) != F.col("first")).select(key)
-    stats = cut(word_ends(d.join(again, key, "left_anti")))
+    again = cut(own.select(key, "h").join(copies.select("h", "first"), "h").where(F.col(key) != F.col("first")).select(key))
+    n = again.count()
+    distinct = d if not n else d.join(F.broadcast(again) if n <= BROADCAST_KEYS else again, key, "left_anti")  # beyond that the texts are shuffled
+    stats = cut(word_ends(distinct))
     heads = stats.where("kind = 'H'").select(F.col("w2").alias("head"), F.col("n_end").alias("n_open"), F.col("n_last").alias("n_closed"))
     stats = stats.where("kind <> 'H'")
     single = stats.groupBy("kind", "w1").agg(F.sum("n_on").alias("u_on"), F.sum("n_end").alias("u_end"), F.sum("n_last").alias("u_last"))
