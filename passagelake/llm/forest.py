@@ -219,22 +219,35 @@ def candidate_ranges(keys: np.ndarray, depth: np.ndarray, bucket: int, least: in
     return out
 
 
-def nearest_in(q: np.ndarray, groups: list[tuple[np.ndarray, int, int]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per group: rows, their k nearest in its range and the cosines. q: small whole numbers, whose products are exact in float32."""
+def nearest_in(q: np.ndarray, groups: list[tuple[np.ndarray, int, int]], k: int, width: int = 32_768) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per group: rows, their k nearest in its range and the cosines. q: small whole numbers, whose products are exact in float32. At most 1,024 rows meet `width` others at a time, whatever the range's size."""
     for rows, a, b in groups:
-        n = b - a
-        if n < 2:
+        if b - a < 2:
             continue
-        x = q[a:b].astype(np.float32)
-        norm = np.sqrt((x * x).sum(1, dtype=np.float64))
-        m = min(k, n - 1)
-        for at in range(0, len(rows), 1024):  # so many rows at a time, whatever the range's size
-            own = rows[at : at + 1024] - a
-            dots = x[own] @ x.T
-            s = dots / norm.astype(np.float32)[None, :]
-            s[np.arange(len(own)), own] = -np.inf
-            top = np.argpartition(s, n - m, axis=1)[:, n - m :] if m < n - 1 else np.argsort(s, axis=1)[:, 1:]
-            yield own + a, top + a, np.take_along_axis(dots, top, 1).astype(np.float64) / (norm[own][:, None] * norm[top])
+        m = min(k, b - a - 1)
+        blocks = [(c, min(c + width, b)) for c in range(a, b, width)]
+        held: tuple[int, np.ndarray, np.ndarray] | None = None
+        for at in range(0, len(rows), 1024):
+            own = rows[at : at + 1024]
+            mine = q[own].astype(np.float32)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for c, e in blocks:
+                if held is None or held[0] != c:
+                    x = q[c:e].astype(np.float32)
+                    held = (c, x, np.sqrt((x * x).sum(1, dtype=np.float64)))
+                _, x, norm = held
+                dots = mine @ x.T
+                s = dots / norm.astype(np.float32)[None, :]
+                inside = np.flatnonzero((own >= c) & (own < e))
+                s[inside, own[inside] - c] = -np.inf
+                top = np.argpartition(s, -m, axis=1)[:, -m:] if m < e - c else np.broadcast_to(np.arange(e - c), s.shape)
+                found.append((top + c, np.take_along_axis(dots, top, 1).astype(np.float64) / norm[top]))
+            near, cos = (np.concatenate(f, axis=1) for f in zip(*found, strict=True))
+            cos = np.where(near == own[:, None], -np.inf, cos)
+            if near.shape[1] > m:
+                best = np.argpartition(cos, -m, axis=1)[:, -m:]
+                near, cos = np.take_along_axis(near, best, 1), np.take_along_axis(cos, best, 1)
+            yield own, near, cos / np.sqrt((mine * mine).sum(1, dtype=np.float64))[:, None]
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 768, trees: int = 4, bucket: int = 1024, least: int = 24, centres: int = 96, partition_rows: int = 16384, sample: int = SAMPLE, seed: int = 11) -> DataFrame:

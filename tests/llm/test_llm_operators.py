@@ -596,6 +596,19 @@ def test_ascent_is_the_same_in_all_trees():
     assert depth[:1500].mean() > depth[1500:].mean() + 2  # where many are near, longer prefixes do
 
 
+def test_nearest_in_blocks_is_nearest_in_one():
+    r = np.random.default_rng(8)
+    q = r.integers(-127, 128, (700, 16)).astype(np.int8)
+    groups = [(np.arange(0, 700, 3), 0, 700), (np.array([5]), 4, 6), (np.array([9]), 9, 10), (np.arange(100, 140), 90, 150)]
+    flat = lambda it: {(int(i), int(j)): round(float(c), 9) for rows, near, cos in it for i, js, cs in zip(rows, near, cos) for j, c in zip(js, cs)}
+    one = flat(forest.nearest_in(q, groups[:1], 5))
+    assert flat(forest.nearest_in(q, groups[:1], 5, width=64)) == one and flat(forest.nearest_in(q, groups, 5)) == flat(forest.nearest_in(q, groups, 5, width=7))
+    u = q / np.linalg.norm(q.astype(float), axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert all(abs(c - s[i, j]) < 1e-9 for (i, j), c in one.items()) and all({j for (a, j) in one if a == i} == set(np.argsort(-s[i])[:5].tolist()) for i in range(0, 700, 3))
+
+
 def test_ranges_cover_their_rows():
     r = np.random.default_rng(6)
     for keys in (np.sort(r.integers(0, 1 << 52, 5000)), np.zeros(5000, np.int64), np.sort(r.integers(0, 3, 3000)) << 48, np.zeros(0, np.int64)):
