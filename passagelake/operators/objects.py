@@ -89,6 +89,8 @@ def steps_of(sections: Column, most: int = 10) -> Column:
     return F.when(F.size(marked) > 0, marked).otherwise(F.slice(every, 1, most))
 
 
+# Fixed values in the builders below: classes, names of fields and the labels that a field may have, as consumers of the
+# objects expect them.
 @register_builder("degree_program")
 def _degree_program(p: Page) -> Column:
     fact = lambda word, label: F.when(_says(p.text, word), label)

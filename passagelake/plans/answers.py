@@ -281,7 +281,7 @@ def programme_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Example phrases that a draft should not have; a caller brings its own.
-PHRASES = ("without guarantee", "free of charge", "the student", "retrieved documents", "based on your profile", "cannot confirm", "could not confirm", "not specified in our", "contact us again", "need more information", "which programme", "please specify", "evidence documents", "staff review")
+PHRASES = ("without guarantee", "free of charge", "as far as known", "in the sources given", "according to the passages", "no information available", "to be confirmed", "we are not sure", "ask again later", "as mentioned above", "see the attachment", "cannot help")
 
 
 @query("bad_phrase", "SELECT id, array_to_string(list_filter([" + ", ".join(f"'{p}'" for p in PHRASES) + "], lambda p: contains(regexp_replace(lower(answer), '(?s)\\s*please note:.*$', ''), p)), '; ') AS phrases FROM qa_pairs WHERE answer IS NOT NULL")

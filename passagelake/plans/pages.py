@@ -138,7 +138,7 @@ def html_body_text(spark: SparkSession, d: str) -> DataFrame:
     WITH {_PAGES} SELECT snapshot_id, 'faq' AS kind, {_bare("coalesce(s.heading, '')")} AS prompt, left({_bare("coalesce(s.content, '')")}, 500) AS completion FROM (SELECT snapshot_id, unnest(sections[1:10]) AS s FROM m)
     UNION ALL SELECT snapshot_id, 'procedure', 'How do I how to go on?', E'Here are the steps:\\n' || array_to_string(list_transform(steps[1:15], lambda x, i: i || '. ' || x), E'\\n') FROM m WHERE len(steps) > 0""")
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts and completions from the questions and procedures of pages."""
+    """Prompts and completions from the questions and procedures of pages. The wording around a procedure."""
     g = _guidance(spark, d)
     asked = g.select("snapshot_id", F.explode("page.faqs").alias("q")).select("snapshot_id", F.lit("faq").alias("kind"), F.col("q.question").alias("prompt"), F.col("q.answer").alias("completion"))
     p = g.select("snapshot_id", F.explode("page.procedures").alias("p"))
