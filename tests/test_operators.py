@@ -418,3 +418,17 @@ def test_facts(spark):
     assert [tuple(s) for s in one(spark, facts.steps("t"), t=t)] == [(1, "Pay EUR 5,50 before 03.04.2024", "03.04.2024"), (2, "Pay € 10 in the winter semester 24/25", None)]
     assert one(spark, facts.amounts("t"), t="") == [] and tuple(one(spark, facts.amount_summary("t"), t="")) == (0, None, None, None)
     assert one(spark, facts.amounts("t"), t=None) == []
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as N
+
+    from passagelake.session import checkpoint_dir
+
+    def session(master, said):
+        sc = N(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return N(sparkContext=sc, conf=N(get=lambda k, d: said))
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(session("spark://host:7077", None))
+    assert checkpoint_dir(session("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y" and "passagelake" in checkpoint_dir(session("local[2]", None))
